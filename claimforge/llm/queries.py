@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import bpe, packing, token_count
 
 QUERIES = {
+    "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_token_counts": token_count.op6_token_counts,
     "op10_packing": packing.op10_packing,
 }
 
