@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dedup, packing, secrets, token_count, toxicity
+from . import bpe, near_dedup, packing, secrets, substring_dedup, token_count, toxicity
 
 QUERIES = {
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_token_counts": token_count.op6_token_counts,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_secrets": secrets.op9_secrets,
     "op10_packing": packing.op10_packing,
