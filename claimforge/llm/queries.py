@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dedup, packing, secrets, substring_dedup, token_count, toxicity
+from . import bpe, imatch, near_dedup, packing, secrets, substring_dedup, token_count, toxicity, vector_search
 
 QUERIES = {
+    "op1_imatch": imatch.op1_imatch,
+    "op3_vector_search": vector_search.op3_vector_search,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_token_counts": token_count.op6_token_counts,
