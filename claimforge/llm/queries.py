@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, imatch, near_dedup, packing, secrets, substring_dedup, token_count, toxicity, vector_search
+from . import bpe, html_text, imatch, near_dedup, packing, secrets, substring_dedup, token_count, toxicity, vector_search
 
 QUERIES = {
     "op1_imatch": imatch.op1_imatch,
+    "op2_html_text": html_text.op2_html_text,
     "op3_vector_search": vector_search.op3_vector_search,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": bpe.op5_byte_bpe,

@@ -22,6 +22,8 @@ HEX = r"[0-9a-f]{32,}"
 RUN = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_CHARS, ACCESS_CHARS = 8, 16
+#: What stands for a secret in a redacted text.
+MASK = "[SECRET]"
 #: Share of false clearances the procedure allows for.
 LEVEL = 0.05
 #: Length classes: the logarithm of the length to this base.
@@ -155,6 +157,20 @@ def scan(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", of(0).alias("n_assign"), of(1).alias("n_access"), of(2).alias("n_hex"), F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"), listed(every).alias("spans"))
 
 
+def redacted(docs: DataFrame) -> DataFrame:
+    """The rows of documents, all columns, with MASK in place of each secret (overlapping ones together) and n_chars anew
+    where there is one; texts without secrets, null ones too, stay as they are."""
+    found = with_spans(docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text")), clearing_steps(docs))
+    # walk the spans in order: what stands between the end of the last and the start of the next is kept
+    masked = F.expr(f"""aggregate(array_sort(concat(base, extra)), named_struct('at', 0, 'out', ''),
+        (acc, s) -> named_struct('at', greatest(acc.at, s.end),
+            'out', CASE WHEN s.start >= acc.at AND NOT (s.start = acc.at AND acc.at > 0) THEN concat(acc.out, substring(text, acc.at + 1, s.start - acc.at), '{MASK}') ELSE acc.out END),
+        acc -> concat(acc.out, substring(text, acc.at + 1, length(text))))""")
+    new = found.withColumn("new_text", F.when(F.size("base") + F.size("extra") > 0, masked).otherwise(F.col("text")))
+    fresh = {"text": F.col("new_text"), "n_chars": F.length("new_text").cast("long")}
+    return new.select(*(fresh[c].alias(c) if c in fresh else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all whole texts."""
     return scan(read(spark, sf_dir, "documents"))

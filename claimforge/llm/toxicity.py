@@ -246,6 +246,20 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, first_word long, end_word long, score double, expected double")
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of documents, all columns, whose score is under 0.5; null texts are scored as empty."""
+    prepare(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            p = shared.value.probability(np.array([shared.value.features(t) for t in texts]).reshape(-1, FEATURES))
+            yield batch.filter(pa.array(p < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents scored by a model learnt from the labelled rows that aren't held out."""
     docs = read(spark, sf_dir, "documents")
