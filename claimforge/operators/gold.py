@@ -14,7 +14,7 @@ DEVIATION_WEIGHT, DENY_FROM, NOISE = 0.10, 0.5, 0.10
 #: Ordinal codes (two severity scales are in use).
 SEVERITY_ENCODED = {"Low": 1, "Medium": 2, "High": 2}
 SEVERITY_RANK = {"Low": 1, "Medium": 2, "High": 3}
-SPECIALTY = {"General": 1, "Cardiology": 2, "Orthopedic": 3, "Neurology": 4, "Dermatology": 5}
+SPECIALTY = {"Neurology": 1, "Cardiology": 2, "Orthopedic": 3, "General": 4}
 COST_MATCH = {"missing": 0, "procedure_avg": 1, "regional": 2}
 
 
@@ -140,7 +140,7 @@ def cap_deviations(df: DataFrame) -> DataFrame:
 def flag_high_cost(df: DataFrame) -> DataFrame:
     """Above the upper quartile of the expected cost over claim rows."""
     limit = df.agg(F.percentile("expected_cost", F.lit(0.75)).alias("p75"))
-    return df.join(F.broadcast(limit), how="cross").withColumn("is_high_cost", F.coalesce(F.col("billed_amount_imputed") > F.col("p75"), F.lit(False))).drop("p75")
+    return df.join(F.broadcast(limit), how="cross").withColumn("is_high_cost", F.coalesce((F.col("billed_amount_imputed") > F.col("p75")).cast("int"), F.lit(0))).drop("p75")
 
 
 def build_features(base: DataFrame) -> DataFrame:
