@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, read
 
-#: Pages of the corpus to learn from, at most: those with the smallest hashes of page_id among a sample of this share.
+#: Pages of the corpus to learn from, about (a sample by hash of page_id; never over twice as many).
 LEARN_PAGES = 400
 #: Feature weights: features are hashed to this many.
 FEATURES = 1 << 14
@@ -239,8 +239,11 @@ def by_hand() -> list[tuple[list[tuple], list[int]]]:
 
 
 def learn(pages: DataFrame) -> Field:
-    """A field trained on the pages labelled by hand and at most LEARN_PAGES of the corpus."""
-    rows = pages.where("html is not null").select("html").orderBy(F.xxhash64("page_id"), "page_id").limit(LEARN_PAGES).collect()
+    """A field trained on the pages labelled by hand and about LEARN_PAGES of the corpus."""
+    usable = pages.where("html is not null")
+    share = min(1.0, LEARN_PAGES / max(1, usable.count()))
+    rows = usable.where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < share * 1_000_000).select("page_id", "html").limit(2 * LEARN_PAGES).collect()
+    rows.sort(key=lambda r: (r.page_id is None, r.page_id, r.html))
     known = by_hand() * 8
     for r in rows:
         blocks = blocks_of(r.html)

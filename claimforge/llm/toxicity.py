@@ -22,6 +22,8 @@ from .common import MEMO_ENTRIES, keyed, prepare, read, written
 
 #: Labelled texts to learn from, at most: a bounded sample by hash of the id (all, while there are fewer).
 LEARN_ROWS = 100_000
+#: Clean texts that the chance law is fitted to, about (a sample by hash of the id).
+CHANCE_ROWS = 2_000
 #: Tokens in the model, at most: those with the largest absolute z-score.
 MODEL_TOKENS = 50_000
 #: Weight of the prior in each class: a share of the tokens in proportion to their counts, and a half for each token.
@@ -198,8 +200,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     model = Model(token_scores(pd.concat([top, rest], ignore_index=True)))
     model.scores.pop("", None)
     # the chance law from a bounded sample of clean rows
-    order = F.xxhash64("doc_id")
-    clean = [r.text for r in scoring.where("toxic = 0").orderBy(order).select("text").limit(2000).collect()]
+    harmless = scoring.where("toxic = 0")
+    share = min(1.0, CHANCE_ROWS / max(1, harmless.count()))
+    clean = [r.text for r in harmless.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("text").collect()]
     extreme_values(model, clean)
     model.words.clear()
     shared = texts.sparkSession.sparkContext.broadcast(model)
