@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import claims
+from . import claims, decisions
 from .sql import with_layers
 
-QUERIES = {**claims.QUERIES}
-ORACLE = {name: with_layers(sql) for name, sql in {**claims.ORACLE}.items()}
+QUERIES = {**claims.QUERIES, **decisions.QUERIES}
+ORACLE = {name: with_layers(sql) for name, sql in {**claims.ORACLE, **decisions.ORACLE}.items()}
