@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,8 +31,26 @@ COST = """select concat('proc',cast(p.p_partkey % 10 as varchar(20))) as procedu
  from part p join nation n on n.n_nationkey = p.p_partkey % 25 where p.p_partkey % 10 <> 9 group by p.p_partkey % 10, n.n_name"""
 
 
+#: Layers written in this session: (application, data folder, layer) -> path.
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, a temporary one only where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else f"file://{tempfile.mkdtemp(prefix='claims-')}/{name}"
+
+
 class Claims:
-    """Lazily planned tables of one test data folder."""
+    """Tables of one test data folder; layers are written once a session and read from there, as in a medallion pipeline."""
+
+    def layer(self, name: str, df) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _written:
+            path = shared_folder(self.spark, name)
+            df().write.parquet(path)
+            _written[key] = path
+        return self.spark.read.parquet(_written[key])
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -62,7 +82,7 @@ class Claims:
 
     @cached_property
     def claims(self) -> DataFrame:
-        return silver.clean_claims(self.claims_raw)
+        return self.layer("claims_silver", lambda: silver.clean_claims(self.claims_raw))
 
     @cached_property
     def providers(self) -> DataFrame:
@@ -78,11 +98,11 @@ class Claims:
 
     @cached_property
     def base(self) -> DataFrame:
-        return gold.resolve_label(gold.build_base(self.claims, self.providers, self.diagnosis, self.cost))
+        return self.layer("gold_base", lambda: gold.resolve_label(gold.build_base(self.claims, self.providers, self.diagnosis, self.cost)))
 
     @cached_property
     def features(self) -> DataFrame:
-        return gold.build_features(self.base)
+        return self.layer("gold_features", lambda: gold.build_features(self.base))
 
     @cached_property
     def scored(self) -> DataFrame:

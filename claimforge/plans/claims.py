@@ -170,7 +170,8 @@ query("g15_features", f"select {', '.join(G15)} from features")(lambda t: t.feat
 
 
 def lookups(t: Claims) -> dict[str, DataFrame]:
-    return G.lookup_tables(t.features, t.providers, t.diagnosis, t.cost)
+    made = G.lookup_tables(t.features, t.providers, t.diagnosis, t.cost)
+    return {name: t.layer(f"lookup_{name}", lambda df=df: df) for name, df in made.items()}
 
 
 query("g17_amount_medians", "select procedure_code, round_even(procedure_median, 6) as procedure_median from medians")(lambda t: lookups(t)["amount_medians"])

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..fixtures import Claims
+from ..fixtures import Claims, shared_folder
 from ..functions.text import ellipsis, html_to_text, tag_list
 from ..operators import catalogs
 from ..operators import events as E
@@ -25,9 +23,7 @@ __all__ = ["ORACLE", "QUERIES"]
 
 
 def folder(t: Claims, name: str) -> str:
-    """A new folder that executors share: under spark.checkpoint.dir, a temporary one only where that is unset."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="claims-")
-    return f"{base.rstrip('/')}/{name}-{t.spark.sparkContext.applicationId}-{abs(hash((name, t.sf_dir, id(t))))}"
+    return shared_folder(t.spark, name)
 
 
 # --- models: metrics on a given score ---
@@ -98,11 +94,11 @@ def levels(t: Claims) -> DataFrame:
 
 
 def picked(t: Claims) -> DataFrame:
-    return X.select_reasons(t.features, tops(t), levels(t))
+    return t.layer("reasons", lambda: X.select_reasons(t.features, tops(t), levels(t)))
 
 
 def long(t: Claims) -> DataFrame:
-    return X.explanations(picked(t), levels(t))
+    return t.layer("explanations", lambda: X.explanations(picked(t), levels(t)))
 
 
 MAPPED = {f: (i, r[0]) for i, r in enumerate(catalogs.REASONS) for f in r[5]}
@@ -133,7 +129,7 @@ def policy_docs(t: Claims) -> DataFrame:
 
 
 def corpus(t: Claims) -> DataFrame:
-    return R.chunks(policy_docs(t), tags=TEST_TAGS)
+    return t.layer("policy_chunks", lambda: R.chunks(policy_docs(t), tags=TEST_TAGS))
 
 
 WORDS = "[x for x in regexp_split_to_array(text, '\\s+') if x <> '']"
@@ -183,6 +179,10 @@ query("r10_queries")(asked)
 
 def matches(t: Claims) -> DataFrame:
     """Match rows for analytics: every explained (claim, reason) with nearest vectors standing for policy chunks."""
+    return t.layer("policy_matches", lambda: _matches(t))
+
+
+def _matches(t: Claims) -> DataFrame:
     hits = R.rerank(tagged(t), "query_id", "vec_id")
     e = long(t).select("claim_id", "reason_code", "contribution").withColumn("query_id", F.pmod(F.crc32(F.concat_ws("|", "claim_id", "reason_code").cast("binary")), F.lit(26)).cast("long"))
     return e.join(hits, "query_id").select("claim_id", "reason_code", "contribution", F.col("vec_id").alias("policy_chunk_id"), F.concat(F.lit("source"), (F.col("vec_id") % 7).cast("string")).alias("source_name"), F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("s"), (F.col("vec_id") % 4).cast("string"))).alias("section_title"), "similarity_score", "policy_rank")
@@ -221,11 +221,11 @@ query("v13_score_range")(lambda t: V.score_range(matches(t)))
 def checked(t: Claims) -> DataFrame:
     """Deduplicated raw claims, validated."""
     raw = t.claims.select("claim_id", "patient_id", "provider_id", F.when(F.col("diagnosis_code") != "MISSING", F.col("diagnosis_code")).alias("diagnosis_code"), F.when(F.col("procedure_code") != "MISSING", F.col("procedure_code")).alias("procedure_code"), "billed_amount")
-    return I.validate(raw, lookups(t))
+    return t.layer("validated_claims", lambda: I.validate(raw, lookups(t)))
 
 
 def recommended(t: Claims) -> DataFrame:
-    return D.recommendations(checked(t), levels(t), long(t), matches(t))
+    return t.layer("recommendations", lambda: D.recommendations(checked(t), levels(t), long(t), matches(t)))
 
 
 query("d1_recommendations")(recommended)
