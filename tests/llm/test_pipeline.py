@@ -1,0 +1,20 @@
+"""The corpus pipeline, stage by stage."""
+
+import corpus_pipeline
+from claimforge.llm.common import read
+
+
+def test_stages_keep_columns_and_take_effect(spark, small):
+    docs = read(spark, small, "documents")
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, before, small)
+        assert after.columns == docs.columns, name
+        assert after.count() <= before.count()
+        before = after
+    pieces = corpus_pipeline.STAGES[-1][1](spark, before, small)
+    assert pieces.select("doc_id").distinct().count() == before.count()
+
+
+def test_run(spark, small):
+    assert corpus_pipeline.run(spark, small).count() > 0
