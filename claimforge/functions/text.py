@@ -58,4 +58,4 @@ def html_to_text(c: Column) -> Column:
 
 def tag_list(c: Column) -> Column:
     """A JSON array of strings, or else comma-separated words."""
-    return F.coalesce(F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>")), F.filter(F.transform(F.split(c, ","), F.trim), lambda t: t != ""))
+    return F.coalesce(F.when(F.trim(c).startswith("["), F.from_json(c, "array<string>")), F.filter(F.transform(F.split(c, ","), lambda t: F.trim(t)), lambda t: t != ""))

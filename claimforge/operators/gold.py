@@ -73,7 +73,7 @@ def guard(before: DataFrame, after: DataFrame) -> DataFrame:
     return counts.withColumn("holds", F.col("rows_before") == F.col("rows_after"))
 
 
-def synthetic_score(base: DataFrame, noise: float = 0.0) -> DataFrame:
+def synthetic_score(base: DataFrame, noise: float = 0.0, digits: int = 4) -> DataFrame:
     """Weighted flags plus the capped deviation; noise is normal, drawn from a hash of the claim id, so order doesn't matter."""
     raw = F.lit(0.0)
     for flag, weight in FLAG_WEIGHTS.items():
@@ -83,7 +83,7 @@ def synthetic_score(base: DataFrame, noise: float = 0.0) -> DataFrame:
         unit = lambda seed: (F.pmod(F.xxhash64("claim_id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
         raw = raw + F.lit(noise) * F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * 3.141592653589793 * unit(2))
     score = clip(raw, 0.0, 1.0)
-    return base.withColumns({"denial_risk_score": F.bround(score, 4), "denial_flag": (F.round(score, 9) >= DENY_FROM).cast("int"), "label_source": F.lit("synthetic")})
+    return base.withColumns({"denial_risk_score": F.bround(score, digits), "denial_flag": (F.round(score, 9) >= DENY_FROM).cast("int"), "label_source": F.lit("synthetic")})
 
 
 def resolve_label(base: DataFrame, noise: float = NOISE) -> DataFrame:

@@ -24,7 +24,8 @@ def recommendations(checked: DataFrame, scores: DataFrame, reasons: DataFrame, e
     level = scores.select("claim_id", F.coalesce("risk_level", F.lit("LOW")).alias("risk_level"))
     fixes = checked.select("claim_id", F.posexplode("blocking_errors").alias("i", "e")).select("claim_id", F.col("i").alias("place"), F.concat(F.lit("Fix required input field before scoring: "), F.coalesce("e.field", F.lit("claim input")), F.lit(".")).alias("action"), F.lit("HIGH").alias("priority"), F.col("e.code").alias("reason_code"), F.lit(None).cast("string").alias("evidence_source"))
     source = evidence.groupBy("claim_id", "reason_code").agg(F.min("source_name").alias("evidence_source"))
-    because = reasons.join(level, "claim_id").join(acts, reasons.reason_code == F.col("code"), "left").join(source, ["claim_id", "reason_code"], "left").select("claim_id", (100 + F.col("reason_rank")).alias("place"), F.coalesce("action", "fix_suggestion", F.lit("Review this claim before submission.")).alias("action"), F.col("risk_level").alias("priority"), "reason_code", "evidence_source")
+    given = reasons.select("claim_id", "reason_rank", "reason_code", "fix_suggestion")
+    because = given.join(level, "claim_id").join(acts, F.col("reason_code") == F.col("code"), "left").join(source, ["claim_id", "reason_code"], "left").select("claim_id", (100 + F.col("reason_rank")).alias("place"), F.coalesce("action", "fix_suggestion", F.lit("Review this claim before submission.")).alias("action"), F.col("risk_level").alias("priority"), "reason_code", "evidence_source")
     warned = checked.select("claim_id", F.posexplode("warnings").alias("i", "e")).join(acts, F.col("e.code") == F.col("code")).join(level, "claim_id", "left").select("claim_id", (200 + F.col("i")).alias("place"), "action", F.when(F.col("risk_level").isin("HIGH", "MEDIUM"), "MEDIUM").otherwise("LOW").alias("priority"), F.col("e.code").alias("reason_code"), F.lit(None).cast("string").alias("evidence_source"))
     every = fixes.unionByName(because).unionByName(warned)
     rest = level.join(every.select("claim_id").distinct(), "claim_id", "left_anti").select("claim_id", F.lit(300).alias("place"), F.when(F.col("risk_level") == "LOW", PROCEED).otherwise(ROUTE).alias("action"), F.col("risk_level").alias("priority"), F.lit(None).cast("string").alias("reason_code"), F.lit(None).cast("string").alias("evidence_source"))

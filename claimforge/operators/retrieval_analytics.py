@@ -97,7 +97,7 @@ def claim_graph(matches: DataFrame) -> DataFrame:
 
 def evidence(matches: DataFrame) -> DataFrame:
     """Best row of each (claim, reason, source, section or else chunk)."""
-    return first_by(matches.withColumn("place", F.coalesce("section_title", "policy_chunk_id")), ["claim_id", "reason_code", "source_name", "place"], F.desc("similarity_score"), "policy_chunk_id")
+    return first_by(matches.withColumn("place", F.coalesce("section_title", F.col("policy_chunk_id").cast("string"))), ["claim_id", "reason_code", "source_name", "place"], F.desc("similarity_score"), "policy_chunk_id")
 
 
 def score_range(matches: DataFrame) -> DataFrame:

@@ -156,8 +156,8 @@ query("g3_references", "select claim_id, specialty, location, category, severity
 query("g4_tiered_benchmark", "select claim_id, round(expected_cost, 4) as expected_cost, cost_match_level from base")(lambda t: ROUND4(t.base.select("claim_id", "expected_cost", "cost_match_level"), "expected_cost"))
 query("g5_deviation", "select claim_id, billed_deviation_pct from base")(lambda t: t.base.select("claim_id", "billed_deviation_pct"))
 query("g6_label", "select claim_id, denial_flag, cast(null as double) as denial_risk_score, 'provided' as label_source from base")(lambda t: t.base.select("claim_id", "denial_flag", "denial_risk_score", "label_source"))
-query("g7_synthetic_score", """select claim_id, round_even(s, 4) as denial_risk_score, (round(s, 9) >= 0.5)::int as denial_flag from (select claim_id, least(greatest(0.25 * diagnosis_code_missing::int::double + 0.20::double * proc_no_diag::int + 0.18::double * procedure_code_missing::int + 0.15::double * billed_amount_missing::int
- + 0.12::double * diag_no_proc::int + 0.10::double * round_even(least(greatest(coalesce(billed_deviation_pct, 0), 0), 200) / 200, 4), 0::double), 1::double) as s from base)""")(lambda t: G.synthetic_score(t.base).select("claim_id", "denial_risk_score", "denial_flag"))
+query("g7_synthetic_score", """select claim_id, round_even(s, 6) as denial_risk_score, (round(s, 9) >= 0.5)::int as denial_flag from (select claim_id, least(greatest(0.25 * diagnosis_code_missing::int::double + 0.20::double * proc_no_diag::int + 0.18::double * procedure_code_missing::int + 0.15::double * billed_amount_missing::int
+ + 0.12::double * diag_no_proc::int + 0.10::double * ((hh // 2) + (hh % 2) * ((hh // 2) % 2)) / 10000.0::double, 0::double), 1::double) as s from (select *, cast(round(least(greatest(coalesce(billed_deviation_pct, 0), 0), 200) * 100) as bigint) as hh from base))""")(lambda t: G.synthetic_score(t.base, digits=6).select("claim_id", "denial_risk_score", "denial_flag"))
 query("g8_provider_aggregates", "select * from provider_agg")(lambda t: G.provider_aggregates(t.base))
 query("g9_patient_counts", "select * from patient_agg")(lambda t: G.patient_counts(t.base))
 query("g10_encodings", "select claim_id, severity_encoded, severity_rank, specialty_encoded, cost_match_encoded from features")(lambda t: G.encode(t.base).select("claim_id", "severity_encoded", "severity_rank", "specialty_encoded", "cost_match_encoded"))

@@ -184,7 +184,7 @@ def matches(t: Claims) -> DataFrame:
 
 def _matches(t: Claims) -> DataFrame:
     hits = R.rerank(tagged(t), "query_id", "vec_id")
-    e = long(t).select("claim_id", "reason_code", "contribution").withColumn("query_id", F.pmod(F.crc32(F.concat_ws("|", "claim_id", "reason_code").cast("binary")), F.lit(26)).cast("long"))
+    e = long(t).select("claim_id", "reason_code", "contribution").withColumn("query_id", ((F.length("claim_id") * 7 + F.length("reason_code")) % 26).cast("long"))
     return e.join(hits, "query_id").select("claim_id", "reason_code", "contribution", F.col("vec_id").alias("policy_chunk_id"), F.concat(F.lit("source"), (F.col("vec_id") % 7).cast("string")).alias("source_name"), F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("s"), (F.col("vec_id") % 4).cast("string"))).alias("section_title"), "similarity_score", "policy_rank")
 
 
@@ -193,28 +193,36 @@ def chunk_rows(t: Claims) -> DataFrame:
 
 
 query("r11_matches")(lambda t: R.matches(long(t), corpus(t), min_score=0.0))
-query("r12_unmatched")(lambda t: R.unmatched(long(t), matches(t)))
 query("r13_summaries", "select doc_id, case when length(f) > 420 then rtrim(substr(f, 1, 419)) || '…' else f end as summary from (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as f from documents)")(lambda t: t.table("documents").select("doc_id", ellipsis(F.col("text")).alias("summary")))
 query("r14_final")(lambda t: R.final_explanations(long(t), matches(t)))
 query("r15_report")(lambda t: R.match_report(policy_docs(t), corpus(t), long(t), matches(t)))
 query("r16_tag_lists", "select doc_id, array_to_string([x for x in [trim(y) for y in string_split(source || ', ' || lang || ',', ',')] if x <> ''], '|') as tags from documents")(lambda t: t.table("documents").select("doc_id", F.array_join(tag_list(F.concat("source", F.lit(", "), "lang", F.lit(","))), "|").alias("tags")))
 
 # --- retrieval analytics ---
-query("v1_dedupe")(lambda t: V.dedupe(matches(t)).select(*V.KEYS, "similarity_score"))
-query("v2_source_utilisation")(lambda t: V.source_utilisation(chunk_rows(t), matches(t)))
-query("v3_flow")(lambda t: V.reason_source_flow(matches(t)))
+MATCHES = f"""select e.claim_id, e.reason_code, h.vec_id as policy_chunk_id, 'source' || (h.vec_id % 7)::varchar as source_name, case when h.vec_id % 2 = 0 then 's' || (h.vec_id % 4)::varchar end as section_title, h.similarity_score
+ from ({PICKED}) e join ({RERANK}) h on h.query_id = (length(e.claim_id) * 7 + length(e.reason_code)) % 26"""
+UTILISATION = """select c.source_name, policy_chunks, coalesce(r, 0) as retrieval_count, coalesce(u, 0) as unique_chunks_retrieved, avg_similarity, round(coalesce(u, 0) / policy_chunks::double, 4) as utilization_rate from (select 'source' || (vec_id % 9)::varchar as source_name, count(distinct vec_id) as policy_chunks from embeddings group by 1) c
+ left join (select source_name, count(*) as r, count(distinct policy_chunk_id) as u, round(avg(similarity_score), 4) as avg_similarity from m group by 1) using (source_name)"""
+_m = lambda sql: f"with m as ({MATCHES}), p as ({PICKED}) {sql}"
+query("v1_dedupe", _m("select * from m"))(lambda t: V.dedupe(matches(t)).select(*V.KEYS, "similarity_score"))
+query("v2_source_utilisation", _m(UTILISATION))(lambda t: V.source_utilisation(chunk_rows(t), matches(t)))
+query("v3_flow", _m("select reason_code as reason, source_name as source, count(*) as n from m group by all order by n desc, reason, source limit 50"))(lambda t: V.reason_source_flow(matches(t)))
 query("v3_all_sources", "select distinct 'source' || (vec_id % 9)::varchar as source_name from embeddings")(lambda t: V.all_sources(chunk_rows(t), matches(t)))
-query("v4_reason_coverage")(lambda t: V.reason_coverage(long(t), matches(t)))
-query("v5_top_chunks")(lambda t: V.top_chunks(chunk_rows(t), matches(t)))
+query("v4_reason_coverage", _m("""select reason_code, reason_rows, coalesce(matched_rows, 0) as matched_rows, avg_similarity, coalesce(top_policy_source, '—') as top_policy_source, round(coalesce(matched_rows, 0) / reason_rows::double, 4) as match_rate from (select reason_code, count(distinct claim_id) as reason_rows from p group by 1)
+ left join (select reason_code, count(distinct claim_id) as matched_rows, round(avg(similarity_score), 4) as avg_similarity from m group by 1) using (reason_code)
+ left join (select reason_code, source_name as top_policy_source from (select reason_code, source_name, row_number() over (partition by reason_code order by n desc, source_name) as k from (select reason_code, source_name, count(*) as n from m group by all)) where k = 1) using (reason_code)"""))(lambda t: V.reason_coverage(long(t), matches(t)))
+query("v5_top_chunks", _m("select policy_chunk_id, retrieval_count, avg_similarity, 'source' || (policy_chunk_id % 9)::varchar as source_name, 'chunk ' || policy_chunk_id::varchar as snippet from (select policy_chunk_id, count(*) as retrieval_count, round(avg(similarity_score), 4) as avg_similarity from m group by 1 order by 2 desc, 1 limit 20)"))(lambda t: V.top_chunks(chunk_rows(t), matches(t)))
 query("v6_projection")(lambda t: V.projection(t.table("embeddings"), matches(t)))
 query("v7_strength")(lambda t: V.strength(long(t), matches(t)))
-query("v8_similarity_quartiles")(lambda t: V.similarity_quartiles(matches(t)))
-query("v8_similarity_histogram")(lambda t: V.similarity_histogram(matches(t)))
-query("v9_kpis")(lambda t: V.kpis(chunk_rows(t), matches(t), long(t)))
-query("v10_unused_sources")(lambda t: V.unused_sources(chunk_rows(t), matches(t)))
-query("v11_claim_graph")(lambda t: V.claim_graph(matches(t)))
-query("v12_evidence")(lambda t: V.evidence(matches(t)).select("claim_id", "reason_code", "source_name", "place", "policy_chunk_id", "similarity_score"))
-query("v13_score_range")(lambda t: V.score_range(matches(t)))
+query("v8_similarity_quartiles", _m("select reason_code, round(quantile_cont(similarity_score, 0.25), 4) as q1, round(quantile_cont(similarity_score, 0.5), 4) as median, round(quantile_cont(similarity_score, 0.75), 4) as q3 from m where reason_code in (select reason_code from m group by 1 order by count(*) desc, 1 limit 12) group by 1"))(lambda t: V.similarity_quartiles(matches(t)))
+query("v8_similarity_histogram", _m("select least(29, greatest(0, cast(floor(round(similarity_score * 30, 6)) as int))) as bin, count(*) as n from m group by 1"))(lambda t: V.similarity_histogram(matches(t)))
+query("v9_kpis", _m("select (select count(*) from embeddings) as chunks, (select count(distinct vec_id % 9) from embeddings) as sources, (select count(*) from m) as matches, (select count(distinct reason_code) from p) as reason_types, (select count(distinct claim_id) from p) as claims_explained"))(lambda t: V.kpis(chunk_rows(t), matches(t), long(t)))
+query("v10_unused_sources", _m(f"select source_name, mean_utilization from ({UTILISATION}), (select round(avg(utilization_rate), 4) as mean_utilization from ({UTILISATION})) where retrieval_count = 0"))(lambda t: V.unused_sources(chunk_rows(t), matches(t)))
+query("v11_claim_graph", _m("select claim_id, reason_code, source_name, count(*) as n from m group by all"))(lambda t: V.claim_graph(matches(t)))
+query("v12_evidence", _m("select claim_id, reason_code, source_name, place, policy_chunk_id, similarity_score from (select *, row_number() over (partition by claim_id, reason_code, source_name, place order by similarity_score desc, policy_chunk_id) as k from (select *, coalesce(section_title, policy_chunk_id::varchar) as place from m)) where k = 1"))(lambda t: V.evidence(matches(t)).select("claim_id", "reason_code", "source_name", "place", "policy_chunk_id", "similarity_score"))
+query("v13_score_range", _m("select reason_code, round(min(similarity_score), 4) as min_score, round(avg(similarity_score), 4) as mean_score, round(max(similarity_score), 4) as max_score from m group by 1"))(lambda t: V.score_range(matches(t)))
+query("d4_evidence", _m("select claim_id, reason_code, policy_chunk_id, similarity_score from m where similarity_score >= 0.2"))(lambda t: V.first_by(matches(t).where("similarity_score >= 0.2"), ["claim_id", "reason_code", "policy_chunk_id"], F.desc("similarity_score")).select("claim_id", "reason_code", "policy_chunk_id", "similarity_score"))
+query("r12_unmatched", _m("select claim_id, reason_code from p where not exists (select 1 from m where m.claim_id = p.claim_id and m.reason_code = p.reason_code)"))(lambda t: R.unmatched(long(t), matches(t)))
 
 
 # --- remediation ---
@@ -233,7 +241,6 @@ query("d2_decisions")(lambda t: D.decisions(checked(t), levels(t), recommended(t
 FALLBACK = " union all ".join(f"select claim_id, {i} as i, '{code}' as reason_code from features where {f}::boolean" for i, (f, code) in enumerate(D.FALLBACK))
 query("d3_fallback_reasons", f"""select claim_id, cast(reason_rank as int) as reason_rank, reason_code from (select claim_id, row_number() over (partition by claim_id order by i) as reason_rank, reason_code from ({FALLBACK}) semi join ({LEVEL} ) l using (claim_id) where claim_id in (select claim_id from ({LEVEL}) where risk_level <> 'LOW')) where reason_rank <= 3
  union all select claim_id, 1, 'MODEL_REVIEW_RISK' from ({LEVEL}) where risk_level <> 'LOW' and claim_id not in (select claim_id from ({FALLBACK}))""")(lambda t: D.fallback_reasons(t.features, levels(t)))
-query("d4_evidence")(lambda t: V.first_by(matches(t).where("similarity_score >= 0.2"), ["claim_id", "reason_code", "policy_chunk_id"], F.desc("similarity_score")).select("claim_id", "reason_code", "policy_chunk_id", "similarity_score"))
 query("d5_analysis")(lambda t: checked(t).select("claim_id", "is_valid").join(D.decisions(checked(t), levels(t), recommended(t)), "claim_id"))
 query("d6_summaries")(lambda t: D.summaries(D.decisions(checked(t), levels(t), recommended(t)), recommended(t)))
 
