@@ -78,7 +78,7 @@ def synthetic_score(base: DataFrame, noise: float = 0.0, digits: int = 4) -> Dat
     raw = F.lit(0.0)
     for flag, weight in FLAG_WEIGHTS.items():
         raw = raw + F.lit(weight) * F.col(flag).cast("int")
-    raw = raw + F.lit(DEVIATION_WEIGHT) * F.bround(clip(F.coalesce("billed_deviation_pct", F.lit(0.0)), 0.0, 200.0) / 200, 4)
+    raw = raw + F.lit(DEVIATION_WEIGHT) * F.bround(F.round(clip(F.coalesce("billed_deviation_pct", F.lit(0.0)), 0.0, 200.0) * 100) / 2) / 10000
     if noise:
         unit = lambda seed: (F.pmod(F.xxhash64("claim_id", F.lit(seed)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
         raw = raw + F.lit(noise) * F.sqrt(-2 * F.log(unit(1))) * F.cos(2 * 3.141592653589793 * unit(2))
