@@ -2,7 +2,8 @@
 
 Documents with the same shingle set are one class (its smallest doc_id stands for it). Signatures of the classes are
 banded; in each bucket every class is held against a few pivots, never against all others. The links found are
-confirmed on the full sets and grouped by union-find.
+confirmed on the full sets and grouped by union-find. What that leaves in different groups is joined exactly, by prefix
+filter on the sets' first shingles in one order; its links are confirmed and grouped in the same way.
 """
 
 from __future__ import annotations
@@ -14,9 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, mix, n_partitions, prepare, read, shingle_hashes, words_of, written
+from .common import keyed, mix, n_partitions, prepare, read, released, shingle_hashes, words_of, written
 from .components import components
 
+U64 = np.uint64
+
 SHINGLE_WORDS = 5
 #: Signature length; bands of rows are cut from it at three widths (rows, bands).
 SIGNATURE = 128
@@ -26,8 +29,13 @@ SIMILARITY = (85, 100)
 PASS_SHINGLES = 1 << 15
 #: Members of a group that one copy of a pivot's set serves.
 PIVOT_SHARE = 512
-
-U64 = np.uint64
+#: Bits of a set's parity sketch, and members of a shingle's bucket that are one block of its self-join.
+PARITY_BITS, BLOCK = 1024, 256
+#: Bits of a shingle that the exact join meets on: shingles that agree in them only add pairs to be looked at.
+TOKEN = U64((1 << 40) - 1)
+#: Documents whose shingles are counted to put frequent ones last: at least so many, and one in so many. The order is the
+#: same for all sets, so it decides the cost of the exact join, never its result.
+COUNTED_DOCS, COUNTED_SHARE, FREQUENT, MOST_FREQUENT = 10_000, 100, 3, 1 << 18
 
 
 def superminhash(sets: list[np.ndarray], m: int = SIGNATURE) -> np.ndarray:
@@ -101,19 +109,59 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(words_of(text), SHINGLE_WORDS))
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_hash binary, bands array<long>) of every row."""
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles sorted, their ranks from 1 by rising count) of the most frequent shingles of some documents, at most MOST_FREQUENT."""
+    share = max(1, min(COUNTED_SHARE, docs.count() // COUNTED_DOCS))
+    some = keyed(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
+
+    def run(batches):
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], names=["shingle"])
+
+    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
+    found = counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
+    shingle = found.column("shingle").to_numpy().view(U64)
+    order = np.argsort(shingle)
+    return shingle[order], np.arange(len(shingle), 0, -1, dtype=np.int64)[order]
+
+
+def prefix_of(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], at_least: tuple[int, int]) -> np.ndarray:
+    """The first n - ceil(similarity * n) + 1 shingles of a sorted set, frequent ones last: similar sets share one of them."""
+    num, den = at_least
+    p = len(s) + (-num * len(s)) // den + 1 if len(s) else 0
+    known, rank = frequent
+    if not len(known):
+        return s[:p]
+    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+    return s[np.argsort(np.where(known[at] == s, rank[at], 0), kind="stable")[:p]]
+
+
+def parity_of(s: np.ndarray) -> np.ndarray:
+    """Bits that each shingle flips one of: two sets differ in at least as many shingles as their sketches in bits."""
+    flips = np.bincount((s >> U64(32)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS)
+    return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
+
+
+def sketches(docs: DataFrame, at_least: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(doc_id, n_shingles, set_hash binary, bands array<long>, prefix array<long>, parity array<long>) of every row."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+
+    def lists(rows: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, rows)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             n = np.array([len(s) for s in sets], np.int64)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            hashes = band_hashes(signatures(sets)).view(np.int64)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, hashes.size + 1, hashes.shape[1]), pa.int32()), pa.array(hashes.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), bands], names=["doc_id", "n_shingles", "set_hash", "bands"])
+            bands = lists(list(band_hashes(signatures(sets)).view(np.int64)))
+            prefix = lists([np.unique(prefix_of(s, frequent.value, at_least) & TOKEN).view(np.int64) for s in sets])
+            parity = lists([parity_of(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), bands, prefix, parity], names=["doc_id", "n_shingles", "set_hash", "bands", "prefix", "parity"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, prefix array<long>, parity array<long>")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, at_least: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -174,6 +222,27 @@ def pivot_pairs(bands: DataFrame) -> DataFrame:
     return bands.join(pivots.select("band", "pivots"), "band").select(F.col("doc_id").alias("member"), F.explode(F.array_distinct("pivots")).alias("pivot")).where("member <> pivot").distinct()
 
 
+def prefix_pairs(rest: DataFrame, at_least: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(member, pivot): all pairs of (doc_id, n_shingles, component, prefix, parity) rows in different components that can be
+    similar enough.
+
+    Shingles that only one component has among its prefixes are dropped. A bucket of the others meets itself in blocks of
+    BLOCK rows. A pair stays if its sizes and its sketches' differing bits allow the similarity: both are bounds.
+    """
+    num, den = at_least
+    n = n_partitions(rest.sparkSession)
+    # dealt as plain pairs: few tokens repeat, so counting them before the exchange would only widen its rows
+    tokens = rest.select("component", F.explode("prefix").alias("token")).repartition(n, "token").groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    tokens = written(tokens.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "tokens")
+    rows = rest.select("doc_id", "n_shingles", "component", "parity", F.explode("prefix").alias("token")).join(tokens, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    dealt = written(rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other"), "blocks")
+    x, y = dealt.where("block = i").alias("x"), dealt.where("block = j").alias("y")
+    differ = sum((F.bit_count(F.col("x.parity")[k].bitwiseXOR(F.col("y.parity")[k])) for k in range(PARITY_BITS // 64)), F.lit(0))
+    both = x.join(y, ["token", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x.doc_id") < F.col("y.doc_id"))).where("x.component <> y.component")
+    near = both.where(num * F.greatest("x.n_shingles", "y.n_shingles") <= den * F.least("x.n_shingles", "y.n_shingles")).where((den + num) * differ <= (den - num) * (F.col("x.n_shingles") + F.col("y.n_shingles")))
+    return near.select(F.greatest("x.doc_id", "y.doc_id").alias("member"), F.least("x.doc_id", "y.doc_id").alias("pivot")).distinct()
+
+
 def near_duplicates(docs: DataFrame, at_least: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, a row for each row of documents.
 
@@ -182,14 +251,22 @@ def near_duplicates(docs: DataFrame, at_least: tuple[int, int] = SIMILARITY) ->
     An empty table gives no rows; other columns are not read.
     """
     prepare(docs.sparkSession)
-    table = written(sketches(docs), "sketches")
+    table = written(sketches(docs, at_least), "sketches")
     known = table.where("doc_id is not null and n_shingles > 0")
     classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("class"))
-    banded = known.join(classes, "set_hash").where("doc_id = class").select("doc_id", F.explode("bands").alias("band")).distinct()
+    banded = known.join(classes, "set_hash").where("doc_id = class").select("doc_id", F.explode("bands").alias("band"))
     pairs = written(pivot_pairs(banded), "pairs")
+    released(docs.sparkSession)
     links = confirmed(pairs, docs, at_least)
     same = known.join(classes, "set_hash").select(F.col("doc_id").alias("member"), F.col("class").alias("pivot"))
-    groups = components(links.unionAll(same), "member", "pivot")
+    first = written(components(links.unionAll(same), "member", "pivot"), "first")
+    alone = known.join(classes, "set_hash").where("doc_id = class").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    rest = written(alone.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"), "prefix", "parity"), "rest")
+    released(docs.sparkSession)
+    found = written(prefix_pairs(rest, at_least), "further")
+    released(docs.sparkSession)
+    further = written(confirmed(found, docs, at_least), "links")
+    groups = first if further.isEmpty() else components(first.unionAll(further.select("member", "pivot")), "id", "component")
     return (
         table.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         .withColumn("component_id", F.coalesce("component", "doc_id"))

@@ -53,6 +53,36 @@ def test_near_duplicates_as_brute_force(spark, prose, odd_rows, odd, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_a_hub_joins_copies_that_are_not_alike(spark, prose):
+    hub, r = prose(7, 300).split(), random.Random(7)
+    rows = []
+    for i in range(120):
+        w = list(hub)
+        for at in [] if i == 60 else r.sample(range(0, 300, 10), 4):
+            w[at + r.randrange(4, 9) if at < 290 else at] = f"edit{r.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, prose(900 + i, 100)) for i in range(10)]
+    want = brute_components(rows)
+    assert sum(c == 0 for c in want.values()) > 100
+    assert len(set(brute_components([r for r in rows if r[0] != 60]).values())) > 50
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), min_size=1, max_size=80), st.data())
+def test_prefixes_of_similar_sets_meet_and_parity_is_a_bound(a, data):
+    b = (a - set(data.draw(st.lists(st.sampled_from(sorted(a)), max_size=12)))) | data.draw(st.sets(st.integers(0, 2**64 - 1), max_size=6))
+    hot = np.array(sorted(data.draw(st.sets(st.sampled_from(sorted(a)), max_size=40))), np.uint64)
+    frequent = hot, np.array(data.draw(st.permutations(range(1, len(hot) + 1))), np.int64)
+    x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+    if 100 * len(a & b) >= 85 * len(a | b):
+        p, q = (set(near_dedup.prefix_of(s, frequent, (85, 100)).tolist()) for s in (x, y))
+        assert p & q
+    bits = np.unpackbits((near_dedup.parity_of(x) ^ near_dedup.parity_of(y)).view(np.uint8)).sum()
+    assert bits <= len(a ^ b)
+
+
 def test_signatures_estimate_similarity_with_lower_variance():
     r, errors = np.random.default_rng(3), []
     for _ in range(60):
