@@ -55,7 +55,7 @@ def scored_by(t: Claims, kind: str, rounds: int = 10) -> DataFrame:
 
 
 query("m3_logistic")(lambda t: scored_by(t, "logistic"))
-query("m4_boosted_trees")(lambda t: scored_by(t, "trees", rounds=5))
+query("m4_boosted_trees")(lambda t: scored_by(t, "trees", rounds=200))
 
 # --- intake ---
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from claimforge.functions.text import clip, ellipsis, html_to_text, tag_list, title
 from claimforge.operators import analytics, gold, intake, ml, quality, reasons, retrieval, silver
+from claimforge.plans import registry
 
 
 def test_title_after_every_non_letter(spark):
@@ -89,3 +90,10 @@ def test_windows_cover_the_tail(spark):
     docs = spark.createDataFrame([("d", "s", "intro words here\n# Title\n" + " ".join(f"w{i}" for i in range(1000)))], "document_id string, source_name string, text string")
     rows = retrieval.windows(retrieval.sections(docs)).orderBy("section_index", "window_index").collect()
     assert [(r.section_title, r.n_words) for r in rows] == [(None, 3), ("Title", 420), ("Title", 420), ("Title", 300)]
+
+
+def test_boosted_trees_are_registered_with_all_rounds(spark, small, monkeypatch):
+    asked, fit = [], ml.fit
+    monkeypatch.setattr(ml, "fit", lambda data, kind, rounds=200: asked.append(rounds) or fit(data, kind, 1))
+    registry.QUERIES["m4_boosted_trees"](spark, small)
+    assert asked == [200]
