@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -326,10 +328,20 @@ def io5(t: Claims) -> DataFrame:
 
 @query("io7_corpus", "select distinct source as document from documents")
 def io7(t: Claims) -> DataFrame:
-    """Documents written as text files by source, read back as whole files."""
-    path = folder(t, "io7")
-    t.table("documents").select(F.concat(F.col("source"), F.lit(".txt")).alias("name"), "source").distinct().select("source").repartition(4, "source").write.mode("overwrite").text(path)
-    return io.read_corpus(t.spark, path).select(F.explode(F.split("text", "\n")).alias("document")).where("document <> ''")
+    """Every document written as a text file and read back as a whole: the sources whose documents all came back unchanged.
+
+    Files are named by doc_id and the row's digest, so rows of one doc_id don't overwrite each other; equal rows share a file.
+    A null text is an empty one, and an empty file may have no row when read.
+    """
+    path = f"{folder(t, 'io7')}/{uuid.uuid4().hex}"
+    text = F.coalesce("text", F.lit(""))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("-"), F.substring(F.sha2(F.concat_ws("|", "source", text), 256), 1, 32), F.lit(".txt"))
+    rows = t.table("documents").select("source", text.alias("text"), F.coalesce(name, F.concat(F.lit("null-"), F.sha2(F.concat_ws("|", "source", text), 256), F.lit(".txt"))).alias("name"))
+    io.write_corpus(rows, path)
+    found = io.read_corpus(t.spark, path).select(F.col("source_name").alias("name"), F.sha2("text", 256).alias("found"))
+    wanted = rows.select("source", "name", F.sha2("text", 256).alias("wanted"))
+    whole = F.coalesce("found", F.sha2(F.lit(""), 256)) == F.col("wanted")
+    return wanted.join(found, "name", "left").groupBy(F.col("source").alias("document")).agg(F.bool_and(whole).alias("whole")).where("whole").select("document")
 
 
 query("io8_html_text", None)(lambda t: t.table("pages").select("page_id", html_to_text(F.col("html")).alias("text")))

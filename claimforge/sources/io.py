@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import uuid
 from collections.abc import Callable
+from urllib.parse import urlsplit
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,10 +63,32 @@ def run_jobs(spark: SparkSession, jobs: dict[str, Callable[[], tuple[DataFrame,
 
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """document_id, source_name, text: whole text and markdown files, found recursively; files that can't be read are skipped."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md,markdown}").option("ignoreCorruptFiles", True).text(folder)
+    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md,markdown}").option("ignoreCorruptFiles", True).text(folder, wholetext=True)
     name = F.col("_metadata.file_name")
     return df.select(F.substring(F.sha2(name, 256), 1, 16).alias("document_id"), name.alias("source_name"), F.col("value").alias("text"))
 
 
+def write_corpus(rows: DataFrame, folder: str) -> None:
+    """Each row's text as a file of its own, <folder>/<two letters>/<name>; the folder is one that all executors share, a path
+    or a file: address."""
+    if (at := urlsplit(folder)).scheme not in ("", "file"):
+        raise ValueError(f"not a folder of files: {folder}")
+    folder = at.path
+
+    def run(batches):
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                place = os.path.join(folder, hashlib.sha256(name.encode()).hexdigest()[:2])
+                os.makedirs(place, exist_ok=True)
+                part = f"{place}/.{name}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(text.encode("utf-8", "surrogatepass"))
+                os.replace(part, f"{place}/{name}")  # a task that is run again writes the same file
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    os.makedirs(folder, exist_ok=True)
+    rows.select("name", "text").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(EVENT).json(folder)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from claimforge.functions.text import clip, ellipsis, html_to_text, tag_list, title
 from claimforge.operators import analytics, gold, intake, ml, quality, reasons, retrieval, silver
 from claimforge.plans import registry
+from claimforge.sources import io
 
 
 def test_title_after_every_non_letter(spark):
@@ -97,3 +98,26 @@ def test_boosted_trees_are_registered_with_all_rounds(spark, small, monkeypatch)
     monkeypatch.setattr(ml, "fit", lambda data, kind, rounds=200: asked.append(rounds) or fit(data, kind, 1))
     registry.QUERIES["m4_boosted_trees"](spark, small)
     assert asked == [200]
+
+
+def test_corpus_scan_reads_every_document(spark, small, monkeypatch):
+    texts, read = [], io.read_corpus
+
+    def reading(session, path):
+        out = read(session, path)
+        texts.extend(r.text for r in out.select("text").collect())
+        return out
+
+    monkeypatch.setattr(io, "read_corpus", reading)
+    documents = spark.read.parquet(f"{small}/documents.parquet")
+    found = registry.QUERIES["io7_corpus"](spark, small).collect()
+    assert sorted(texts) == sorted(r.text for r in documents.select("text").collect() if r.text)
+    assert {r.document for r in found} == {r.source for r in documents.select("source").distinct().collect()}
+    monkeypatch.setattr(io, "read_corpus", lambda session, path: read(session, path).where("text < 'm'"))
+    assert len(registry.QUERIES["io7_corpus"](spark, small).collect()) < len(found)
+
+
+def test_corpus_is_written_to_a_file_address(spark, tmp_path):
+    rows = spark.createDataFrame([("a.txt", "one\n\ntwo\n"), ("b.txt", "é")], "name string, text string")
+    io.write_corpus(rows, f"file:{tmp_path}/corpus")
+    assert {r.source_name: r.text for r in io.read_corpus(spark, f"file:{tmp_path}/corpus").collect()} == {"a.txt": "one\n\ntwo\n", "b.txt": "é"}
