@@ -18,6 +18,9 @@ BATCH_ROWS = 256
 #: Entries a worker-side memo may hold before it starts anew (bounds Python memory).
 MEMO_ENTRIES = 400_000
 
+#: Parts that a large group is dealt into while it is counted.
+SALTS = 64
+
 _own_folder: list[str] = []
 
 
@@ -47,7 +50,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Delete the folders of written() frames that nothing reads any more."""
+    for df in frames:
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_to)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def released(spark: SparkSession) -> None:
@@ -60,6 +72,26 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt_copies(pairs: DataFrame, share: int, *carried: str) -> DataFrame:
+    """(doc_id, part, roles array<struct<pivot, copy, is_member>>) from (doc_id, pivot) pairs: where a text has to go so that every
+    member meets its pivot under one (pivot, copy).
+
+    A pivot has a copy for every `share` of its members, or for the square root of their number if that is more, so neither the copies
+    nor what meets one of them outgrows a task. Members are counted by (pivot, salt), so no task holds a whole group.
+    Carried columns go into the members' roles (null in the pivots').
+    """
+    salted = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    counts = salted.groupBy("pivot", "salt").agg(F.count("*").alias("n"))
+    copies = F.ceil(F.col("n") / F.greatest(F.lit(share), F.sqrt("n"))).alias("copies")
+    totals = counts.groupBy("pivot").agg(F.sum("n").alias("n")).select("pivot", copies)
+    per_salt = counts.join(totals.hint("merge"), "pivot").select("pivot", "salt", "copies")
+    of = lambda copy, is_member, extra: F.struct("pivot", copy.alias("copy"), F.lit(is_member).alias("is_member"), *extra).alias("role")
+    types = dict(pairs.dtypes)
+    member = salted.join(per_salt.hint("merge"), ["pivot", "salt"]).select("doc_id", F.lit(0).cast("long").alias("part"), of(F.pmod(F.xxhash64("doc_id", F.lit(7)), "copies"), True, carried))
+    pivot = totals.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("c")).select(F.col("pivot").alias("doc_id"), F.expr(f"c div {SALTS}").alias("part"), of(F.col("c"), False, [F.lit(None).cast(types[c]).alias(c) for c in carried]))
+    return member.unionAll(pivot).groupBy("doc_id", "part").agg(F.collect_list("role").alias("roles"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Only (doc_id, text) of a documents table, null texts as empty; other columns never clash."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

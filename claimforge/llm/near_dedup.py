@@ -1,9 +1,10 @@
 """MinHash near-duplicate detection: SuperMinHash signatures, banding, verification on full sets, union-find.
 
 Documents with the same shingle set are one class (its smallest doc_id stands for it). Signatures of the classes are
-banded; in each bucket every class is held against a few pivots, never against all others. The links found are
-confirmed on the full sets and grouped by union-find. What that leaves in different groups is joined exactly, by prefix
-filter on the sets' first shingles in one order; its links are confirmed and grouped in the same way.
+banded. First every class is held against the smallest id of each of its buckets; the links found are confirmed on the full
+sets and grouped by union-find. Then members of one bucket that still lie in different components are held against each
+other, all of them, in tiles, behind two exact bounds (set sizes, parity sketches), and what is found is confirmed and grouped too.
+So a link is lost only if its sets share none of the bands: at the threshold a chance of (1 - 0.85^4)^32, under 1e-10.
 """
 
 from __future__ import annotations
@@ -12,30 +13,26 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keyed, mix, n_partitions, prepare, read, released, shingle_hashes, words_of, written
+from .common import dealt_copies, discarded, keyed, mix, n_partitions, prepare, read, released, shingle_hashes, words_of, written
 from .components import components
 
 U64 = np.uint64
 
 SHINGLE_WORDS = 5
-#: Signature length; bands of rows are cut from it at three widths (rows, bands).
+#: Signature length, and the rows and number of the bands cut from it.
 SIGNATURE = 128
-BANDS = ((4, 32), (8, 16), (16, 8))
+BANDS = (4, 32)
 SIMILARITY = (85, 100)
 #: Shingles of one signature pass: bounds the memory of its permutation table.
 PASS_SHINGLES = 1 << 15
-#: Members of a group that one copy of a pivot's set serves.
+#: Members of a group that one copy of a pivot's set serves, at least.
 PIVOT_SHARE = 512
-#: Bits of a set's parity sketch, and members of a shingle's bucket that are one block of its self-join.
-PARITY_BITS, BLOCK = 1024, 256
-#: Bits of a shingle that the exact join meets on: shingles that agree in them only add pairs to be looked at.
-TOKEN = U64((1 << 40) - 1)
-#: Documents whose shingles are counted to put frequent ones last: at least so many, and one in so many. The order is the
-#: same for all sets, so it decides the cost of the exact join, never its result.
-COUNTED_DOCS, COUNTED_SHARE, FREQUENT, MOST_FREQUENT = 10_000, 100, 3, 1 << 18
+#: Bits of a set's parity sketch, and rows of a bucket on each side of a tile.
+PARITY_BITS, TILE = 1024, 2048
 
 
 def superminhash(sets: list[np.ndarray], m: int = SIGNATURE) -> np.ndarray:
@@ -92,16 +89,14 @@ def signatures(sets: list[np.ndarray], m: int = SIGNATURE) -> np.ndarray:
     return out
 
 
-def band_hashes(signature: np.ndarray, bands=BANDS) -> np.ndarray:
+def band_hashes(signature: np.ndarray, bands: tuple[int, int] = BANDS) -> np.ndarray:
     """One 64-bit hash for each band of each signature."""
-    out = []
-    for rows, n in bands:
-        at = signature[:, : rows * n].reshape(len(signature), n, rows)
-        h = np.tile(mix(np.arange(n, dtype=U64) + U64(rows << 32)), (len(signature), 1))
-        for r in range(rows):
-            h = mix(h * U64(0x9E3779B97F4A7C15) + at[:, :, r])
-        out.append(h)
-    return np.concatenate(out, axis=1)
+    rows, n = bands
+    at = signature[:, : rows * n].reshape(len(signature), n, rows)
+    h = np.tile(mix(np.arange(n, dtype=U64) + U64(rows << 32)), (len(signature), 1))
+    for r in range(rows):
+        h = mix(h * U64(0x9E3779B97F4A7C15) + at[:, :, r])
+    return h
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -109,167 +104,165 @@ def shingle_set(text: str) -> np.ndarray:
     return np.unique(shingle_hashes(words_of(text), SHINGLE_WORDS))
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles sorted, their ranks from 1 by rising count) of the most frequent shingles of some documents, at most MOST_FREQUENT."""
-    share = max(1, min(COUNTED_SHARE, docs.count() // COUNTED_DOCS))
-    some = keyed(docs).where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0).select("text")
-
-    def run(batches):
-        for batch in batches:
-            for t in batch.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view(np.int64))], names=["shingle"])
-
-    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") >= FREQUENT)
-    found = counts.orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
-    shingle = found.column("shingle").to_numpy().view(U64)
-    order = np.argsort(shingle)
-    return shingle[order], np.arange(len(shingle), 0, -1, dtype=np.int64)[order]
-
-
-def prefix_of(s: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], at_least: tuple[int, int]) -> np.ndarray:
-    """The first n - ceil(similarity * n) + 1 shingles of a sorted set, frequent ones last: similar sets share one of them."""
-    num, den = at_least
-    p = len(s) + (-num * len(s)) // den + 1 if len(s) else 0
-    known, rank = frequent
-    if not len(known):
-        return s[:p]
-    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-    return s[np.argsort(np.where(known[at] == s, rank[at], 0), kind="stable")[:p]]
-
-
 def parity_of(s: np.ndarray) -> np.ndarray:
     """Bits that each shingle flips one of: two sets differ in at least as many shingles as their sketches in bits."""
     flips = np.bincount((s >> U64(32)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS)
     return np.packbits((flips & 1).astype(np.uint8)).view(np.int64)
 
 
-def sketches(docs: DataFrame, at_least: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(doc_id, n_shingles, set_hash binary, bands array<long>, prefix array<long>, parity array<long>) of every row."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+def sketches(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, set_hash binary, bands array<long>, parity array<long>) of every row."""
 
-    def lists(rows: list[np.ndarray]) -> pa.Array:
-        ends = np.cumsum([0, *map(len, rows)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *rows])))
+    def lists(rows: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.reshape(-1).view(np.int64)))
 
     def run(batches):
         for batch in batches:
             sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
             n = np.array([len(s) for s in sets], np.int64)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            bands = lists(list(band_hashes(signatures(sets)).view(np.int64)))
-            prefix = lists([np.unique(prefix_of(s, frequent.value, at_least) & TOKEN).view(np.int64) for s in sets])
-            parity = lists([parity_of(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), bands, prefix, parity], names=["doc_id", "n_shingles", "set_hash", "bands", "prefix", "parity"])
+            parity = np.array([parity_of(s) for s in sets], np.int64).reshape(-1, PARITY_BITS // 64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(digest, pa.binary()), lists(band_hashes(signatures(sets))), lists(parity)], names=["doc_id", "n_shingles", "set_hash", "bands", "parity"])
 
-    return keyed(docs).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, prefix array<long>, parity array<long>")
+    return keyed(docs).mapInArrow(run, "doc_id long, n_shingles long, set_hash binary, bands array<long>, parity array<long>")
+
+
+def similar(a: np.ndarray, b: np.ndarray, at_least: tuple[int, int] = SIMILARITY) -> bool:
+    """Whether two sorted sets have 100 * intersection >= 85 * union."""
+    num, den = at_least
+    if num * max(len(a), len(b)) > den * min(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return den * both >= num * (len(a) + len(b) - both)
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, at_least: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """The (member, pivot) pairs whose full sets are similar enough: 100 * intersection >= 85 * union.
+    """The (member, pivot) pairs whose full sets are similar enough.
 
-    A pivot's set meets its members' sets in one task as a stream: the pivot first, then one member at a time. A
-    pivot with many members is copied once for every PIVOT_SHARE of them, so a large group is spread over tasks.
+    A pivot's text meets its members' texts (compressed, made into sets where they meet) in one task as a stream: the pivot
+    first, then one member at a time. A pivot with many members is copied, so a large group is spread over tasks. An id with
+    several texts is similar to what one of them is similar to.
     """
-    num, den = at_least
     n = n_partitions(docs.sparkSession)
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / PIVOT_SHARE).cast("int").alias("copies"))
-    as_member = pairs.join(sizes, "pivot").select(F.col("member").alias("doc_id"), "pivot", F.pmod(F.xxhash64("member"), F.col("copies")).cast("int").alias("copy"), F.lit(True).alias("is_member"))
-    as_pivot = sizes.select(F.col("pivot").alias("doc_id"), "pivot", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(False).alias("is_member"))
-    roles = as_member.unionAll(as_pivot).groupBy("doc_id").agg(F.collect_list(F.struct("pivot", "copy", "is_member")).alias("roles"))
-    texts = keyed(docs).join(roles, "doc_id")
+    roles = dealt_copies(pairs.withColumnRenamed("member", "doc_id"), PIVOT_SHARE)
+    texts = keyed(docs).join(roles.hint("merge"), "doc_id")
 
-    def to_sets(batches):
+    def squeeze(batches):
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            sets = pa.array([shingle_set(t).tobytes() for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sets, batch.column("roles")], names=["doc_id", "shingles", "roles"])
+            packed = pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), packed, batch.column("roles")], names=["doc_id", "packed", "roles"])
 
     dealt = (
-        texts.mapInArrow(to_sets, "doc_id long, shingles binary, roles array<struct<pivot: long, copy: int, is_member: boolean>>")
-        .select("doc_id", "shingles", F.explode("roles").alias("r"))
-        .select("doc_id", "shingles", "r.pivot", "r.copy", "r.is_member")
+        texts.mapInArrow(squeeze, "doc_id long, packed binary, roles array<struct<pivot: long, copy: long, is_member: boolean>>")
+        .select("doc_id", "packed", F.explode("roles").alias("r"))
+        .select("doc_id", "packed", "r.pivot", "r.copy", "r.is_member")
         .repartition(n, "pivot", "copy")
         .sortWithinPartitions("pivot", "copy", "is_member")
     )
 
     def verify(batches):
-        held, pivot = None, None
+        grow = zstandard.ZstdDecompressor()
+        held: list[np.ndarray] = []
+        of = None
         for batch in batches:
             member, found = [], []
-            for doc, data, key, is_member in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "shingles", "pivot", "is_member")), strict=True):
-                s = np.frombuffer(data, U64)
+            for doc, packed, pivot, copy, is_member in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "pivot", "copy", "is_member")), strict=True):
+                s = shingle_set(grow.decompress(packed).decode("utf-8", "surrogatepass"))
+                if of != (pivot, copy):
+                    held, of = [], (pivot, copy)
                 if not is_member:
-                    held, pivot = s, key
-                    continue
-                if pivot != key or not num * max(len(s), len(held)) <= den * min(len(s), len(held)):
-                    continue
-                both = len(np.intersect1d(s, held, assume_unique=True))
-                if den * both >= num * (len(s) + len(held) - both):
+                    held.append(s)
+                elif any(similar(s, h, at_least) for h in held):
                     member.append(doc)
-                    found.append(key)
+                    found.append(pivot)
             yield pa.RecordBatch.from_arrays([pa.array(member, pa.int64()), pa.array(found, pa.int64())], names=["member", "pivot"])
 
     return dealt.mapInArrow(verify, "member long, pivot long")
 
 
-def pivot_pairs(bands: DataFrame) -> DataFrame:
-    """(member, pivot): in each bucket of (band, doc_id, n_shingles) rows, every class against the bucket's pivots.
+def crowded_rows(classes: DataFrame) -> DataFrame:
+    """(band, doc_id, pivot): the rows of buckets that hold more than one id, with the bucket's smallest.
+
+    Counts and minima are taken map-side; the join back may be split where a bucket is large.
+    """
+    rows = classes.select("doc_id", F.explode("bands").alias("band"))
+    pivots = rows.groupBy("band").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot <> last").select("band", "pivot")
+    return rows.join(pivots.hint("merge"), "band")
+
+
+def mixed_rows(crowded: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(band, doc_id, n_shingles, parity, component, is_main, tiles, other_tiles): the rows of buckets that hold more than one component.
 
-    The pivots of a bucket are its smallest id and, so that chains of links come together, the ids that are first in two
-    other fixed orders. Minima are taken map-side, so a bucket that holds a large part of all rows costs no more.
+    is_main tells the bucket's largest component; tiles and other_tiles count the tiles of all its rows and of those outside the largest.
     """
-    order = lambda salt: F.min_by("doc_id", F.xxhash64("doc_id", F.lit(salt)))
-    pivots = bands.groupBy("band").agg(F.count("*").alias("n"), F.array(F.min("doc_id"), order(1), order(2)).alias("pivots")).where("n > 1")
-    return bands.join(pivots.select("band", "pivots"), "band").select(F.col("doc_id").alias("member"), F.explode(F.array_distinct("pivots")).alias("pivot")).where("member <> pivot").distinct()
+    rows = crowded.select("band", "doc_id").join(groups.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    sizes = rows.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("total"), F.max(F.struct("n", "component")).alias("main")).where("total > main.n")
+    tiles = lambda c: F.ceil(c / TILE).cast("int")
+    mixed = rows.join(sizes.hint("merge"), "band").select("band", "doc_id", "component", (F.col("component") == F.col("main.component")).alias("is_main"), tiles(F.col("total")).alias("tiles"), tiles(F.col("total") - F.col("main.n")).alias("other_tiles"))
+    return mixed.join(classes.select("doc_id", "n_shingles", "parity").hint("merge"), "doc_id")
 
 
-def prefix_pairs(rest: DataFrame, at_least: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(member, pivot): all pairs of (doc_id, n_shingles, component, prefix, parity) rows in different components that can be
-    similar enough.
+def mixed_pairs(mixed: DataFrame, at_least: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(doc_id, other, distance): pairs of rows of one bucket in different components that can be similar enough.
 
-    Shingles that only one component has among its prefixes are dropped. A bucket of the others meets itself in blocks of
-    BLOCK rows. A pair stays if its sizes and its sketches' differing bits allow the similarity: both are bounds.
+    All rows meet those outside the bucket's largest component, tile by tile. A pair stays if its sizes and its
+    sketches' differing bits allow the similarity: both are bounds, so no similar pair is lost. distance is the share of differing bits.
     """
     num, den = at_least
-    n = n_partitions(rest.sparkSession)
-    # dealt as plain pairs: few tokens repeat, so counting them before the exchange would only widen its rows
-    tokens = rest.select("component", F.explode("prefix").alias("token")).repartition(n, "token").groupBy("token").agg(F.count("*").alias("n"), F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-    tokens = written(tokens.select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "tokens")
-    rows = rest.select("doc_id", "n_shingles", "component", "parity", F.explode("prefix").alias("token")).join(tokens, "token").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = written(rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other"), "blocks")
-    x, y = dealt.where("block = i").alias("x"), dealt.where("block = j").alias("y")
+    tile = lambda of, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), of).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
+    x = mixed.select("*", tile(F.col("tiles"), 1).alias("i"), every(F.col("other_tiles")).alias("j")).drop("tiles", "other_tiles").alias("x")
+    y = mixed.where("not is_main").select("*", every(F.col("tiles")).alias("i"), tile(F.col("other_tiles"), 2).alias("j")).drop("tiles", "other_tiles").alias("y")
     differ = sum((F.bit_count(F.col("x.parity")[k].bitwiseXOR(F.col("y.parity")[k])) for k in range(PARITY_BITS // 64)), F.lit(0))
-    both = x.join(y, ["token", "i", "j"]).where((F.col("i") < F.col("j")) | (F.col("x.doc_id") < F.col("y.doc_id"))).where("x.component <> y.component")
-    near = both.where(num * F.greatest("x.n_shingles", "y.n_shingles") <= den * F.least("x.n_shingles", "y.n_shingles")).where((den + num) * differ <= (den - num) * (F.col("x.n_shingles") + F.col("y.n_shingles")))
-    return near.select(F.greatest("x.doc_id", "y.doc_id").alias("member"), F.least("x.doc_id", "y.doc_id").alias("pivot")).distinct()
+    both = F.col("x.n_shingles") + F.col("y.n_shingles")
+    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.is_main") | (F.col("x.doc_id") < F.col("y.doc_id")))
+    sizes = num * F.greatest("x.n_shingles", "y.n_shingles") <= den * F.least("x.n_shingles", "y.n_shingles")
+    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    near = x.join(y.hint("merge"), same & apart & sizes & ((den + num) * differ <= (den - num) * both))
+    return near.select(F.col("y.doc_id").alias("doc_id"), F.col("x.doc_id").alias("other"), (differ / both).alias("distance"))
 
 
 def near_duplicates(docs: DataFrame, at_least: tuple[int, int] = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, a row for each row of documents.
 
     Texts without words (null and empty ones too) have an empty set and are linked with nothing. Rows with a null doc_id
-    are returned as they are, unlinked and kept. Repeated rows of one doc_id are all returned, with the same component.
-    An empty table gives no rows; other columns are not read.
+    are returned as they are, unlinked and kept. Repeated rows of one doc_id are all returned, with the same component; if
+    their texts differ, the id is linked with what either of them is linked with. An empty table gives no rows; other columns are not read.
     """
-    prepare(docs.sparkSession)
-    table = written(sketches(docs, at_least), "sketches")
+    spark = docs.sparkSession
+    prepare(spark)
+    table = written(sketches(docs), "sketches")
     known = table.where("doc_id is not null and n_shingles > 0")
-    classes = known.groupBy("set_hash").agg(F.min("doc_id").alias("class"))
-    banded = known.join(classes, "set_hash").where("doc_id = class").select("doc_id", F.explode("bands").alias("band"))
-    pairs = written(pivot_pairs(banded), "pairs")
-    released(docs.sparkSession)
-    links = confirmed(pairs, docs, at_least)
-    same = known.join(classes, "set_hash").select(F.col("doc_id").alias("member"), F.col("class").alias("pivot"))
-    first = written(components(links.unionAll(same), "member", "pivot"), "first")
-    alone = known.join(classes, "set_hash").where("doc_id = class").join(first.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    rest = written(alone.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"), "prefix", "parity"), "rest")
-    released(docs.sparkSession)
-    found = written(prefix_pairs(rest, at_least), "further")
-    released(docs.sparkSession)
-    further = written(confirmed(found, docs, at_least), "links")
-    groups = first if further.isEmpty() else components(first.unionAll(further.select("member", "pivot")), "id", "component")
+    smallest = known.groupBy("set_hash").agg(F.min("doc_id").alias("class"))
+    members = written(known.select("doc_id", "set_hash").join(smallest.hint("merge"), "set_hash").select("doc_id", "class").distinct(), "members")
+    classes = written(known.join(members.where("doc_id = class").select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"]).select("doc_id", "n_shingles", "bands", "parity"), "classes")
+    crowded = written(crowded_rows(classes), "crowded")
+    released(spark)
+    pairs = written(crowded.where("doc_id <> pivot").select(F.col("doc_id").alias("member"), "pivot").distinct(), "pairs")
+    # an id with several texts is in several classes
+    several = members.groupBy("doc_id").agg(F.collect_set("class").alias("of")).where("size(of) > 1").select(F.col("doc_id").alias("member"), F.explode("of").alias("pivot"))
+    links = written(confirmed(pairs, docs, at_least).unionAll(several), "links")
+    released(spark)
+    groups = components(links, "member", "pivot")
+    for nearest_only in (True, False):  # each row's nearest first, so that few pairs are left when all are taken
+        mixed = written(mixed_rows(crowded, classes, groups), "mixed")
+        near = mixed_pairs(mixed, at_least)
+        if nearest_only:
+            near = near.groupBy("doc_id").agg(F.min(F.struct("distance", "other")).alias("least")).select("doc_id", "least.other")
+        pairs = written(near.select(F.greatest("doc_id", "other").alias("member"), F.least("doc_id", "other").alias("pivot")).distinct(), "pairs")
+        discarded(mixed)
+        released(spark)
+        if pairs.isEmpty():
+            break
+        links = written(confirmed(pairs, docs, at_least).unionAll(groups.select(F.col("id").alias("member"), F.col("component").alias("pivot"))), "links")
+        groups = components(links, "member", "pivot")
+        released(spark)
+    discarded(classes, crowded)
+    placed = members.join(groups.withColumnRenamed("id", "class").hint("merge"), "class", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "class")).alias("component"))
     return (
-        table.join(groups.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-        .withColumn("component_id", F.coalesce("component", "doc_id"))
+        table.select("doc_id", "n_shingles").join(placed.hint("merge"), "doc_id", "left")
+        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")))
         .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
     )
 
