@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import dealt_copies, discarded, keyed, mix, n_partitions, prepare, read, released, shingle_hashes, words_of, written
+from .common import SALTS, dealt_copies, discarded, keyed, mix, n_partitions, prepare, read, released, shingles_of, written
 from .components import components
 
 U64 = np.uint64
@@ -99,11 +99,6 @@ def band_hashes(signature: np.ndarray, bands: tuple[int, int] = BANDS) -> np.nda
     return h
 
 
-def shingle_set(text: str) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles."""
-    return np.unique(shingle_hashes(words_of(text), SHINGLE_WORDS))
-
-
 def parity_of(s: np.ndarray) -> np.ndarray:
     """Bits that each shingle flips one of: two sets differ in at least as many shingles as their sketches in bits."""
     flips = np.bincount((s >> U64(32)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS)
@@ -118,7 +113,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t) for t in batch.column("text").to_pylist()]
+            sets = list(map(np.unique, shingles_of(batch.column("text").to_pylist(), SHINGLE_WORDS)))
             n = np.array([len(s) for s in sets], np.int64)
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             parity = np.array([parity_of(s) for s in sets], np.int64).reshape(-1, PARITY_BITS // 64)
@@ -167,8 +162,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, at_least: tuple[int, int] = SIM
         of = None
         for batch in batches:
             member, found = [], []
-            for doc, packed, pivot, copy, is_member in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "packed", "pivot", "copy", "is_member")), strict=True):
-                s = shingle_set(grow.decompress(packed).decode("utf-8", "surrogatepass"))
+            sets = map(np.unique, shingles_of([grow.decompress(p).decode("utf-8", "surrogatepass") for p in batch.column("packed").to_pylist()], SHINGLE_WORDS))
+            for s, doc, pivot, copy, is_member in zip(sets, *(batch.column(c).to_pylist() for c in ("doc_id", "pivot", "copy", "is_member")), strict=True):
                 if of != (pivot, copy):
                     held, of = [], (pivot, copy)
                 if not is_member:
@@ -181,6 +176,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, at_least: tuple[int, int] = SIM
     return dealt.mapInArrow(verify, "member long, pivot long")
 
 
+def class_members(known: DataFrame) -> DataFrame:
+    """(doc_id, class): the smallest id that has the same set; distinct rows. Minima go by (set, salt) first and come back so, so
+    that no task holds all copies of one text."""
+    salted = known.select("doc_id", "set_hash", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    parts = salted.groupBy("set_hash", "salt").agg(F.min("doc_id").alias("class"))
+    smallest = parts.groupBy("set_hash").agg(F.min("class").alias("class"))
+    per_salt = parts.select("set_hash", "salt").join(smallest.hint("merge"), "set_hash")
+    return salted.join(per_salt.hint("merge"), ["set_hash", "salt"]).select("doc_id", "class").distinct()
+
+
 def crowded_rows(classes: DataFrame) -> DataFrame:
     """(band, doc_id, pivot): the rows of buckets that hold more than one id, with the bucket's smallest.
 
@@ -234,8 +239,7 @@ def near_duplicates(docs: DataFrame, at_least: tuple[int, int] = SIMILARITY) ->
     prepare(spark)
     table = written(sketches(docs), "sketches")
     known = table.where("doc_id is not null and n_shingles > 0")
-    smallest = known.groupBy("set_hash").agg(F.min("doc_id").alias("class"))
-    members = written(known.select("doc_id", "set_hash").join(smallest.hint("merge"), "set_hash").select("doc_id", "class").distinct(), "members")
+    members = written(class_members(known), "members")
     classes = written(known.join(members.where("doc_id = class").select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"]).select("doc_id", "n_shingles", "bands", "parity"), "classes")
     crowded = written(crowded_rows(classes), "crowded")
     released(spark)
