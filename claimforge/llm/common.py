@@ -7,6 +7,8 @@ import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -29,9 +31,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
-    """Short Arrow batches, so that a batch of long texts fits into a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Short Arrow batches, so that a batch of long texts fits into a worker (longer ones where rows are known to be short)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -97,19 +99,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-class WordIds(dict):
-    """Memo from word bytes to a 64-bit hash."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO_ENTRIES:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_words = WordIds()
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser (splitmix64 constants)."""
     x = x ^ (x >> np.uint64(30))
@@ -124,8 +113,46 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
+
+
+def batch_shingles(texts: list[str], k: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): shingle_hashes() of several texts at once, end to end; text i has hashes[bounds[i] : bounds[i + 1]]."""
+    words = [words_of(t) for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    w = word_hashes(chain.from_iterable(words))
+    ends = np.cumsum(n)
+    begins = ends - n
+    count = np.where(n > 0, np.maximum(1, n - k + 1), 0)
+    bounds = np.r_[0, np.cumsum(count)]
+    at = np.arange(bounds[-1]) + np.repeat(begins - bounds[:-1], count)
+    span = np.repeat(np.minimum(k, n), count)
+    h = span.astype(np.uint64)
+    short = span < k
+    for i in range(k):
+        grown = mix(h * np.uint64(0x9E3779B97F4A7C15) + w[np.minimum(at + i, len(w) - 1)]) if len(w) else h
+        h = np.where(short & (i >= span), h, grown) if short.any() else grown
+    return h, bounds
+
+
+def passes(texts: list[str], chars: int = 1 << 20) -> Iterator[slice]:
+    """Runs of texts of about so many characters together (a longer text has its own): bounds what is held at once."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        if i > at and size + len(t) > chars:
+            yield slice(at, i)
+            at, size = i, 0
+        size += len(t)
+    if at < len(texts):
+        yield slice(at, len(texts))
+
+
+def shingles_of(texts: list[str], k: int = 5) -> Iterator[np.ndarray]:
+    """The shingles of each text in order."""
+    for some in passes(texts):
+        h, bounds = batch_shingles(texts[some], k)
+        yield from (h[a:b].copy() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
 
 
 def shingle_hashes(words: list[bytes], k: int = 5) -> np.ndarray:

@@ -8,11 +8,11 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from claimforge.llm import components, imatch, near_dedup, substring_dedup
-from claimforge.llm.near_dedup import shingle_set
+from claimforge.llm.common import batch_shingles, shingle_hashes, words_of
 
 
 def brute_components(rows):
-    sets = {i: set(shingle_set(t or "").tolist()) for i, t in rows if i is not None}
+    sets = {i: set(shingle_hashes(words_of(t or "")).tolist()) for i, t in rows if i is not None}
     parent = {i: i for i in sets}
 
     def find(i):
@@ -123,6 +123,7 @@ def test_components_of_a_long_path(spark):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 30), min_size=1, max_size=80), st.integers(1, 12))
 def test_compact_windows_are_the_cartesian_tree(values, width):
+    values = values + values[::-1]
     h = np.array(values, np.uint64) << np.uint64(20)
     bits, want = len(values).bit_length(), []
 
@@ -133,11 +134,22 @@ def test_compact_windows_are_the_cartesian_tree(values, width):
             descend(lo, c - 1)
             descend(c + 1, hi)
 
-    descend(0, len(h) - 1)
-    got = substring_dedup.compact_windows(h, width)
+    bounds = [0, len(h) // 2, len(h) // 2, len(h) - min(3, len(h) // 2), len(h)]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        descend(a, b - 1)
+    got = substring_dedup.compact_windows(h, np.array(bounds), width)
     assert sorted(zip(*(x.tolist() for x in got), strict=True)) == sorted(want)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab \t\u00a0", max_size=40), max_size=6))
+def test_shingles_of_a_batch_are_those_of_each_text(texts):
+    h, bounds = batch_shingles(texts)
+    assert len(bounds) == len(texts) + 1
+    for i, t in enumerate(texts):
+        assert h[bounds[i] : bounds[i + 1]].tolist() == shingle_hashes(words_of(t)).tolist()
+
+
 def test_shared_passages_are_found_and_cut(spark, prose, odd, empty):
     passage = prose(99, 70)
     rows = [(i, f"{prose(200 + i, 120)} {passage} {prose(300 + i, 90)}") for i in range(12)] + [(50 + i, prose(400 + i, 200)) for i in range(10)]
@@ -152,6 +164,75 @@ def test_shared_passages_are_found_and_cut(spark, prose, odd, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0 and substring_dedup.without_repeats(odd).count() == odd.count()
 
 
+def edited(text, r, every=0, edits=0):
+    """The text with each `every`-th word replaced, or some words replaced, put in or taken out."""
+    w = text.split()
+    if every:
+        w = [f"new{r.randrange(10**6)}" if i % every == every // 2 else x for i, x in enumerate(w)]
+    for _ in range(edits):
+        at = r.randrange(5, len(w) - 5)
+        w[at : at + 1] = [[], [f"new{r.randrange(10**6)}"], [w[at], f"new{r.randrange(10**6)}"]][r.randrange(3)]
+    return " ".join(w)
+
+
+def test_recall_where_earlier_documents_hold_edited_or_partial_copies(spark, prose):
+    """Every exact repeat of 50 words and more is found, and 0.95 of those with few edits, though an earlier document holds the
+    passage with every tenth word replaced, and a frequent line stands inside."""
+    r = random.Random(5)
+    line = prose(9999, 20)
+    rows, exact, near = [], {}, {}
+
+    def put(text):
+        n = len(rows)
+        rows.append((n, f"{prose(10_000 + n, 60)} {text} {prose(20_000 + n, 60)}"))
+        return n
+
+    for i in range(25):
+        put(line)
+    for i in range(150):
+        passage = prose(30_000 + i, (60, 50, 100, 200)[i % 4])
+        if i % 3 == 0:
+            w = passage.split()
+            passage = " ".join([*w[:15], *line.split(), *w[35:]])
+        for kind in ((0, 1), (1, 0))[i % 2] if i % 5 else (1, 0, 1):
+            put(edited(passage, r, every=10) if kind == 0 else passage)
+        if i % 4 == 1:
+            put(edited(passage, r, every=9))
+        if i % 2:
+            exact[put(passage)] = len(passage.split())
+        else:
+            exact[put(passage)] = len(passage.split())
+            near[put(edited(passage, r, edits=len(passage.split()) // 50))] = len(passage.split())
+    found = {}
+    for p in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found.setdefault(p.doc_id, []).append((p.first_word, p.end_word))
+
+    def covered(i, n):
+        """The share of the passage's words that is reported."""
+        return len({w for a, b in found.get(i, []) for w in range(a, b)} & set(range(60, 60 + n))) / n
+
+    assert all(covered(i, n) >= 0.9 for i, n in exact.items())
+    assert sum(covered(i, n) >= 0.6 for i, n in near.items()) >= 0.95 * len(near)
+    assert not set(found) & set(range(25))
+
+
+def test_each_text_of_an_id_loses_its_own_repeats_only(spark, prose):
+    passage, other = prose(41, 80), prose(42, 150)
+    rows = [(1, f"{prose(43, 60)} {passage}"), (2, f"{prose(44, 60)} {passage} {prose(45, 60)}"), (2, other), (3, None), (3, f"{passage} {prose(46, 60)}"), (3, f"{passage} {prose(46, 60)}")]
+    df = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id long, text string, tie string, n_chars long")
+    got = sorted((r.doc_id, r.text or "", r.tie, r.n_chars) for r in substring_dedup.without_repeats(df).collect())
+    want = [rows[0], (2, f"{prose(44, 60)} {prose(45, 60)}"), (2, other), (3, ""), (3, f" {prose(46, 60)}"), (3, f" {prose(46, 60)}")]
+    assert [(i, t) for i, t, *_ in got] == sorted(want) and all(n == len(t) or not t for _, t, _, n in got)
+
+
+def test_ties_across_tasks_change_nothing(spark, prose):
+    """A passage that very many documents hold is dealt over several tasks; all but its first holder are found."""
+    passage = prose(51, 70)
+    rows = [(i, f"{prose(60_000 + i, 30)} {passage}") for i in range(200)]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {p.doc_id for p in found} == set(range(1, 200)) and all(p.source_doc_id < p.doc_id for p in found)
+
+
 def test_fingerprints(spark, prose, odd, odd_rows, empty):
     rows = [(i, prose(i, 150)) for i in range(40)]
     found = {r.doc_id: r for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
