@@ -6,9 +6,11 @@ each place in it, the last token of the encoding up to there with the tokens fro
 transitions are built when first needed and then kept. A character that no token of more characters holds, and a word
 mark after something else, put the machine into a state that doesn't depend on the past.
 
-Long texts are cut into chunks. A chunk gives a map from entry state to (exit state, tokens); maps compose, and an
-inclusive prefix scan over a text's chunks gives its total. Chunks are the rows of the Spark job, so one very long text
-is spread over many tasks.
+Texts are cut into chunks. A chunk gives a map from entry state to (exit state, tokens): what stands before its first restart (the
+head) is run from the entry state, what follows doesn't depend on it. So a map is three values, (head, tail, tokens), where the tail is
+what stands after the last restart and leads from the start state to the exit state. The composition of two maps has the same form,
+and it is associative: a prefix scan over (text, chunk) composes runs of chunks first, each in a task, and then the runs' maps.
+A text of one chunk is its own map; the chunks of longer texts are rows of the job, so that a very long one is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -22,12 +24,12 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, keyed, prepare, read
+from .common import MEMO_ENTRIES, keyed, n_partitions, prepare, read
 
 TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
-#: Characters of a chunk.
-CHUNK_CHARS = 1 << 15
+#: Characters of a chunk, and chunks of a run.
+CHUNK_CHARS, RUN = 1 << 15, 64
 MARK = "▁"
 #: The state before anything has been read, or after something that no token spans.
 START = 0
@@ -65,6 +67,8 @@ class Transducer:
 
     def stay_apart(self, a: str, b: str) -> bool:
         if (a, b) not in self.apart:
+            if len(self.apart) > MEMO_ENTRIES:
+                self.apart.clear()
             self.apart[a, b] = self.merged(a + b) == [a, b]
         return self.apart[a, b]
 
@@ -129,58 +133,115 @@ def transducer(path: str) -> Transducer:
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*\n*|[^{MARK}\n]+\n*|\n+")
 
 
-class StateMap:
-    """What a chunk does: entry state -> (exit state, tokens gained).
+#: What a chunk does: (head, tail, tokens of what follows the head); tail is None where there is no restart.
+StateMap = tuple[str, str | None, int]
+NOTHING: StateMap = ("", None, 0)
 
-    Its first word depends on the entry state and is run for each entry state asked for (then kept); what follows the
-    first restart doesn't depend on it.
-    """
-
-    def __init__(self, machine: Transducer, chunk: str):
-        words = _WORD.findall(chunk)
-        ran = [machine.word(w) for w in words[1:]]
-        self.machine, self.head, self.known = machine, words[0], {}
-        self.exit, self.gained = (ran[-1][0] if ran else None), sum(g for _, g in ran)
 
-    def __call__(self, entry: int) -> tuple[int, int]:
-        if entry not in self.known:
-            state, gained = self.machine.run(entry, self.head)
-            self.known[entry] = (state if self.exit is None else self.exit, gained + self.gained)
-        return self.known[entry]
+def state_map(machine: Transducer, chunk: str) -> StateMap:
+    """The map of a marked chunk."""
+    words = _WORD.findall(chunk)
+    if len(words) == 1:
+        return words[0], None, 0
+    return words[0], words[-1], sum(machine.word(w)[1] for w in words[1:])
 
 
-def after(first, second):
-    """The composition of two state maps, itself a state map: composition is associative."""
+def after(machine: Transducer, first: StateMap, second: StateMap) -> StateMap:
+    """The composition of two state maps, itself a state map."""
+    if first[1] is None:
+        return first[0] + second[0], second[1], second[2]
+    state, _ = machine.word(first[1])
+    gained = machine.run(state, second[0])[1]
+    return first[0], first[1] + second[0] if second[1] is None else second[1], first[2] + gained + second[2]
 
-    def both(entry: int) -> tuple[int, int]:
-        middle, a = first(entry)
-        out, b = second(middle)
-        return out, a + b
 
-    return both
+def total(machine: Transducer, whole: StateMap) -> int:
+    """Tokens of a whole text: its map at the start state."""
+    return machine.run(START, whole[0])[1] + whole[2]
 
 
-def composed(maps: list):
-    """All maps in a row as one, composed pairwise in a balanced tree (the up-sweep of a prefix scan)."""
-    while len(maps) > 1:
-        maps = [after(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    return maps[0]
+def marked_chunks(text: str, chunk_chars: int = CHUNK_CHARS) -> list[str]:
+    """The text as the model reads it, cut."""
+    marked = MARK + text.replace(" ", MARK) if text else ""
+    return [marked[i : i + chunk_chars] for i in range(0, len(marked), chunk_chars)]
 
 
 def count(machine: Transducer, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
     """Tokens of a whole text."""
-    if not text:
-        return 0
     machine.bound()
-    marked = MARK + text.replace(" ", MARK)
-    return composed([StateMap(machine, marked[i : i + chunk_chars]) for i in range(0, len(marked), chunk_chars)])(START)[1]
+    whole = NOTHING
+    for chunk in marked_chunks(text, chunk_chars):
+        whole = after(machine, whole, state_map(machine, chunk))
+    return total(machine, whole)
+
+
+MAP = "digest string, run long, at long, head string, tail string, tokens long"
+
+
+def composed(maps: DataFrame, path: str) -> DataFrame:
+    """One map for each (digest, run), of its maps in order of `at`; maps that stand twice (of repeated texts) count once."""
+    n = n_partitions(maps.sparkSession)
+
+    def fold(batches):
+        machine = transducer(path)
+        key, last, whole = None, None, NOTHING
+
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["digest", "run", "at", "head", "tail", "tokens"])
+
+        for batch in batches:
+            rows = []
+            for digest, run, at, *one in zip(*(batch.column(c).to_pylist() for c in ("digest", "run", "at", "head", "tail", "tokens")), strict=True):
+                if (digest, run) != key:
+                    if key:
+                        rows.append((key[0], 0, key[1], *whole))
+                    machine.bound()
+                    key, last, whole = (digest, run), None, NOTHING
+                if at != last:
+                    last, whole = at, after(machine, whole, tuple(one))
+            yield out(rows)
+        if key:
+            yield out([(key[0], 0, key[1], *whole)])
+
+    return maps.repartition(n, "digest", "run").sortWithinPartitions("digest", "run", "at").mapInArrow(fold, MAP)
+
+
+def long_counts(texts: DataFrame, path: str) -> DataFrame:
+    """(digest, n_tokens) of (digest, text): chunks as rows."""
+    n = n_partitions(texts.sparkSession)
+
+    def cut(batches):
+        for batch in batches:
+            for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                chunks = marked_chunks(text)
+                for i in range(0, len(chunks), RUN):
+                    some = chunks[i : i + RUN]
+                    yield pa.RecordBatch.from_arrays([pa.array([digest] * len(some)), pa.array(range(i, i + len(some)), pa.int64()), pa.array(some)], names=["digest", "at", "chunk"])
+
+    def to_maps(batches):
+        machine = transducer(path)
+        for batch in batches:
+            machine.bound()
+            rows = [(d, at // RUN, at, *state_map(machine, c)) for d, at, c in zip(*(batch.column(x).to_pylist() for x in ("digest", "at", "chunk")), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["digest", "run", "at", "head", "tail", "tokens"])
+
+    def totals(batches):
+        machine = transducer(path)
+        for batch in batches:
+            maps = zip(*(batch.column(c).to_pylist() for c in ("head", "tail", "tokens")), strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([total(machine, m) for m in maps], pa.int64())], names=["digest", "n_tokens"])
+
+    chunks = texts.mapInArrow(cut, "digest string, at long, chunk string").repartition(n, "digest", "at")
+    runs = composed(chunks.mapInArrow(to_maps, MAP), path)
+    return composed(runs, path).mapInArrow(totals, "digest string, n_tokens long")
 
 
 def counts(docs: DataFrame, limit: int = TOKEN_LIMIT, tokenizer: str | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, a row for each row of documents.
 
     Null and empty texts have no bytes and no tokens; repeated rows are each counted; a null doc_id stays null; an empty
-    table gives no rows; other columns are not read. Texts are counted whole, whatever their length.
+    table gives no rows; other columns are not read. Texts are counted whole, whatever their length; those of more than one
+    chunk are known by their digest while their chunks are apart.
     """
     prepare(docs.sparkSession)
     path = tokenizer or public_tokenizers.path(TOKENIZER)
@@ -192,7 +253,11 @@ def counts(docs: DataFrame, limit: int = TOKEN_LIMIT, tokenizer: str | None = No
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n], names=["doc_id", "n_bytes", "n_tokens"])
 
     texts = keyed(docs).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "text")
-    return texts.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    is_long = F.length("text") >= CHUNK_CHARS
+    short = texts.where(~is_long).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    rows = texts.where(is_long).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    long = rows.select("doc_id", "n_bytes", "digest").join(long_counts(rows.select("digest", "text"), path).hint("merge"), "digest").select("doc_id", "n_bytes", "n_tokens")
+    return short.unionAll(long).withColumn("over_limit", F.col("n_tokens") > limit)
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

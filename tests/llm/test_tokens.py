@@ -33,6 +33,28 @@ def test_counts_are_the_librarys_at_any_chunk(text, chunk):
     assert token_count.count(token_count.transducer(P.path(token_count.TOKENIZER)), text, chunk) == len(PIECES.encode(text))
 
 
+@settings(max_examples=100, deadline=None)
+@given(TEXT, st.lists(st.integers(1, 30), min_size=2, max_size=8), st.randoms())
+def test_maps_compose_in_any_order(text, sizes, r):
+    machine, maps, marked = token_count.transducer(P.path(token_count.TOKENIZER)), [], token_count.MARK + text.replace(" ", token_count.MARK)
+    while marked:
+        n = sizes[len(maps) % len(sizes)]
+        maps.append(token_count.state_map(machine, marked[:n]))
+        marked = marked[n:]
+    while len(maps) > 1:
+        i = r.randrange(len(maps) - 1)
+        maps[i : i + 2] = [token_count.after(machine, *maps[i : i + 2])]
+    assert not text or token_count.total(machine, maps[0]) == len(PIECES.encode(text))
+
+
+def test_very_long_texts_are_spread_over_tasks(spark, prose):
+    texts = {1: prose(1, 400_000), 2: "x" * 100_000 + " " * 70_000 + "y", 3: "z" * (token_count.CHUNK_CHARS - 1), 4: "z " * token_count.CHUNK_CHARS, None: prose(2, 20_000)}
+    rows = [*texts.items(), (1, texts[1]), (5, texts[2]), (6, "short")]
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in token_count.counts(df).collect())
+    assert got == sorted((i or -1, len(t), len(PIECES.encode(t))) for i, t in rows)
+
+
 def test_bpe_query_over_odd_rows(odd, odd_rows, empty):
     rows = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(odd).collect())
     want = []
