@@ -109,3 +109,12 @@ def test_vector_search_is_exact(spark, k):
 def test_search_with_too_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in vector_search.nearest(df, lambda i: i % 50 == 0).collect()] == [(0, 1, 3, 0.0)]
+
+
+def test_search_at_the_ends_of_the_number_range_and_with_repeated_ids(spark):
+    """Components near the largest and smallest doubles take part; of two vectors under one id one counts, always the same; other columns are not read."""
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 0.0]), (2, [3e-310, 3e-310]), (3, [-1e300, 1e300]), (4, []), (5, [0.0, 1.0]), (5, [1.0, 0.0])]
+    df = spark.createDataFrame([(i, v, 1, "x", 2.0) for i, v in rows], "vec_id long, embedding array<double>, rank int, query string, score double")
+    got = [[(r.query_id, r.vec_id, round(r.score, 12)) for r in sorted(vector_search.nearest(df.repartition(m), lambda i: i % 50 == 0).collect(), key=lambda r: r["rank"])] for m in (1, 3)]
+    half = round(0.5**0.5, 12)
+    assert got[0] == got[1] == [(0, 2, 1.0), (0, 1, half), (0, 5, half), (0, 3, 0.0)]
