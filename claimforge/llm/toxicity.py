@@ -113,7 +113,8 @@ class Model:
         return [(a, b, s, self.size * n * np.exp(-self.rate * s)) for a, b, s in maximal_segments(self.sequence(words))]
 
     def features(self, text: str) -> list[float]:
-        """Evidence of a text: of its best segment, of all significant ones, whether there is one."""
+        """Evidence of a text: of its best segment, of all significant ones, whether there is one. Evidence saturates (at 20 and 50 nats):
+        beyond that, more of it makes no text likelier toxic."""
         found = self.segments(text)
         if not found:
             return [0.0] * FEATURES
@@ -127,25 +128,44 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def extreme_values(model: Model, texts: list[str]) -> None:
+def chance_counts(model: Model, texts: DataFrame) -> tuple[dict[float, int], list[tuple[int, float]]]:
+    """What the chance law is fitted to, counted where the texts are: how often each word score occurs (whole hundredths, so a bounded
+    number of rows), and each text's length and best segment (two numbers a text)."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        for batch in batches:
+            seen: dict[int, int] = {}
+            best, length = [], []
+            for t in batch.column("text").to_pylist():
+                scores = shared.value.sequence(tokens(t))
+                for s in scores:
+                    at = round(s * 100)
+                    seen[at] = seen.get(at, 0) + 1
+                best.append(max([0.0, *(s for *_, s in maximal_segments(scores))]))
+                length.append(max(1, len(scores)))
+            scored = pa.array([[{"score": s, "n": n} for s, n in seen.items()]], pa.list_(pa.struct([("score", pa.int64()), ("n", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([scored, pa.array([length], pa.list_(pa.int64())), pa.array([best], pa.list_(pa.float64()))], names=["seen", "length", "best"])
+
+    counted = written(texts.select("text").mapInArrow(run, "seen array<struct<score: long, n: long>>, length array<long>, best array<double>"), "chance")
+    seen = {r.score / 100: r.n for r in counted.select(F.explode("seen").alias("s")).groupBy("s.score").agg(F.sum("s.n").alias("n")).collect()}
+    return seen, [(r.n, r.best) for r in counted.select(F.explode(F.arrays_zip(F.col("length").alias("n"), "best")).alias("t")).select("t.n", "t.best").collect()]
+
+
+def extreme_values(model: Model, seen: dict[float, int], texts: list[tuple[int, float]]) -> None:
     """The chance law of clean texts: rate is the positive root of mean(exp(rate * score)) = 1 over their words (with one
     more word of the highest score), size the likeliest factor for the best segments that these texts have."""
-    seen: dict[float, int] = {max([0.5, *model.scores.values()]): 1}
-    best, length = [], []
-    for t in texts:
-        scores = model.sequence(tokens(t))
-        for s in scores:
-            seen[s] = seen.get(s, 0) + 1
-        best.append(max([0.0, *(s for *_, s in maximal_segments(scores))]))
-        length.append(max(1, len(scores)))
+    top = max([0.5, *model.scores.values()])
+    seen = seen | {top: seen.get(top, 0) + 1}
     s, n = np.array(list(seen)), np.array(list(seen.values()), float)
     low, high = 0.0, 50.0
     for _ in range(60):
         rate = (low + high) / 2
-        low, high = (rate, high) if np.mean(np.exp(np.minimum(rate * s, 700)) * n) * len(n) / n.sum() < 1 else (low, rate)
+        low, high = (rate, high) if (np.exp(np.minimum(rate * s, 700)) * n).sum() / n.sum() < 1 else (low, rate)
     model.rate = max(rate, 1e-2)
     # the best segment stays below s with probability exp(-size * length * exp(-rate * s))
-    model.size = float(1 / np.mean(np.array(length) * np.exp(-model.rate * np.array(best)))) if best else 1.0
+    length, best = (np.array(x, float) for x in zip(*texts, strict=True)) if texts else (np.ones(1), np.zeros(1))
+    model.size = float(1 / np.mean(length * np.exp(-model.rate * best)))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -163,7 +183,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled rows that aren't held out.
 
-    Without labelled rows of both classes every score is 0.
+    Without labelled rows of both classes every score is 0. Of different texts under one id the first in order counts, of its labels the
+    largest. Only counts, token scores and three numbers a text (of a bounded number of texts) reach the driver.
     """
     prepare(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id")) != 0)
@@ -171,7 +192,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     n = known.count()
     if n > LEARN_ROWS:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * LEARN_ROWS / n))
-    texts = written(keyed(docs).dropDuplicates(["doc_id"]).join(known, "doc_id").select("doc_id", "text", "toxic"), "toxicity")
+    texts = written(keyed(docs).join(known, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic"), "toxicity")
 
     def count(batches):
         totals: dict[tuple[str, int], int] = {}
@@ -202,9 +223,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     # the chance law from a bounded sample of clean rows
     harmless = scoring.where("toxic = 0")
     share = min(1.0, CHANCE_ROWS / max(1, harmless.count()))
-    clean = [r.text for r in harmless.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000).select("text").collect()]
-    extreme_values(model, clean)
-    model.words.clear()
+    extreme_values(model, *chance_counts(model, harmless.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)))
     shared = texts.sparkSession.sparkContext.broadcast(model)
 
     def featured(batches):
