@@ -2,8 +2,8 @@
 
 A page becomes a sequence of leaf blocks: texts between boundaries of block elements, each with the tags and class words of
 its ancestors. Two labels, main text or not; emission features are read from ancestors and text, transitions join neighbours.
-The field is trained by penalised maximum likelihood on labelled pages: a few labelled by hand (kept here), and a
-bounded sample of the corpus whose own markup says what its parts are. Decoding is by Viterbi.
+The field is trained by penalised maximum likelihood on labelled pages: those whose blocks were labelled by hand (labelled_pages.py),
+and a bounded sample of corpus pages whose own markup leaves no doubt what their parts are. Decoding is by Viterbi.
 """
 
 from __future__ import annotations
@@ -19,27 +19,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, read
+from .labelled_pages import PAGES
 
-#: Pages of the corpus to learn from, about (a sample by hash of page_id; never over twice as many).
+#: Pages of the corpus to learn from, at most: the first in order of a hash of their id and html.
 LEARN_PAGES = 400
+#: How often each page labelled by hand is shown, each time with other features hidden.
+SHOWN = 6
 #: Feature weights: features are hashed to this many.
 FEATURES = 1 << 14
 STEPS, RATE, RIDGE = 150, 0.15, 1e-3
 #: Share of the ancestor features hidden at random in training, so that no single tag decides alone.
 HIDDEN = 0.25
-#: Blocks decoded at once are one page's; a block's text features look at this many words at most (its text is kept whole).
-LOOKED_AT = 60
+#: Letters of a class word that are a feature of their own (responses, response and respond share them), and the most words of a text that speaks
+#: by its words (a label, a button, a heading).
+BEGINNING, FEW_WORDS = 4, 6
 
 #: HTML elements by role.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 UNSEEN = set("script style noscript template svg math iframe object".split())
 CLOSES_P = set("address article aside blockquote details dialog div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dd dt tr td th".split())
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: What the markup itself says, for labels of corpus pages.
+#: Elements that say what they hold, for labels of corpus pages.
 MAIN_TAGS, OTHER_TAGS = {"article", "main"}, {"nav", "header", "footer", "aside", "form", "head", "button", "select", "menu", "dialog"}
-OTHER_WORDS = set("ad ads advert advertisement banner sponsor sponsored promo cookie cookies consent notice alert popup modal newsletter subscribe sidebar side widget menu nav navbar navigation breadcrumb breadcrumbs header masthead footer copyright legal comment comments reply replies discussion respond disqus share sharing social related recommended login search form toolbar pagination pager".split())
 CLASS_WORD = re.compile(r"[a-z]+")
+WORD = re.compile(r"\w+")
 
 
 class Blocks(HTMLParser):
@@ -117,28 +122,38 @@ def hashed(name: str) -> int:
 
 
 def features_of(blocks: list[tuple], hide: random.Random | None = None) -> list[list[int]]:
-    """Feature numbers of each block; with `hide` some ancestor features are left out."""
+    """Feature numbers of each block, from its ancestors, its whole text and the heading it stands under; with `hide` some ancestor features are left out."""
     out = []
     n = len(blocks)
+    heading: set[str] = set()
     for i, (text, tags, words, linked) in enumerate(blocks):
-        above = [*(f"in:{t}" for t in set(tags) - {"html", "body"}), *(f"word:{w}" for w in words), *(("word:other",) if words & OTHER_WORDS else ())]
+        own = tags[-1] if tags else ""
+        spoken = WORD.findall(text.lower())
+        few = set(spoken) if len(spoken) <= FEW_WORDS else set()
+        if own in HEADINGS:
+            heading = few
+        elif heading and i and own not in blocks[i - 1][1] and tags[:-1] != blocks[i - 1][1][: len(tags) - 1]:
+            heading = set()
+        above = [*(f"in:{t}" for t in set(tags) - {"html", "body"}), *(f"word:{w}" for w in words), *{f"begins:{w[:BEGINNING]}" for w in words}, f"path:{'>'.join(tags[-2:])}", f"named:{min(2, len(words))}"]
         if hide is not None:
             above = [a for a in above if hide.random() >= HIDDEN]
-        looked = text[: LOOKED_AT * 8].split()[:LOOKED_AT]
+        all_words = text.split()
         names = [
-            "bias", *above, f"parent:{tags[-1] if tags else ''}", f"size:{min(8, len(text).bit_length())}", f"words:{min(6, len(looked).bit_length())}", f"linked:{round(linked * 3)}",
-            f"stops:{min(3, sum(text[:400].count(c) for c in '.!?'))}", f"commas:{min(2, text[:400].count(','))}", f"rights:{'©' in text or 'rights reserved' in text.lower()}",
-            f"ends:{text[-1] in '.!?…'}", f"place:{i * 4 // n}", f"first:{i == 0}", f"last:{i == n - 1}", f"capitals:{sum(w[:1].isupper() for w in looked) * 3 // len(looked)}",
+            "bias", *above, f"parent:{own}", f"size:{min(8, len(text).bit_length())}", f"words:{min(6, len(all_words).bit_length())}", f"linked:{round(linked * 3)}",
+            *(f"says:{w}" for w in few), *{f"says begins:{w[:BEGINNING]}" for w in few}, *(f"under:{w}" for w in heading), *{f"under begins:{w[:BEGINNING]}" for w in heading},
+            f"stops:{min(3, sum(text.count(c) for c in '.!?'))}", f"commas:{min(2, text.count(','))}", f"rights:{'©' in text or 'rights reserved' in text.lower()}",
+            f"ends:{text[-1] in '.!?…'}", f"place:{i * 4 // n}", f"first:{i == 0}", f"last:{i == n - 1}", f"capitals:{sum(w[:1].isupper() for w in all_words) * 3 // len(all_words)}",
         ]
         out.append([hashed(x) for x in names])
     return out
 
 
 def labels_of(blocks: list[tuple]) -> list[int] | None:
-    """What the page's own markup says about its blocks; None for pages without a main element."""
-    if not any(MAIN_TAGS & set(tags) for _, tags, _, _ in blocks):
+    """What the page's own markup says about its blocks; None where it leaves doubt: no main element, or named elements inside it."""
+    inside = [bool(MAIN_TAGS & set(tags)) for _, tags, _, _ in blocks]
+    if not any(inside) or any(own and words for own, (_, _, words, _) in zip(inside, blocks, strict=True)):
         return None
-    return [int(bool(MAIN_TAGS & set(tags)) and not OTHER_TAGS & set(tags) and not words & OTHER_WORDS) for _, tags, words, _ in blocks]
+    return [int(own and not OTHER_TAGS & set(tags)) for own, (_, tags, _, _) in zip(inside, blocks, strict=True)]
 
 
 class Field:
@@ -216,42 +231,33 @@ class Field:
         return self
 
 
-_S = "The river rose during the night, and by morning the lower road was under water. People carried what they could."
-_T = "Nobody had expected it so early in the year. The council met at noon; it decided to open the old mill."
-#: Pages labelled by hand: (html, main texts).
-LABELLED = [
-    (f"<html><head><title>Flood</title></head><body><header><h2>Daily Post</h2><p>All the news since 1901.</p></header><nav><ul><li><a href=/>Home</a></li><li><a href=/s>Sport</a></li></ul></nav><main><h1>Flood in the valley</h1><p>{_S}</p><p>{_T}</p><ul><li>First, the bridge closed.</li><li>Then the trains stopped.</li></ul></main><aside><h3>Related</h3><p>Ten walks near town that you should try this summer, by our readers.</p></aside><footer>© 2020 Daily Post</footer></body></html>", 5),
-    (f"<html><body><div class='cookie-notice'><p>We use cookies. By staying on this page you accept our policy.</p><button>Accept</button></div><div class=menu><a href=1>News</a> <a href=2>Mail</a></div><div class='content'><h1>Notes</h1><p>{_T}</p><blockquote>{_S}</blockquote><p>Short end.</p></div><div id=comments><h3>Comments</h3><div class=comment><p>I think this is wrong, the mill was never closed.</p></div><div class=comment><p>Thanks for writing this. It was a good read.</p></div></div><div class=footer><p>Imprint and contact. All rights reserved.</p></div></body></html>", None),
-    (f"<body><article><header><p>By A. Writer, 3 min</p></header><h1>Old mill</h1><p>{_S}</p><div class='ad'>Buy two pairs of shoes, pay for one. Only today.</div><p>{_T}</p><form><label>Your mail</label><input><p>Sign up for our letters, every Monday.</p></form><p>{_S}</p><section class=comments><p>First! Great text, really.</p></section></article><footer><p>Terms. Privacy.</p></footer></body>", None),
-    (f"<body><div class=sidebar><h4>Archive</h4><ul><li><a href=1>May</a></li><li><a href=2>June</a></li></ul><p>About this site: we write about rivers, mills and roads.</p></div><div class='post entry'><h2>Roads</h2><p>{_T}</p><p>{_S}</p><pre>a = 1</pre><table><tr><td>May</td><td>12 days</td></tr></table></div><div class='related'><p>More texts that you may like to read next.</p></div><div class='share'>Share this page</div></body>", None),
-]
-
-
-def by_hand() -> list[tuple[list[tuple], list[int]]]:
-    """Blocks and labels of the pages labelled by hand: main is what stands in the content element, less what is named otherwise."""
+def by_hand(pages: list[str]) -> list[tuple[list[tuple], list[int]]]:
+    """Blocks and labels of pages whose blocks begin with the label that was given by hand: + for main text, - for other."""
     out = []
-    for html, _ in LABELLED:
+    for html in pages:
         blocks = blocks_of(html)
-        content = {"content", "post", "entry"}
-        labels = [int((bool(MAIN_TAGS & set(tags)) or bool(words & content)) and not OTHER_TAGS & set(tags) and not words & OTHER_WORDS) for _, tags, words, _ in blocks]
-        out.append((blocks, labels))
+        if any(b[0][0] not in "+-" for b in blocks):
+            raise ValueError("a block without a label: " + html)
+        out.append(([(b[0][1:].strip() or ".", *b[1:]) for b in blocks], [int(b[0][0] == "+") for b in blocks]))
     return out
 
 
+def trained(known: list[tuple[list[tuple], list[int]]], certain: list[tuple[list[tuple], list[int]]]) -> Field:
+    """A field trained on pages labelled by hand, each shown several times, and on pages labelled by their own markup."""
+    hide = random.Random(7)
+    return Field().fit([(features_of(b, hide), y) for b, y in [*known * SHOWN, *certain] if b])
+
+
 def learn(pages: DataFrame) -> Field:
-    """A field trained on the pages labelled by hand and about LEARN_PAGES of the corpus."""
-    usable = pages.where("html is not null")
-    share = min(1.0, LEARN_PAGES / max(1, usable.count()))
-    rows = usable.where(F.pmod(F.xxhash64("page_id"), F.lit(1_000_000)) < share * 1_000_000).select("page_id", "html").limit(2 * LEARN_PAGES).collect()
-    rows.sort(key=lambda r: (r.page_id is None, r.page_id, r.html))
-    known = by_hand() * 8
+    """A field trained on the pages labelled by hand and at most LEARN_PAGES of the corpus."""
+    order = F.xxhash64(F.col("page_id").cast("long"), F.col("html").cast("string"))
+    rows = pages.where("html is not null").select(F.col("html").cast("string").alias("html"), order.alias("at")).orderBy("at", "html").limit(LEARN_PAGES).collect()
+    certain = []
     for r in rows:
         blocks = blocks_of(r.html)
-        labels = labels_of(blocks)
-        if labels:
-            known.append((blocks, labels))
-    hide = random.Random(7)
-    return Field().fit([(features_of(b, hide), y) for b, y in known if b])
+        if labels := labels_of(blocks):
+            certain.append((blocks, labels))
+    return trained(by_hand(PAGES), certain)
 
 
 def main_text(html: str, field: Field) -> str:
