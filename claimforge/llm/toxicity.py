@@ -216,7 +216,10 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     if not a or not b:
         return Model({})
     differ = F.abs(F.col("toxic") / a - F.col("clean") / b) / F.sqrt((F.col("toxic") + F.col("clean") + 1) / (a + b))
-    top = counted.orderBy(F.desc(differ), "token").limit(MODEL_TOKENS).toPandas()
+    # a token whose log-odds lie well within the standard errors that will be taken off can't score: it stays with the rest
+    t, c = F.col("toxic") + EACH, F.col("clean") + EACH
+    telling = F.abs(F.log(t / (a - F.col("toxic") + EACH)) - F.log(c / (b - F.col("clean") + EACH))) > (SHRINK - 1) * F.sqrt(1 / t + 1 / c)
+    top = counted.where(telling).orderBy(F.desc(differ), "token").limit(MODEL_TOKENS).toPandas()
     rest = pd.DataFrame({"token": [""], "toxic": [a - top.toxic.sum()], "clean": [b - top.clean.sum()]})
     model = Model(token_scores(pd.concat([top, rest], ignore_index=True)))
     model.scores.pop("", None)
