@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: What a CSV field may hold in place of a null.
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
+#: A character reference: by number (decimal, hexadecimal) or by name.
+REFERENCE = r"&(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]{1,31};?)"
 MISSING, UNKNOWN = "MISSING", "Unknown"
 
 
@@ -44,15 +49,28 @@ def ellipsis(c: Column, most: int = 420) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most - 1)), F.lit("…"))).otherwise(flat)
 
 
+def references_decoded(c: Column) -> Column:
+    """Character references as characters, each once; unknown names stay as they are, numbers of no character become U+FFFD."""
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+    def char(r: Column) -> Column:
+        digits = F.rtrim(F.substring(r, 2, 9), F.lit(";"))
+        n = F.when(F.substring(digits, 1, 1).isin("x", "X"), F.conv(F.substring(digits, 2, 8), 16, 10)).otherwise(digits).try_cast("int")
+        real = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        by_number = F.when(real, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
+        return F.when(F.startswith(r, F.lit("#")), by_number).otherwise(F.coalesce(F.try_element_at(names, r), F.concat(F.lit("&"), r)))
+
+    parts = F.arrays_zip(F.split(c, REFERENCE, -1).alias("t"), F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(1)).alias("r"))
+    return F.array_join(F.transform(parts, lambda x: F.concat(x["t"], F.when(x["r"].isNotNull(), char(x["r"])).otherwise(""))), "")
+
+
 def html_to_text(c: Column) -> Column:
     """Visible text of a page: unseen elements dropped, block tags as line ends, at most one empty line in a row."""
     out = F.regexp_replace(c, r"(?is)<(script|style|noscript|svg)\b.*?</\1\s*>", "")
     out = F.regexp_replace(out, r"(?s)<!--.*?-->", "")
     out = F.regexp_replace(out, r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table|section|article|header|footer|nav)\b[^>]*>", "\n")
     out = F.regexp_replace(out, r"<[^>]*>", "")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        out = F.replace(out, F.lit(name), F.lit(char))
-    out = F.regexp_replace(F.regexp_replace(out, r"[ \t\r]+", " "), r" ?\n ?", "\n")
+    out = F.regexp_replace(F.regexp_replace(references_decoded(out), r"[ \t\r\u00a0]+", " "), r" ?\n ?", "\n")
     return F.regexp_replace(F.regexp_replace(out, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 

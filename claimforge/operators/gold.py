@@ -55,6 +55,10 @@ def add_deviation(claims: DataFrame, amount: str = "billed_amount", out: str = "
 
 
 def build_base(claims: DataFrame, providers: DataFrame, diagnosis: DataFrame, cost: DataFrame) -> DataFrame:
+    """Claims with references, benchmark and deviation. Fails where a reference has a key twice, which alone could change the number of rows."""
+    twice = repeated_keys({"providers": (providers, ["provider_id"]), "diagnosis": (diagnosis, ["diagnosis_code"])}).limit(5).collect()
+    if twice:
+        raise ValueError(f"reference keys that would multiply claims: {[(r.table_name, r.key, r.copies) for r in twice]}")
     return claims.transform(add_references, providers, diagnosis).transform(add_benchmark, cost).transform(add_deviation)
 
 

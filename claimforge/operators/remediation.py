@@ -11,35 +11,74 @@ from . import catalogs
 FALLBACK = [("diagnosis_code_missing", "MISSING_DIAGNOSIS"), ("procedure_code_missing", "MISSING_PROCEDURE"), ("proc_no_diag", "PROCEDURE_WITHOUT_DIAGNOSIS"), ("is_high_cost", "HIGH_COST_CLAIM")]
 PROCEED = "Proceed with normal submission after standard claim checks."
 ROUTE = "Route this claim for analyst review before submission."
+WHY_PROCEED = "The model classified the claim as low risk and no blocking validation errors were found."
+WHY_ROUTE = "The model classified the claim as needing additional review."
+WHY_FIX = "The claim cannot be safely processed until this input issue is fixed."
+WHY_REASON = "The model identified this as a relevant risk factor."
+BLOCKED_SUMMARY = "Claim cannot be scored/submitted until blocking input errors are corrected."
+HIGH_SUMMARY = "High denial risk. Analyst review and remediation are required before submission."
+MEDIUM_SUMMARY = "Moderate denial risk. Review recommended before submission."
+URGENT_SUMMARY = "Low model risk, but validation/recommendation warnings deserve review."
+READY_SUMMARY = "No blocking issues were found and model risk is low."
+RISKY = ("HIGH", "MEDIUM")
 
 
 def recommendations(checked: DataFrame, scores: DataFrame, reasons: DataFrame, evidence: DataFrame) -> DataFrame:
-    """claim_id, place, action, priority, reason_code, evidence_source: blocking fixes, reason actions, warning actions, a default;
+    """claim_id, place, action, priority, why, reason_code, evidence_source: blocking fixes, reason actions, warning actions, a default;
     each action of a claim once, its first.
 
+    Blocked claims count as unscored: they have fixes and warnings only. Claims of low risk get no reason actions.
     checked: claim_id, blocking_errors, warnings; scores: claim_id, risk_level; reasons: claim_id, reason_rank, reason_code,
-    fix_suggestion; evidence: claim_id, reason_code, source_name.
+    fix_suggestion, reason_text; evidence: claim_id, reason_code, source_name, policy_rank.
     """
     acts = F.broadcast(catalogs.actions(checked.sparkSession))
-    level = scores.select("claim_id", F.coalesce("risk_level", F.lit("LOW")).alias("risk_level"))
-    fixes = checked.select("claim_id", F.posexplode("blocking_errors").alias("i", "e")).select("claim_id", F.col("i").alias("place"), F.concat(F.lit("Fix required input field before scoring: "), F.coalesce("e.field", F.lit("claim input")), F.lit(".")).alias("action"), F.lit("HIGH").alias("priority"), F.col("e.code").alias("reason_code"), F.lit(None).cast("string").alias("evidence_source"))
-    source = evidence.groupBy("claim_id", "reason_code").agg(F.min("source_name").alias("evidence_source"))
-    given = reasons.select("claim_id", "reason_rank", "reason_code", "fix_suggestion")
-    because = given.join(level, "claim_id").join(acts, F.col("reason_code") == F.col("code"), "left").join(source, ["claim_id", "reason_code"], "left").select("claim_id", (100 + F.col("reason_rank")).alias("place"), F.coalesce("action", "fix_suggestion", F.lit("Review this claim before submission.")).alias("action"), F.col("risk_level").alias("priority"), "reason_code", "evidence_source")
-    warned = checked.select("claim_id", F.posexplode("warnings").alias("i", "e")).join(acts, F.col("e.code") == F.col("code")).join(level, "claim_id", "left").select("claim_id", (200 + F.col("i")).alias("place"), "action", F.when(F.col("risk_level").isin("HIGH", "MEDIUM"), "MEDIUM").otherwise("LOW").alias("priority"), F.col("e.code").alias("reason_code"), F.lit(None).cast("string").alias("evidence_source"))
+    none = F.lit(None).cast("string")
+    open_claims = checked.where(F.size("blocking_errors") == 0).select("claim_id")
+    level = scores.select("claim_id", F.coalesce("risk_level", F.lit("LOW")).alias("risk_level")).join(open_claims, "claim_id", "left_semi")
+    risky = level.where(F.col("risk_level").isin(*RISKY))
+    columns = ("claim_id", "place", "action", "priority", "why", "reason_code", "evidence_source")
+
+    def rows(df: DataFrame, place, action, priority, why, reason_code, source=none) -> DataFrame:
+        return df.select("claim_id", *(c.alias(n) for n, c in zip(columns[1:], (place, action, priority, why, reason_code, source), strict=True)))
+
+    fix = F.concat(F.lit("Fix required input field before scoring: "), F.coalesce("e.field", F.lit("claim input")), F.lit("."))
+    fixes = rows(checked.select("claim_id", F.posexplode("blocking_errors").alias("i", "e")), F.col("i"), fix, F.lit("HIGH"), F.coalesce("e.message", F.lit(WHY_FIX)), F.col("e.code"))
+    source = evidence.groupBy("claim_id", "reason_code").agg(F.min(F.struct("policy_rank", "source_name"))["source_name"].alias("source"))
+    given = reasons.select("claim_id", "reason_rank", "reason_code", "fix_suggestion", "reason_text").join(risky, "claim_id")
+    given = given.join(acts, F.col("reason_code") == F.col("code"), "left").join(source, ["claim_id", "reason_code"], "left")
+    because = rows(given, 100 + F.col("reason_rank"), F.coalesce("action", "fix_suggestion", F.lit("Review this claim before submission.")), F.col("risk_level"), F.coalesce("why", "reason_text", F.lit(WHY_REASON)), F.col("reason_code"), F.col("source"))
+    warned = checked.select("claim_id", F.posexplode("warnings").alias("i", "e")).join(acts, F.col("e.code") == F.col("code")).join(risky, "claim_id", "left")
+    warned = rows(warned, 200 + F.col("i"), F.col("action"), F.when(F.col("risk_level").isNotNull(), "MEDIUM").otherwise("LOW"), F.col("why"), F.col("e.code"))
     every = fixes.unionByName(because).unionByName(warned)
-    rest = level.join(every.select("claim_id").distinct(), "claim_id", "left_anti").select("claim_id", F.lit(300).alias("place"), F.when(F.col("risk_level") == "LOW", PROCEED).otherwise(ROUTE).alias("action"), F.col("risk_level").alias("priority"), F.lit(None).cast("string").alias("reason_code"), F.lit(None).cast("string").alias("evidence_source"))
+    low = F.col("risk_level") == "LOW"
+    rest = rows(level.join(every.select("claim_id").distinct(), "claim_id", "left_anti"), F.lit(300), F.when(low, PROCEED).otherwise(ROUTE), F.col("risk_level"), F.when(low, WHY_PROCEED).otherwise(WHY_ROUTE), none)
     w = Window.partitionBy("claim_id", "action").orderBy("place")
     return every.unionByName(rest).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def decisions(checked: DataFrame, scores: DataFrame, recs: DataFrame) -> DataFrame:
-    """claim_id, status, priority."""
-    r = recs.groupBy("claim_id").agg(F.bool_or(F.col("priority").isin("HIGH", "MEDIUM")).alias("urgent"))
+    """claim_id, status, priority, summary."""
+    r = recs.groupBy("claim_id").agg(F.bool_or(F.col("priority").isin(*RISKY)).alias("urgent"))
     df = checked.select("claim_id", (F.size("blocking_errors") > 0).alias("blocked")).join(scores.select("claim_id", "risk_level"), "claim_id", "left").join(r, "claim_id", "left")
-    level = F.coalesce("risk_level", F.lit("LOW"))
-    status = F.when(F.col("blocked"), "BLOCKED").when(level == "HIGH", "REVIEW_REQUIRED").when((level == "MEDIUM") | F.coalesce("urgent", F.lit(False)), "REVIEW_RECOMMENDED").otherwise("READY_TO_SUBMIT")
-    return df.select("claim_id", status.alias("status"), F.when(status.isin("BLOCKED", "REVIEW_REQUIRED"), "HIGH").when(status == "REVIEW_RECOMMENDED", "MEDIUM").otherwise("LOW").alias("priority"))
+    level, urgent = F.coalesce("risk_level", F.lit("LOW")), F.coalesce("urgent", F.lit(False))
+    verdict = lambda status, priority, text: F.struct(F.lit(status).alias("status"), F.lit(priority).alias("priority"), F.lit(text).alias("summary"))
+    found = (
+        F.when(F.col("blocked"), verdict("BLOCKED", "HIGH", BLOCKED_SUMMARY)).when(level == "HIGH", verdict("REVIEW_REQUIRED", "HIGH", HIGH_SUMMARY))
+        .when(level == "MEDIUM", verdict("REVIEW_RECOMMENDED", "MEDIUM", MEDIUM_SUMMARY)).when(urgent, verdict("REVIEW_RECOMMENDED", "MEDIUM", URGENT_SUMMARY))
+        .otherwise(verdict("READY_TO_SUBMIT", "LOW", READY_SUMMARY))
+    )
+    return df.select("claim_id", found.alias("d")).select("claim_id", "d.*")
+
+
+def analysis(checked: DataFrame, scores: DataFrame, reasons: DataFrame, recs: DataFrame) -> DataFrame:
+    """claim_id, status (blocked or success), risk_level and reason codes (none for blocked claims, no codes for low risk), decision, priority, number of recommendations."""
+    blocked = F.size("blocking_errors") > 0
+    codes = reasons.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("reason_rank", "reason_code"))).alias("r"))
+    n = recs.groupBy("claim_id").agg(F.count("*").alias("n"))
+    df = checked.select("claim_id", blocked.alias("blocked")).join(scores.select("claim_id", "risk_level"), "claim_id", "left").join(codes, "claim_id", "left").join(n, "claim_id", "left").join(decisions(checked, scores, recs), "claim_id")
+    risky = ~F.col("blocked") & F.col("risk_level").isin(*RISKY)
+    listed = F.array_join(F.transform("r", lambda x: x["reason_code"]), ",")
+    return df.select("claim_id", F.when(F.col("blocked"), "blocked").otherwise("success").alias("status"), F.when(~F.col("blocked"), F.col("risk_level")).alias("risk_level"), F.coalesce(F.when(risky, listed), F.lit("")).alias("reason_codes"), F.col("status").alias("decision"), "priority", F.coalesce("n", F.lit(0)).alias("recommendations"))
 
 
 def fallback_reasons(features: DataFrame, levels: DataFrame, most: int = 3) -> DataFrame:
@@ -50,7 +89,21 @@ def fallback_reasons(features: DataFrame, levels: DataFrame, most: int = 3) -> D
     return risky.select("claim_id", F.posexplode(picked).alias("i", "reason_code")).select("claim_id", (F.col("i") + 1).alias("reason_rank"), "reason_code")
 
 
-def summaries(decided: DataFrame, recs: DataFrame, most_actions: int = 5) -> DataFrame:
-    """claim_id, summary: the decision in a sentence with its first actions."""
-    actions = recs.groupBy("claim_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("place", "action"))), lambda x: x["action"]), 1, most_actions).alias("actions"), F.count("*").alias("n"))
-    return decided.join(actions, "claim_id", "left").select("claim_id", F.format_string("Status %s, priority %s, %d actions: %s", "status", "priority", F.coalesce("n", F.lit(0)), F.array_join(F.coalesce("actions", F.array()), " ")).alias("summary"))
+def presentation(checked: DataFrame, scores: DataFrame, reasons: DataFrame, evidence: DataFrame, recs: DataFrame, most_actions: int = 5, most: int = 3) -> DataFrame:
+    """claim_id, summary, action_plan (its first actions), analyst_notes (its first reasons, then its first pieces of evidence).
+
+    scores: claim_id, risk_level, risk_score; reasons as for recommendations(), with reason_title; evidence with reason_rank or not: in order of
+    (reason_code, policy_rank), with policy_summary. Blocked and low-risk claims have no reasons, so no notes.
+    """
+    ordered = lambda key, value, n: F.slice(F.transform(F.array_sort(F.collect_list(F.struct(*key, value))), lambda x: x["v"]), 1, n)
+    plan = recs.groupBy("claim_id").agg(ordered(["place"], F.col("action").alias("v"), most_actions).alias("action_plan"))
+    risky = scores.where(F.col("risk_level").isin(*RISKY)).select("claim_id").join(checked.where(F.size("blocking_errors") == 0).select("claim_id"), "claim_id", "left_semi")
+    said = reasons.join(risky, "claim_id", "left_semi").groupBy("claim_id").agg(ordered(["reason_rank"], F.concat("reason_title", F.lit(": "), "reason_text").alias("v"), most).alias("said"))
+    shown = evidence.join(risky, "claim_id", "left_semi").where("policy_summary <> ''").groupBy("claim_id").agg(ordered(["reason_code", "policy_rank"], F.concat(F.lit("Policy evidence from "), "source_name", F.lit(": "), "policy_summary").alias("v"), most).alias("shown"))
+    df = decisions(checked, scores, recs).join(scores.select("claim_id", "risk_level", "risk_score"), "claim_id", "left")
+    for part in (plan, said, shown):
+        df = df.join(part, "claim_id", "left")
+    blocked = F.format_string("Claim %s is blocked because required input validation failed. Correct the blocking fields before scoring or submission.", "claim_id")
+    scored = F.format_string("Claim %s is %s risk with a score of %.1f%%. %s", "claim_id", F.coalesce("risk_level", F.lit("UNKNOWN")), F.bround(F.coalesce("risk_score", F.lit(0.0)) * 100, 1), "summary")
+    none = F.array().cast("array<string>")
+    return df.select("claim_id", F.when(F.col("status") == "BLOCKED", blocked).otherwise(scored).alias("summary"), F.coalesce("action_plan", none).alias("action_plan"), F.concat(F.coalesce("said", none), F.coalesce("shown", none)).alias("analyst_notes"))

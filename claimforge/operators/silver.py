@@ -47,9 +47,13 @@ def label_is_valid(claims: DataFrame) -> DataFrame:
 
 
 def validate_labels(claims: DataFrame) -> DataFrame:
-    """Labels as integers where the whole column is valid, as they came otherwise (null there)."""
-    verdict = label_is_valid(claims)
-    return claims.join(F.broadcast(verdict), how="cross").withColumn("denial_flag", F.when(F.col("valid"), safe_number(F.col("denial_flag")).cast("int"))).drop("valid")
+    """Every numeric label is kept, valid or not; what is no number becomes null. The column holds whole numbers where it came so or where all
+    labels are 0 or 1 (asked once), doubles otherwise."""
+    kind = dict(claims.dtypes).get("denial_flag")
+    if kind is None or kind in ("tinyint", "smallint", "int", "bigint"):
+        return claims
+    out = claims.withColumn("denial_flag", safe_number(F.col("denial_flag")))
+    return out.withColumn("denial_flag", F.col("denial_flag").cast("int")) if label_is_valid(claims).first().valid else out
 
 
 def missing_flags(claims: DataFrame) -> DataFrame:
@@ -72,7 +76,7 @@ def first_claims(claims: DataFrame) -> DataFrame:
 
 def clean_claims(raw: DataFrame) -> DataFrame:
     """The whole claims job. Deduplication reads raw rows, so its order is that of the source."""
-    out = raw.transform(first_claims).transform(parse_dates).transform(normalise_codes).transform(parse_amounts)
+    out = raw.transform(first_claims).transform(parse_dates).transform(normalise_codes).transform(parse_amounts).transform(validate_labels)
     return out.transform(missing_flags).transform(fill_sentinels).transform(cross_flags)
 
 

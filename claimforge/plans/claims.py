@@ -40,7 +40,9 @@ SILVER_COLUMNS = "claim_id, patient_id, provider_id, diagnosis_code, procedure_c
 query("s1_safe_dates", "select claim_id, date as raw, cast(try_cast(date as date) as varchar) as parsed from claims_raw")(lambda t: t.claims_raw.select("claim_id", F.col("date").alias("raw"), S.safe_date(F.col("date")).cast("string").alias("parsed")))
 query("s2_codes", "select claim_id, upper(trim(diagnosis_code)) as diagnosis_code, upper(trim(procedure_code)) as procedure_code from claims_raw")(lambda t: S.normalise_codes(t.claims_raw).select("claim_id", "diagnosis_code", "procedure_code"))
 query("s3_amounts", "select claim_id, case when try_cast(billed_amount as double) >= 0 then try_cast(billed_amount as double) end as billed_amount from claims_raw")(lambda t: S.parse_amounts(t.claims_raw).select("claim_id", "billed_amount"))
-query("s4_labels", "select claim_id, denial_flag from claims_raw where (select bool_and(denial_flag in (0, 1)) from claims_raw)")(lambda t: S.validate_labels(t.claims_raw).select("claim_id", "denial_flag"))
+# labels as text, some of them no label and some no number
+query("s4_labels", "select claim_id, case when billed_amount < 0 then 2 when billed_amount is not null then denial_flag end::double as denial_flag from claims_raw")(
+    lambda t: S.validate_labels(t.claims_raw.withColumn("denial_flag", F.when(F.col("billed_amount") < 0, "2").when(F.col("billed_amount").isNull(), "unknown").otherwise(F.col("denial_flag").cast("string")))).select("claim_id", "denial_flag"))
 query("s5_missing_flags", "select claim_id, diagnosis_code is null as diagnosis_code_missing, procedure_code is null as procedure_code_missing, billed_amount is null as billed_amount_missing from claims_raw")(lambda t: S.missing_flags(t.claims_raw).select("claim_id", "diagnosis_code_missing", "procedure_code_missing", "billed_amount_missing"))
 query("s6_sentinels", "select claim_id, coalesce(diagnosis_code, 'MISSING') as diagnosis_code, coalesce(procedure_code, 'MISSING') as procedure_code from claims_raw")(lambda t: S.fill_sentinels(t.claims_raw).select("claim_id", "diagnosis_code", "procedure_code"))
 query("s7_keep_first", "select claim_id, patient_id, provider_id, diagnosis_code, procedure_code, cast(billed_amount as double) as billed_amount, date from claims_first")(lambda t: S.first_claims(t.claims_raw).select("claim_id", "patient_id", "provider_id", "diagnosis_code", "procedure_code", F.col("billed_amount").cast("double").alias("billed_amount"), "date"))

@@ -17,6 +17,7 @@ from ..operators import reasons as X
 from ..operators import remediation as D
 from ..operators import retrieval as R
 from ..operators import retrieval_analytics as V
+from ..operators import silver as S
 from ..sources import io
 from ..streaming import streams
 from .claims import ORACLE, QUERIES, lookups, query
@@ -151,12 +152,12 @@ def term_table(t: Claims) -> DataFrame:
 query("r5_tfidf")(lambda t: R.tfidf(term_table(t), R.vocabulary(term_table(t), "chunk_id"), "chunk_id").withColumn("weight", F.round("weight", 6)))
 query("r6_hashing")(lambda t: R.hashing_vectors(term_table(t), "chunk_id").withColumn("weight", F.round("weight", 6)))
 query("r7_normalised", "select vec_id, round(list_sum([cast(x as double) * x for x in embedding]) / list_sum([cast(x as double) * x for x in embedding]), 6) as squared_length from embeddings")(lambda t: t.table("embeddings").select("vec_id", F.round(F.aggregate(R.normalised(F.col("embedding")), F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length")))
-DENSE = """select query_id, vec_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 6) as score from embeddings q, embeddings c where q.vec_id < 20 and c.vec_id >= 20)) where rank <= {k}"""
+DENSE = """select query_id, vec_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 6) as score from embeddings q, embeddings c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)) where rank <= {k}"""
 
 
 def dense(t: Claims, k: int) -> DataFrame:
     e = t.table("embeddings")
-    return R.dense_search(e.where("vec_id < 20"), e.where("vec_id >= 20"), k)
+    return R.dense_search(e.where("vec_id % 50 = 0"), e, k)
 
 
 query("r8_dense_search", DENSE.format(k=3))(lambda t: dense(t, 3))
@@ -186,7 +187,7 @@ def matches(t: Claims) -> DataFrame:
 
 def _matches(t: Claims) -> DataFrame:
     hits = R.rerank(tagged(t), "query_id", "vec_id")
-    e = long(t).select("claim_id", "reason_code", "contribution").withColumn("query_id", ((F.length("claim_id") * 7 + F.length("reason_code")) % 26).cast("long"))
+    e = long(t).select("claim_id", "reason_code", "contribution").withColumn("query_id", ((F.length("claim_id") * 7 + F.length("reason_code")) % 26 * 50).cast("long"))
     return e.join(hits, "query_id").select("claim_id", "reason_code", "contribution", F.col("vec_id").alias("policy_chunk_id"), F.concat(F.lit("source"), (F.col("vec_id") % 7).cast("string")).alias("source_name"), F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("s"), (F.col("vec_id") % 4).cast("string"))).alias("section_title"), "similarity_score", "policy_rank")
 
 
@@ -202,7 +203,7 @@ query("r16_tag_lists", "select doc_id, array_to_string([x for x in [trim(y) for
 
 # --- retrieval analytics ---
 MATCHES = f"""select e.claim_id, e.reason_code, h.vec_id as policy_chunk_id, 'source' || (h.vec_id % 7)::varchar as source_name, case when h.vec_id % 2 = 0 then 's' || (h.vec_id % 4)::varchar end as section_title, h.similarity_score
- from ({PICKED}) e join ({RERANK}) h on h.query_id = (length(e.claim_id) * 7 + length(e.reason_code)) % 26"""
+ from ({PICKED}) e join ({RERANK}) h on h.query_id = (length(e.claim_id) * 7 + length(e.reason_code)) % 26 * 50"""
 UTILISATION = """select c.source_name, policy_chunks, coalesce(r, 0) as retrieval_count, coalesce(u, 0) as unique_chunks_retrieved, avg_similarity, round(coalesce(u, 0) / policy_chunks::double, 4) as utilization_rate from (select 'source' || (vec_id % 9)::varchar as source_name, count(distinct vec_id) as policy_chunks from embeddings group by 1) c
  left join (select source_name, count(*) as r, count(distinct policy_chunk_id) as u, round(avg(similarity_score), 4) as avg_similarity from m group by 1) using (source_name)"""
 _m = lambda sql: f"with m as ({MATCHES}), p as ({PICKED}) {sql}"
@@ -229,22 +230,52 @@ query("r12_unmatched", _m("select claim_id, reason_code from p where not exists
 
 # --- remediation ---
 def checked(t: Claims) -> DataFrame:
-    """Deduplicated raw claims, validated."""
-    raw = t.claims.select("claim_id", "patient_id", "provider_id", F.when(F.col("diagnosis_code") != "MISSING", F.col("diagnosis_code")).alias("diagnosis_code"), F.when(F.col("procedure_code") != "MISSING", F.col("procedure_code")).alias("procedure_code"), "billed_amount")
-    return t.layer("validated_claims", lambda: I.validate(raw, lookups(t)))
+    """Deduplicated raw claims, validated: those with a negative amount are blocked."""
+    columns = ("claim_id", "patient_id", "provider_id", "diagnosis_code", "procedure_code", "billed_amount")
+    return t.layer("validated_claims", lambda: I.validate(S.first_claims(t.claims_raw).select(*columns), lookups(t)))
 
 
-def recommended(t: Claims) -> DataFrame:
-    return t.layer("recommendations", lambda: D.recommendations(checked(t), levels(t), long(t), matches(t)))
+def evidence(t: Claims) -> DataFrame:
+    return matches(t).where("similarity_score >= 0.2").withColumn("policy_summary", F.concat(F.lit("chunk "), F.col("policy_chunk_id").cast("string")))
 
 
-query("d1_recommendations")(recommended)
-query("d2_decisions")(lambda t: D.decisions(checked(t), levels(t), recommended(t)))
+def recommended(t: Claims) -> DataFrame:
+    return t.layer("recommendations", lambda: D.recommendations(checked(t), levels(t), long(t), evidence(t)))
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ACTS = ", ".join(f"({quoted(code)}, {quoted(action)}, {quoted(why)})" for code, action, why in catalogs.ACTIONS)
+FIXES = ", ".join(f"({quoted(r[0])}, {quoted(r[1])}, {quoted(r[4])})" for r in catalogs.REASONS)
+WARNED = {
+    "CLAIM_WARN_AMOUNT_MISSING": "billed_amount is null",
+    "CLAIM_WARN_MISSING_DIAGNOSIS": "diagnosis_code is null",
+    "CLAIM_WARN_MISSING_PROCEDURE": "procedure_code is null",
+    "CLAIM_WARN_UNKNOWN_DIAGNOSIS": "diagnosis_code is not null and upper(trim(diagnosis_code)) not in (select diagnosis_code from diagnosis)",
+    "CLAIM_WARN_UNKNOWN_PROCEDURE": "procedure_code is not null and upper(trim(procedure_code)) not in (select procedure_code from by_procedure)",
+}
+#: Texts of the reasons that no action stands for, as the features of a risky claim word them.
+WORDED = "case code when 'MISSING_AMOUNT' then 'The source claim did not include a billed amount; the model had to use median imputation.' when 'HIGH_SEVERITY_SUPPORT' then 'The diagnosis has medium/high severity and may require stronger supporting documentation.' end"
+ADVICE_CTES = f"""acts(code, action, why) as (values {ACTS}), fixes(code, title, fix) as (values {FIXES}),
+ lv as ({LEVEL}), picked as ({PICKED}), verdicts as (select f.claim_id, f.billed_amount < 0 is true as blocked, l.risk_level, l.risk_score from claims_first f left join lv l using (claim_id)),
+ warned as ({" union all ".join(f"select claim_id, {i} as i, '{code}' as code from claims_first where {when}" for i, (code, when) in enumerate(WARNED.items()))}),
+ given as (select claim_id, 0 as place, 'Fix required input field before scoring: billed_amount.' as action, 'HIGH' as priority, {quoted(I.MESSAGES['CLAIM_ERR_INVALID_AMOUNT'])} as why, 'CLAIM_ERR_INVALID_AMOUNT' as reason_code from verdicts where blocked
+  union all select p.claim_id, 100 + reason_rank, coalesce(a.action, x.fix), v.risk_level, coalesce(a.why, {WORDED.replace("case code", "case p.reason_code")}), p.reason_code from picked p join verdicts v using (claim_id) left join acts a on a.code = p.reason_code left join fixes x on x.code = p.reason_code where not v.blocked and v.risk_level <> 'LOW'
+  union all select w.claim_id, 200 + i, a.action, case when not v.blocked and v.risk_level <> 'LOW' then 'MEDIUM' else 'LOW' end, a.why, w.code from warned w join verdicts v using (claim_id) join acts a on a.code = w.code),
+ advice as (select * from given union all select claim_id, 300, case when risk_level = 'LOW' then {quoted(D.PROCEED)} else {quoted(D.ROUTE)} end, risk_level, case when risk_level = 'LOW' then {quoted(D.WHY_PROCEED)} else {quoted(D.WHY_ROUTE)} end, null from verdicts where not blocked and claim_id not in (select claim_id from given)),
+ decided as (select *, case when blocked then 'BLOCKED' when risk_level = 'HIGH' then 'REVIEW_REQUIRED' when risk_level = 'MEDIUM' then 'REVIEW_RECOMMENDED' else 'READY_TO_SUBMIT' end as status, case when blocked or risk_level = 'HIGH' then 'HIGH' when risk_level = 'MEDIUM' then 'MEDIUM' else 'LOW' end as priority,
+  case when blocked then {quoted(D.BLOCKED_SUMMARY)} when risk_level = 'HIGH' then {quoted(D.HIGH_SUMMARY)} when risk_level = 'MEDIUM' then {quoted(D.MEDIUM_SUMMARY)} else {quoted(D.READY_SUMMARY)} end as summary from verdicts)"""
+query("d1_recommendations", f"with {ADVICE_CTES} select claim_id, action, priority, why, reason_code from advice")(lambda t: recommended(t).select("claim_id", "action", "priority", "why", "reason_code"))
+query("d2_decisions", f"with {ADVICE_CTES} select claim_id, status, priority, summary from decided")(lambda t: D.decisions(checked(t), levels(t), recommended(t)))
 FALLBACK = " union all ".join(f"select claim_id, {i} as i, '{code}' as reason_code from features where {f}::boolean" for i, (f, code) in enumerate(D.FALLBACK))
 query("d3_fallback_reasons", f"""select claim_id, cast(reason_rank as int) as reason_rank, reason_code from (select claim_id, row_number() over (partition by claim_id order by i) as reason_rank, reason_code from ({FALLBACK}) semi join ({LEVEL} ) l using (claim_id) where claim_id in (select claim_id from ({LEVEL}) where risk_level <> 'LOW')) where reason_rank <= 3
  union all select claim_id, 1, 'MODEL_REVIEW_RISK' from ({LEVEL}) where risk_level <> 'LOW' and claim_id not in (select claim_id from ({FALLBACK}))""")(lambda t: D.fallback_reasons(t.features, levels(t)))
-query("d5_analysis")(lambda t: checked(t).select("claim_id", "is_valid").join(D.decisions(checked(t), levels(t), recommended(t)), "claim_id"))
-query("d6_summaries")(lambda t: D.summaries(D.decisions(checked(t), levels(t), recommended(t)), recommended(t)))
+query("d5_analysis", f"""with {ADVICE_CTES} select d.claim_id, case when blocked then 'blocked' else 'success' end as status, case when not blocked then risk_level end as risk_level, coalesce(case when not blocked and risk_level <> 'LOW' then codes end, '') as reason_codes, status as decision, priority, n as recommendations
+ from decided d left join (select claim_id, string_agg(reason_code, ',' order by reason_rank) as codes from picked group by 1) using (claim_id) left join (select claim_id, count(*) as n from advice group by 1) using (claim_id)""")(lambda t: D.analysis(checked(t), levels(t), long(t), recommended(t)))
+query("d6_summaries", f"""with {ADVICE_CTES} select claim_id, case when blocked then 'Claim ' || claim_id || ' is blocked because required input validation failed. Correct the blocking fields before scoring or submission.' else 'Claim ' || claim_id || ' is ' || risk_level || ' risk with a score of ' || printf('%.1f', round_even(risk_score * 100, 1)) || '%. ' || summary end as summary, actions from decided
+ left join (select claim_id, string_agg(action, ' | ' order by place) as actions from (select *, row_number() over (partition by claim_id order by place) as k from advice) where k <= 5 group by 1) using (claim_id)""")(lambda t: D.presentation(checked(t), levels(t), long(t), evidence(t), recommended(t)).select("claim_id", "summary", F.array_join("action_plan", " | ").alias("actions")))
 
 
 # --- events and streams ---
@@ -269,7 +300,8 @@ def job_report(t: Claims) -> DataFrame:
 
 
 query("e6_report_events", f"select component, count(*) as n, string_agg(distinct code, ',' order by code) as codes from (select component, case when event_id % 3 = 0 then error_code when component = 'silver' then 'SILVER_002' else 'INGEST_002' end as code from ({EVENTS}) where event_id % 3 <> 2) group by 1")(lambda t: E.report_summary(E.of_reports(job_report(t))))
-query("e7_enriched")(lambda t: E.enriched(error_events(t)).select("event_id", "error_code", "category", "severity", "retryable"))
+ERRORS = ", ".join(f"({quoted(code)}, {quoted(category)}, {quoted(severity)}, {str(retryable).lower()})" for code, category, severity, retryable, _ in catalogs.ERRORS)
+query("e7_enriched", f"select event_id, error_code, category, severity, retryable from ({EVENTS}) left join (values {ERRORS}) c(error_code, category, severity, retryable) using (error_code)")(lambda t: E.enriched(error_events(t)).select("event_id", "error_code", "category", "severity", "retryable"))
 query("e8_rollup", f"select component, stage, error_code, 'ERROR' as severity, count(*) as errors, count(*) filter (occurrence >= 2) as repeats from ({OCCUR}) group by all")(lambda t: E.rollup(error_events(t)))
 
 

@@ -1,9 +1,12 @@
 """Rules of single operators on tiny tables with literal expectations."""
 
+import html
+
+import pytest
 from pyspark.sql import functions as F
 
-from claimforge.functions.text import clip, ellipsis, html_to_text, tag_list, title
-from claimforge.operators import analytics, gold, intake, ml, quality, reasons, retrieval, silver
+from claimforge.functions.text import clip, ellipsis, html_to_text, references_decoded, tag_list, title
+from claimforge.operators import analytics, gold, intake, ml, quality, reasons, remediation, retrieval, silver
 from claimforge.plans import registry
 from claimforge.sources import io
 
@@ -121,3 +124,41 @@ def test_corpus_is_written_to_a_file_address(spark, tmp_path):
     rows = spark.createDataFrame([("a.txt", "one\n\ntwo\n"), ("b.txt", "é")], "name string, text string")
     io.write_corpus(rows, f"file:{tmp_path}/corpus")
     assert {r.source_name: r.text for r in io.read_corpus(spark, f"file:{tmp_path}/corpus").collect()} == {"a.txt": "one\n\ntwo\n", "b.txt": "é"}
+
+
+def test_character_references_as_the_standard_has_them(spark):
+    texts = ["&copy; 2020 &middot; a &amp;amp; b", "&#233;&#xE9;&#x1F642;", "&eacute &unknown; & &;", "", "&lt;p&gt; &#0; &#xD800; x", "no &hellip; &nbsp;end"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string").select("i", references_decoded(F.col("t")).alias("t")).collect()
+    got = {r.i: r.t for r in rows}
+    assert got[6] is None and all(got[i] == html.unescape(t) for i, t in enumerate(texts))
+
+
+def test_labels_keep_what_is_numeric(spark):
+    raw = spark.createDataFrame([("a", "1"), ("b", "x"), ("c", "2"), ("d", None)], "claim_id string, denial_flag string")
+    assert [r.denial_flag for r in silver.validate_labels(raw).orderBy("claim_id").collect()] == [1.0, None, 2.0, None]
+    valid = silver.validate_labels(raw.where("claim_id = 'a'"))
+    assert dict(valid.dtypes)["denial_flag"] == "int" and valid.first().denial_flag == 1
+
+
+def test_enrichment_that_changes_the_rows_fails(spark):
+    claims = spark.createDataFrame([("c1", "v1", "D1", "P1", 5.0)], "claim_id string, provider_id string, diagnosis_code string, procedure_code string, billed_amount double")
+    providers = spark.createDataFrame([("v1", "General", "Goa")] * 2, "provider_id string, specialty string, location string")
+    diagnosis = spark.createDataFrame([("D1", "Heart", "High")], "diagnosis_code string, category string, severity string")
+    cost = spark.createDataFrame([("P1", "Goa", 1.0, 2.0, 0.5)], "procedure_code string, region string, average_cost double, expected_cost double, cost_ratio double")
+    with pytest.raises(ValueError, match="providers"):
+        gold.build_base(claims, providers, diagnosis, cost)
+    assert gold.build_base(claims, providers.limit(1), diagnosis, cost).count() == 1
+
+
+def test_low_risk_claims_get_no_risk_reasons_and_blocked_ones_only_fixes(spark):
+    issue = "array<struct<code: string, field: string, message: string>>"
+    checked = spark.createDataFrame([("low", [], []), ("high", [], [("CLAIM_WARN_MISSING_DIAGNOSIS", "diagnosis_code", "m")]), ("bad", [("CLAIM_ERR_INVALID_AMOUNT", "billed_amount", "no")], [])], f"claim_id string, blocking_errors {issue}, warnings {issue}")
+    scores = spark.createDataFrame([("low", "LOW"), ("high", "HIGH"), ("bad", "HIGH")], "claim_id string, risk_level string")
+    reasons_ = spark.createDataFrame([(c, 1, "MISSING_DIAGNOSIS", "fix", "text") for c in ("low", "high", "bad")], "claim_id string, reason_rank int, reason_code string, fix_suggestion string, reason_text string")
+    evidence = spark.createDataFrame([("high", "MISSING_DIAGNOSIS", "b", 1), ("high", "MISSING_DIAGNOSIS", "a", 2)], "claim_id string, reason_code string, source_name string, policy_rank int")
+    recs = remediation.recommendations(checked, scores, reasons_, evidence)
+    got = {}
+    for r in recs.orderBy("claim_id", "place").collect():
+        got.setdefault(r.claim_id, []).append((r.priority, r.reason_code, r.evidence_source))
+    assert got == {"low": [("LOW", None, None)], "high": [("HIGH", "MISSING_DIAGNOSIS", "b"), ("MEDIUM", "CLAIM_WARN_MISSING_DIAGNOSIS", None)], "bad": [("HIGH", "CLAIM_ERR_INVALID_AMOUNT", None)]}
+    assert {r.claim_id: r.status for r in remediation.decisions(checked, scores, recs).collect()} == {"low": "READY_TO_SUBMIT", "high": "REVIEW_REQUIRED", "bad": "BLOCKED"}

@@ -16,7 +16,7 @@ def plain(v):
         return v
     if isinstance(v, (int, float, Decimal)):
         f = float(v)
-        return "nan" if math.isnan(f) else round(f, 6)
+        return "nan" if math.isnan(f) else round(f, 6) + 0.0
     return str(v)
 
 
