@@ -112,7 +112,7 @@ class Transducer:
         """Between texts: forget what has been compiled once there is too much of it."""
         if len(self.words) > MEMO_ENTRIES:
             self.words.clear()
-        if len(self.steps) > 2 * MEMO_ENTRIES:
+        if len(self.steps) > 3 * MEMO_ENTRIES // 2:
             self.states, self.steps, self.number = self.states[:1], {}, {self.states[0]: START}
             self.words.clear()
 
@@ -176,34 +176,45 @@ def count(machine: Transducer, text: str, chunk_chars: int = CHUNK_CHARS) -> int
 
 
 MAP = "digest string, run long, at long, head string, tail string, tokens long"
+MAP_COLUMNS = ("digest", "run", "at", "head", "tail", "tokens")
 
 
-def composed(maps: DataFrame, path: str) -> DataFrame:
-    """One map for each (digest, run), of its maps in order of `at`; maps that stand twice (of repeated texts) count once."""
+def as_batch(rows: list[tuple], totals: bool = False) -> pa.RecordBatch:
+    """Rows of maps, or of (digest, n_tokens), as Arrow."""
+    names = ("digest", "n_tokens") if totals else MAP_COLUMNS
+    types = (pa.string(), pa.int64()) if totals else (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
+
+
+def composed(maps: DataFrame, path: str, whole_texts: bool) -> DataFrame:
+    """One map for each (digest, run), of its maps in order of `at`; maps that stand twice (of repeated texts) count once.
+    With whole_texts the (digest, n_tokens) that the maps come to."""
     n = n_partitions(maps.sparkSession)
 
     def fold(batches):
         machine = transducer(path)
         key, last, whole = None, None, NOTHING
 
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["digest", "run", "at", "head", "tail", "tokens"])
+        def result():
+            return (key[0], total(machine, whole)) if whole_texts else (key[0], 0, key[1], *whole)
 
         for batch in batches:
             rows = []
-            for digest, run, at, *one in zip(*(batch.column(c).to_pylist() for c in ("digest", "run", "at", "head", "tail", "tokens")), strict=True):
+            for digest, run, at, *one in zip(*(batch.column(c).to_pylist() for c in MAP_COLUMNS), strict=True):
                 if (digest, run) != key:
                     if key:
-                        rows.append((key[0], 0, key[1], *whole))
+                        rows.append(result())
                     machine.bound()
                     key, last, whole = (digest, run), None, NOTHING
                 if at != last:
                     last, whole = at, after(machine, whole, tuple(one))
-            yield out(rows)
+            yield as_batch(rows, whole_texts)
         if key:
-            yield out([(key[0], 0, key[1], *whole)])
+            yield as_batch([result()], whole_texts)
 
-    return maps.repartition(n, "digest", "run").sortWithinPartitions("digest", "run", "at").mapInArrow(fold, MAP)
+    dealt = maps.repartition(n, "digest", "run").sortWithinPartitions("digest", "run", "at")
+    return dealt.mapInArrow(fold, "digest string, n_tokens long" if whole_texts else MAP)
 
 
 def long_counts(texts: DataFrame, path: str) -> DataFrame:
@@ -222,18 +233,10 @@ def long_counts(texts: DataFrame, path: str) -> DataFrame:
         machine = transducer(path)
         for batch in batches:
             machine.bound()
-            rows = [(d, at // RUN, at, *state_map(machine, c)) for d, at, c in zip(*(batch.column(x).to_pylist() for x in ("digest", "at", "chunk")), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["digest", "run", "at", "head", "tail", "tokens"])
-
-    def totals(batches):
-        machine = transducer(path)
-        for batch in batches:
-            maps = zip(*(batch.column(c).to_pylist() for c in ("head", "tail", "tokens")), strict=True)
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([total(machine, m) for m in maps], pa.int64())], names=["digest", "n_tokens"])
+            yield as_batch([(d, at // RUN, at, *state_map(machine, c)) for d, at, c in zip(*(batch.column(x).to_pylist() for x in ("digest", "at", "chunk")), strict=True)])
 
     chunks = texts.mapInArrow(cut, "digest string, at long, chunk string").repartition(n, "digest", "at")
-    runs = composed(chunks.mapInArrow(to_maps, MAP), path)
-    return composed(runs, path).mapInArrow(totals, "digest string, n_tokens long")
+    return composed(composed(chunks.mapInArrow(to_maps, MAP), path, False), path, True)
 
 
 def counts(docs: DataFrame, limit: int = TOKEN_LIMIT, tokenizer: str | None = None) -> DataFrame:
