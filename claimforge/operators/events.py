@@ -42,10 +42,22 @@ def keyed(events: DataFrame) -> DataFrame:
     return classified(events).withColumn("fingerprint", fingerprint(F.col("error_code"), F.col("component"), F.col("stage")))
 
 
-def occurrences(events: DataFrame) -> DataFrame:
-    """Adds occurrence (by time, then id) and is_repeated (from the second on)."""
-    n = F.row_number().over(Window.partitionBy("fingerprint").orderBy("ts", "event_id"))
-    return events.withColumn("occurrence", n).withColumn("is_repeated", F.col("occurrence") >= 2)
+def occurrences(events: DataFrame, slots: int = 64) -> DataFrame:
+    """Adds occurrence (by time, then id) and is_repeated (from the second on).
+
+    There are few fingerprints and very many events, so none is ordered in one task: events are numbered within slots of time, and each slot
+    begins after the events of its fingerprint's earlier slots, of which there are at most `slots` counts.
+    """
+    at = F.unix_micros("ts")
+    span = events.agg(F.min(at).alias("_from"), F.max(at).alias("_to"))
+    share = (at - F.col("_from")).cast("double") * slots / F.greatest(F.lit(1), F.col("_to") - F.col("_from") + 1)
+    dealt = events.join(F.broadcast(span), how="cross").withColumn("_slot", F.coalesce(F.floor(share).cast("int"), F.lit(-1))).drop("_from", "_to")
+    counts = dealt.groupBy("fingerprint", "_slot").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("fingerprint").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("fingerprint", "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    n = F.row_number().over(Window.partitionBy("fingerprint", "_slot").orderBy("ts", "event_id"))
+    numbered = dealt.withColumn("_k", n).join(bases, ["fingerprint", "_slot"])
+    return numbered.withColumn("occurrence", (F.col("_base") + F.col("_k")).cast("int")).withColumn("is_repeated", F.col("occurrence") >= 2).drop("_slot", "_base", "_k")
 
 
 def summary(events: DataFrame) -> DataFrame:
@@ -61,8 +73,9 @@ def enriched(events: DataFrame) -> DataFrame:
 
 
 def rollup(events: DataFrame) -> DataFrame:
-    """errors and repeats by component, stage, code and severity."""
-    return occurrences(enriched(events)).groupBy("component", "stage", "error_code", "severity").agg(F.count("*").alias("errors"), F.count_if("is_repeated").alias("repeats"))
+    """errors and repeats by component, stage, code and severity: of each fingerprint's events all but the first are repeats."""
+    each = enriched(events).groupBy("fingerprint", "component", "stage", "error_code", "severity").agg(F.count("*").alias("n"))
+    return each.groupBy("component", "stage", "error_code", "severity").agg(F.sum("n").alias("errors"), F.sum(F.col("n") - 1).alias("repeats"))
 
 
 def of_reports(report: DataFrame) -> DataFrame:

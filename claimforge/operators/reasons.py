@@ -102,7 +102,7 @@ def select_claims(features: DataFrame, ids: DataFrame | None = None, first: int
 
 
 def picker_order(scores: DataFrame) -> DataFrame:
-    """claim_id, place of claims of each level: by level, score and id (ranked within levels, which are dealt apart)."""
+    """claim_id, risk_level, risk_score, level_rank, sorted by level, score and id (a range-partitioned sort)."""
     level = F.when(F.col("risk_level") == "HIGH", 0).when(F.col("risk_level") == "MEDIUM", 1).otherwise(2)
     return scores.select("claim_id", "risk_level", "risk_score", level.alias("level_rank")).orderBy("level_rank", F.desc("risk_score"), "claim_id")
 
