@@ -253,8 +253,8 @@ def learn(pages: DataFrame) -> Field:
     usable = pages.where("html is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
     # about twice as many by hash, then the first of these, so that no task hands the driver LEARN_PAGES of its own
     share = min(1.0, 2 * LEARN_PAGES / max(1, usable.count()))
-    at = F.pmod(F.xxhash64("page_id", "html"), F.lit(1_000_000))
-    rows = usable.withColumn("at", at).where(F.col("at") < int(share * 1_000_000)).orderBy("at", "html").limit(LEARN_PAGES).select("html").collect()
+    at = F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 40))
+    rows = usable.withColumn("at", at).where(F.col("at") < int(share * (1 << 40))).orderBy("at", "html").limit(LEARN_PAGES).select("html").collect()
     certain = []
     for r in rows:
         blocks = blocks_of(r.html)
