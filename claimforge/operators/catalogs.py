@@ -20,6 +20,27 @@ REASONS = [
     ("HIGH_SEVERITY_SUPPORT", "Diagnosis severity needs supporting documentation", "documentation", "The diagnosis severity may require stronger supporting documentation for the billed service.", "Attach relevant clinical notes and supporting documentation.", ["severity_rank", "severity_encoded"], "Severe diagnoses and high-risk services require supporting clinical documentation.", ["severity", "documentation", "medical_necessity"], False),
     ("SPECIALTY_REVIEW", "Provider specialty should match billed service", "provider_credentials", "The provider specialty may need to be checked against the billed service.", "Verify provider specialty and credentials match the procedure being billed.", ["specialty_encoded"], "Provider specialty or credentials must be appropriate for the billed procedure.", ["provider", "specialty", "credentialing"], False),
 ]
+#: Names of features for readers; a feature without one is shown by its column name.
+FEATURE_LABELS = {
+    "diagnosis_code_missing": "Missing Diagnosis Code",
+    "procedure_code_missing": "Missing Procedure Code",
+    "billed_amount_missing": "Missing Billed Amount",
+    "proc_no_diag": "Procedure Without Diagnosis",
+    "diag_no_proc": "Diagnosis Without Procedure",
+    "billed_deviation_imputed_capped": "Billing Deviation From Expected",
+    "billed_amount_imputed": "Median-Imputed Billed Amount",
+    "log_billed_amount_imputed": "Billed Amount (log scale, imputed)",
+    "is_high_cost": "High-Cost Claim",
+    "cost_match_encoded": "Cost Benchmark Match Quality",
+    "provider_claim_count": "Provider Activity Volume",
+    "provider_violation_rate": "Provider Historical Violation Rate",
+    "patient_claim_count": "Patient Claim Frequency",
+    "severity_rank": "Diagnosis Severity",
+    "specialty_encoded": "Provider Specialty",
+    "billed_deviation_capped": "Billing Deviation From Expected",
+    "log_billed_amount": "Billed Amount (log scale)",
+    "severity_encoded": "Diagnosis Severity",
+}
 #: Actions by reason code, and by warning code.
 ACTIONS = [
     ("MISSING_DIAGNOSIS", "Add or verify the ICD diagnosis code before submission.", "The claim lacks diagnosis support needed to justify the billed service."),

@@ -8,13 +8,30 @@ from pyspark.sql import functions as F
 from . import catalogs
 
 MAX_REASONS = 3
+#: What explanation tables say of themselves, and the unit of contributions.
+VERSION, UNIT = "week5_xai_v2", "raw_log_odds_contribution"
+
+
+def label_of(feature: Column) -> Column:
+    """A feature's name for readers."""
+    names = F.create_map(*(F.lit(x) for pair in catalogs.FEATURE_LABELS.items() for x in pair))
+    return F.coalesce(F.try_element_at(names, feature), feature)
+
+
+def direction_of(contribution: Column) -> Column:
+    return F.when(contribution > 0, "increases_risk").when(contribution < 0, "decreases_risk").otherwise("neutral")
+
+
+def made_at(created_at: str | None) -> Column:
+    """The given time, or now, as ISO text."""
+    return F.lit(created_at) if created_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX")
 
 
 def top_contributions(contribution: DataFrame, n: int = 10) -> DataFrame:
     """claim_id, rank, feature, value, contribution, label, direction: positive ones by size, then negative ones; none that are 0."""
     w = Window.partitionBy("claim_id").orderBy(F.col("contribution") <= 0, F.desc(F.abs("contribution")), "feature")
     out = contribution.where("contribution <> 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
-    return out.select("claim_id", "rank", "feature", "value", "contribution", F.initcap(F.replace("feature", F.lit("_"), F.lit(" "))).alias("label"), F.when(F.col("contribution") > 0, "increases_risk").otherwise("decreases_risk").alias("direction"))
+    return out.select("claim_id", "rank", "feature", "value", "contribution", label_of(F.col("feature")).alias("label"), direction_of(F.col("contribution")).alias("direction"))
 
 
 def critical_rows(features: DataFrame) -> DataFrame:
@@ -67,20 +84,56 @@ def reason_text(feature: Column, value: Column, default: Column) -> Column:
     return out.otherwise(default)
 
 
-def explanations(reasons: DataFrame, scores: DataFrame) -> DataFrame:
-    """The long table: one row a claim and reason, with texts, fixes and policy queries from the catalog."""
+def explanations(reasons: DataFrame, scores: DataFrame, bands: tuple[float, float] = (0.40, 0.65), model: str = "linear", created_at: str | None = None) -> DataFrame:
+    """The long table: one row a claim and reason, with texts, fixes and policy queries from the catalog, the bands and model that the scores came
+    from, and when it was made. policy_tags is a JSON list, feature_value text."""
     catalog = catalogs.reasons(reasons.sparkSession).drop("source_features", "critical", "ordinal")
     out = reasons.join(F.broadcast(catalog), "reason_code").join(scores.select("claim_id", "risk_score", "risk_level", "predicted_denial"), "claim_id")
-    return out.withColumn("reason_text", reason_text(F.col("feature_name"), F.col("value"), F.col("reason_text"))).withColumnRenamed("value", "feature_value").select(
-        "claim_id", "risk_score", "risk_level", "predicted_denial", "reason_rank", "reason_code", "reason_title", "reason_text", "business_category", "evidence_type", "feature_name", "feature_value", "contribution", "fix_suggestion", "policy_query", "policy_tags")
+    return out.select(
+        "claim_id",
+        "risk_score",
+        "risk_level",
+        "predicted_denial",
+        F.lit(bands[1]).alias("classification_threshold"),
+        F.lit(bands[0]).alias("review_threshold"),
+        "reason_rank",
+        "reason_code",
+        "reason_title",
+        reason_text(F.col("feature_name"), F.col("value"), F.col("reason_text")).alias("reason_text"),
+        "business_category",
+        "evidence_type",
+        "feature_name",
+        label_of(F.col("feature_name")).alias("feature_label"),
+        F.col("value").cast("string").alias("feature_value"),
+        F.bround("contribution", 6).alias("shap_value"),
+        direction_of(F.col("contribution")).alias("shap_direction"),
+        F.lit(UNIT).alias("shap_output_unit"),
+        "fix_suggestion",
+        "policy_query",
+        F.to_json("policy_tags").alias("policy_tags"),
+        F.lit(model).alias("model_used"),
+        F.lit(VERSION).alias("explanation_version"),
+        made_at(created_at).alias("created_at"),
+    )
 
 
 def summary(long: DataFrame) -> DataFrame:
-    """One row a claim: reasons 1 to 3, ordered lists as JSON, ordered distinct tags."""
-    rows = F.array_sort(F.collect_list(F.struct("reason_rank", "reason_code", "reason_text", "fix_suggestion", "policy_query", "policy_tags")))
-    out = long.groupBy("claim_id").agg(F.first("risk_level").alias("risk_level"), rows.alias("r"))
-    pick = lambda f: F.to_json(F.transform("r", lambda x: x[f]))
-    return out.select("claim_id", "risk_level", *(F.get("r", F.lit(i))["reason_code"].alias(f"reason_{i + 1}") for i in range(3)), pick("reason_code").alias("reason_codes"), pick("reason_text").alias("reason_texts_json"), pick("fix_suggestion").alias("fix_suggestions_json"), F.to_json(F.array_distinct(F.flatten(F.transform("r", lambda x: x["policy_tags"])))).alias("policy_tags_json"))
+    """One row a claim: texts of reasons 1 to 3, ordered lists as JSON, ordered distinct tags. At most MAX_REASONS rows of a claim are gathered."""
+    same = ("risk_score", "risk_level", "predicted_denial", "classification_threshold", "review_threshold", "model_used", "explanation_version", "created_at")
+    rows = F.array_sort(F.collect_list(F.struct("reason_rank", "reason_code", "reason_text", "fix_suggestion", "policy_query", F.from_json("policy_tags", "array<string>").alias("tags"))))
+    out = long.groupBy("claim_id").agg(F.min_by(F.struct(*same), "reason_rank").alias("one"), rows.alias("r"))
+    listed = lambda f: F.to_json(F.transform("r", lambda x: x[f]))
+    return out.select(
+        "claim_id",
+        *(f"one.{c}" for c in same[:5]),
+        *(F.get("r", F.lit(i))["reason_text"].alias(f"reason_{i + 1}") for i in range(3)),
+        listed("reason_code").alias("reason_codes"),
+        listed("reason_text").alias("reason_texts_json"),
+        listed("fix_suggestion").alias("fix_suggestions_json"),
+        listed("policy_query").alias("policy_queries_json"),
+        F.to_json(F.array_distinct(F.flatten(F.transform("r", lambda x: x["tags"])))).alias("policy_tags_json"),
+        *(f"one.{c}" for c in same[5:]),
+    )
 
 
 def report(long: DataFrame, top: int = 20) -> DataFrame:

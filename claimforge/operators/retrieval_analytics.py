@@ -60,9 +60,9 @@ def projection(vectors: DataFrame, matches: DataFrame, rows: int = SAMPLE_ROWS)
 
 def strength(explanations: DataFrame, matches: DataFrame) -> DataFrame:
     """Model contribution beside the best policy similarity of each (claim, reason)."""
-    e = first_by(explanations, ["claim_id", "reason_code"], F.desc(F.abs("contribution")))
+    e = first_by(explanations, ["claim_id", "reason_code"], F.desc(F.abs("shap_value")))
     best = matches.groupBy("claim_id", "reason_code").agg(F.max("similarity_score").alias("best_similarity"))
-    return e.join(best, ["claim_id", "reason_code"]).select("claim_id", "reason_code", F.abs("contribution").alias("model_strength"), "best_similarity")
+    return e.join(best, ["claim_id", "reason_code"]).select("claim_id", "reason_code", F.abs("shap_value").alias("model_strength"), "best_similarity")
 
 
 def similarity_quartiles(matches: DataFrame, top: int = 12) -> DataFrame:

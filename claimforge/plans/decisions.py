@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame
@@ -49,7 +50,7 @@ query("m14_levels", "select row_id, round_even(score, 4) as risk_score, case whe
 DESIGN = "claim_id, denial_flag, diagnosis_code_missing::int::double as diagnosis_code_missing, procedure_code_missing::int::double as procedure_code_missing, is_high_cost::double as is_high_cost, cost_match_encoded::double as cost_match_encoded, severity_rank::double as severity_rank"
 DESIGN_COLUMNS = ("diagnosis_code_missing", "procedure_code_missing", "is_high_cost", "cost_match_encoded", "severity_rank")
 query("m1_design_matrix", f"select {DESIGN} from features")(lambda t: M.design_matrix(t.features, DESIGN_COLUMNS))
-query("m2_split")(lambda t: M.split(M.design_matrix(t.features)).groupBy("part", "denial_flag").agg(F.count("*").alias("n")))
+query("m2_split", "select case when u < 6 then 'train' when u < 8 then 'validation' else 'test' end as part, denial_flag, count(*) as n from (select denial_flag, ('0x' || substr(md5(claim_id || '42'), 1, 8))::bigint % 10 as u from features) group by all")(lambda t: M.split(M.design_matrix(t.features)).groupBy("part", "denial_flag").agg(F.count("*").alias("n")))
 
 
 def scored_by(t: Claims, kind: str, rounds: int = 10) -> DataFrame:
@@ -101,24 +102,58 @@ def picked(t: Claims) -> DataFrame:
 
 
 def long(t: Claims) -> DataFrame:
-    return t.layer("explanations", lambda: X.explanations(picked(t), levels(t)))
+    return t.layer("explanations", lambda: X.explanations(picked(t), levels(t), created_at=MADE))
 
 
+#: When the tables of these queries say they were made, so that a run can be compared with another.
+MADE = "2026-01-01T00:00:00Z"
 MAPPED = {f: (i, r[0]) for i, r in enumerate(catalogs.REASONS) for f in r[5]}
 CRITICAL = [f for r in catalogs.REASONS if r[8] for f in r[5]]
-PICKED = f"""select claim_id, cast(reason_rank as int) as reason_rank, reason_code, feature as feature_name, evidence_type from (select *, row_number() over (partition by claim_id order by place) as reason_rank from (select *, row_number() over (partition by claim_id, reason_code order by place) as k from (
- {" union all ".join(f"select claim_id, '{MAPPED[f][1]}' as reason_code, '{f}' as feature, 'critical_rule' as evidence_type, {i} as place from features where {f}" for i, f in enumerate(CRITICAL))}
- union all select claim_id, case feature {" ".join(f"when '{f}' then '{c}'" for f, (_, c) in MAPPED.items())} end as reason_code, feature, 'shap' as evidence_type, rank + 100 as place from ({TOPS}) join ({LEVEL}) using (claim_id) where contribution > 0 or risk_level = 'LOW')) where k = 1) where reason_rank <= 3"""
+SHAP_CODE = " ".join(f"when '{f}' then '{c}'" for f, (_, c) in MAPPED.items())
+REASON_ROWS = " union all ".join(
+    f"select f.claim_id, '{MAPPED[c][1]}' as reason_code, '{c}' as feature, 1.0::double as value, coalesce(t.contribution, 0) as contribution, 'critical_rule' as evidence_type, {i} as place from features f left join (select * from tops where feature = '{c}' and rank <= 10) t using (claim_id) where f.{c}"
+    for i, c in enumerate(CRITICAL)
+)
+PICKED = f"""select claim_id, cast(reason_rank as int) as reason_rank, reason_code, feature as feature_name, value, contribution, evidence_type from (
+ select *, row_number() over (partition by claim_id order by place) as reason_rank from (select *, row_number() over (partition by claim_id, reason_code order by place) as k from (
+ with tops as ({TOPS}) {REASON_ROWS}
+ union all select claim_id, case feature {SHAP_CODE} end as reason_code, feature, value, contribution, 'shap' as evidence_type, rank + 100 as place from tops join ({LEVEL}) using (claim_id) where contribution > 0 or risk_level = 'LOW')) where k = 1) where reason_rank <= 3"""
 query("x1_contributions", CONTRIBUTION)(contributions)
 query("x2_top_contributions", f"select * from ({TOPS}) where rank <= 10")(lambda t: tops(t).drop("label", "direction"))
 query("x3_critical_reasons", " union all ".join(f"select claim_id, '{MAPPED[f][1]}' as reason_code, {i} as ordinal from features where {f}" for i, f in enumerate(CRITICAL)))(lambda t: X.critical_rows(t.features).select("claim_id", "reason_code", "ordinal"))
-query("x4_reasons", PICKED)(lambda t: picked(t).select("claim_id", "reason_rank", "reason_code", "feature_name", "evidence_type"))
+query("x4_reasons", PICKED)(lambda t: picked(t).select("claim_id", "reason_rank", "reason_code", "feature_name", "value", "contribution", "evidence_type"))
 query("x5_fallback", f"select claim_id from ({LEVEL}) where claim_id not in (select claim_id from ({PICKED}))")(lambda t: levels(t).join(picked(t).where("evidence_type <> 'fallback'").select("claim_id").distinct(), "claim_id", "left_anti").select("claim_id"))
-query("x6_reason_text")(lambda t: long(t).select("claim_id", "reason_code", "reason_text"))
-query("x7_explanations", f"select p.claim_id, l.risk_level, l.risk_score, p.reason_rank, p.reason_code, p.feature_name, p.evidence_type from ({PICKED}) p join ({LEVEL}) l using (claim_id)")(lambda t: long(t).select("claim_id", "risk_level", "risk_score", "reason_rank", "reason_code", "feature_name", "evidence_type"))
-query("x8_summary", f"select claim_id, max(case when reason_rank = 1 then reason_code end) as reason_1, max(case when reason_rank = 2 then reason_code end) as reason_2, max(case when reason_rank = 3 then reason_code end) as reason_3 from ({PICKED}) group by claim_id")(lambda t: X.summary(long(t)).select("claim_id", "reason_1", "reason_2", "reason_3"))
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+CATALOG = ", ".join("(" + ", ".join([quoted(code), quoted(name), quoted(kind), quoted(text), quoted(fix), quoted(asked_), quoted(json.dumps(tags, separators=(",", ":")))]) + ")" for code, name, kind, text, fix, _, asked_, tags, _ in catalogs.REASONS)
+SHOWN = " ".join(f"when {quoted(f)} then {quoted(n)}" for f, n in catalogs.FEATURE_LABELS.items())
+#: The long table in SQL: texts by feature and value where the operator has them, otherwise the catalog's.
+EXPLAINED = f"""select claim_id, l.risk_score, l.risk_level, (l.risk_level = 'HIGH')::int as predicted_denial, 0.65::double as classification_threshold, 0.4::double as review_threshold, reason_rank, reason_code, reason_title,
+ case when feature_name = 'billed_amount_missing' and value > 0 then 'The source claim did not include a billed amount; the model had to use median imputation.'
+ when feature_name = 'diagnosis_code_missing' and value > 0 then 'The source claim is missing a diagnosis code, which weakens medical-necessity support.'
+ when feature_name = 'procedure_code_missing' and value > 0 then 'The source claim is missing a procedure code, so the billed service is incomplete.'
+ when feature_name = 'proc_no_diag' and value > 0 then 'A procedure is present but no supporting diagnosis is available, which weakens medical-necessity support.'
+ when feature_name = 'diag_no_proc' and value > 0 then 'A diagnosis is present but no billed procedure is available, so the claim line is incomplete.'
+ when feature_name = 'cost_match_encoded' and value <= 1 then 'The cost benchmark is not a strong regional match, so billing review confidence is lower.'
+ when feature_name = 'severity_rank' and value >= 2 then 'The diagnosis has medium/high severity and may require stronger supporting documentation.' else base_text end as reason_text,
+ business_category, evidence_type, feature_name, case feature_name {SHOWN} else feature_name end as feature_label, value::varchar as feature_value, round_even(contribution, 6) as shap_value,
+ case when contribution > 0 then 'increases_risk' when contribution < 0 then 'decreases_risk' else 'neutral' end as shap_direction, 'raw_log_odds_contribution' as shap_output_unit, fix_suggestion, policy_query, policy_tags,
+ 'linear' as model_used, 'week5_xai_v2' as explanation_version, '{MADE}' as created_at
+ from ({PICKED}) p join ({LEVEL}) l using (claim_id) join (values {CATALOG}) c(reason_code, reason_title, business_category, base_text, fix_suggestion, policy_query, policy_tags) using (reason_code)"""
+SUMMED = f"""select claim_id, any_value(risk_score) as risk_score, any_value(risk_level) as risk_level, any_value(predicted_denial) as predicted_denial, any_value(classification_threshold) as classification_threshold, any_value(review_threshold) as review_threshold,
+ max(case when reason_rank = 1 then reason_text end) as reason_1, max(case when reason_rank = 2 then reason_text end) as reason_2, max(case when reason_rank = 3 then reason_text end) as reason_3,
+ to_json(list(reason_code order by reason_rank))::varchar as reason_codes, to_json(list(reason_text order by reason_rank))::varchar as reason_texts_json, to_json(list(fix_suggestion order by reason_rank))::varchar as fix_suggestions_json,
+ to_json(list(policy_query order by reason_rank))::varchar as policy_queries_json, (with g as (select tag, min(place) as place from (select unnest(tags) as tag, unnest(range(len(tags))) as place from (select flatten(list(policy_tags::json::varchar[] order by reason_rank)) as tags)) group by tag) select to_json(list(tag order by place))::varchar from g) as policy_tags_json,
+ 'linear' as model_used, 'week5_xai_v2' as explanation_version, '{MADE}' as created_at from ({EXPLAINED}) group by claim_id"""
+query("x6_reason_text", f"select claim_id, reason_code, reason_text from ({EXPLAINED})")(lambda t: long(t).select("claim_id", "reason_code", "reason_text"))
+query("x7_explanations", EXPLAINED)(long)
+query("x8_summary", SUMMED)(lambda t: X.summary(long(t)))
 query("x9_report", f"with p as ({PICKED}), l as ({LEVEL}) select 'level' as kind, risk_level as name, count(distinct claim_id) as n from p join l using (claim_id) group by 2 union all select 'reason', reason_code, count(*) from p group by 2 union all select 'claims', 'explained', count(distinct claim_id) from p")(lambda t: X.report(long(t)))
-query("x10_unmapped")(lambda t: X.unmapped(X.top_contributions(M.contributions(t.features, {"severity_rank": 0.3, "provider_avg_billed": 0.001}, {"severity_rank": 1.5, "provider_avg_billed": 30000.0}))))
+query("x10_unmapped", "select 'provider_avg_billed' as feature, count(*) as n from features where round_even(0.001::double * (provider_avg_billed::double - 30000.0::double), 4) <> 0 having count(*) > 0")(lambda t: X.unmapped(X.top_contributions(M.contributions(t.features, {"severity_rank": 0.3, "provider_avg_billed": 0.001}, {"severity_rank": 1.5, "provider_avg_billed": 30000.0}))))
 query("x11_selected_claims", "select claim_id from features where claim_id in (select claim_id from claims where denial_flag = 1) order by claim_id limit 100")(lambda t: X.select_claims(t.features, t.claims.where("denial_flag = 1"), 100).select("claim_id"))
 query("x12_picker_order", f"select claim_id, risk_level, risk_score, case risk_level when 'HIGH' then 0 when 'MEDIUM' then 1 else 2 end as level_rank from ({LEVEL})")(lambda t: X.picker_order(levels(t)))
 query("m10_importance", f"select feature, round(avg(abs(contribution)), 6) as mean_abs_contribution from ({CONTRIBUTION}) group by feature")(lambda t: M.importance(contributions(t)))
@@ -128,11 +163,11 @@ TEST_TAGS = [("first", ["thble", "thtion"]), ("second", ["thing", "attion"]), ("
 
 
 def policy_docs(t: Claims) -> DataFrame:
-    return t.table("documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("source_name"), F.concat(F.lit("# Section "), (F.col("doc_id") % 5).cast("string"), F.lit("\n"), F.col("text")).alias("text"))
+    return t.table("documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("source_name"), F.lit("text").alias("source_type"), F.concat(F.lit("documents/"), "source").alias("source_path"), F.concat(F.lit("# Section "), (F.col("doc_id") % 5).cast("string"), F.lit("\n"), F.col("text")).alias("text"))
 
 
 def corpus(t: Claims) -> DataFrame:
-    return t.layer("policy_chunks", lambda: R.chunks(policy_docs(t), tags=TEST_TAGS))
+    return t.layer("policy_chunks", lambda: R.chunks(policy_docs(t), tags=TEST_TAGS, created_at=MADE))
 
 
 WORDS = "[x for x in regexp_split_to_array(text, '\\s+') if x <> '']"
@@ -146,7 +181,7 @@ query("r4_chunk_ids", f"select document_id, window_index, substr(sha256(document
 
 
 def term_table(t: Claims) -> DataFrame:
-    return R.terms(corpus(t), "chunk_id", "chunk_text")
+    return t.layer("policy_terms", lambda: R.terms(corpus(t), "chunk_id", "chunk_text"))
 
 
 query("r5_tfidf")(lambda t: R.tfidf(term_table(t), R.vocabulary(term_table(t), "chunk_id"), "chunk_id").withColumn("weight", F.round("weight", 6)))
@@ -173,11 +208,13 @@ RERANK = f"""select query_id, vec_id, round(score, 6) as raw_similarity_score, s
 query("r9_rerank", RERANK)(lambda t: R.rerank(tagged(t), "query_id", "vec_id"))
 
 
-def asked(t: Claims) -> DataFrame:
-    return long(t).select("reason_code", R.compose_query(F.col("policy_query"), F.col("reason_text")).alias("q")).groupBy("reason_code").agg(F.count_distinct("q").alias("queries"))
+ASKED = "case when contains(policy_query, reason_text) then policy_query else policy_query || chr(10) || 'Reason: ' || reason_text end"
+query("r10_queries", f"select claim_id, reason_code, {ASKED} as retrieval_query from ({EXPLAINED})")(lambda t: long(t).select("claim_id", "reason_code", R.compose_query(F.col("policy_query"), F.col("reason_text")).alias("retrieval_query")))
 
 
-query("r10_queries")(asked)
+def policy_matches(t: Claims) -> DataFrame:
+    """The match table over the document chunks."""
+    return t.layer("policy_match_table", lambda: R.matches(long(t), corpus(t), term_table(t), min_score=0.0, created_at=MADE))
 
 
 def matches(t: Claims) -> DataFrame:
@@ -187,18 +224,17 @@ def matches(t: Claims) -> DataFrame:
 
 def _matches(t: Claims) -> DataFrame:
     hits = R.rerank(tagged(t), "query_id", "vec_id")
-    e = long(t).select("claim_id", "reason_code", "contribution").withColumn("query_id", ((F.length("claim_id") * 7 + F.length("reason_code")) % 26 * 50).cast("long"))
-    return e.join(hits, "query_id").select("claim_id", "reason_code", "contribution", F.col("vec_id").alias("policy_chunk_id"), F.concat(F.lit("source"), (F.col("vec_id") % 7).cast("string")).alias("source_name"), F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("s"), (F.col("vec_id") % 4).cast("string"))).alias("section_title"), "similarity_score", "policy_rank")
+    e = long(t).select("claim_id", "reason_code").withColumn("query_id", ((F.length("claim_id") * 7 + F.length("reason_code")) % 26 * 50).cast("long"))
+    return e.join(hits, "query_id").select("claim_id", "reason_code", F.col("vec_id").alias("policy_chunk_id"), F.concat(F.lit("source"), (F.col("vec_id") % 7).cast("string")).alias("source_name"), F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("s"), (F.col("vec_id") % 4).cast("string"))).alias("section_title"), "similarity_score", "policy_rank")
 
 
 def chunk_rows(t: Claims) -> DataFrame:
     return t.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("source"), (F.col("vec_id") % 9).cast("string")).alias("source_name"), F.concat(F.lit("chunk "), F.col("vec_id").cast("string")).alias("chunk_text"))
 
 
-query("r11_matches")(lambda t: R.matches(long(t), corpus(t), min_score=0.0))
+query("r11_matches")(policy_matches)
 query("r13_summaries", "select doc_id, case when length(f) > 420 then rtrim(substr(f, 1, 419)) || '…' else f end as summary from (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as f from documents)")(lambda t: t.table("documents").select("doc_id", ellipsis(F.col("text")).alias("summary")))
-query("r14_final")(lambda t: R.final_explanations(long(t), matches(t)))
-query("r15_report")(lambda t: R.match_report(policy_docs(t), corpus(t), long(t), matches(t)))
+query("r14_final")(lambda t: R.final_explanations(policy_matches(t), MADE))
 query("r16_tag_lists", "select doc_id, array_to_string([x for x in [trim(y) for y in string_split(source || ', ' || lang || ',', ',')] if x <> ''], '|') as tags from documents")(lambda t: t.table("documents").select("doc_id", F.array_join(tag_list(F.concat("source", F.lit(", "), "lang", F.lit(","))), "|").alias("tags")))
 
 # --- retrieval analytics ---
@@ -216,7 +252,9 @@ query("v4_reason_coverage", _m("""select reason_code, reason_rows, coalesce(matc
  left join (select reason_code, source_name as top_policy_source from (select reason_code, source_name, row_number() over (partition by reason_code order by n desc, source_name) as k from (select reason_code, source_name, count(*) as n from m group by all)) where k = 1) using (reason_code)"""))(lambda t: V.reason_coverage(long(t), matches(t)))
 query("v5_top_chunks", _m("select policy_chunk_id, retrieval_count, avg_similarity, 'source' || (policy_chunk_id % 9)::varchar as source_name, 'chunk ' || policy_chunk_id::varchar as snippet from (select policy_chunk_id, count(*) as retrieval_count, round(avg(similarity_score), 4) as avg_similarity from m group by 1 order by 2 desc, 1 limit 20)"))(lambda t: V.top_chunks(chunk_rows(t), matches(t)))
 query("v6_projection")(lambda t: V.projection(t.table("embeddings"), matches(t)))
-query("v7_strength")(lambda t: V.strength(long(t), matches(t)))
+query("v7_strength", _m("select claim_id, reason_code, abs(contribution) as model_strength, best_similarity from p join (select claim_id, reason_code, max(similarity_score) as best_similarity from m group by all) using (claim_id, reason_code)"))(lambda t: V.strength(long(t), matches(t)))
+query("r15_report", _m(f"""select 'documents' as metric, count(*) as value from documents union all select 'chunks', count(*) from ({CHUNKS}) union all select 'match_rows', count(*) from m
+ union all select 'unmatched_reasons', count(*) from p where not exists (select 1 from m where m.claim_id = p.claim_id and m.reason_code = p.reason_code)"""))(lambda t: R.match_report(policy_docs(t), corpus(t), long(t), matches(t)))
 query("v8_similarity_quartiles", _m("select reason_code, round(quantile_cont(similarity_score, 0.25), 4) as q1, round(quantile_cont(similarity_score, 0.5), 4) as median, round(quantile_cont(similarity_score, 0.75), 4) as q3 from m where reason_code in (select reason_code from m group by 1 order by count(*) desc, 1 limit 12) group by 1"))(lambda t: V.similarity_quartiles(matches(t)))
 query("v8_similarity_histogram", _m("select least(29, greatest(0, cast(floor(round(similarity_score * 30, 6)) as int))) as bin, count(*) as n from m group by 1"))(lambda t: V.similarity_histogram(matches(t)))
 query("v9_kpis", _m("select (select count(*) from embeddings) as chunks, (select count(distinct vec_id % 9) from embeddings) as sources, (select count(*) from m) as matches, (select count(distinct reason_code) from p) as reason_types, (select count(distinct claim_id) from p) as claims_explained"))(lambda t: V.kpis(chunk_rows(t), matches(t), long(t)))
@@ -243,10 +281,6 @@ def recommended(t: Claims) -> DataFrame:
     return t.layer("recommendations", lambda: D.recommendations(checked(t), levels(t), long(t), evidence(t)))
 
 
-def quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
 ACTS = ", ".join(f"({quoted(code)}, {quoted(action)}, {quoted(why)})" for code, action, why in catalogs.ACTIONS)
 FIXES = ", ".join(f"({quoted(r[0])}, {quoted(r[1])}, {quoted(r[4])})" for r in catalogs.REASONS)
 WARNED = {
