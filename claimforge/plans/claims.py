@@ -76,32 +76,41 @@ query("q2_silver_validation", """select "column", "check", failures, case when f
  unnest(['not_null','not_null','not_null','not_null','not_null','not_null','not_null','not_null','not_null','not_null','not_negative','one_of']) as "check",
  unnest([count(*) filter (claim_id is null), count(*) filter (patient_id is null), count(*) filter (provider_id is null), count(*) filter (diagnosis_code is null), count(*) filter (procedure_code is null), count(*) filter (diagnosis_code_missing is null), count(*) filter (procedure_code_missing is null),
   count(*) filter (billed_amount_missing is null), count(*) filter (proc_no_diag is null), count(*) filter (diag_no_proc is null), count(*) filter (billed_amount < 0), count(*) filter (denial_flag not in (0, 1))]) as failures from claims)""")(lambda t: Q.validate(t.claims, Q.SILVER["claims"]))
+RAW_COLUMNS = ["claim_id", "patient_id", "provider_id", "diagnosis_code", "procedure_code", "billed_amount", "date", "denial_flag"]
+
+
+def per_column(table: str, facts: dict[str, str], columns: list[str], dataset: str | None = None) -> str:
+    """SQL for a row per column; {c} in a fact is the column."""
+    head = f"'{dataset}' as dataset, " if dataset else ""
+    return " union all ".join(f"""select {head}'{c}' as "column", {", ".join(f"{f.format(c=c)} as {n}" for n, f in facts.items())} from {table}""" for c in columns)
+
+
 query("q3_contract", "select procedure_code, average_cost, expected_cost, region, cast(cost_ratio as float) as cost_ratio from cost")(lambda t: Q.enforce(t.cost, Q.CONTRACTS["cost_silver"]).select("procedure_code", "average_cost", "expected_cost", "region", "cost_ratio"))
+#: Columns of the features table as its contract has them; counts and amounts come as text, some of it no number.
+CONTRACTED = "claim_id, try_cast(denial_flag as tinyint) as denial_flag, diagnosis_code_missing, coalesce(try_cast(case when severity_rank = 3 then 'high' else severity_rank::varchar end as tinyint), 0) as severity_rank, coalesce(patient_claim_count, 0)::int as patient_claim_count, cast(round(billed_amount_imputed, 2) as float) as billed_amount_imputed, is_high_cost::boolean as is_high_cost"
+
 
+@query("q3_contract_features", f"select {CONTRACTED} from features")
+def q3_features(t: Claims) -> DataFrame:
+    raw = t.features.select("claim_id", F.col("denial_flag").cast("string").alias("denial_flag"), "diagnosis_code_missing", F.when(F.col("severity_rank") == 3, "high").otherwise(F.col("severity_rank").cast("string")).alias("severity_rank"), "patient_claim_count", F.round("billed_amount_imputed", 2).alias("billed_amount_imputed"), F.col("is_high_cost").cast("boolean").alias("is_high_cost"))
+    return Q.enforce(raw, Q.CONTRACTS["gold_claim_features"])
 
-@query("q3_contract_issues")
+
+@query("q3_contract_issues", "select c.*, n as rows from (values ('cost_silver', 'cost_ratio', 'float', 'double')) c(table_name, \"column\", expected, actual), (select count(*) as n from cost) union all select 'diagnosis_silver', 'severity', 'string', 'int', count(*) from diagnosis")
 def q3_issues(t: Claims) -> DataFrame:
-    """Contract mismatches beside the rows of the table they are about."""
-    issues = Q.contract_issues(t.cost, Q.CONTRACTS["cost_silver"])
-    return issues.join(t.cost.agg(F.count("*").alias("rows")), how="cross")
+    """Contract mismatches of three tables beside the rows of the table they are about; a diagnosis table with numbers for severities has one."""
+    tables = {"cost_silver": t.cost, "providers_silver": t.providers, "diagnosis_silver": t.diagnosis.withColumn("severity", F.length("severity"))}
+    found = [Q.contract_issues(df, Q.CONTRACTS[name]).join(df.agg(F.count("*").alias("rows")), how="cross").select(F.lit(name).alias("table_name"), "column", "expected", "actual", "rows") for name, df in tables.items()]
+    return Q.union_all(found)
 
 
-query("q5_audit", """select 'orders' as table_name, "column", null_pct, distinct_count from (select unnest(['o_orderkey','o_custkey','o_orderstatus']) as "column",
- unnest([0.0, 0.0, 0.0]) as null_pct, unnest([count(distinct o_orderkey), count(distinct o_custkey), count(distinct o_orderstatus)]) as distinct_count from orders)""")(lambda t: P.audit(t.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus")).select(F.lit("orders").alias("table_name"), "column", "null_pct", "distinct_count"))
+AUDITED = {"null_pct": "round_even((count(*) - count({c})) * 100.0::double / count(*), 2)", "distinct_count": "count(distinct {c})", "suggestion": "case when '{c}' = 'denial_flag' then 'tinyint' when '{c}' <> 'billed_amount' and count(distinct {c}) between 1 and 10 and count(*) > 100 then 'low cardinality' else '' end"}
+query("q5_audit", per_column("claims_raw", AUDITED, RAW_COLUMNS, "claims").replace("as dataset", "as table_name"))(lambda t: P.audit(t.claims_raw).select(F.lit("claims").alias("table_name"), "column", "null_pct", "distinct_count", "suggestion"))
 query("q6_guard", "select (select count(*) from claims) as rows_before, (select count(*) from base) as rows_after, (select count(*) from claims) = (select count(*) from base) as holds")(lambda t: G.guard(t.claims, t.base))
 query("q6_repeated_keys", "select 'cost' as table_name, procedure_code as key, count(*) as copies from cost group by procedure_code having count(*) > 1")(lambda t: G.repeated_keys({"cost": (t.cost, ["procedure_code"]), "providers": (t.providers, ["provider_id"]), "diagnosis": (t.diagnosis, ["diagnosis_code"])}).where("table_name = 'cost'").unionByName(G.repeated_keys({"providers": (t.providers, ["provider_id"])})))
 query("q7_cleaning_log", "select count(*) filter (denial_flag is null or denial_flag not in (0, 1)) as invalid_labels, count(*) filter (billed_amount < 0) as negatives_nullified, count(*) - count(distinct claim_id) as duplicates_removed from claims_raw")(lambda t: S.cleaning_log(t.claims_raw))
 
 # --- profiling ---
-RAW_COLUMNS = ["claim_id", "patient_id", "provider_id", "diagnosis_code", "procedure_code", "billed_amount", "date", "denial_flag"]
-
-
-def per_column(table: str, facts: dict[str, str], columns: list[str], dataset: str | None = None) -> str:
-    """SQL for a row per column; {c} in a fact is the column."""
-    head = f"'{dataset}' as dataset, " if dataset else ""
-    return " union all ".join(f"""select {head}'{c}' as "column", {", ".join(f"{f.format(c=c)} as {n}" for n, f in facts.items())} from {table}""" for c in columns)
-
-
 NULLS = {"null_count": "count(*) - count({c})", "null_pct": "round_even((count(*) - count({c})) * 100.0::double / count(*), 2)", "present_count": "count({c})"}
 query("p1_null_profile", per_column("claims_raw", NULLS, RAW_COLUMNS, "claims"))(lambda t: P.null_profile(t.claims_raw, "claims"))
 query("p2_duplicates", f"select (select count(*) from claims_raw) - (select count(*) from (select distinct {', '.join(RAW_COLUMNS)} from claims_raw)) as full_row_duplicates, (select count(*) - count(distinct claim_id) from claims_raw) as id_duplicates")(lambda t: P.duplicate_profile(t.claims_raw, "claim_id"))

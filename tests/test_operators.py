@@ -1,6 +1,10 @@
 """Rules of single operators on tiny tables with literal expectations."""
 
 import html
+import json
+import math
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +166,80 @@ def test_low_risk_claims_get_no_risk_reasons_and_blocked_ones_only_fixes(spark):
         got.setdefault(r.claim_id, []).append((r.priority, r.reason_code, r.evidence_source))
     assert got == {"low": [("LOW", None, None)], "high": [("HIGH", "MISSING_DIAGNOSIS", "b"), ("MEDIUM", "CLAIM_WARN_MISSING_DIAGNOSIS", None)], "bad": [("HIGH", "CLAIM_ERR_INVALID_AMOUNT", None)]}
     assert {r.claim_id: r.status for r in remediation.decisions(checked, scores, recs).collect()} == {"low": "READY_TO_SUBMIT", "high": "REVIEW_REQUIRED", "bad": "BLOCKED"}
+
+
+def test_contracts_fill_what_may_not_be_null_and_keep_other_columns(spark):
+    rows = spark.createDataFrame([("c", "7", None, "x", "kept"), ("d", "many", True, "2.5", None)], "claim_id string, patient_claim_count string, is_high_cost boolean, billed_amount string, other string")
+    out = quality.enforce(rows, quality.CONTRACTS["gold_claim_features"])
+    assert dict(out.dtypes) == {"claim_id": "string", "patient_claim_count": "int", "is_high_cost": "boolean", "billed_amount": "double", "other": "string"}
+    assert [tuple(r) for r in out.orderBy("claim_id").collect()] == [("c", 7, False, None, "kept"), ("d", 0, True, 2.5, None)]
+    assert [tuple(r) for r in quality.contract_issues(rows, quality.CONTRACTS["gold_claim_features"]).collect()] == [("billed_amount", "double", "string"), ("patient_claim_count", "int", "string")]
+
+
+def explained(spark):
+    """Three reasons of two claims, as the long table has them."""
+    chosen = spark.createDataFrame([("c1", 1, "MISSING_DIAGNOSIS", "diagnosis_code_missing", 1.0, 0.5, "critical_rule"), ("c1", 2, "HIGH_BILLING_AMOUNT", "billed_deviation_imputed_capped", 12.34, -0.25, "shap"), ("c2", 1, "PROVIDER_HISTORY_RISK", "provider_violation_rate", 0.456, 0.0, "shap")], "claim_id string, reason_rank int, reason_code string, feature_name string, value double, contribution double, evidence_type string")
+    scores = spark.createDataFrame([("c1", 0.8125, "HIGH", 1), ("c2", 0.1, "LOW", 0)], "claim_id string, risk_score double, risk_level string, predicted_denial int")
+    return reasons.explanations(chosen, scores, created_at="now")
+
+
+def test_explanations_have_every_contracted_column(spark):
+    long = explained(spark)
+    assert set(long.columns) == set(quality.CONTRACTS["gold_claim_explanations"])
+    rows = {(r.claim_id, r.reason_rank): r for r in long.collect()}
+    one = rows["c1", 2]
+    assert (one.reason_text, one.feature_label, one.feature_value, one.shap_value, one.shap_direction) == ("The billed amount is about 12.3% above the expected benchmark for this procedure.", "Billing Deviation From Expected", "12.34", -0.25, "decreases_risk")
+    assert rows["c2", 1].shap_direction == "neutral" and "0.46" in rows["c2", 1].reason_text
+    short = reasons.summary(long)
+    assert set(short.columns) == set(quality.CONTRACTS["gold_claim_explanation_summary"])
+    c1 = short.where("claim_id = 'c1'").first()
+    assert (c1.reason_1, c1.reason_2, c1.reason_3) == (rows["c1", 1].reason_text, one.reason_text, None)
+    tags = [t for k in (1, 2) for t in json.loads(rows["c1", k].policy_tags)]
+    assert json.loads(c1.policy_tags_json) == list(dict.fromkeys(tags)) and json.loads(c1.reason_codes) == ["MISSING_DIAGNOSIS", "HIGH_BILLING_AMOUNT"]
+
+
+def best_chunks(asked, chunks, k=3):
+    """The match rule in plain Python: sublinear tf-idf over words and pairs, a boost for each shared tag, a floor, the top k."""
+    def counted(text):
+        words = [w for w in re.findall(r"\b\w\w+\b", text.lower(), re.A) if w not in retrieval.STOP_WORDS]
+        return Counter(words + [" ".join(p) for p in zip(words, words[1:])])
+
+    frequencies = {c.chunk_id: counted(c.chunk_text) for c in chunks}
+    df = Counter(t for f in frequencies.values() for t in f)
+
+    def vector(f):
+        raw = {t: (1 + math.log(n)) * (math.log((1 + len(frequencies)) / (1 + df[t])) + 1) for t, n in f.items() if t in df}
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        return {t: w / norm for t, w in raw.items()}
+
+    vectors, q = {c: vector(f) for c, f in frequencies.items()}, vector(counted(asked[0]))
+    scored = []
+    for c in chunks:
+        raw = sum(w * vectors[c.chunk_id].get(t, 0) for t, w in q.items())
+        shared = len(set(asked[1]) & set(c.policy_tags))
+        if raw > 0 and raw + retrieval.BOOST * shared >= 0.05:
+            scored.append((-round(raw + retrieval.BOOST * shared, 6), -shared, c.chunk_id))
+    return [(c, -s) for s, _, c in sorted(scored)[:k]]
+
+
+def test_matches_and_final_explanations_as_brute_force(spark):
+    texts = ["# Coding\nA claim must include a diagnosis code that supports medical necessity of the procedure.", "# Amounts\nBilled amounts above expected cost need documentation; verify the cost benchmark.", "Provider history and credential review of the billing provider.", "# Other\nUnrelated words about weather."]
+    docs = spark.createDataFrame([(f"d{i}", f"s{i}", "text", f"/p/{i}", t) for i, t in enumerate(texts)], "document_id string, source_name string, source_type string, source_path string, text string")
+    corpus, long = retrieval.chunks(docs, created_at="now"), explained(spark)
+    found = retrieval.matches(long, corpus, min_score=0.05, created_at="now")
+    assert set(found.columns) == set(quality.CONTRACTS["gold_claim_policy_matches"])
+    chunks, got = corpus.collect(), {}
+    for r in found.orderBy("claim_id", "reason_rank", "policy_rank").collect():
+        got.setdefault((r.claim_id, r.reason_code), []).append(r)
+    for e in long.collect():
+        want = best_chunks((f"{e.policy_query}\nReason: {e.reason_text}", json.loads(e.policy_tags)), chunks)
+        assert [(r.policy_chunk_id, pytest.approx(r.similarity_score, abs=2e-6)) for r in got.get((e.claim_id, e.reason_code), [])] == want
+    final = retrieval.final_explanations(found, "now")
+    assert set(final.columns) == set(quality.CONTRACTS["gold_claim_final_explanations"])
+    for f in final.collect():
+        best = [rows[0] for (claim, _), rows in got.items() if claim == f.claim_id]
+        places = [f"- {r.source_name}" + (f" / {r.section_title}" if r.section_title else "") + f": {r.policy_summary}" for r in best]
+        assert f.final_explanation_text == f"Claim {f.claim_id} is {f.risk_level} risk with score {f.risk_score:.2%}.\n\nReasons:\n" + "\n".join(f"- {r.reason_title}: {r.reason_text}" for r in best) + "\n\nPolicy support:\n" + "\n".join(places) + "\n\nRecommended actions:\n" + "\n".join(f"- {r.fix_suggestion}" for r in best)
+        assert json.loads(f.reasons_json) == [{c: r[c] for c in ("reason_code", "reason_title", "reason_text", "fix_suggestion")} for r in best]
+        assert json.loads(f.policies_json) == [{c: r[c] for c in ("reason_code", "source_name", "section_title", "page_number", "policy_summary", "similarity_score")} for r in best]
+        assert json.loads(f.recommended_actions_json) == list(dict.fromkeys(r.fix_suggestion for r in best))
