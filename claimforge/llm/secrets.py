@@ -33,7 +33,7 @@ P_STEPS = 40
 
 SPAN = "array<struct<start: int, kind: int, end: int, piece: string>>"
 #: Alphabet size and chance that two neighbours are of different classes (digit, lower, upper, other), by encoding.
-ENCODINGS = "array(struct(16 AS size, 0.46875D AS change), struct(32 AS size, 0.3047D AS change), struct(36 AS size, 0.4012D AS change), struct(62 AS size, 0.6223D AS change), struct(64 AS size, 0.6454D AS change))"
+ENCODINGS = "array(struct(16 AS size, 0.46875D AS change), struct(32 AS size, 0.3047D AS change), struct(36 AS size, 0.4012D AS change), struct(62 AS size, 0.6223D AS change), struct(64 AS size, 0.6445D AS change))"
 
 
 def spans(text: Column, kind: int, pattern: str, group: int, keep) -> Column:
