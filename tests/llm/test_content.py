@@ -2,7 +2,10 @@
 
 import hashlib
 import html
+import math
+import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -38,7 +41,18 @@ def test_toxicity_on_held_out_rows(spark, odd, empty):
     assert np.mean([r.toxic for r in rows if r.predicted]) > 0.8
     assert toxicity.scored(odd, model).count() == odd.count() and toxicity.scored(empty, model).count() == 0
     assert toxicity.without_toxic(odd, model).columns == odd.columns
-    assert toxicity.learn(empty, labels).scores == {}
+    nothing = toxicity.learn(empty, labels)
+    assert nothing.scores == {} and {r.score for r in toxicity.scored(odd, nothing).collect()} == {0.0}
+    assert toxicity.without_toxic(odd, nothing).count() == odd.count()
+
+
+def test_toxicity_without_both_classes_flags_nothing(spark, odd):
+    """Labels of one class, or toxic ones in no row that gives the map, are no ground to drop a document."""
+    for toxic in (0, 1):
+        labels = spark.createDataFrame([(i, 1, toxic) for i in range(1, 11)], "doc_id long, quality int, toxic int")
+        model = toxicity.learn(odd, labels)
+        assert all(r.score == 0 and not r.predicted for r in toxicity.scored(odd, model).collect())
+        assert toxicity.without_toxic(odd, model).count() == odd.count()
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -67,6 +81,70 @@ def test_secrets(spark, odd, empty):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def battery(text):
+    """(start, end, length class, p step) of the runs that go through the tests, from their definitions."""
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text or ""):
+        if not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])):
+            continue
+        x = m[0].rstrip("=")
+        n = len(x)
+        fits = [(16, "[0-9a-f]+|[0-9A-F]+", (10, 6)), (32, "[A-Z2-7]+", (26, 6)), (36, "[0-9a-z]+|[0-9A-Z]+", (26, 10)), (62, "[0-9A-Za-z]+", (26, 26, 10)), (64, ".+", (26, 26, 10, 2))]
+        size, _, parts = next(f for f in fits if re.fullmatch(f[1], m[0]) or f[0] == 64) if not re.search("[+/_=-]", m[0]) else fits[4]
+        change = 1 - sum(k * k for k in parts) / size**2
+        counts = [x.count(c) for c in set(x)]
+        uniform = (sum(k * k for k in counts) * size / n - n - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
+        kinds = ["0" if c.isdigit() else "a" if c.islower() else "A" if c.isupper() else "+" for c in x]
+        runs = 1 + sum(a != b for a, b in zip(kinds, kinds[1:]))
+        ordered = (1 + (n - 1) * change - runs) / math.sqrt((n - 1) * change * (1 - change))
+        codes = np.array([ord(c) for c in x], float) - np.mean([ord(c) for c in x])
+        serial = abs((codes[1:] * codes[:-1]).sum() / (codes**2).sum() + 1 / n) * math.sqrt(n) - 0.5 if (codes**2).sum() else 98.5
+        z = min(30, max(uniform, ordered, serial))
+        p = min(1, 3 / (1 + math.exp(min(600, 1.5976 * z + 0.070566 * z**3))))
+        out.append((m.start(), m.end(), math.floor(math.log(n) / math.log(secrets.LENGTH_BASE)), min(secrets.P_STEPS, max(0, math.floor(-2 * math.log10(p))))))
+    return out
+
+
+def uncleared(texts):
+    """Runs of each text that Benjamini and Hochberg's step-up procedure, on each length class by itself, leaves."""
+    runs = [battery(t) for t in texts]
+    cleared_from = {}
+    for k in {r[2] for rs in runs for r in rs}:
+        steps = sorted((r[3] for rs in runs for r in rs if r[2] == k), reverse=True)
+        passed = [s for i, s in enumerate(steps) if i + 1 == steps.count(s) + steps.index(s) and s > 0 and 10 ** (-s / 2) <= secrets.LEVEL * (i + 1) / len(steps)]
+        cleared_from[k] = min(passed, default=math.inf)
+    return [[(a, b) for a, b, k, s in rs if s < cleared_from[k]] for rs in runs]
+
+
+def test_randomness_battery_as_brute_force(spark):
+    r = random.Random(3)
+    alphabets = ["0123456789abcdef", string.ascii_uppercase + "234567", string.ascii_lowercase + string.digits, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/"]
+    texts = []
+    for i in range(240):
+        made = ["".join(r.choice(alphabets[(i + j) % 5]) for _ in range(r.randint(18, 150))) for j in range(3)]
+        dull = [r.choice(["abc123", "ab-cd-12", "Name1Value2", "a1"]) * r.randint(4, 20), "2024-01-" + "-".join(f"page{k}" for k in range(r.randint(3, 9))), "x" * 30 + "1" + "=" * (i % 3)]
+        texts.append(" 🙂 ".join(r.sample([*made, *dull, "plain words", 'password: "hunter2hunter2"'], 6)))
+    texts += ["", None, "token=" + "a1" * 4000, " ".join(f"secret=value{k:06d}" for k in range(2000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    extra = uncleared(texts)
+    assert sum(map(len, extra)) > 200 and sum(len(battery(t)) - len(e) for t, e in zip(texts, extra)) > 200
+    for row in secrets.scan(df).collect():
+        want = sorted([*base(texts[row.doc_id]), *((a, 3, b) for a, b in extra[row.doc_id])])
+        assert row.spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+    masked = {row.doc_id: row.text for row in secrets.redacted(df).collect()}
+    assert masked == {i: masked_by_hand(t, [*base(t), *((a, 3, b) for a, b in e)]) for i, (t, e) in enumerate(zip(texts, extra))}
+
+
+def masked_by_hand(text, spans):
+    """The text with MASK for each stretch of touching or overlapping spans."""
+    at, out = 0, ""
+    for a, _, b in sorted(spans):
+        if a > at or not out and a == at == 0:
+            out += text[at:a] + secrets.MASK
+        at = max(at, b)
+    return text if not spans else out + text[at:]
+
+
 def test_html_of_pages(spark):
     pages = read(spark, "/root/testdata/sf0.01", "pages")
     rows = html_text.extracted(pages, html_text.learn(pages)).join(pages.select("page_id", "html"), "page_id").collect()
