@@ -1,9 +1,13 @@
 """Near duplicates, passages and fingerprints against brute force."""
 
 import hashlib
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -245,3 +249,40 @@ def test_fingerprints(spark, prose, odd, odd_rows, empty):
     out = imatch.fingerprints(odd).collect()
     assert len(out) == len(odd_rows) and len({r.fingerprint for r in out if r.doc_id in (4, 8)}) == 1
     assert imatch.fingerprints(empty).count() == 0
+
+
+def test_fingerprints_as_brute_force(spark, prose):
+    """Lexicon, fingerprints, edited texts and likeness, each from its definition."""
+    rows = [(i * 7, " ".join(prose(i % 45, 60).split() + [f"word{i % k}" for k in (3, 11, 90)])) for i in range(90)]
+    rows += [(5, None), (6, ""), (8, "Éa_1 word0 WORD0 日本語"), (None, prose(3, 60)), (1000, prose(7, 12_000)), (9, "!?")]
+    texts = [(i, t or "") for i, t in rows]
+    df = Counter(w for _, t in texts for w in set(re.findall(r"\w+", t.lower())))
+    low, high = imatch.IDF_BAND
+    band = {w for w, n in df.items() if low <= math.log(len(texts) / n) <= high}
+    assert 0 < len(band) < len(df)
+
+    def mark(text):
+        own = set(re.findall(r"\w+", text.lower()))
+        kept = own & band or own
+        h = np.array(sorted(xxhash.xxh3_64_intdigest(w) for w in kept), np.uint64)
+        out = []
+        for i, rate in enumerate(r for r in imatch.RATES for _ in range(imatch.PER_RATE)):
+            draws = imatch.mix(h ^ imatch.mix(np.array([i], np.uint64) + np.uint64(0x51ED27)))
+            chosen = h[(draws >> np.uint64(11)).astype(float) / 2**53 < rate]
+            out.append(f"{xxhash.xxh3_64_intdigest(chosen.tobytes()) % 16**imatch.DIGITS:06x}" if len(chosen) else "." * imatch.DIGITS)
+        return out
+
+    def alike(a, b):
+        held = [x == y for x, y in zip(a, b) if "." not in x or "." not in y]
+        return sum(held) / len(held) if held else 1.0
+
+    order = sorted(texts, key=lambda r: -math.inf if r[0] is None else r[0], reverse=True)
+    want = []
+    for (i, t), (_, follower) in zip(order, order[1:] + order[:1]):
+        third = len(t) // 3
+        edited = t[: len(t) - third] + follower[:third]
+        a, b = mark(t), mark(edited)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), "".join(a), "".join(b), alike(a, b), alike(a, mark(follower))))
+    got = [tuple(r) for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    by_id = lambda r: (r[0] is None, r[0] or 0)
+    assert sorted(got, key=by_id) == sorted(want, key=by_id)
