@@ -36,8 +36,10 @@ _written: dict[tuple[str, str, str], str] = {}
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, a temporary one only where that is unset."""
+    """A new folder that all executors share: under spark.checkpoint.dir, a temporary one only in local mode where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}" if base else f"file://{tempfile.mkdtemp(prefix='claims-')}/{name}"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles
 from ..functions.text import ratio, safe_number
 from .silver import safe_date
 
@@ -127,7 +128,7 @@ def outcomes(claims: DataFrame) -> DataFrame:
 
 
 def dimension_counts(base: DataFrame, dimensions: tuple[str, ...] = ("specialty", "location", "severity", "cost_match_level")) -> DataFrame:
-    """dimension, value, claims of several dimensions in one pass (grouping sets); null is Unknown."""
+    """dimension, value, claims of several dimensions in one pass (a row for each dimension); null is Unknown."""
     long = base.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d), F.lit("Unknown")).alias("value")) for d in dimensions))).alias("x"))
     return long.groupBy("x.dimension", "x.value").agg(F.count("*").alias("claims"))
 
@@ -137,8 +138,8 @@ def top_specialties(base: DataFrame, top: int = 6) -> DataFrame:
 
 
 def amount_snapshot(claims: DataFrame) -> DataFrame:
-    p = F.percentile(AMOUNT(), F.array(F.lit(0.5), F.lit(0.9)))
-    return claims.agg(F.bround(p[0], 2).alias("median_billed"), F.bround(p[1], 2).alias("p90_billed"))
+    p = quantiles(claims, AMOUNT(), median_billed=0.5, p90_billed=0.9)
+    return p.select(*(F.bround(c, 2).alias(c) for c in p.columns))
 
 
 def benchmark_spread(claims: DataFrame, cost: DataFrame, over: float = 50.0) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles
 from ..functions.text import clip, ratio, safe_number
 
 FLAGS = ("diagnosis_code_missing", "procedure_code_missing", "billed_amount_missing", "proc_no_diag", "diag_no_proc")
@@ -117,11 +118,11 @@ def encode(base: DataFrame) -> DataFrame:
 
 
 def procedure_medians(base: DataFrame) -> DataFrame:
-    return base.where("billed_amount is not null").groupBy("procedure_code").agg(F.median("billed_amount").alias("procedure_median"))
+    return quantiles(base, F.col("billed_amount"), ("procedure_code",), procedure_median=0.5)
 
 
 def global_median(base: DataFrame) -> DataFrame:
-    return base.agg(F.coalesce(F.median("billed_amount"), F.lit(0.0)).alias("global_median"))
+    return quantiles(base, F.col("billed_amount"), global_median=0.5).na.fill(0.0)
 
 
 def impute_amounts(base: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def cap_deviations(df: DataFrame) -> DataFrame:
 
 def flag_high_cost(df: DataFrame) -> DataFrame:
     """Above the upper quartile of the expected cost over claim rows."""
-    limit = df.agg(F.percentile("expected_cost", F.lit(0.75)).alias("p75"))
+    limit = quantiles(df, F.col("expected_cost"), p75=0.75)
     return df.join(F.broadcast(limit), how="cross").withColumn("is_high_cost", F.coalesce((F.col("billed_amount_imputed") > F.col("p75")).cast("int"), F.lit(0))).drop("p75")
 
 
@@ -162,7 +163,7 @@ def lookup_tables(features: DataFrame, providers: DataFrame, diagnosis: DataFram
         "diagnosis": diagnosis.transform(encode_severity),
         "regional_cost": regional_benchmark(cost),
         "procedure_cost": procedure_benchmark(cost),
-        "scalars": global_median(features).join(features.agg(F.coalesce(F.percentile("expected_cost", F.lit(0.75)), F.lit(0.0)).alias("expected_cost_p75")), how="cross"),
+        "scalars": global_median(features).join(quantiles(features, F.col("expected_cost"), expected_cost_p75=0.75).na.fill(0.0), how="cross"),
     }
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles
+
 #: Columns that carry provenance, not data.
 META = ("ingestion_timestamp", "source_file", "silver_timestamp", "gold_timestamp", "_ordinal")
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
@@ -47,9 +49,12 @@ def cardinality_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
 def numeric_profile(df: DataFrame) -> DataFrame:
     """column, count, mean, std, min, p25, p50, p75, max (2 decimals; sample deviation, exact quartiles)."""
     columns = [c for c, t in df.select(*data_columns(df)).dtypes if t in NUMERIC or t.startswith("decimal")]
-    facts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "p25": lambda c: F.percentile(c, F.lit(0.25)), "p50": lambda c: F.percentile(c, F.lit(0.5)), "p75": lambda c: F.percentile(c, F.lit(0.75)), "max": F.max}
-    one = df.agg(*((f(F.col(c).cast("double")) if n == "count" else F.bround(f(F.col(c).cast("double")), 2)).alias(f"{c}__{n}") for c in columns for n, f in facts.items()))
-    return _rows(one, columns, list(facts))
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")).select("x.*")
+    facts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    one = df.agg(*(f(F.col(c).cast("double")).alias(f"{c}__{n}") for c in columns for n, f in facts.items()))
+    whole = _rows(one, columns, list(facts)).join(quantiles(long, F.col("v"), ("column",), p25=0.25, p50=0.5, p75=0.75), "column", "left")
+    order = ("mean", "std", "min", "p25", "p50", "p75", "max")
+    return whole.select("column", "count", *(F.bround(c, 2).alias(c) for c in order))
 
 
 def value_counts(df: DataFrame, most_distinct: int = 10, top: int = 10) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import quantiles
+
 KEYS = ("claim_id", "reason_code", "policy_chunk_id", "source_name", "section_title")
 SAMPLE_ROWS = 1500
 
@@ -69,8 +71,8 @@ def similarity_quartiles(matches: DataFrame, top: int = 12) -> DataFrame:
     """Quartiles of similarity of the most frequent reasons."""
     m = dedupe(matches)
     often = m.groupBy("reason_code").count().orderBy(F.desc("count"), "reason_code").limit(top).select("reason_code")
-    p = F.percentile("similarity_score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return m.join(often, "reason_code", "left_semi").groupBy("reason_code").agg(*(F.round(p[i], 4).alias(n) for i, n in enumerate(("q1", "median", "q3"))))
+    p = quantiles(m.join(often, "reason_code", "left_semi"), F.col("similarity_score"), ("reason_code",), q1=0.25, median=0.5, q3=0.75)
+    return p.select("reason_code", *(F.round(c, 4).alias(c) for c in ("q1", "median", "q3")))
 
 
 def similarity_histogram(matches: DataFrame, bins: int = 30) -> DataFrame:

@@ -32,8 +32,16 @@ def folder(t: Claims, name: str) -> str:
 
 # --- models: metrics on a given score ---
 AUC = "(select sum(pos * (under + neg / 2.0)) / (sum(pos) * sum(neg))::double from (select pos, neg, coalesce(sum(neg) over (order by score rows between unbounded preceding and 1 preceding), 0) as under from (select score, sum(label) as pos, sum(1 - label) as neg from scored group by score)))"
-query("m5_metrics", f"""select tp as true_positives, fp as false_positives, fn as false_negatives, tn as true_negatives, total, round_even(tp * 1.0::double / (tp + fn), 4) as recall, round_even(tp * 1.0::double / (tp + fp), 4) as precision, round_even(tp * 2.0::double / (2 * tp + fp + fn), 4) as f1,
- round_even((tp + tn) * 1.0::double / total, 4) as accuracy, round_even({AUC}, 4) as roc_auc, 0.5::double as threshold from (select count(*) filter (score >= 0.5 and label = 1) as tp, count(*) filter (score >= 0.5 and label = 0) as fp, count(*) filter (score < 0.5 and label = 1) as fn, count(*) filter (score < 0.5 and label = 0) as tn, count(*) as total from scored)""")(lambda t: M.metrics(t.scored))
+METRICS = f"""select tp as true_positives, fp as false_positives, fn as false_negatives, tn as true_negatives, total, round_even(tp * 1.0::double / (tp + fn), 4) as recall, round_even(tp * 1.0::double / (tp + fp), 4) as precision, round_even(tp * 2.0::double / (2 * tp + fp + fn), 4) as f1,
+ round_even((tp + tn) * 1.0::double / total, 4) as accuracy, round_even({AUC}, 4) as roc_auc, 0.5::double as threshold from (select count(*) filter (score >= 0.5 and label = 1) as tp, count(*) filter (score >= 0.5 and label = 0) as fp, count(*) filter (score < 0.5 and label = 1) as fn, count(*) filter (score < 0.5 and label = 0) as tn, count(*) as total from scored)"""
+query("m5_metrics", METRICS)(lambda t: M.metrics(t.scored))
+# a second score that orders rows almost as the first does, but is lower
+SECOND = "select row_id, label, round(score * score, 3) as score from scored"
+query(
+    "m5_comparison",
+    f"""select *, row_number() over (order by roc_auc desc, recall desc, model desc) = 1 as selected from (
+ select *, 'trees' as model from ({METRICS}) union all select *, 'linear' as model from (with second as ({SECOND}) {METRICS.replace("from scored", "from second")}))""",
+)(lambda t: M.compare(t.scored.withColumn("second", F.round(F.col("score") * F.col("score"), 3)), {"trees": "score", "linear": "second"}))
 SWEEP = """select round(i * 0.005::double + 0.05::double, 3) as threshold, cast(sum(case when score >= round(i * 0.005::double + 0.05::double, 3) and label = 1 then c else 0 end) as bigint) as tp, cast(sum(case when score >= round(i * 0.005::double + 0.05::double, 3) and label = 0 then c else 0 end) as bigint) as fp,
  cast(sum(case when label = 1 then c else 0 end) as bigint) as pos, cast(sum(c) as bigint) as n from (select score, label, count(*) as c from scored group by all), (select unnest(range(181)) as i) group by i"""
 query("m6_sweep", f"select threshold, tp, fp, pos - tp as fn, n - pos - fp as tn, round(case when pos > 0 then tp * 1.0::double / pos else 0 end, 6) as recall, round(case when tp + fp > 0 then tp * 1.0::double / (tp + fp) else 0 end, 6) as precision from ({SWEEP})")(lambda t: M.sweep(t.scored).select("threshold", "tp", "fp", "fn", "tn", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision")))
@@ -53,13 +61,24 @@ query("m1_design_matrix", f"select {DESIGN} from features")(lambda t: M.design_m
 query("m2_split", "select case when u < 6 then 'train' when u < 8 then 'validation' else 'test' end as part, denial_flag, count(*) as n from (select denial_flag, ('0x' || substr(md5(claim_id || '42'), 1, 8))::bigint % 10 as u from features) group by all")(lambda t: M.split(M.design_matrix(t.features)).groupBy("part", "denial_flag").agg(F.count("*").alias("n")))
 
 
+def parts(t: Claims) -> DataFrame:
+    return t.layer("model_parts", lambda: M.split(M.design_matrix(t.features)))
+
+
 def scored_by(t: Claims, kind: str, rounds: int = 10) -> DataFrame:
-    data = M.split(M.design_matrix(t.features)).persist()
+    data = parts(t)
     return M.predict(M.fit(data, kind, rounds), data.where("part = 'test'")).select("claim_id", "denial_flag", "risk_score", "risk_level", "predicted_denial")
 
 
+def explained_by(t: Claims) -> DataFrame:
+    data = parts(t)
+    return M.fitted_contributions(M.fit(data), data.where("part = 'test'"))
+
+
 query("m3_logistic")(lambda t: scored_by(t, "logistic"))
 query("m4_boosted_trees")(lambda t: scored_by(t, "trees", rounds=200))
+query("x1_fitted")(explained_by)
+query("m10_fitted")(lambda t: M.importance(explained_by(t).where("feature <> 'base value'")))
 
 # --- intake ---
 

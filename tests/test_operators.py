@@ -6,11 +6,15 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+from claimforge.fixtures import Claims
+from claimforge.functions.ranks import quantiles, running, score_slot
 from claimforge.functions.text import clip, ellipsis, html_to_text, references_decoded, tag_list, title
-from claimforge.operators import analytics, gold, intake, ml, quality, reasons, remediation, retrieval, silver
+from claimforge.operators import analytics, gold, intake, ml, profile, quality, reasons, remediation, retrieval, silver
 from claimforge.plans import registry
 from claimforge.sources import io
 
@@ -243,3 +247,42 @@ def test_matches_and_final_explanations_as_brute_force(spark):
         assert json.loads(f.reasons_json) == [{c: r[c] for c in ("reason_code", "reason_title", "reason_text", "fix_suggestion")} for r in best]
         assert json.loads(f.policies_json) == [{c: r[c] for c in ("reason_code", "source_name", "section_title", "page_number", "policy_summary", "similarity_score")} for r in best]
         assert json.loads(f.recommended_actions_json) == list(dict.fromkeys(r.fix_suggestion for r in best))
+
+
+def test_quantiles_and_running_sums_as_the_whole_sort_has_them(spark):
+    values = [(k, v) for k in ("a", "b") for v in (-7.5, -0.25, 0.0, 0.0, 0.001, 3.0, 3.0, 3.04, 90.0, 1e9)] + [("c", 5.0), ("d", None), ("e", float("nan")), ("a", 12.0)]
+    df = spark.createDataFrame(values, "k string, v double")
+    found = {r.k: (r.q1, r.mid, r.top) for r in quantiles(df, F.col("v"), ("k",), q1=0.25, mid=0.5, top=0.97).collect()}
+    for k in "abc":
+        want = np.quantile([v for g, v in values if g == k], (0.25, 0.5, 0.97))
+        assert np.allclose(found.pop(k), want)
+    assert not found
+    held = [v for _, v in values if v is not None and v == v]
+    assert np.isclose(quantiles(df, F.col("v"), mid=0.5).first().mid, np.median(held))
+    assert quantiles(df.where("false"), F.col("v"), mid=0.5).collect() == [(None,)]
+    rows = [(i / 10_000, i % 3) for i in range(0, 10_001, 7)]
+    placed = running(spark.createDataFrame(rows, "score double, n int"), "score", score_slot(F.col("score")), "n").collect()
+    assert sorted((r.score, r.n_before, r.n_all) for r in placed) == [(s, sum(n for x, n in rows[:i]), sum(n for _, n in rows)) for i, (s, _) in enumerate(rows)]
+
+
+def test_fitted_contributions_add_up_to_the_models_log_odds(spark, small):
+    data = ml.split(ml.design_matrix(Claims(spark, small).features)).persist()
+    model = ml.fit(data)
+    test = data.where("part = 'test'")
+    total = ml.fitted_contributions(model, test).groupBy("claim_id").agg(F.sum("contribution").alias("total"))
+    p = model.transform(test).select("claim_id", vector_to_array("rawPrediction")[1].alias("log_odds"))
+    rows = total.join(p, "claim_id").collect()
+    assert len(rows) == test.count() > 100
+    assert max(abs(r.total - r.log_odds) for r in rows) < 1e-3
+
+
+def test_the_better_model_is_selected_and_ties_go_to_the_first(spark):
+    df = spark.createDataFrame([(1, 0.9, 0.4, 0.9), (0, 0.2, 0.1, 0.2), (1, 0.7, 0.6, 0.7), (0, 0.8, 0.3, 0.8)], "label int, a double, b double, c double")
+    chosen = lambda **scores: [r.model for r in ml.compare(df, scores).where("selected").collect()]
+    assert chosen(first="a", second="b") == ["second"]
+    assert chosen(first="c", second="a") == ["first"]
+
+
+def test_numeric_profile_of_an_empty_table_lists_its_columns(spark):
+    rows = profile.numeric_profile(spark.createDataFrame([], "id string, x double, y int")).collect()
+    assert sorted((r["column"], r["count"], r.p50) for r in rows) == [("x", 0, None), ("y", 0, None)]
