@@ -10,6 +10,8 @@ from .gold import COST_MATCH, SPECIALTY, encoded
 from .ml import DEFAULT_BANDS, levelled
 
 REQUIRED = ("claim_id", "patient_id", "provider_id")
+#: Fixed value: the code of a claim whose flags and fields contradict each other.
+INCONSISTENT = "INFER_006"
 #: Issue texts by code.
 MESSAGES = {
     "CLAIM_ERR_INVALID_AMOUNT": "billed_amount must be a finite, non-negative number.",
@@ -69,10 +71,11 @@ def validate(claims: DataFrame, lookups: dict[str, DataFrame], require_amount: b
 
 
 def contradictions(claims: DataFrame) -> DataFrame:
-    """Adds contradiction: the first field whose missing flag is set although it has a value."""
+    """Adds contradiction: the first field whose missing flag is set although it has a value. Claims without such flags have none."""
     has = lambda c: F.col(c).isNotNull() & ~F.col(c).cast("string").isin("", MISSING)
-    found = F.when(F.col("billed_amount_missing") & F.col("billed_amount").isNotNull(), "billed_amount").when(F.col("diagnosis_code_missing") & has("diagnosis_code"), "diagnosis_code").when(F.col("procedure_code_missing") & has("procedure_code"), "procedure_code")
-    return claims.withColumn("contradiction", found)
+    present = {"billed_amount": F.col("billed_amount").isNotNull(), "diagnosis_code": has("diagnosis_code"), "procedure_code": has("procedure_code")}
+    found = [F.when(F.col(f"{c}_missing") & here, c) for c, here in present.items() if f"{c}_missing" in claims.columns]
+    return claims.withColumn("contradiction", F.coalesce(*found, F.lit(None).cast("string")))
 
 
 def build_features(claims: DataFrame, lookups: dict[str, DataFrame]) -> DataFrame:
@@ -104,13 +107,15 @@ def rule_score(features: DataFrame) -> DataFrame:
 
 
 def score(claims: DataFrame, lookups: dict[str, DataFrame], scorer=rule_score, bands: tuple[float, float] = DEFAULT_BANDS) -> DataFrame:
-    """status success or error, with score columns or the first error: a row for every claim. Features are built for valid
-    claims only; `scorer` adds column p to them."""
-    checked = validate(claims, lookups)
-    good = checked.where("is_valid").drop("is_valid", "blocking_errors", "warnings", "infos")
+    """status success or error, with score columns or the first error: a row for every claim. Features are built for claims that
+    are valid and don't contradict themselves; `scorer` adds column p to them (ml.scorer(model) for a fitted one)."""
+    checked = validate(contradictions(claims), lookups)
+    invalid = F.coalesce(F.get("blocking_errors", F.lit(0))["code"], F.when(F.col("contradiction").isNotNull(), INCONSISTENT))
+    checked = checked.withColumn("first_error", invalid)
+    good = checked.where("first_error is null").drop("is_valid", "blocking_errors", "warnings", "infos", "contradiction", "first_error")
     done = levelled(scorer(build_features(good, lookups)), "p", bands)
     ok = done.select("claim_id", F.lit("success").alias("status"), "risk_score", "risk_level", "predicted_denial", F.lit(None).cast("string").alias("error_code"))
-    bad = checked.where("not is_valid").select("claim_id", F.lit("error").alias("status"), F.lit(None).cast("double").alias("risk_score"), F.lit(None).cast("string").alias("risk_level"), F.lit(None).cast("int").alias("predicted_denial"), F.col("blocking_errors")[0]["code"].alias("error_code"))
+    bad = checked.where("first_error is not null").select("claim_id", F.lit("error").alias("status"), F.lit(None).cast("double").alias("risk_score"), F.lit(None).cast("string").alias("risk_level"), F.lit(None).cast("int").alias("predicted_denial"), F.col("first_error").alias("error_code"))
     return ok.unionByName(bad)
 
 

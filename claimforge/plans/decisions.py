@@ -93,6 +93,12 @@ query("i2_contradictions", "select claim_id, case when billed_amount is not null
 query("i3_features", """select claim_id, amount_imputation_strategy, cost_match_level, case when expected_cost > 0 then round(least(greatest((billed_amount_imputed - expected_cost) / expected_cost * 100, -100), 500), 3) end as billed_deviation_imputed_capped, is_high_cost, provider_claim_count, patient_claim_count, severity_rank, specialty_encoded from features""")(
     lambda t: I.build_features(t.claims, lookups(t)).select("claim_id", "amount_imputation_strategy", "cost_match_level", F.round("billed_deviation_imputed_capped", 3).alias("billed_deviation_imputed_capped"), "is_high_cost", "provider_claim_count", "patient_claim_count", "severity_rank", "specialty_encoded"))
 query("i4_scoring", "select case when billed_amount is null or billed_amount >= 0 then 'success' else 'error' end as status, case when billed_amount < 0 then 'CLAIM_ERR_INVALID_AMOUNT' end as error_code, count(*) as n from claims_raw group by all")(lambda t: I.score(t.claims_raw, lookups(t)).groupBy("status", "error_code").agg(F.count("*").alias("n")))
+query(
+    "i4_inconsistent",
+    """select status, error_code, count(*) as n from (select case when billed_amount is null or (billed_amount >= 0 and denial_flag = 0) then 'success' else 'error' end as status,
+ case when billed_amount < 0 then 'CLAIM_ERR_INVALID_AMOUNT' when billed_amount is not null and denial_flag = 1 then 'INFER_006' end as error_code from claims_raw) group by all""",
+)(lambda t: I.score(t.claims_raw.withColumn("billed_amount_missing", F.col("denial_flag") == 1), lookups(t)).groupBy("status", "error_code").agg(F.count("*").alias("n")))
+query("i4_fitted")(lambda t: I.score(t.claims_raw, lookups(t), M.scorer(M.fit(parts(t)))))
 query("i5_roles", "select claim_id, case when billed_amount is null or billed_amount >= 0 then 'success' else 'error' end as status from claims_raw")(lambda t: I.for_role(I.score(t.claims_raw, lookups(t)), "reviewer").select("claim_id", "status"))
 
 # --- reasons: a linear model with fixed weights ---
@@ -370,7 +376,7 @@ def t1(t: Claims) -> DataFrame:
 
 @query("t2_stream_intake", "select case when billed_amount is null or billed_amount >= 0 then 'success' else 'error' end as status, count(*) as n from claims_raw group by all")
 def t2(t: Claims) -> DataFrame:
-    """Raw claims arriving as files, validated, built and scored as a stream."""
+    """Raw claims arriving as files, validated, built and scored by the fitted model as a stream."""
     src, out = folder(t, "t2-in"), folder(t, "t2-out")
     t.claims_raw.repartition(4).write.mode("overwrite").parquet(src)
     schema = t.spark.read.parquet(src).schema
@@ -379,7 +385,7 @@ def t2(t: Claims) -> DataFrame:
         path = folder(t, f"t2-{name}")
         df.write.mode("overwrite").parquet(path)
         tables[name] = t.spark.read.parquet(path)
-    streams.start_intake(streams.file_stream(t.spark, src, schema, 2), tables, out, folder(t, "t2-checkpoint")).awaitTermination()
+    streams.start_intake(streams.file_stream(t.spark, src, schema, 2), tables, out, folder(t, "t2-checkpoint"), M.scorer(M.fit(parts(t)))).awaitTermination()
     return t.spark.read.parquet(out).groupBy("status").agg(F.count("*").alias("n"))
 
 

@@ -26,10 +26,10 @@ def start_summary(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuer
     return error_counts(stream).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def start_intake(stream: DataFrame, lookups: dict[str, DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Every arriving claim validated, built and scored against static lookup tables. A batch goes to a folder named by its
+def start_intake(stream: DataFrame, lookups: dict[str, DataFrame], out: str, checkpoint: str, scorer=intake.rule_score) -> StreamingQuery:
+    """Every arriving claim validated, built and scored against static lookup tables, by a fitted model where scorer has one. A batch goes to a folder named by its
     number, overwritten when it is tried again, so a restart duplicates nothing."""
     def write(df: DataFrame, batch: int) -> None:
-        intake.score(df, lookups).write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        intake.score(df, lookups, scorer).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()

@@ -15,6 +15,7 @@ from claimforge.fixtures import Claims
 from claimforge.functions.ranks import quantiles, running, score_slot
 from claimforge.functions.text import clip, ellipsis, html_to_text, references_decoded, tag_list, title
 from claimforge.operators import analytics, gold, intake, ml, profile, quality, reasons, remediation, retrieval, silver
+from claimforge.plans import claims as claims_plans
 from claimforge.plans import registry
 from claimforge.sources import io
 
@@ -286,3 +287,14 @@ def test_the_better_model_is_selected_and_ties_go_to_the_first(spark):
 def test_numeric_profile_of_an_empty_table_lists_its_columns(spark):
     rows = profile.numeric_profile(spark.createDataFrame([], "id string, x double, y int")).collect()
     assert sorted((r["column"], r["count"], r.p50) for r in rows) == [("x", 0, None), ("y", 0, None)]
+
+
+def test_claims_that_contradict_themselves_are_errors_and_the_rest_get_the_models_score(spark, small):
+    t = Claims(spark, small)
+    model = ml.fit(ml.split(ml.design_matrix(t.features)))
+    found = intake.score(t.claims, claims_plans.lookups(t), ml.scorer(model))
+    wanted = ml.predict(model, ml.design_matrix(t.features)).select("claim_id", F.col("risk_score").alias("wanted"))
+    apart = [abs(r.risk_score - r.wanted) for r in found.where("status = 'success'").join(wanted, "claim_id").collect()]
+    assert len(apart) == t.claims.count() and sorted(apart)[int(len(apart) * 0.95)] < 0.01, sorted(apart)[:: len(apart) // 20]
+    plain = t.claims_raw.limit(5).withColumn("denial_flag", F.lit(1))
+    assert intake.contradictions(plain).where("contradiction is not null").count() == 0
