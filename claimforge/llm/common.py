@@ -37,10 +37,12 @@ def prepare(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); an own one only where it is unset, as in local tests."""
+    """The folder all executors share (spark.checkpoint.dir); an own one only in local mode where it is unset, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="spark-shared-"))
         atexit.register(shutil.rmtree, _own_folder[0], True)

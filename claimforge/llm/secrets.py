@@ -31,15 +31,25 @@ LENGTH_BASE = 1.5
 #: Steps of p-values (powers of ten by halves) in the histogram that the step-up procedure reads.
 P_STEPS = 40
 
+#: Matches that are walked together: appending to what a block has found copies at most so many.
+BLOCK = 256
+
 SPAN = "array<struct<start: int, kind: int, end: int, piece: string>>"
 #: Alphabet size and chance that two neighbours are of different classes (digit, lower, upper, other), by encoding.
 ENCODINGS = "array(struct(16 AS size, 0.46875D AS change), struct(32 AS size, 0.3047D AS change), struct(36 AS size, 0.4012D AS change), struct(62 AS size, 0.6223D AS change), struct(64 AS size, 0.6445D AS change))"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value worked out once, although lambdas in it refer to it many times."""
+    return F.transform(F.array(value), use)[0]
+
+
 def spans(text: Column, kind: int, pattern: str, group: int, keep) -> Column:
     """Leftmost non-overlapping matches as (start, kind, end, piece), code points, where keep(match, group) holds.
 
-    The parts between matches give the places: the text split by the pattern, walked together with its matches.
+    The parts between matches give the places: the text split by the pattern, walked together with its matches. The walk goes by blocks
+    of BLOCK matches, each from where the lengths of the blocks before it end, so its time is linear in the matches (but for one addition
+    per pair of blocks).
     """
     walk = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
 
@@ -51,7 +61,15 @@ def spans(text: Column, kind: int, pattern: str, group: int, keep) -> Column:
         return F.struct(F.coalesce(end, start).alias("at"), kept.alias("out"))
 
     none = F.from_json(F.lit("[]"), SPAN)
-    found = F.aggregate(walk, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["all"]), F.lit(0))
+    total = lambda numbers: F.aggregate(numbers, F.lit(0), lambda a, n: a + n)
+
+    def dealt(blocks: Column) -> Column:
+        lengths = F.transform(F.slice(blocks, 1, F.size(blocks) - 1), lambda block: F.aggregate(block, F.lit(0), lambda a, x: a + size(x)))
+        return bound(lengths, lambda before: F.transform(blocks, lambda block, i: F.aggregate(block, F.struct(total(F.slice(before, 1, i)).alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+
+    cut = lambda w: F.transform(F.sequence(F.lit(0), F.floor((F.size(w) - 1) / BLOCK).cast("int")), lambda b: F.slice(w, b * BLOCK + 1, BLOCK))
+    found = F.flatten(bound(walk, lambda w: bound(cut(w), dealt)))
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 

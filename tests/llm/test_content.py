@@ -135,6 +135,18 @@ def test_randomness_battery_as_brute_force(spark):
     assert masked == {i: masked_by_hand(t, [*base(t), *((a, 3, b) for a, b in e)]) for i, (t, e) in enumerate(zip(texts, extra))}
 
 
+def test_secrets_of_a_text_full_of_matches(spark):
+    """Several blocks of matches in one text, at and beside the blocks' ends."""
+    n = secrets.BLOCK
+    texts = ["é secret: " + f"password={'a1' * 5} {'0f' * 20} " * k for k in (0, n - 1, n, n + 1, 40 * n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r.doc_id: r for r in secrets.scan(df).collect()}
+    for i, text in enumerate(texts):
+        want = base(text)
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{e}" for a, k, e in want).encode()).hexdigest()
+        assert rows[i].n_assign == sum(k == 0 for _, k, _ in want) and rows[i].n_hex == sum(k == 2 for _, k, _ in want)
+
+
 def masked_by_hand(text, spans):
     """The text with MASK for each stretch of touching or overlapping spans."""
     at, out = 0, ""
