@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, imatch, near_dedup, packing, secrets, substring_dedup, token_count, toxicity, vector_search
+from . import bpe, html_text, imatch, line_dedup, near_dedup, packing, secrets, substring_dedup, token_count, toxicity, vector_search
 
 QUERIES = {
     "op1_imatch": imatch.op1_imatch,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_secrets": secrets.op9_secrets,
     "op10_packing": packing.op10_packing,
+    "op11_line_dedup": line_dedup.op11_line_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_line_dedup": line_dedup.SQL}
