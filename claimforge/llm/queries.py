@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, imatch, line_dedup, near_dedup, packing, secrets, substring_dedup, token_count, toxicity, vector_search
+from . import bpe, hard_negatives, html_text, imatch, line_dedup, near_dedup, packing, secrets, substring_dedup, token_count, toxicity, vector_search
 
 QUERIES = {
     "op1_imatch": imatch.op1_imatch,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_packing": packing.op10_packing,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
-ORACLE: dict[str, str] = {"op11_line_dedup": line_dedup.SQL}
+ORACLE: dict[str, str] = {"op11_line_dedup": line_dedup.SQL, "op13_hard_negatives": hard_negatives.SQL}
