@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, hard_negatives, html_text, imatch, line_dedup, near_dedup, packing, secrets, substring_dedup, token_count, toxicity, vector_search
+from . import bpe, collocations, hard_negatives, html_text, imatch, line_dedup, near_dedup, packing, secrets, substring_dedup, token_count, toxicity, vector_search
 
 QUERIES = {
     "op1_imatch": imatch.op1_imatch,
@@ -16,7 +16,8 @@ QUERIES = {
     "op9_secrets": secrets.op9_secrets,
     "op10_packing": packing.op10_packing,
     "op11_line_dedup": line_dedup.op11_line_dedup,
+    "op12_collocations": collocations.op12_collocations,
     "op13_hard_negatives": hard_negatives.op13_hard_negatives,
 }
 
-ORACLE: dict[str, str] = {"op11_line_dedup": line_dedup.SQL, "op13_hard_negatives": hard_negatives.SQL}
+ORACLE: dict[str, str] = {"op11_line_dedup": line_dedup.SQL, "op12_collocations": collocations.SQL, "op13_hard_negatives": hard_negatives.SQL}
