@@ -74,7 +74,7 @@ def folded(lang: str, hashes: list[np.ndarray]) -> np.ndarray:
 
 
 def marked(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
-    at = h % np.uint64(MARKS)
+    at = h % np.uint64(64 * len(marks))
     return (marks[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
@@ -109,7 +109,7 @@ def counts_batch(lang: str, phrase: pa.Array, n: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), phrase, pa.array(n.astype(np.int64))], names=["lang", "phrase", "n"])
 
 
-def counted(texts: DataFrame, words: int, marks=None) -> DataFrame:
+def counted(texts: DataFrame, words: int, marks=None, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(lang, phrase, n): all occurrences of phrases of so many words that may be frequent, counted by block and summed."""
 
     def run(batches):
@@ -122,7 +122,7 @@ def counted(texts: DataFrame, words: int, marks=None) -> DataFrame:
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                if size and size + len(text) > BLOCK_CHARS:
+                if size and size + len(text) > block_chars:
                     yield from flush()
                     held, size = {}, 0
                 held.setdefault(lang, []).append(text)
@@ -132,22 +132,22 @@ def counted(texts: DataFrame, words: int, marks=None) -> DataFrame:
     return texts.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
 
-def marks_of(phrases: DataFrame) -> bytes:
-    """The bit set of a round's frequent phrases: at most MARKS bits come to the driver, however many phrases there are."""
+def marks_of(phrases: DataFrame, size: int = MARKS) -> bytes:
+    """The bit set of a round's frequent phrases: at most so many bits come to the driver, however many phrases there are."""
 
     def run(batches):
         for batch in batches:
             h = []
             for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist(), strict=True):
                 h.append(folded(lang, [word_hashes([w]) for w in phrase.encode().split(b" ")])[0])
-            at = np.array(h, np.uint64) % np.uint64(MARKS)
+            at = np.array(h, np.uint64) % np.uint64(size)
             place, which = np.unique(at >> np.uint64(6), return_inverse=True)
             bits = np.zeros(len(place), np.uint64)
             np.bitwise_or.at(bits, which, np.uint64(1) << (at & np.uint64(63)))
             yield pa.RecordBatch.from_arrays([pa.array(place.view(np.int64)), pa.array(bits.view(np.int64))], names=["place", "bits"])
 
     found = phrases.select("lang", "phrase").mapInArrow(run, "place long, bits long").groupBy("place").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(MARKS // 64, np.uint64)
+    out = np.zeros(size // 64, np.uint64)
     out[found.column("place").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out.tobytes()
 
@@ -207,7 +207,7 @@ def walked(stream: DataFrame, from_last: bool) -> DataFrame:
     return rows.mapInArrow(walk, "lang string, phrase string, a long, parts array<long>, wider long")
 
 
-def collocations(docs: DataFrame, at_least: int = LEAST_COUNT, covered: int = COVERED, per_lang: int = PER_LANG) -> DataFrame:
+def collocations(docs: DataFrame, at_least: int = LEAST_COUNT, covered: int = COVERED, per_lang: int = PER_LANG, mark_bits: int = MARKS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first phrases of each language.
 
     A-Z is lowered; texts are split into pieces at `.,;:!?` and line ends, pieces into words at blanks and tabs. A null or empty text has no
@@ -219,10 +219,10 @@ def collocations(docs: DataFrame, at_least: int = LEAST_COUNT, covered: int = CO
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     levels, marks = [], None
     for words in range(1, MOST_WORDS + 1):
-        known = written(counted(texts, words, marks).where((F.col("n") >= at_least) | F.col("phrase").isNull()), f"phrases{words}")
+        known = written(counted(texts, words, marks, block_chars).where((F.col("n") >= at_least) | F.col("phrase").isNull()), f"phrases{words}")
         levels.append(known)
         if words < MOST_WORDS:
-            marks = spark.sparkContext.broadcast(marks_of(known.where("phrase is not null")))
+            marks = spark.sparkContext.broadcast(marks_of(known.where("phrase is not null"), mark_bits))
     phrases = levels[0].where("phrase is not null")
     for level in levels[1:]:
         phrases = phrases.unionAll(level)
