@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import claims, decisions
+from . import attribution, claims, decisions
 from .sql import with_layers
 
-QUERIES = {**claims.QUERIES, **decisions.QUERIES}
-ORACLE = {name: with_layers(sql) for name, sql in {**claims.ORACLE, **decisions.ORACLE}.items()}
+MODULES = (claims, decisions, attribution)
+QUERIES = {name: f for module in MODULES for name, f in module.QUERIES.items()}
+ORACLE = {name: with_layers(sql) for module in MODULES for name, sql in module.ORACLE.items()}
