@@ -19,6 +19,8 @@ from ..operators import remediation as D
 from ..operators import retrieval as R
 from ..operators import retrieval_analytics as V
 from ..operators import silver as S
+from ..operators.dense import dense_search
+from ..operators.terms import terms
 from ..sources import io
 from ..streaming import streams
 from .claims import ORACLE, QUERIES, lookups, query
@@ -184,40 +186,49 @@ query("x12_picker_order", f"select claim_id, risk_level, risk_score, case risk_l
 query("m10_importance", f"select feature, round(avg(abs(contribution)), 6) as mean_abs_contribution from ({CONTRIBUTION}) group by feature")(lambda t: M.importance(contributions(t)))
 
 # --- corpus and retrieval ---
-TEST_TAGS = [("first", ["thble", "thtion"]), ("second", ["thing", "attion"]), ("third", ["ering"])]
+TEST_TAGS = [("first", ["thble", "thtion"]), ("second", ["thing", "attion"]), ("third", ["ering"]), ("coding", ["code"]), ("billing", ["billed", "billing"])]
+
+
+#: What each test document asks for at its end, so that reasons find something among invented words.
+SENTENCES = [r[6] for r in catalogs.REASONS]
 
 
 def policy_docs(t: Claims) -> DataFrame:
-    return t.table("documents").select(F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("source_name"), F.lit("text").alias("source_type"), F.concat(F.lit("documents/"), "source").alias("source_path"), F.concat(F.lit("# Section "), (F.col("doc_id") % 5).cast("string"), F.lit("\n"), F.col("text")).alias("text"))
+    """Documents as policies: a heading, the text and a sentence of the reasons' catalog."""
+    asks = F.get(F.array(*map(F.lit, SENTENCES)), (F.col("doc_id") % len(SENTENCES)).cast("int"))
+    return t.table("documents").select(
+        F.col("doc_id").cast("string").alias("document_id"), F.col("source").alias("source_name"), F.lit("text").alias("source_type"), F.concat(F.lit("documents/"), "source").alias("source_path"),
+        F.concat(F.lit("# Section "), (F.col("doc_id") % 5).cast("string"), F.lit("\n"), F.col("text"), F.lit("\n"), asks).alias("text"),
+    )
 
 
 def corpus(t: Claims) -> DataFrame:
     return t.layer("policy_chunks", lambda: R.chunks(policy_docs(t), tags=TEST_TAGS, created_at=MADE))
 
 
-WORDS = "[x for x in regexp_split_to_array(text, '\\s+') if x <> '']"
+BODY = f"(select doc_id, source, text || chr(10) || [{', '.join(map(quoted, SENTENCES))}][doc_id % {len(SENTENCES)} + 1] as text from documents)"
+WORDS = f"[x for x in regexp_split_to_array(text, '{R.BLANK}') if x <> '']"
 CHUNKS = f"""select document_id, source_name, section_title, cast(i as int) as window_index, array_to_string(w[i * 350 + 1 : i * 350 + 420], ' ') as chunk_text, len(w[i * 350 + 1 : i * 350 + 420]) as n_words from (select *, unnest(range(cast(greatest(0, ceil((len(w) - 420) / 350.0)) as int) + 1)) as i from (
- select doc_id::varchar as document_id, source as source_name, 'Section ' || (doc_id % 5)::varchar as section_title, {WORDS} as w from documents where trim(text, chr(10) || chr(13) || chr(9) || ' ') <> ''))"""
-query("r1_sections", "select doc_id::varchar as document_id, 'Section ' || (doc_id % 5)::varchar as section_title, 1 as section_index from documents where trim(text, chr(10) || chr(13) || chr(9) || ' ') <> ''")(lambda t: R.sections(policy_docs(t)).select("document_id", "section_title", F.col("section_index").cast("int").alias("section_index")))
+ select doc_id::varchar as document_id, source as source_name, 'Section ' || (doc_id % 5)::varchar as section_title, {WORDS} as w from {BODY} where trim(text, chr(10) || chr(13) || chr(9) || ' ') <> ''))"""
+query("r1_sections", f"select doc_id::varchar as document_id, 'Section ' || (doc_id % 5)::varchar as section_title, 1 as section_index from {BODY} where trim(text, chr(10) || chr(13) || chr(9) || ' ') <> ''")(lambda t: R.sections(policy_docs(t)).select("document_id", "section_title", F.col("section_index").cast("int").alias("section_index")))
 query("r2_windows", f"select document_id, window_index, md5(chunk_text) as digest, n_words from ({CHUNKS})")(lambda t: R.windows(R.sections(policy_docs(t))).select("document_id", "window_index", F.md5(F.col("chunk_text").cast("binary")).alias("digest"), "n_words"))
-query("r3_tags", f"""select document_id, window_index, array_to_string(list_filter([case when contains(l, 'thble') or contains(l, 'thtion') then 'first' end, case when contains(l, 'thing') or contains(l, 'attion') then 'second' end, case when contains(l, 'ering') then 'third' end], lambda x: x is not null), ',') as tags
- from (select *, lower(section_title || ' ' || chunk_text) as l from ({CHUNKS}))""".replace("list_filter([", "([x for x in [").replace("], lambda x: x is not null)", "] if x is not null])"))(lambda t: corpus(t).select("document_id", "window_index", F.array_join("policy_tags", ",").alias("tags")))
+TAGGED = ", ".join(f"case when {' or '.join(f'contains(l, {quoted(w)})' for w in words)} then {quoted(tag)} end" for tag, words in TEST_TAGS)
+query("r3_tags", f"select document_id, window_index, array_to_string([x for x in [{TAGGED}] if x is not null], ',') as tags from (select *, lower(section_title || ' ' || chunk_text) as l from ({CHUNKS}))")(
+    lambda t: corpus(t).select("document_id", "window_index", F.array_join("policy_tags", ",").alias("tags"))
+)
 query("r4_chunk_ids", f"select document_id, window_index, substr(sha256(document_id || '|1|' || window_index::varchar || '|' || substr(chunk_text, 1, 160)), 1, 24) as chunk_id, greatest(1, floor(n_words * 1.33))::int as token_estimate from ({CHUNKS})")(lambda t: corpus(t).select("document_id", "window_index", "chunk_id", "token_estimate"))
 
 
 def term_table(t: Claims) -> DataFrame:
-    return t.layer("policy_terms", lambda: R.terms(corpus(t), "chunk_id", "chunk_text"))
+    return t.layer("policy_terms", lambda: terms(corpus(t), "chunk_id", "chunk_text"))
 
 
-query("r5_tfidf")(lambda t: R.tfidf(term_table(t), R.vocabulary(term_table(t), "chunk_id"), "chunk_id").withColumn("weight", F.round("weight", 6)))
-query("r6_hashing")(lambda t: R.hashing_vectors(term_table(t), "chunk_id").withColumn("weight", F.round("weight", 6)))
-query("r7_normalised", "select vec_id, round(list_sum([cast(x as double) * x for x in embedding]) / list_sum([cast(x as double) * x for x in embedding]), 6) as squared_length from embeddings")(lambda t: t.table("embeddings").select("vec_id", F.round(F.aggregate(R.normalised(F.col("embedding")), F.lit(0.0), lambda a, x: a + x * x), 6).alias("squared_length")))
 DENSE = """select query_id, vec_id, score, cast(rank as int) as rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (select q.vec_id as query_id, c.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(c.embedding as double[])), 6) as score from embeddings q, embeddings c where q.vec_id % 50 = 0 and c.vec_id <> q.vec_id)) where rank <= {k}"""
 
 
 def dense(t: Claims, k: int) -> DataFrame:
     e = t.table("embeddings")
-    return R.dense_search(e.where("vec_id % 50 = 0"), e, k)
+    return dense_search(e.where("vec_id % 50 = 0"), e, k)
 
 
 query("r8_dense_search", DENSE.format(k=3))(lambda t: dense(t, 3))
@@ -239,7 +250,8 @@ query("r10_queries", f"select claim_id, reason_code, {ASKED} as retrieval_query
 
 def policy_matches(t: Claims) -> DataFrame:
     """The match table over the document chunks."""
-    return t.layer("policy_match_table", lambda: R.matches(long(t), corpus(t), term_table(t), min_score=0.0, created_at=MADE))
+    write = lambda df, name: t.layer(f"policy_{name}", lambda: df)
+    return t.layer("policy_match_table", lambda: R.matches(long(t), corpus(t), term_table(t), min_score=0.0, created_at=MADE, write=write))
 
 
 def matches(t: Claims) -> DataFrame:
@@ -257,7 +269,6 @@ def chunk_rows(t: Claims) -> DataFrame:
     return t.table("embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("source"), (F.col("vec_id") % 9).cast("string")).alias("source_name"), F.concat(F.lit("chunk "), F.col("vec_id").cast("string")).alias("chunk_text"))
 
 
-query("r11_matches")(policy_matches)
 query("r13_summaries", "select doc_id, case when length(f) > 420 then rtrim(substr(f, 1, 419)) || '…' else f end as summary from (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as f from documents)")(lambda t: t.table("documents").select("doc_id", ellipsis(F.col("text")).alias("summary")))
 query("r14_final")(lambda t: R.final_explanations(policy_matches(t), MADE))
 query("r16_tag_lists", "select doc_id, array_to_string([x for x in [trim(y) for y in string_split(source || ', ' || lang || ',', ',')] if x <> ''], '|') as tags from documents")(lambda t: t.table("documents").select("doc_id", F.array_join(tag_list(F.concat("source", F.lit(", "), "lang", F.lit(","))), "|").alias("tags")))
