@@ -1,10 +1,11 @@
 """MinHash near-duplicate detection: SuperMinHash signatures, banding, verification on full sets, union-find.
 
 Documents with the same shingle set are one class (its smallest doc_id stands for it). Signatures of the classes are
-banded. First every class is held against the smallest id of each of its buckets; the links found are confirmed on the full
-sets and grouped by union-find. Then members of one bucket that still lie in different components are held against each
-other, all of them, in tiles, behind two exact bounds (set sizes, parity sketches), and what is found is confirmed and grouped too.
-So a link is lost only if its sets share none of the bands: at the threshold a chance of (1 - 0.85^4)^32, under 1e-10.
+banded. First every class is held against the smallest id of each of its buckets. Two exact bounds (set sizes, parity sketches)
+say which pairs can be links; these are confirmed on the full sets and grouped by union-find. Then members of one bucket that still lie
+in different components are held against each other, all of them, in tiles, behind the same bounds, and what is found is confirmed and grouped too.
+So a link is lost only if its sets share none of the bands: at the threshold a chance of (1 - 0.85^4)^32, under 1e-10. Sets are compared as
+sets of 64-bit hashes of their shingles.
 """
 
 from __future__ import annotations
@@ -31,8 +32,9 @@ SIMILARITY = (85, 100)
 PASS_SHINGLES = 1 << 15
 #: Members of a group that one copy of a pivot's set serves, at least.
 PIVOT_SHARE = 512
-#: Bits of a set's parity sketch, and rows of a bucket on each side of a tile.
-PARITY_BITS, TILE = 1024, 2048
+#: Bits of a set's parity sketch, and rows of a bucket on each side of a tile; rows and pairs of a tile that are compared at once.
+PARITY_BITS, TILE = 1024, 4096
+TILE_ROWS, TILE_PAIRS = 256, 1 << 17
 
 
 def superminhash(sets: list[np.ndarray], m: int = SIGNATURE) -> np.ndarray:
@@ -208,24 +210,83 @@ def mixed_rows(crowded: DataFrame, classes: DataFrame, groups: DataFrame) -> Dat
     return mixed.join(classes.select("doc_id", "n_shingles", "parity").hint("merge"), "doc_id")
 
 
-def mixed_pairs(mixed: DataFrame, at_least: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(doc_id, other, distance): pairs of rows of one bucket in different components that can be similar enough.
+def possible(pairs: DataFrame, classes: DataFrame, at_least: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """The (member, pivot) pairs whose sizes and parity sketches allow the similarity: both are bounds, so no similar pair is lost, and no text moves
+    for the others. An id with several texts stays with a pivot if one of them may be like it."""
+    num, den = at_least
+    of = lambda name, short: classes.select(F.col("doc_id").alias(name), F.col("n_shingles").alias(f"{short}_n"), F.col("parity").alias(f"{short}_parity")).hint("merge")
+    met = pairs.join(of("member", "m"), "member").join(of("pivot", "p"), "pivot")
+    differ = sum((F.bit_count(F.col("m_parity")[k].bitwiseXOR(F.col("p_parity")[k])) for k in range(PARITY_BITS // 64)), F.lit(0))
+    sizes = num * F.greatest("m_n", "p_n") <= den * F.least("m_n", "p_n")
+    return met.where(sizes & ((den + num) * differ <= (den - num) * (F.col("m_n") + F.col("p_n")))).select("member", "pivot").distinct()
 
-    All rows meet those outside the bucket's largest component, tile by tile. A pair stays if its sizes and its
-    sketches' differing bits allow the similarity: both are bounds, so no similar pair is lost. distance is the share of differing bits.
-    """
+
+class TileSide:
+    """Rows of one side of a tile as arrays."""
+
+    def __init__(self, rows: list[tuple]):
+        self.ids, self.sizes, self.components = (np.array([r[i] for r in rows], np.int64) for i in range(3))
+        self.is_main = np.array([r[3] for r in rows], bool)
+        self.parity = np.array([r[4] for r in rows], np.int64).view(U64).reshape(len(rows), -1)
+
+
+def tile_pairs(x: TileSide, y: TileSide, nearest_only: bool, at_least: tuple[int, int] = SIMILARITY):
+    """Record batches (doc_id, other, distance): pairs of y with x in different components that can be similar enough; with nearest_only the nearest of
+    each row of y."""
     num, den = at_least
+    for at in range(0, len(y.ids), TILE_ROWS):
+        some = slice(at, at + TILE_ROWS)
+        n = y.sizes[some, None]
+        fit = (y.components[some, None] != x.components) & (x.is_main | (x.ids < y.ids[some, None])) & (num * np.maximum(n, x.sizes) <= den * np.minimum(n, x.sizes))
+        row, column = np.nonzero(fit)
+        found = []
+        for part in range(0, len(row), TILE_PAIRS):
+            r, c = row[part : part + TILE_PAIRS], column[part : part + TILE_PAIRS]
+            differ = np.bitwise_count(y.parity[some][r] ^ x.parity[c]).sum(axis=1, dtype=np.int64)
+            both = y.sizes[some][r] + x.sizes[c]
+            near = (den + num) * differ <= (den - num) * both
+            found.append((y.ids[some][r][near], x.ids[c][near], (differ / both)[near]))
+        if not found:
+            continue
+        ids, others, distance = (np.concatenate(v) for v in zip(*found, strict=True))
+        if nearest_only:
+            order = np.lexsort((others, distance, ids))
+            first = order[np.unique(ids[order], return_index=True)[1]]
+            ids, others, distance = ids[first], others[first], distance[first]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(others), pa.array(distance)], names=["doc_id", "other", "distance"])
+
+
+def mixed_pairs(mixed: DataFrame, nearest_only: bool, at_least: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(doc_id, other): pairs of rows of one bucket in different components that can be similar enough, or each row's nearest of them.
+
+    All rows meet those outside the bucket's largest component, tile by tile, behind bounds by sizes and sketches' differing bits.
+    """
+    n = n_partitions(mixed.sparkSession)
     tile = lambda of, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), of).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), of - 1))
-    x = mixed.select("*", tile(F.col("tiles"), 1).alias("i"), every(F.col("other_tiles")).alias("j")).drop("tiles", "other_tiles").alias("x")
-    y = mixed.where("not is_main").select("*", every(F.col("tiles")).alias("i"), tile(F.col("other_tiles"), 2).alias("j")).drop("tiles", "other_tiles").alias("y")
-    differ = sum((F.bit_count(F.col("x.parity")[k].bitwiseXOR(F.col("y.parity")[k])) for k in range(PARITY_BITS // 64)), F.lit(0))
-    both = F.col("x.n_shingles") + F.col("y.n_shingles")
-    apart = (F.col("x.component") != F.col("y.component")) & (F.col("x.is_main") | (F.col("x.doc_id") < F.col("y.doc_id")))
-    sizes = num * F.greatest("x.n_shingles", "y.n_shingles") <= den * F.least("x.n_shingles", "y.n_shingles")
-    same = (F.col("x.band") == F.col("y.band")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
-    near = x.join(y.hint("merge"), same & apart & sizes & ((den + num) * differ <= (den - num) * both))
-    return near.select(F.col("y.doc_id").alias("doc_id"), F.col("x.doc_id").alias("other"), (differ / both).alias("distance"))
+    columns = ("doc_id", "n_shingles", "component", "is_main", "parity")
+    x = mixed.select("band", *columns, F.lit(0).alias("side"), tile(F.col("tiles"), 1).alias("i"), every(F.col("other_tiles")).alias("j"))
+    y = mixed.where("not is_main").select("band", *columns, F.lit(1).alias("side"), tile(F.col("other_tiles"), 2).alias("j"), every(F.col("tiles")).alias("i"))
+    tiles = x.unionByName(y).repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j", "side")
+
+    def meet(batches):
+        at, held = None, ([], [])
+        for batch in batches:
+            keys, side = zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j")), strict=True), batch.column("side").to_pylist()
+            values = zip(*(batch.column(c).to_pylist() for c in columns), strict=True)
+            for now, s, row in zip(keys, side, values, strict=True):
+                if now != at:
+                    if held[0] and held[1]:
+                        yield from tile_pairs(*map(TileSide, held), nearest_only, at_least)
+                    at, held = now, ([], [])
+                held[s].append(row)
+        if held[0] and held[1]:
+            yield from tile_pairs(*map(TileSide, held), nearest_only, at_least)
+
+    near = tiles.mapInArrow(meet, "doc_id long, other long, distance double")
+    if nearest_only:
+        near = near.groupBy("doc_id").agg(F.min(F.struct("distance", "other")).alias("least")).select("doc_id", "least.other")
+    return near.select("doc_id", "other")
 
 
 def near_duplicates(docs: DataFrame, at_least: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -243,7 +304,7 @@ def near_duplicates(docs: DataFrame, at_least: tuple[int, int] = SIMILARITY) ->
     classes = written(known.join(members.where("doc_id = class").select("doc_id").hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_hash"]).select("doc_id", "n_shingles", "bands", "parity"), "classes")
     crowded = written(crowded_rows(classes), "crowded")
     released(spark)
-    pairs = written(crowded.where("doc_id <> pivot").select(F.col("doc_id").alias("member"), "pivot").distinct(), "pairs")
+    pairs = written(possible(crowded.where("doc_id <> pivot").select(F.col("doc_id").alias("member"), "pivot").distinct(), classes, at_least), "pairs")
     # an id with several texts is in several classes
     several = members.groupBy("doc_id").agg(F.collect_set("class").alias("of")).where("size(of) > 1").select(F.col("doc_id").alias("member"), F.explode("of").alias("pivot"))
     links = written(confirmed(pairs, docs, at_least).unionAll(several), "links")
@@ -251,9 +312,7 @@ def near_duplicates(docs: DataFrame, at_least: tuple[int, int] = SIMILARITY) ->
     groups = components(links, "member", "pivot")
     for nearest_only in (True, False):  # each row's nearest first, so that few pairs are left when all are taken
         mixed = written(mixed_rows(crowded, classes, groups), "mixed")
-        near = mixed_pairs(mixed, at_least)
-        if nearest_only:
-            near = near.groupBy("doc_id").agg(F.min(F.struct("distance", "other")).alias("least")).select("doc_id", "least.other")
+        near = mixed_pairs(mixed, nearest_only, at_least)
         pairs = written(near.select(F.greatest("doc_id", "other").alias("member"), F.least("doc_id", "other").alias("pivot")).distinct(), "pairs")
         discarded(mixed)
         released(spark)
