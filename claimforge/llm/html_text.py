@@ -30,6 +30,8 @@ FEATURES = 1 << 14
 STEPS, RATE, RIDGE = 150, 0.15, 1e-3
 #: Share of the ancestor features hidden at random in training, so that no single tag decides alone.
 HIDDEN = 0.25
+#: Share of the showings in which a page's elements have no names at all.
+NAMELESS = 0.4
 #: Letters of a class word that are a feature of their own (responses, response and respond share them), and the most words of a text that speaks
 #: by its words (a label, a button, a heading).
 BEGINNING, FEW_WORDS = 4, 6
@@ -47,13 +49,23 @@ CLASS_WORD = re.compile(r"[a-z]+")
 WORD = re.compile(r"\w+")
 
 
+#: Words of a writer who speaks for themselves, to somebody, or in thanks and agreement, in the languages of the corpus.
+FIRST_PERSON = set("i i'm i've i'd me my mine myself ich mir mich mein meine meinen meiner je j'ai moi mon ma mes yo mí mi mis".split())
+SECOND_PERSON = set("you your yours du dir dich dein deine ihr euch euer vous votre vos tu te toi ton ta usted ustedes vosotros vuestro tú".split())
+REPLYING = set("thanks thank agree disagree anyone anybody lol yes hello hi sorry imho danke dank stimmt hallo merci accord bonjour gracias acuerdo hola".split())
+SPOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: Elements that hold one paragraph, item or heading: what contains them is a block's box.
+LEAVES = HEADINGS | set("p li blockquote pre dt dd td th tr figcaption label button option summary".split())
+
+
 class Blocks(HTMLParser):
-    """Leaf blocks of a page, in page order: (text, ancestor tags, ancestor class and id words, share of linked characters)."""
+    """Leaf blocks of a page, in page order: (text, ancestor tags, ancestor class and id words, share of linked characters, ancestor numbers)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, frozenset[str]]] = []
-        self.blocks: list[tuple[str, tuple[str, ...], frozenset[str], float]] = []
+        self.stack: list[tuple[str, frozenset[str], int]] = []
+        self.blocks: list[tuple[str, tuple[str, ...], frozenset[str], float, tuple[int, ...]]] = []
+        self.opened = 0
         self.parts: list[str] = []
         self.linked, self.unseen = 0, 0
 
@@ -61,15 +73,16 @@ class Blocks(HTMLParser):
         """A block boundary."""
         text = " ".join("".join(self.parts).split())
         if text:
-            words = frozenset().union(*(w for _, w in self.stack)) if self.stack else frozenset()
-            self.blocks.append((text, tuple(t for t, _ in self.stack if t not in INLINE), words, min(1.0, self.linked / len(text))))
+            words = frozenset().union(*(w for _, w, _ in self.stack)) if self.stack else frozenset()
+            above = [(t, number) for t, _, number in self.stack if t not in INLINE]
+            self.blocks.append((text, tuple(t for t, _ in above), words, min(1.0, self.linked / len(text)), tuple(number for _, number in above)))
         self.parts, self.linked = [], 0
 
     def pop_to(self, tags: set[str], stop: set[str]) -> None:
         """Close the innermost open element of these tags, and what is open within it, unless one of stop stands between."""
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] in tags:
-                self.unseen -= sum(t in UNSEEN for t, _ in self.stack[i:])
+                self.unseen -= sum(t in UNSEEN for t, _, _ in self.stack[i:])
                 del self.stack[i:]
                 return
             if self.stack[i][0] in stop:
@@ -88,7 +101,8 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         words = frozenset(w for k, v in attrs if v and k in ("class", "id", "role") for w in CLASS_WORD.findall(v.lower()))
-        self.stack.append((tag, words))
+        self.opened += 1
+        self.stack.append((tag, words, self.opened))
         self.unseen += tag in UNSEEN
 
     def handle_startendtag(self, tag, attrs):
@@ -105,11 +119,11 @@ class Blocks(HTMLParser):
     def handle_data(self, data):
         if not self.unseen:
             self.parts.append(data)
-            if any(t == "a" for t, _ in self.stack):
+            if any(t == "a" for t, _, _ in self.stack):
                 self.linked += len(data.strip())
 
 
-def blocks_of(html: str) -> list[tuple[str, tuple[str, ...], frozenset[str], float]]:
+def blocks_of(html: str) -> list[tuple[str, tuple[str, ...], frozenset[str], float, tuple[int, ...]]]:
     page = Blocks()
     page.feed(html)
     page.close()
@@ -121,12 +135,72 @@ def hashed(name: str) -> int:
     return xxhash.xxh3_64_intdigest(name) % FEATURES
 
 
+def voice_of(text: str) -> frozenset[str]:
+    """Who speaks in a text: "first", "second", "reply", "asks", "exclaims"."""
+    said = {w.replace("’", "'") for w in SPOKEN.findall(text.lower())}
+    of = {"first": said & FIRST_PERSON, "second": said & SECOND_PERSON, "reply": said & REPLYING, "asks": "?" in text, "exclaims": "!" in text}
+    return frozenset(k for k, found in of.items() if found)
+
+
+def surroundings(blocks: list[tuple]) -> list[list[str]]:
+    """What a block's place among the others says, whatever its ancestors are called.
+
+    A block's box is the element that holds its paragraph; the page's home is the box that holds the most unlinked text. A block outside the home
+    belongs to a group: the outermost element that holds it and not the home's own blocks. Features tell where the group lies to the home, whether
+    blocks of the home follow, how much the group holds, of how many boxes and blocks of which voice; and whether a block of the home lies in an ending
+    of speakers' and short blocks.
+    """
+    boxes = [next((number for t, number in zip(reversed(tags), reversed(path), strict=True) if t not in LEAVES), 0) for _, tags, _, _, path in blocks]
+    mass: dict[int, float] = {}
+    for box, (text, _, _, linked, _) in zip(boxes, blocks, strict=True):
+        mass[box] = mass.get(box, 0) + len(text) * (1 - linked)
+    home = max(mass, key=lambda b: (mass[b], -b))
+    own = [i for i, b in enumerate(boxes) if b == home]
+    # elements on the way from the root to the home
+    trunk = set(blocks[own[0]][4][: blocks[own[0]][4].index(home) + 1]) if home else set()
+    groups = [box if box in trunk else next((number for number in path if number not in trunk), 0) for box, (_, _, _, _, path) in zip(boxes, blocks, strict=True)]
+    members: dict[int, list[int]] = {}
+    for i, g in enumerate(groups):
+        members.setdefault(g, []).append(i)
+    voices = [voice_of(b[0]) for b in blocks]
+    length = [len(b[0]) for b in blocks]
+    usual = sorted(length[i] for i in own)[len(own) // 2]
+    # the end of the home, if from some block on all speak or are short, and not all before it do
+    speaks = [bool(v & {"first", "second", "reply"}) for v in voices]
+    tail = len(own)
+    while tail and (speaks[own[tail - 1]] or length[own[tail - 1]] < usual / 2):
+        tail -= 1
+    ending = set(own[tail:]) if tail else set()
+    of_group = {}
+    for g, some in members.items():
+        long = [i for i in some if len(blocks[i][0].split()) > FEW_WORDS] or some
+        share = lambda kinds: sum(bool(voices[i] & kinds) for i in long) * 2 / len(long)  # noqa: B023, E731
+        weight = sum(len(blocks[i][0]) * (1 - blocks[i][3]) for i in some)
+        of_group[g] = (
+            f"boxes:{min(3, len({boxes[i] for i in some}))}", f"blocks:{min(4, len(some))}", f"weight:{round(4 * weight / max(1.0, mass[home]))if weight < 2 * mass[home] else 8}",
+            f"mean:{min(4, round(4 * sum(length[i] for i in long) / len(long) / max(1, usual)))}", f"talk:{round(share({'first', 'second', 'reply'}))}", f"excited:{round(share({'asks', 'exclaims'}))}",
+        )
+    out = []
+    for i, (box, g, (_, _, _, _, path)) in enumerate(zip(boxes, groups, blocks, strict=True)):
+        where = "home" if box == home else "around" if box in trunk else "inside" if home in path else "beside"
+        when = "before" if i < own[0] else "after" if i > own[-1] else "among"
+        talk = next(f for f in of_group[g] if f.startswith("talk:"))
+        out.append([f"where:{where}", f"when:{when}", f"at:{where} {when}", *(f"group {where} {f}" for f in of_group[g]), f"group {where} {when} {talk}", *(f"voice:{v}" for v in voices[i]), *(f"voice {where}:{v}" for v in voices[i]), f"ending:{i in ending}", f"ending:{i in ending} {speaks[i]}", *(f"ending voice:{v}" for v in voices[i] if i in ending)])
+    return out
+
+
 def features_of(blocks: list[tuple], hide: random.Random | None = None) -> list[list[int]]:
-    """Feature numbers of each block, from its ancestors, its whole text and the heading it stands under; with `hide` some ancestor features are left out."""
+    """Feature numbers of each block, from its ancestors, its whole text, the heading it stands under and its surroundings; with `hide` some ancestor features
+    are left out, and on some pages all names."""
     out = []
     n = len(blocks)
+    if not n:
+        return out
     heading: set[str] = set()
-    for i, (text, tags, words, linked) in enumerate(blocks):
+    around = surroundings(blocks)
+    nameless = hide is not None and hide.random() < NAMELESS
+    for i, (text, tags, words, linked, _) in enumerate(blocks):
+        words = frozenset() if nameless else words
         own = tags[-1] if tags else ""
         spoken = WORD.findall(text.lower())
         few = set(spoken) if len(spoken) <= FEW_WORDS else set()
@@ -139,7 +213,7 @@ def features_of(blocks: list[tuple], hide: random.Random | None = None) -> list[
             above = [a for a in above if hide.random() >= HIDDEN]
         all_words = text.split()
         names = [
-            "bias", *above, f"parent:{own}", f"size:{min(8, len(text).bit_length())}", f"words:{min(6, len(all_words).bit_length())}", f"linked:{round(linked * 3)}",
+            "bias", *above, *around[i], f"parent:{own}", f"size:{min(8, len(text).bit_length())}", f"words:{min(6, len(all_words).bit_length())}", f"linked:{round(linked * 3)}",
             *(f"says:{w}" for w in few), *{f"says begins:{w[:BEGINNING]}" for w in few}, *(f"under:{w}" for w in heading), *{f"under begins:{w[:BEGINNING]}" for w in heading},
             f"stops:{min(3, sum(text.count(c) for c in '.!?'))}", f"commas:{min(2, text.count(','))}", f"rights:{'©' in text or 'rights reserved' in text.lower()}",
             f"ends:{text[-1] in '.!?…'}", f"place:{i * 4 // n}", f"first:{i == 0}", f"last:{i == n - 1}", f"capitals:{sum(w[:1].isupper() for w in all_words) * 3 // len(all_words)}",
@@ -150,10 +224,10 @@ def features_of(blocks: list[tuple], hide: random.Random | None = None) -> list[
 
 def labels_of(blocks: list[tuple]) -> list[int] | None:
     """What the page's own markup says about its blocks; None where it leaves doubt: no main element, or named elements inside it."""
-    inside = [bool(MAIN_TAGS & set(tags)) for _, tags, _, _ in blocks]
-    if not any(inside) or any(own and words for own, (_, _, words, _) in zip(inside, blocks, strict=True)):
+    inside = [bool(MAIN_TAGS & set(tags)) for _, tags, _, _, _ in blocks]
+    if not any(inside) or any(own and words for own, (_, _, words, _, _) in zip(inside, blocks, strict=True)):
         return None
-    return [int(own and not OTHER_TAGS & set(tags)) for own, (_, tags, _, _) in zip(inside, blocks, strict=True)]
+    return [int(own and not OTHER_TAGS & set(tags)) for own, (_, tags, _, _, _) in zip(inside, blocks, strict=True)]
 
 
 class Field:

@@ -12,6 +12,23 @@ TEXTS = {
     "A6": "She had lived in the house for forty years.",
     "A7": "The new rule applies from March, the ministry said on Tuesday, and covers all firms with more than fifty employees.",
     "A8": "To install the package, unpack the archive and run the script that is in its first folder. No other steps are needed.",
+    "A9": "I was born in the house by the mill, and my mother kept the books there until she was eighty.",
+    "A10": "You need two pans, a sharp knife and an hour of your time. Is it worth it? It is.",
+    "A11": "Der Rat trat mittags zusammen und beschloss, die alte Brücke im Frühjahr zu erneuern.",
+    "A12": "La mairie a fermé la route pendant trois semaines, le temps de refaire le pont et ses deux rampes.",
+    "R6": "I don't believe a word of it. You should have asked the people who live there.",
+    "R7": "Thank you, this helped me a lot with my own roof.",
+    "R8": "Wonderful, I read it twice and sent it to my sister.",
+    "R9": "Danke für den Text, ich habe viel gelernt!",
+    "R10": "Je ne suis pas d'accord, vous oubliez les commerçants.",
+    "R11": "The second paragraph is wrong, it was in May.",
+    "R12": "Has anyone tried this with cheaper oil? Mine burned.",
+    "R13": "This is rubbish.",
+    "R14": "Where is the source for that? Nobody has ever seen it.",
+    "R15": "My aunt always told us this story, but she left out the end.",
+    "R16": "Nice one.",
+    "V5": "Subscribe to read on, the first month is free.",
+    "V6": "This text is for members. Log in or become one.",
     "R1": "I think this is wrong, the mill was never closed. My father worked there!",
     "R2": "Thanks for writing this. It was a good read.",
     "R3": "Does anyone know whether the bridge is open again? I have to drive there on Monday.",
@@ -56,6 +73,44 @@ _PAGES = [
     "<body><div class=privacy-banner>-We and our partners store data on your device.</div><article><h1>+Years</h1><p>+A6</p><p>+A3</p></article><div id=conversation><h2>-Join the conversation</h2><p>-R3</p><p>-R1</p></div><div class=legal>-No part may be copied.</div></body>",
     "<body><article><h1>+Trade again</h1><p>+A3</p><p>+A7</p><section id=responses><p>-R1</p><p>-R4</p></section></article><footer>-© trade</footer></body>",
     "<body><nav><a href=1>-Up</a></nav><article><h1>+Notes on soup</h1><p>+A4</p><section id=notes><p>+A6</p></section><section id=replies><p>-R2</p></section></article><footer>-Down</footer></body>",
+    # pages whose elements' names say nothing
+    "<body><article><h1>+Dam</h1><p>+A1</p><p>+A3</p><p>+A2</p><div class=x1><p>-R6</p><p>-R7</p></div></article><footer>-© dam</footer></body>",
+    "<body><nav><a href=1>-Up</a></nav><article><h1>+Rail</h1><p>+A3</p><p>+A7</p><p>+A6</p></article><div class=b-27><p>-R8</p><p>-R12</p></div><footer>-© rail</footer></body>",
+    "<body><article><h1>+Well</h1><p>+A2</p><p>+A5</p><div><p>-R1</p></div><div><p>-R6</p></div></article></body>",
+    "<body><article><h1>+Pan</h1><p>+A10</p><p>+A4</p><p>+A8</p></article><div><p>-R7</p><p>-R3</p><p>-R11</p></div><footer>-© pan</footer></body>",
+    "<body><div class=q><h1>+Mother</h1><p>+A9</p><p>+A6</p><p>+A9</p></div><div class=r><p>-R2</p><p>-R8</p></div></body>",
+    "<body><article><h1>+My house</h1><p>+A9</p><div class=k><p>+A9</p><p>+A6</p></div><p>+A1</p></article><footer>-© house</footer></body>",
+    "<body><article><h1>+Parts</h1><section class=k1><p>+A3</p><p>+A1</p></section><section class=k2><p>+A5</p></section><section class=k3><p>+A7</p><p>+A2</p></section></article></body>",
+    "<body><article><h1>+Parts again</h1><section><p>+A3</p><p>+A1</p></section><section><p>+A5</p><p>+A6</p></section><section><p>-R12</p><p>-R2</p></section></article></body>",
+    "<body><nav><ul><li><a href=1>-one</a></li></ul></nav><article><h1>+Fluss</h1><p>+A11</p><p>+A11</p><ol class=z><li>-R9</li><li>-R6</li></ol></article><footer>-© Fluss</footer></body>",
+    "<body><article><h1>+Pont</h1><p>+A12</p><p>+A12</p><section class=w><p>-R10</p><p>-R9</p></section></article><footer>-© pont</footer></body>",
+    "<body><article><h1>+Steps</h1><p>+A8</p><ol><li>+A4</li><li>+A10</li></ol></article><div id=t9><div><p>-R7</p></div><div><p>-R12</p></div></div></body>",
+    "<body><main><h1>+Grain</h1><p>+A3</p><p>+A2</p><div class=c><p>+A5</p></div></main><footer>-© grain</footer></body>",
+    "<body><article><h1>+Lime</h1><p>+A5</p><p>+A7</p><p>+A1</p><ul class=u><li>-R4</li><li>-R5</li><li>-R1</li></ul></article></body>",
+    "<body><article><h1>+Ice</h1><p>+A2</p><p>+A6</p><p>+A3</p></article><section class=g><article><p>-R3</p></article><article><p>-R11</p></article><article><p>-R8</p></article></section><footer>-© ice</footer></body>",
+    "<body><header><p>-The Valley</p></header><div><div><h1>+Snow</h1><p>+A1</p><p>+A2</p></div><div><p>-R8</p><p>-R10</p></div></div><footer>-© valley</footer></body>",
+    "<body><article><h1>+Quote</h1><p>+A7</p><blockquote><p>+A9</p></blockquote><p>+A3</p><div><p>+A12</p></div></article></body>",
+    "<body><article><h1>+Sand</h1><p>+A5</p><p>+A3</p><div class=m1><p>-R11</p><p>-R6</p><p>-R2</p></div></article><div class=m2><p>-V3</p></div></body>",
+    "<body><article><h1>+Last</h1><p>+A3</p><p>+A2</p><p>+A1</p><p>+A6</p><section><p>-R7</p></section></article><footer>-© last</footer></body>",
+    "<body><article><h1>+Ferry</h1><p>+A1</p><p>+A3</p><p>+A7</p><p>-R6</p><p>-R7</p></article><footer>-© ferry</footer></body>",
+    "<body><nav><a href=1>-Up</a></nav><article><h1>+Field</h1><p>+A5</p><p>+A2</p><p>+A3</p><p>-R15</p><p>-R12</p><p>-R2</p></article></body>",
+    "<body><article><h1>+Lock</h1><p>+A11</p><p>+A7</p><p>+A1</p></article><p>-R9</p><p>-R15</p><footer>-© lock</footer></body>",
+    "<body><article><h1>+Tile</h1><p>+A3</p><p>+A2</p><p>+A12</p><p>-R10</p><p>-R1</p></article></body>",
+    "<body><article><h1>+Nail</h1><p>+A3</p><p>+A2</p><p>+A7</p><section class=h2x><p>-R13</p><p>-R14</p></section></article></body>",
+    "<body><article><h1>+Rope</h1><p>+A1</p><p>+A5</p><p>+A7</p><div><p>-R14</p><p>-R13</p><p>-R16</p></div></article><footer>-© rope</footer></body>",
+    "<body><article><h1>+Sail</h1><p>+A1</p><p>+A12</p><p>+A3</p></article><section class=s8><p>-R16</p><p>-R14</p></section><footer>-© sail</footer></body>",
+    "<body><article><h1>+Mast</h1><p>+A11</p><p>+A5</p><p>+A3</p></article><ul><li>-R13</li><li>-R15</li></ul><footer>-© mast</footer></body>",
+    "<body><article><h1>+Oats</h1><p>+A3</p><p>+A2</p><div class=n4><p>-V5</p></div></article><footer>-© oats</footer></body>",
+    "<body><article><h1>+Barn</h1><p>+A1</p><div><p>-V6</p></div><p>+A7</p><p>+A5</p></article><footer>-© barn</footer></body>",
+    "<body><article><h1>+Hay</h1><p>+A7</p><p>+A5</p><p>+A3</p><div class=z2><p>-V6</p><button>-Log in</button></div></article></body>",
+    "<body><article><h1>+Wheel</h1><p>+A9</p><p>+A10</p><p>+A9</p><p>+A6</p></article><footer>-© wheel</footer></body>",
+    "<body><article><h1>+Short</h1><p>+A3</p><p>+A7</p><p>+A6</p><p>+A6</p></article><footer>-© short</footer></body>",
+    "<body><article><h1>+Axle</h1><p>+A5</p><p>+A2</p><p>+A9</p><p>+A3</p></article><div class=v7>-V5</div></body>",
+    "<body><article><h1>+Bolt</h1><p>+A5</p><p>+A2</p><p>+A3</p><p>+A7</p><div class=o1><p>-Subscribe to go on.</p></div></article><footer>-© bolt</footer></body>",
+    "<body><article><h1>+Cart</h1><p>+A3</p><div class=o2><p>-Log in to read the full text.</p></div><p>+A1</p><p>+A11</p></article></body>",
+    "<body><nav><a href=1>-Up</a></nav><article><h1>+Yoke</h1><p>+A12</p><p>+A1</p><p>+A2</p><div class=o3><p>-Become a member and read every story.</p></div></article><footer>-© yoke</footer></body>",
+    "<body><article><h1>+Reed</h1><p>+A3</p><p>+A1</p><p>+A5</p><section class=o4><p>-R14</p><p>-R11</p></section></article><footer>-© reed</footer></body>",
+    "<body><article><h1>+Moss</h1><p>+A7</p><p>+A11</p><p>+A1</p><p>+A3</p><section><p>-R16</p><p>-R15</p></section></article></body>",
 ]
 
 

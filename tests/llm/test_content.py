@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import itertools
 import math
 import random
 import re
@@ -183,6 +184,57 @@ def test_field_learns_pages_labelled_by_hand_and_labels_others():
     assert f1 > 0.9
 
 
+def test_field_as_brute_force():
+    """Viterbi against all labellings, and the gradient against differences of the likelihood."""
+    r = np.random.default_rng(8)
+    for n in (1, 2, 3, 6):
+        field = html_text.Field()
+        field.emit[:50], field.move, field.start = r.normal(size=(50, 2)), r.normal(size=(2, 2)), r.normal(size=2)
+        features = [r.integers(0, 50, 4).tolist() for _ in range(n)]
+
+        def score(y, f):
+            return f.start[y[0]] + sum(f.emit[x, y[i]] for i in range(n) for x in features[i]) + sum(f.move[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: B023
+
+        every = list(itertools.product((0, 1), repeat=n))
+        assert tuple(field.decode(features)) == max(every, key=lambda y: score(y, field))
+        truth = every[int(r.integers(len(every)))]
+
+        def likelihood():
+            return score(truth, field) - np.logaddexp.reduce([score(y, field) for y in every])  # noqa: B023
+
+        blocks, moves = field.gradient(features, list(truth))
+        for a, b in itertools.product((0, 1), repeat=2):
+            base, field.move[a, b] = likelihood(), field.move[a, b] + 1e-6
+            assert abs((likelihood() - base) / 1e-6 - moves[a, b]) < 1e-4
+            field.move[a, b] -= 1e-6
+        for x in {x for f in features for x in f}:
+            base, field.emit[x, 1] = likelihood(), field.emit[x, 1] + 1e-6
+            assert abs((likelihood() - base) / 1e-6 - sum(blocks[i, 1] * features[i].count(x) for i in range(n))) < 1e-4
+            field.emit[x, 1] -= 1e-6
+
+
+TALK = ["I don't agree, this was written in haste.", "Thank you for the text, it was a pleasure."]
+NAMES = ("<div class='talkback'>{}</div>", "<div id='disqus_thread'>{}</div>", "<section class='community'>{}</section>", "<div>{}</div>")
+
+
+def test_readers_comments_go_whatever_their_container_is_called(spark):
+    """In the article and after it, under names that no training page has, and under none."""
+    pages = read(spark, "/root/testdata/sf0.01", "pages")
+    field = html_text.learn(pages)
+    assert not any(w in p for p in labelled_pages.PAGES for w in ("talkback", "disqus", "community"))
+    rows = [r.html for r in pages.orderBy("page_id").limit(120).collect()]
+    want = [html_text.main_text(h, field) for h in rows]
+    said = "".join(f"<p>{x}</p>" for x in TALK)
+    for name in NAMES:
+        for at in ("{}</article>", "</article>{}"):
+            got = [html_text.main_text(h.replace("</article>", at.format(name.format(said))), field) for h in rows]
+            assert np.mean([a == b for a, b in zip(got, want, strict=True)]) >= 0.95, (name, at)
+    listed = "<ol class='replies'>" + "".join(f"<li>{x}</li>" for x in TALK) + "</ol>"
+    assert np.mean([html_text.main_text(h.replace("</article>", listed + "</article>"), field) == w for h, w in zip(rows, want, strict=True)]) >= 0.95
+    notice = "<div class='paywall'><p>Subscribe to read the whole story.</p></div>"
+    assert np.mean([html_text.main_text(h.replace("</article>", notice + "</article>"), field) == w for h, w in zip(rows, want, strict=True)]) >= 0.95
+
+
 def test_html_with_other_markup_and_odd_rows(spark):
     """Readers' words inside the article go, a div instead of an article stays; nulls, repeated rows, very long html and clashing names."""
     pages = read(spark, "/root/testdata/sf0.01", "pages")
