@@ -11,18 +11,43 @@ from . import catalogs
 FINGERPRINT = ("stage", "dataset", "path", "file", "table", "model_name", "feature")
 
 
-def fingerprint(*parts: Column) -> Column:
-    """20 hex digits of a hash of the parts, nulls as empty."""
-    return F.substring(F.sha2(F.concat_ws("|", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256), 1, 20)
+def json_text(value: Column) -> Column:
+    """A string as JSON writes it, null as null."""
+    inside = F.to_json(F.struct(value.cast("string").alias("v")))
+    return F.when(value.isNull(), "null").otherwise(F.substring(inside, 6, F.length(inside) - 6))
+
+
+def fingerprint(error_code: Column, component: Column, stage: Column, metadata: Column, exception_type: Column) -> Column:
+    """20 hex digits of a digest of what an event has in common with its repeats: code, component, stage, exception type and
+    the metadata with few values (a map; null values and other keys, such as ids, are left out), as JSON with keys in order."""
+    known = F.array(*(F.struct(F.lit(k).alias("k"), F.try_element_at(metadata, F.lit(k)).alias("v")) for k in sorted(FINGERPRINT)))
+    pairs = F.transform(F.filter(known, lambda x: x["v"].isNotNull()), lambda x: F.concat(F.lit('"'), x["k"], F.lit('": '), json_text(x["v"])))
+    parts = {"component": json_text(component), "error_code": json_text(error_code), "exception_type": json_text(exception_type), "metadata": F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")), "stage": json_text(stage)}
+    text = F.concat_ws(", ", *(F.concat(F.lit(f'"{k}": '), v) for k, v in parts.items()))
+    return F.substring(F.sha2(F.concat(F.lit("{"), text, F.lit("}")), 256), 1, 20)
+
+
+#: What an event may also say of itself; absent columns are null.
+DETAILS = {"metadata": "map<string, string>", "exception_type": "string"}
+
+
+def detailed(events: DataFrame) -> DataFrame:
+    """Events with all DETAILS columns."""
+    return events.withColumns({c: F.lit(None).cast(t) for c, t in DETAILS.items() if c not in events.columns})
 
 
 def from_table(events: DataFrame) -> DataFrame:
-    """Error events of the events table: event_id, ts, error_code, component, stage, message, key."""
+    """Error events of the events table: event_id, ts, component, stage, message, metadata, exception_type."""
     components = F.array(*map(F.lit, ("ingestion", "silver", "gold", "ml", "inference")))
     stages = F.array(*map(F.lit, ("load", "validate", "write")))
     k = F.coalesce(F.get_json_object("props", "$.k").try_cast("int"), F.lit(0))
     component, stage = F.get(components, (F.col("user_id") % 5).cast("int")), F.get(stages, F.pmod(k, F.lit(3)))
-    return events.where("event_type = 'error'").select("event_id", F.col("ts").cast("timestamp").alias("ts"), component.alias("component"), stage.alias("stage"), F.concat(component, F.lit(" failed at "), stage, F.when(F.col("user_id") % 7 == 0, ": file not found").otherwise("")).alias("message"))
+    missing = F.col("user_id") % 7 == 0
+    metadata = F.map_from_arrays(F.array(*map(F.lit, ("claim_id", "dataset", "path"))), F.array(F.col("event_id").cast("string"), F.concat(F.lit("set"), (F.col("user_id") % 3).cast("string")), F.when(missing, F.concat(F.lit("/data/"), stage))))
+    return events.where("event_type = 'error'").select(
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), component.alias("component"), stage.alias("stage"),
+        F.concat(component, F.lit(" failed at "), stage, F.when(missing, ": file not found").otherwise("")).alias("message"), metadata.alias("metadata"), F.when(missing, "FileNotFoundError").alias("exception_type"),
+    )
 
 
 def classified(events: DataFrame) -> DataFrame:
@@ -39,7 +64,7 @@ def classified(events: DataFrame) -> DataFrame:
 
 
 def keyed(events: DataFrame) -> DataFrame:
-    return classified(events).withColumn("fingerprint", fingerprint(F.col("error_code"), F.col("component"), F.col("stage")))
+    return detailed(classified(events)).withColumn("fingerprint", fingerprint(*(F.col(c) for c in ("error_code", "component", "stage", "metadata", "exception_type"))))
 
 
 def occurrences(events: DataFrame, slots: int = 64) -> DataFrame:

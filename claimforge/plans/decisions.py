@@ -354,8 +354,12 @@ def error_events(t: Claims) -> DataFrame:
 
 
 CODE = """case when user_id % 7 = 0 then case user_id % 5 when 0 then 'INGEST_001' when 1 then 'SILVER_001' when 2 then 'GOLD_001' when 3 then 'ML_001' else 'INFER_999' end else case user_id % 5 when 0 then 'INGEST_999' when 1 then 'SILVER_999' when 2 then 'GOLD_999' when 3 then 'ML_999' else 'INFER_999' end end"""
-EVENTS = f"""select *, substr(sha256(error_code || '|' || component || '|' || stage), 1, 20) as fingerprint, component || ' failed at ' || stage || case when user_id % 7 = 0 then ': file not found' else '' end as message from (select event_id, ts, user_id, {CODE} as error_code,
- case user_id % 5 when 0 then 'ingestion' when 1 then 'silver' when 2 then 'gold' when 3 then 'ml' else 'inference' end as component, case coalesce(try_cast(json_extract_string(props, '$.k') as int), 0) % 3 when 0 then 'load' when 1 then 'validate' else 'write' end as stage from events where event_type = 'error')"""
+STAGE = "case coalesce(try_cast(json_extract_string(props, '$.k') as int), 0) % 3 when 0 then 'load' when 1 then 'validate' else 'write' end"
+#: What a fingerprint digests: JSON with keys in order.
+PAYLOAD = """'{"component": "' || component || '", "error_code": "' || error_code || '", "exception_type": ' || case when user_id % 7 = 0 then '"FileNotFoundError"' else 'null' end
+ || ', "metadata": {"dataset": "set' || (user_id % 3)::varchar || '"' || case when user_id % 7 = 0 then ', "path": "/data/' || stage || '"' else '' end || '}, "stage": "' || stage || '"}'"""
+EVENTS = f"""select *, substr(sha256({PAYLOAD}), 1, 20) as fingerprint, component || ' failed at ' || stage || case when user_id % 7 = 0 then ': file not found' else '' end as message from (select event_id, ts, user_id, {CODE} as error_code,
+ case user_id % 5 when 0 then 'ingestion' when 1 then 'silver' when 2 then 'gold' when 3 then 'ml' else 'inference' end as component, {STAGE} as stage from events where event_type = 'error')"""
 query("e1_fingerprints", f"select event_id, fingerprint from ({EVENTS})")(lambda t: error_events(t).select("event_id", "fingerprint"))
 OCCUR = f"select *, row_number() over (partition by fingerprint order by ts, event_id) as occurrence from ({EVENTS})"
 query("e2_occurrences", f"select event_id, cast(occurrence as int) as occurrence, occurrence >= 2 as is_repeated from ({OCCUR})")(lambda t: E.occurrences(error_events(t)).select("event_id", "occurrence", "is_repeated"))
@@ -375,14 +379,33 @@ query("e7_enriched", f"select event_id, error_code, category, severity, retryabl
 query("e8_rollup", f"select component, stage, error_code, 'ERROR' as severity, count(*) as errors, count(*) filter (occurrence >= 2) as repeats from ({OCCUR}) group by all")(lambda t: E.rollup(error_events(t)))
 
 
-@query("t1_stream_summary", f"select fingerprint, error_code, component, stage, count(*) as n from ({EVENTS}) group by all")
-def t1(t: Claims) -> DataFrame:
-    """Error events written as files, summed up as a stream until all have arrived."""
-    src, out = folder(t, "t1-in"), folder(t, "t1-out")
+def arriving(t: Claims, name: str) -> DataFrame:
+    """Error events written as four files and read as a stream of two files a batch."""
+    src = folder(t, name)
     E.from_table(t.table("events")).repartition(4).write.mode("overwrite").parquet(src)
-    schema = t.spark.read.parquet(src).schema
-    streams.start_summary(streams.file_stream(t.spark, src, schema, 2), out, folder(t, "t1-checkpoint")).awaitTermination()
-    return t.spark.read.parquet(out).select("fingerprint", "error_code", "component", "stage", "n")
+    return streams.file_stream(t.spark, src, t.spark.read.parquet(src).schema, 2)
+
+
+@query("t1_stream_summary", f"select fingerprint, error_code, component, stage, count(*) as n, any_value(message) as last_message from ({EVENTS}) group by fingerprint, error_code, component, stage")
+def t1(t: Claims) -> DataFrame:
+    """Error events summed up as a stream until all have arrived. The events of a fingerprint say the same."""
+    out = folder(t, "t1-out")
+    streams.start_summary(arriving(t, "t1-in"), out, folder(t, "t1-checkpoint")).awaitTermination()
+    return streams.read_summary(t.spark, out).select("fingerprint", "error_code", "component", "stage", "n", "last_message")
+
+
+@query("t1_stream_occurrences", f"select event_id, occurrence, occurrence >= 2 as is_repeated from ({OCCUR})")
+def t1_occurrences(t: Claims) -> DataFrame:
+    """Error events numbered as they arrive: the later half first, the earlier half after a restart; an event long after all others then lets the rest pass."""
+    src, out, checkpoint = folder(t, "t1-files"), folder(t, "t1-numbered"), folder(t, "t1-numbered-checkpoint")
+    events = t.layer("error_events", lambda: E.from_table(t.table("events")))
+    late = F.col("event_id") % 2 == 0
+    last = events.orderBy(F.desc("ts")).limit(1).withColumns({"ts": F.col("ts") + F.expr("interval 90 days"), "event_id": F.lit(-1).cast("long"), "stage": F.lit("end")})
+    for some in (events.where(late), events.where(~late), last):
+        some.repartition(3).write.mode("append").parquet(src)
+        stream = streams.file_stream(t.spark, src, events.schema, 2)
+        streams.start_occurrences(stream, out, checkpoint, "40 days").awaitTermination()
+    return t.spark.read.parquet(out).where("event_id >= 0").select("event_id", "occurrence", "is_repeated")
 
 
 @query("t2_stream_intake", "select case when billed_amount is null or billed_amount >= 0 then 'success' else 'error' end as status, count(*) as n from claims_raw group by all")

@@ -24,7 +24,7 @@ DATASETS = {
     "diagnosis": ("diagnosis.csv", T.StructType(_text("diagnosis_code", "category", "severity"))),
     "cost": ("cost.csv", T.StructType(_text("procedure_code", "average_cost", "expected_cost", "region"))),
 }
-EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), *_text("component", "stage", "message")])
+EVENT = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()), *_text("component", "stage", "message"), T.StructField("metadata", T.MapType(T.StringType(), T.StringType())), T.StructField("exception_type", T.StringType())])
 
 
 def read_csv(spark: SparkSession, folder: str, dataset: str) -> DataFrame:
