@@ -434,23 +434,6 @@ def io1(t: Claims) -> DataFrame:
 query("io2_provenance", "select claim_id, '2024-01-01 00:00:00' as at, 'claims.csv' as source_file from claims_raw")(lambda t: io.with_provenance(t.claims_raw, "2024-01-01 00:00:00", "claims.csv").select("claim_id", F.date_format("ingestion_timestamp", "yyyy-MM-dd HH:mm:ss").alias("at"), "source_file"))
 
 
-@query("io3_parquet", "select provider_id, specialty, location from providers")
-def io3(t: Claims) -> DataFrame:
-    """A layer written with provenance and read back without it."""
-    path = folder(t, "io3")
-    io.write_layer(io.with_provenance(t.providers, "2024-01-01 00:00:00", "providers.csv"), path)
-    return io.read_layer(t.spark, path).select("provider_id", "specialty", "location")
-
-
-query("io4_pruned_scan", "select claim_id, billed_amount from claims")(lambda t: t.claims.drop("ingestion_timestamp").select("claim_id", "billed_amount"))
-
-
-@query("io5_run_report", "select 'providers' as dataset, 'success' as status, count(*) as rows_in, count(*) as rows_out from providers_raw union all select 'claims', 'success', (select count(*) from claims_raw), (select count(*) from claims) union all select 'other', 'failed', null, null")
-def io5(t: Claims) -> DataFrame:
-    jobs = {"providers": lambda: (t.providers_raw, t.providers), "claims": lambda: (t.claims_raw, t.claims)}
-    return io.run_jobs(t.spark, jobs, ["providers", "claims", "other"]).select("dataset", "status", "rows_in", "rows_out")
-
-
 @query("io7_corpus", "select distinct source as document from documents")
 def io7(t: Claims) -> DataFrame:
     """Every document written as a text file and read back as a whole: the sources whose documents all came back unchanged.

@@ -1,20 +1,18 @@
-"""Reading and writing of layers: CSV with provenance, Parquet, text corpora, JSON lines."""
+"""Reading and writing: CSV with provenance, text corpora, JSON lines."""
 
 from __future__ import annotations
 
 import hashlib
-import os
 import uuid
-from collections.abc import Callable
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import na_to_null
-from ..operators.profile import META
 
 _text = lambda *names: [T.StructField(n, T.StringType()) for n in names]
 #: Registered data sets: file name and columns (read as text; typed when cleaned).
@@ -39,28 +37,6 @@ def with_provenance(df: DataFrame, run_at: str, source: str | None = None) -> Da
     return out if source is None else out.withColumn("source_file", F.lit(source))
 
 
-def write_layer(df: DataFrame, path: str, partitions: tuple[str, ...] = ()) -> None:
-    df.write.mode("overwrite").partitionBy(*partitions).parquet(path)
-
-
-def read_layer(spark: SparkSession, path: str) -> DataFrame:
-    """A layer without its provenance columns (they are never read from disk)."""
-    return spark.read.parquet(path).drop(*META)
-
-
-def run_jobs(spark: SparkSession, jobs: dict[str, Callable[[], tuple[DataFrame, DataFrame]]], names: list[str] | None = None) -> DataFrame:
-    """dataset, status, rows_in, rows_out, removed, message: one row a job; an unknown name or a failure stops no other."""
-    rows = []
-    for name in names or list(jobs):
-        try:
-            before, after = jobs[name]()
-            n, m = before.count(), after.count()
-            rows.append((name, "success", n, m, n - m, None))
-        except Exception as e:  # noqa: BLE001 - the report is what failures are for
-            rows.append((name, "failed", None, None, None, f"unknown dataset {name}" if isinstance(e, KeyError) else str(e).splitlines()[0]))
-    return spark.createDataFrame(rows, "dataset string, status string, rows_in long, rows_out long, removed long, message string")
-
-
 def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """document_id, source_name, text: whole text and markdown files, found recursively; files that can't be read are skipped."""
     df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{txt,md,markdown}").option("ignoreCorruptFiles", True).text(folder, wholetext=True)
@@ -69,24 +45,27 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_corpus(rows: DataFrame, folder: str) -> None:
-    """Each row's text as a file of its own, <folder>/<two letters>/<name>; the folder is one that all executors share, a path
-    or a file: address."""
-    if (at := urlsplit(folder)).scheme not in ("", "file"):
-        raise ValueError(f"not a folder of files: {folder}")
-    folder = at.path
+    """Each row's text as a file of its own, <folder>/<two letters>/<name>, in any file system that Arrow knows (file, hdfs, s3, gs ...).
+
+    Tasks write aside and rename, so one that is run again, or twice at once, leaves one whole file. A folder without a scheme is a path
+    that all executors share. Null texts are empty; rows without a name are an error.
+    """
+    address = folder if urlsplit(folder).scheme else f"file://{folder}"
+    if address.startswith("file:/") and not address.startswith("file://"):
+        address = "file://" + address[len("file:") :]
 
     def run(batches):
+        store, root = FileSystem.from_uri(address)
         for batch in batches:
             for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                place = os.path.join(folder, hashlib.sha256(name.encode()).hexdigest()[:2])
-                os.makedirs(place, exist_ok=True)
-                part = f"{place}/.{name}.{uuid.uuid4().hex}"
-                with open(part, "wb") as f:
-                    f.write(text.encode("utf-8", "surrogatepass"))
-                os.replace(part, f"{place}/{name}")  # a task that is run again writes the same file
+                place = f"{root}/{hashlib.sha256(name.encode()).hexdigest()[:2]}"
+                aside = f"{place}/.{uuid.uuid4().hex}"
+                store.create_dir(place, recursive=True)
+                with store.open_output_stream(aside) as f:
+                    f.write((text or "").encode("utf-8", "surrogatepass"))
+                store.move(aside, f"{place}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
-    os.makedirs(folder, exist_ok=True)
     rows.select("name", "text").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
