@@ -1,7 +1,8 @@
 """Exact quantiles and running sums over values of any number, without a task or a buffer that holds them all.
 
-Values fall into slots in their own order. Slots are counted first; what stands before a slot comes from these counts (a small
-grid), what stands before a value inside its slot from a window over that slot alone.
+Values fall into slots in their own order: between cuts that a quantile sketch takes from the values themselves, and there by a fixed rule. Slots
+are counted first; what stands before a slot comes from these counts (a small grid), what stands before a value inside its slot from a window over that
+slot alone. However close together values lie, a slot between two cuts holds about one in CUTS of them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,32 @@ SLOTS = 64
 SCORE_SLOTS = 4096
 
 
+#: Slots that the sketch's cuts make: a square, so that a search is two short ones.
+CUTS = 256
+SIDE = 16
+
+
+def cuts_of(df: DataFrame, value: Column) -> DataFrame:
+    """One row: cuts, an array of CUTS - 1 doubles that deal the values into slots of about equal numbers (null without values)."""
+    shares = [i / CUTS for i in range(1, CUTS)]
+    return df.agg(F.percentile_approx(value.cast("double"), shares, 10_000).alias("_cuts"))
+
+
+def between_cuts(df: DataFrame, value: Column, cuts: DataFrame, name: str = "_place") -> DataFrame:
+    """df with the number of cuts below the value: a search among every SIDE-th cut, then one among those between."""
+    v = value.cast("double")
+
+    def search(low: int, high: int, cut) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(v > cut(middle), search(middle + 1, high, cut)).otherwise(search(low, middle, cut))
+
+    coarse = df.join(F.broadcast(cuts), how="cross").withColumn("_part", search(0, SIDE - 1, lambda i: F.get("_cuts", F.lit(SIDE * i + SIDE - 1))))
+    fine = search(0, SIDE - 1, lambda i: F.get("_cuts", F.col("_part") * SIDE + i))
+    return coarse.withColumn(name, F.col("_part") * SIDE + fine).drop("_part", "_cuts")
+
+
 def slot_of(v: Column) -> Column:
     """A whole number that never falls where the value rises."""
     return F.signum(v) * F.floor(F.log1p(F.abs(v)) * SLOTS)
@@ -29,7 +56,9 @@ def running(df: DataFrame, value: str, slot: Column, *sums: str, keys: tuple[str
 
     wanted drops whole slots by what stands before and in them (<sum>_from, <sum>_in, <sum>_all) before their rows are ordered.
     """
-    placed = df.withColumn("slot", slot)
+    # the condition keeps the sums among the columns read, so that the cuts come from the same exchange as the rows
+    cuts = cuts_of(df.where(" and ".join(f"{s} >= 0" for s in sums)), F.col(value))
+    placed = between_cuts(df, F.col(value), cuts).withColumn("slot", F.struct(F.col("_place"), slot.alias("_slot"))).drop("_place")
     grid = placed.groupBy(*keys, "slot").agg(*(F.sum(s).alias(f"{s}_in") for s in sums))
     before = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)

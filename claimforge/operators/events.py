@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import between_cuts, cuts_of
 from . import catalogs
 
 #: Metadata that takes part in a fingerprint.
@@ -67,16 +68,15 @@ def keyed(events: DataFrame) -> DataFrame:
     return detailed(classified(events)).withColumn("fingerprint", fingerprint(*(F.col(c) for c in ("error_code", "component", "stage", "metadata", "exception_type"))))
 
 
-def occurrences(events: DataFrame, slots: int = 64) -> DataFrame:
+def occurrences(events: DataFrame) -> DataFrame:
     """Adds occurrence (by time, then id) and is_repeated (from the second on).
 
-    There are few fingerprints and very many events, so none is ordered in one task: events are numbered within slots of time, and each slot
-    begins after the events of its fingerprint's earlier slots, of which there are at most `slots` counts.
+    There are few fingerprints and very many events, so none is ordered in one task: events are numbered within slots of time that hold about
+    equal numbers of events, bursts or not, and each slot begins after the events of its fingerprint's earlier slots, of which there are few counts. Events
+    of one microsecond share a slot.
     """
     at = F.unix_micros("ts")
-    span = events.agg(F.min(at).alias("_from"), F.max(at).alias("_to"))
-    share = (at - F.col("_from")).cast("double") * slots / F.greatest(F.lit(1), F.col("_to") - F.col("_from") + 1)
-    dealt = events.join(F.broadcast(span), how="cross").withColumn("_slot", F.coalesce(F.floor(share).cast("int"), F.lit(-1))).drop("_from", "_to")
+    dealt = between_cuts(events, F.coalesce(at, F.lit(0)), cuts_of(events, at), "_slot").withColumn("_slot", F.when(F.col("ts").isNull(), -1).otherwise(F.col("_slot")))
     counts = dealt.groupBy("fingerprint", "_slot").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("fingerprint").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("fingerprint", "_slot", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

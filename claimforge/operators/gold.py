@@ -121,13 +121,22 @@ def procedure_medians(base: DataFrame) -> DataFrame:
     return quantiles(base, F.col("billed_amount"), ("procedure_code",), procedure_median=0.5)
 
 
+def overall(base: DataFrame) -> DataFrame:
+    """One row: the median amount (0 without amounts) and the upper quartile of the expected cost over claim rows, from one pass."""
+    each = F.array(F.struct(F.lit("amount").alias("kind"), F.col("billed_amount").cast("double").alias("x")), F.struct(F.lit("expected").alias("kind"), F.col("expected_cost").cast("double").alias("x")))
+    found = quantiles(base.select(F.explode(each).alias("e")).select("e.*"), F.col("x"), ("kind",), median=0.5, p75=0.75)
+    of = lambda kind, share: F.max(F.when(F.col("kind") == kind, F.col(share)))
+    return found.agg(F.coalesce(of("amount", "median"), F.lit(0.0)).alias("global_median"), of("expected", "p75").alias("expected_p75"))
+
+
 def global_median(base: DataFrame) -> DataFrame:
     return quantiles(base, F.col("billed_amount"), global_median=0.5).na.fill(0.0)
 
 
-def impute_amounts(base: DataFrame) -> DataFrame:
-    """The amount itself, else its procedure's median, else the median of all (0 if there is none); exact medians."""
-    out = base.join(procedure_medians(base), "procedure_code", "left").join(F.broadcast(global_median(base)), how="cross")
+def impute_amounts(base: DataFrame, of_all: DataFrame | None = None) -> DataFrame:
+    """The amount itself, else its procedure's median, else the median of all (0 if there is none); exact medians. of_all is a row of overall()
+    whose other columns stay, where the caller needs them too."""
+    out = base.join(procedure_medians(base), "procedure_code", "left").join(F.broadcast(global_median(base) if of_all is None else of_all), how="cross")
     strategy = F.when(F.col("billed_amount").isNotNull(), "original").when(F.col("procedure_median").isNotNull(), "procedure_median").otherwise("global_median")
     return out.withColumns({"billed_amount_imputed": F.coalesce("billed_amount", "procedure_median", "global_median"), "amount_imputation_strategy": strategy}).drop("procedure_median", "global_median")
 
@@ -143,14 +152,16 @@ def cap_deviations(df: DataFrame) -> DataFrame:
 
 
 def flag_high_cost(df: DataFrame) -> DataFrame:
-    """Above the upper quartile of the expected cost over claim rows."""
-    limit = quantiles(df, F.col("expected_cost"), p75=0.75)
-    return df.join(F.broadcast(limit), how="cross").withColumn("is_high_cost", F.coalesce((F.col("billed_amount_imputed") > F.col("p75")).cast("int"), F.lit(0))).drop("p75")
+    """Above the upper quartile of the expected cost over claim rows (expected_p75, where the caller has it already)."""
+    known = df if "expected_p75" in df.columns else df.join(F.broadcast(quantiles(df, F.col("expected_cost"), expected_p75=0.75)), how="cross")
+    return known.withColumn("is_high_cost", F.coalesce((F.col("billed_amount_imputed") > F.col("expected_p75")).cast("int"), F.lit(0))).drop("expected_p75")
 
 
 def build_features(base: DataFrame) -> DataFrame:
-    out = base.join(provider_aggregates(base), "provider_id", "left").join(patient_counts(base), "patient_id", "left")
-    return out.transform(encode).transform(impute_amounts).transform(log_amounts).transform(cap_deviations).transform(flag_high_cost)
+    """All features. Medians and quartile are taken from the base itself, not from what is joined to it, and meet its rows as one row."""
+    known = impute_amounts(base, overall(base))
+    out = known.join(provider_aggregates(base), "provider_id", "left").join(patient_counts(base), "patient_id", "left")
+    return out.transform(encode).transform(log_amounts).transform(cap_deviations).transform(flag_high_cost)
 
 
 def lookup_tables(features: DataFrame, providers: DataFrame, diagnosis: DataFrame, cost: DataFrame) -> dict[str, DataFrame]:
@@ -163,7 +174,7 @@ def lookup_tables(features: DataFrame, providers: DataFrame, diagnosis: DataFram
         "diagnosis": diagnosis.transform(encode_severity),
         "regional_cost": regional_benchmark(cost),
         "procedure_cost": procedure_benchmark(cost),
-        "scalars": global_median(features).join(quantiles(features, F.col("expected_cost"), expected_cost_p75=0.75).na.fill(0.0), how="cross"),
+        "scalars": overall(features).select("global_median", F.coalesce("expected_p75", F.lit(0.0)).alias("expected_cost_p75")),
     }
 
 

@@ -52,16 +52,22 @@ def select_reasons(features: DataFrame, top: DataFrame, levels: DataFrame, most:
     Mandatory reasons first, then mapped contributions (only positive ones for HIGH and MEDIUM claims), each reason once;
     claims without any get their mapped contributions as a fallback.
     """
-    mapped = top.join(F.broadcast(by_feature(features.sparkSession)), "feature").join(levels.select("claim_id", "risk_level"), "claim_id")
-    must = critical_rows(features).join(top.select("claim_id", "feature", "contribution"), ["claim_id", "feature"], "left").select("claim_id", "reason_code", "feature", "value", F.coalesce("contribution", F.lit(0.0)).alias("contribution"), F.lit("critical_rule").alias("evidence_type"), F.col("ordinal").alias("place"))
-    allowed = (F.col("contribution") > 0) | ~F.col("risk_level").isin("HIGH", "MEDIUM")
-    shap = mapped.where(allowed).select("claim_id", "reason_code", "feature", "value", "contribution", F.lit("shap").alias("evidence_type"), (F.col("rank") + 100).alias("place"))
-    found = must.unionByName(shap)
-    rest = mapped.join(found.select("claim_id").distinct(), "claim_id", "left_anti").select("claim_id", "reason_code", "feature", "value", "contribution", F.lit("fallback").alias("evidence_type"), (F.col("rank") + 200).alias("place"))
-    once = Window.partitionBy("claim_id", "reason_code").orderBy("place")
-    rank = Window.partitionBy("claim_id").orderBy("place")
-    out = found.unionByName(rest).withColumn("_n", F.row_number().over(once)).where("_n = 1").withColumn("reason_rank", F.row_number().over(rank)).where(F.col("reason_rank") <= most)
-    return out.select("claim_id", "reason_rank", "reason_code", F.col("feature").alias("feature_name"), "value", "contribution", "evidence_type")
+    code = F.create_map(*(F.lit(x) for r in catalogs.REASONS for f in r[5] for x in (f, r[0])))
+    row = lambda place, reason, feature, value, contribution, kind: F.struct(place.alias("place"), reason.alias("reason_code"), feature.alias("feature"), value.alias("value"), contribution.alias("contribution"), F.lit(kind).alias("evidence_type"))
+    # a claim's contributions in order of rank, then everything within its row
+    tops = top.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("rank", "feature", "value", "contribution"))).alias("t"))
+    flags = {f: r[0] for r in catalogs.REASONS if r[8] for f in r[5]}
+    claims = features.select("claim_id", *(F.col(f).cast("boolean").alias(f) for f in flags)).join(levels.select("claim_id", "risk_level"), "claim_id", "left").join(tops, "claim_id", "left").withColumn("t", F.coalesce("t", F.array()))
+    of = lambda f: F.coalesce(F.get(F.filter("t", lambda x: x["feature"] == f), F.lit(0))["contribution"], F.lit(0.0))
+    must = F.array(*(F.when(F.col(f), row(F.lit(i), F.lit(reason), F.lit(f), F.lit(1.0), of(f), "critical_rule")) for i, (f, reason) in enumerate(flags.items())))
+    known = F.filter("t", lambda x: F.try_element_at(code, x["feature"]).isNotNull() & F.col("risk_level").isNotNull())
+    mapped = lambda kind, after: F.transform(F.col("known"), lambda x: row(x["rank"] + after, F.try_element_at(code, x["feature"]), x["feature"], x["value"], x["contribution"], kind))
+    allowed = F.filter(mapped("shap", 100), lambda x: (x["contribution"] > 0) | ~F.col("risk_level").isin("HIGH", "MEDIUM"))
+    found = claims.withColumn("known", known).withColumn("found", F.concat(F.filter(must, lambda x: x.isNotNull()), allowed))
+    either = found.withColumn("found", F.when(F.size("found") > 0, F.col("found")).otherwise(mapped("fallback", 200)))
+    once = F.filter("found", lambda x, i: ~F.exists(F.slice("found", 1, i), lambda y: y["reason_code"] == x["reason_code"]))
+    out = either.select("claim_id", F.posexplode(F.slice(once, 1, most)).alias("i", "x"))
+    return out.select("claim_id", (F.col("i") + 1).alias("reason_rank"), "x.reason_code", F.col("x.feature").alias("feature_name"), "x.value", "x.contribution", "x.evidence_type")
 
 
 def reason_text(feature: Column, value: Column, default: Column) -> Column:

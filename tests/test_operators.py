@@ -12,9 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from claimforge.fixtures import Claims
-from claimforge.functions.ranks import quantiles, running, score_slot
+from claimforge.functions.ranks import between_cuts, cuts_of, quantiles, running, score_slot
 from claimforge.functions.text import clip, ellipsis, html_to_text, references_decoded, tag_list, title
-from claimforge.operators import analytics, gold, intake, ml, profile, quality, reasons, remediation, retrieval, silver
+from claimforge.operators import analytics, events, gold, intake, ml, profile, quality, reasons, remediation, retrieval, silver
 from claimforge.plans import claims as claims_plans
 from claimforge.plans import registry
 from claimforge.sources import io
@@ -266,6 +266,43 @@ def test_quantiles_and_running_sums_as_the_whole_sort_has_them(spark):
     assert sorted((r.score, r.n_before, r.n_all) for r in placed) == [(s, sum(n for x, n in rows[:i]), sum(n for _, n in rows)) for i, (s, _) in enumerate(rows)]
 
 
+def test_values_close_together_and_bursts_are_dealt_evenly(spark):
+    """A million different values within a hundredth of one another, and events of one fingerprint in a burst: no slot has a twentieth of them."""
+    close = spark.range(1_000_000).select((F.lit(100.0) + F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0).alias("v")).distinct()
+    n = close.count()
+    placed = between_cuts(close, F.col("v"), cuts_of(close, F.col("v"))).groupBy("_place").count().agg(F.max("count"), F.count("*"), F.min("_place"), F.max("_place")).first()
+    assert n > 600_000 and placed[0] < 0.05 * n and placed[1] > 200 and placed[2] >= 0 and placed[3] <= 255
+    got = quantiles(close, F.col("v"), m=0.5, p=0.99).first()
+    want = np.quantile(np.sort(np.array([r.v for r in close.toLocalIterator()])), [0.5, 0.99])
+    assert abs(got.m - want[0]) < 1e-12 and abs(got.p - want[1]) < 1e-12
+    burst = spark.range(20_000).select(F.col("id").alias("event_id"), F.timestamp_micros(F.when(F.col("id") < 19_990, 10**12 + F.col("id") * 7 % 20_011).otherwise(F.col("id") * 10**12)).alias("ts"), F.lit("f").alias("fingerprint"))
+    numbered = events.occurrences(burst)
+    rows = numbered.select("event_id", "occurrence", "ts").collect()
+    assert [r.occurrence for r in sorted(rows, key=lambda r: (r.ts, r.event_id))] == list(range(1, 20_001))
+    slots = between_cuts(burst, F.unix_micros("ts"), cuts_of(burst, F.unix_micros("ts"))).groupBy("_place").count().agg(F.max("count")).first()[0]
+    assert slots < 0.05 * 20_000
+
+
+def test_cuts_of_few_many_and_no_values(spark):
+    for values in ([], [None], [3.0], [2.0] * 50, [float("-inf"), -1.0, 0.0, float("inf")], list(map(float, range(1000)))):
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        rows = between_cuts(df, F.col("v"), cuts_of(df, F.col("v"))).collect()
+        assert len(rows) == len(values) and all(0 <= r["_place"] <= 255 for r in rows)
+        places = [r["_place"] for r in sorted((r for r in rows if r.v is not None), key=lambda r: r.v)]
+        assert places == sorted(places)
+
+
+def test_features_read_the_base_a_few_times(spark, small):
+    """Scans of the written base in the plan of all features, those of exchanges that are used again not counted."""
+    t = Claims(spark, small)
+    plan = gold.build_features(t.base)
+    plan.write.format("noop").mode("overwrite").save()
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    final = text[: text.index("Initial Plan")] if "Initial Plan" in text else text
+    assert final.count("Scan parquet") <= 6, final.count("Scan parquet")
+
+
 def test_fitted_contributions_add_up_to_the_models_log_odds(spark, small):
     data = ml.split(ml.design_matrix(Claims(spark, small).features)).persist()
     model = ml.fit(data)
