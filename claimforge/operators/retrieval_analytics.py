@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import quantiles
+from .projection import projected
 
 KEYS = ("claim_id", "reason_code", "policy_chunk_id", "source_name", "section_title")
 SAMPLE_ROWS = 1500
@@ -52,10 +51,10 @@ def top_chunks(chunks: DataFrame, matches: DataFrame, top: int = 20) -> DataFram
     return m.orderBy(F.desc("retrieval_count"), "policy_chunk_id").limit(top).join(chunks.select(F.col("chunk_id").alias("policy_chunk_id"), "source_name", F.substring("chunk_text", 1, 220).alias("snippet")), "policy_chunk_id", "left")
 
 
-def projection(vectors: DataFrame, matches: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """vec_id, x, y, retrievals: a seeded sample of rows projected on two principal components."""
-    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows).select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
-    xy = PCA(k=2, inputCol="v", outputCol="p").fit(sample).transform(sample).select("vec_id", vector_to_array("p").alias("p"))
+def projection(vectors: DataFrame, matches: DataFrame, rows: int | None = SAMPLE_ROWS) -> DataFrame:
+    """vec_id, x, y, retrievals: rows on the two principal components of all rows; a seeded sample of them for display (all, if rows is None)."""
+    shown = vectors if rows is None else vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(rows)
+    xy = projected(vectors).join(shown.select("vec_id"), "vec_id", "left_semi")
     n = matches.groupBy(F.col("policy_chunk_id").alias("vec_id")).agg(F.count("*").alias("retrievals"))
     return xy.join(n, "vec_id", "left").select("vec_id", F.get("p", F.lit(0)).alias("x"), F.get("p", F.lit(1)).alias("y"), F.coalesce("retrievals", F.lit(0)).alias("retrievals"))
 

@@ -84,11 +84,23 @@ query("m10_fitted")(lambda t: M.importance(explained_by(t).where("feature <> 'ba
 
 # --- intake ---
 
-@query("i1_validation", """select claim_id, billed_amount is null or billed_amount >= 0 as is_valid, (case when billed_amount < 0 then 1 else 0 end) as n_errors,
- (case when billed_amount is null then 1 else 0 end) + (case when diagnosis_code is null then 1 else 0 end) + (case when procedure_code is null then 1 else 0 end) + (case when procedure_code is not null and diagnosis_code is null then 1 else 0 end) + (case when diagnosis_code is not null and procedure_code is null then 1 else 0 end)
- + (case when diagnosis_code is not null and upper(trim(diagnosis_code)) not in (select diagnosis_code from diagnosis) then 1 else 0 end) + (case when procedure_code is not null and upper(trim(procedure_code)) not in (select procedure_code from by_procedure) then 1 else 0 end) as n_warnings from claims_raw""")
+WARNINGS = {
+    "CLAIM_WARN_AMOUNT_MISSING": "billed_amount is null",
+    "CLAIM_WARN_MISSING_DIAGNOSIS": "diagnosis_code is null",
+    "CLAIM_WARN_MISSING_PROCEDURE": "procedure_code is null",
+    "CLAIM_WARN_PROC_WITHOUT_DIAGNOSIS": "procedure_code is not null and diagnosis_code is null",
+    "CLAIM_WARN_DIAGNOSIS_WITHOUT_PROC": "diagnosis_code is not null and procedure_code is null",
+    "CLAIM_WARN_UNKNOWN_PROVIDER": "provider_id not in (select provider_id from claims)",
+    "CLAIM_WARN_UNKNOWN_DIAGNOSIS": "diagnosis_code is not null and upper(trim(diagnosis_code)) not in (select diagnosis_code from diagnosis)",
+    "CLAIM_WARN_UNKNOWN_PROCEDURE": "procedure_code is not null and upper(trim(procedure_code)) not in (select procedure_code from by_procedure)",
+}
+WARNED_OF = ", ".join(f"case when {when} then '{code}' end" for code, when in WARNINGS.items())
+
+
+@query("i1_validation", f"select claim_id, billed_amount is null or billed_amount >= 0 as is_valid, case when billed_amount < 0 then 'CLAIM_ERR_INVALID_AMOUNT' else '' end as errors, array_to_string([x for x in [{WARNED_OF}] if x is not null], ',') as warnings from claims_raw")
 def i1(t: Claims) -> DataFrame:
-    return I.validate(t.claims_raw, lookups(t)).select("claim_id", "is_valid", F.size("blocking_errors").alias("n_errors"), F.size("warnings").alias("n_warnings"))
+    codes = lambda c: F.array_join(F.transform(c, lambda x: x["code"]), ",").alias(c.replace("blocking_", ""))
+    return I.validate(t.claims_raw, lookups(t)).select("claim_id", "is_valid", codes("blocking_errors"), codes("warnings"))
 
 
 query("i2_contradictions", "select claim_id, case when billed_amount is not null and denial_flag = 1 then 'billed_amount' end as contradiction from claims")(lambda t: I.contradictions(t.claims.withColumn("billed_amount_missing", F.col("billed_amount_missing") | (F.col("denial_flag") == 1))).select("claim_id", "contradiction"))
@@ -149,7 +161,6 @@ query("x1_contributions", CONTRIBUTION)(contributions)
 query("x2_top_contributions", f"select * from ({TOPS}) where rank <= 10")(lambda t: tops(t).drop("label", "direction"))
 query("x3_critical_reasons", " union all ".join(f"select claim_id, '{MAPPED[f][1]}' as reason_code, {i} as ordinal from features where {f}" for i, f in enumerate(CRITICAL)))(lambda t: X.critical_rows(t.features).select("claim_id", "reason_code", "ordinal"))
 query("x4_reasons", PICKED)(lambda t: picked(t).select("claim_id", "reason_rank", "reason_code", "feature_name", "value", "contribution", "evidence_type"))
-query("x5_fallback", f"select claim_id from ({LEVEL}) where claim_id not in (select claim_id from ({PICKED}))")(lambda t: levels(t).join(picked(t).where("evidence_type <> 'fallback'").select("claim_id").distinct(), "claim_id", "left_anti").select("claim_id"))
 
 
 def quoted(text: str) -> str:
@@ -287,7 +298,6 @@ query("v4_reason_coverage", _m("""select reason_code, reason_rows, coalesce(matc
  left join (select reason_code, count(distinct claim_id) as matched_rows, round(avg(similarity_score), 4) as avg_similarity from m group by 1) using (reason_code)
  left join (select reason_code, source_name as top_policy_source from (select reason_code, source_name, row_number() over (partition by reason_code order by n desc, source_name) as k from (select reason_code, source_name, count(*) as n from m group by all)) where k = 1) using (reason_code)"""))(lambda t: V.reason_coverage(long(t), matches(t)))
 query("v5_top_chunks", _m("select policy_chunk_id, retrieval_count, avg_similarity, 'source' || (policy_chunk_id % 9)::varchar as source_name, 'chunk ' || policy_chunk_id::varchar as snippet from (select policy_chunk_id, count(*) as retrieval_count, round(avg(similarity_score), 4) as avg_similarity from m group by 1 order by 2 desc, 1 limit 20)"))(lambda t: V.top_chunks(chunk_rows(t), matches(t)))
-query("v6_projection")(lambda t: V.projection(t.table("embeddings"), matches(t)))
 query("v7_strength", _m("select claim_id, reason_code, abs(contribution) as model_strength, best_similarity from p join (select claim_id, reason_code, max(similarity_score) as best_similarity from m group by all) using (claim_id, reason_code)"))(lambda t: V.strength(long(t), matches(t)))
 query("r15_report", _m(f"""select 'documents' as metric, count(*) as value from documents union all select 'chunks', count(*) from ({CHUNKS}) union all select 'match_rows', count(*) from m
  union all select 'unmatched_reasons', count(*) from p where not exists (select 1 from m where m.claim_id = p.claim_id and m.reason_code = p.reason_code)"""))(lambda t: R.match_report(policy_docs(t), corpus(t), long(t), matches(t)))
