@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import random
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +55,8 @@ WORD = re.compile(r"\w+")
 FIRST_PERSON = set("i i'm i've i'd me my mine myself ich mir mich mein meine meinen meiner je j'ai moi mon ma mes yo mí mi mis".split())
 SECOND_PERSON = set("you your yours du dir dich dein deine ihr euch euer vous votre vos tu te toi ton ta usted ustedes vosotros vuestro tú".split())
 REPLYING = set("thanks thank agree disagree anyone anybody lol yes hello hi sorry imho danke dank stimmt hallo merci accord bonjour gracias acuerdo hola".split())
-SPOKEN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
+#: What parts spoken words; an apostrophe doesn't.
+PARTING = str.maketrans({c: " " for c in ".,;:!?()[]\"«»„“”‚‘…–—/"} | {"’": "'"})
 #: Elements that hold one paragraph, item or heading: what contains them is a block's box.
 LEAVES = HEADINGS | set("p li blockquote pre dt dd td th tr figcaption label button option summary".split())
 
@@ -131,19 +134,20 @@ def blocks_of(html: str) -> list[tuple[str, tuple[str, ...], frozenset[str], flo
     return page.blocks
 
 
+@lru_cache(1 << 17)
 def hashed(name: str) -> int:
     return xxhash.xxh3_64_intdigest(name) % FEATURES
 
 
 def voice_of(text: str) -> frozenset[str]:
     """Who speaks in a text: "first", "second", "reply", "asks", "exclaims"."""
-    said = {w.replace("’", "'") for w in SPOKEN.findall(text.lower())}
+    said = set(text.lower().translate(PARTING).split())
     of = {"first": said & FIRST_PERSON, "second": said & SECOND_PERSON, "reply": said & REPLYING, "asks": "?" in text, "exclaims": "!" in text}
     return frozenset(k for k, found in of.items() if found)
 
 
-def surroundings(blocks: list[tuple]) -> list[list[str]]:
-    """What a block's place among the others says, whatever its ancestors are called.
+def surroundings(blocks: list[tuple]) -> list[list[int]]:
+    """Feature numbers of what a block's place among the others says, whatever its ancestors are called.
 
     A block's box is the element that holds its paragraph; the page's home is the box that holds the most unlinked text. A block outside the home
     belongs to a group: the outermost element that holds it and not the home's own blocks. Features tell where the group lies to the home, whether
@@ -181,11 +185,17 @@ def surroundings(blocks: list[tuple]) -> list[list[str]]:
             f"mean:{min(4, round(4 * sum(length[i] for i in long) / len(long) / max(1, usual)))}", f"talk:{round(share({'first', 'second', 'reply'}))}", f"excited:{round(share({'asks', 'exclaims'}))}",
         )
     out = []
+    known: dict[tuple, list[int]] = {}
     for i, (box, g, (_, _, _, _, path)) in enumerate(zip(boxes, groups, blocks, strict=True)):
         where = "home" if box == home else "around" if box in trunk else "inside" if home in path else "beside"
         when = "before" if i < own[0] else "after" if i > own[-1] else "among"
-        talk = next(f for f in of_group[g] if f.startswith("talk:"))
-        out.append([f"where:{where}", f"when:{when}", f"at:{where} {when}", *(f"group {where} {f}" for f in of_group[g]), f"group {where} {when} {talk}", *(f"voice:{v}" for v in voices[i]), *(f"voice {where}:{v}" for v in voices[i]), f"ending:{i in ending}", f"ending:{i in ending} {speaks[i]}", *(f"ending voice:{v}" for v in voices[i] if i in ending)])
+        kind = (g, where, when, i in ending, voices[i])
+        if kind not in known:
+            talk = next(f for f in of_group[g] if f.startswith("talk:"))
+            names = [f"where:{where}", f"when:{when}", f"at:{where} {when}", *(f"group {where} {f}" for f in of_group[g]), f"group {where} {when} {talk}", *(f"voice:{v}" for v in voices[i]), *(f"voice {where}:{v}" for v in voices[i])]
+            names += [f"ending:{i in ending}", f"ending:{i in ending} {speaks[i]}", *(f"ending voice:{v}" for v in voices[i] if i in ending)]
+            known[kind] = [hashed(x) for x in names]
+        out.append(known[kind])
     return out
 
 
@@ -198,27 +208,29 @@ def features_of(blocks: list[tuple], hide: random.Random | None = None) -> list[
         return out
     heading: set[str] = set()
     around = surroundings(blocks)
+    ancestors: dict[tuple, list[int]] = {}
     nameless = hide is not None and hide.random() < NAMELESS
     for i, (text, tags, words, linked, _) in enumerate(blocks):
         words = frozenset() if nameless else words
         own = tags[-1] if tags else ""
-        spoken = WORD.findall(text.lower())
+        all_words = text.split()
+        spoken = WORD.findall(text.lower()) if len(all_words) <= FEW_WORDS else ()
         few = set(spoken) if len(spoken) <= FEW_WORDS else set()
         if own in HEADINGS:
             heading = few
         elif heading and i and own not in blocks[i - 1][1] and tags[:-1] != blocks[i - 1][1][: len(tags) - 1]:
             heading = set()
-        above = [*(f"in:{t}" for t in set(tags) - {"html", "body"}), *(f"word:{w}" for w in words), *{f"begins:{w[:BEGINNING]}" for w in words}, f"path:{'>'.join(tags[-2:])}", f"named:{min(2, len(words))}"]
-        if hide is not None:
-            above = [a for a in above if hide.random() >= HIDDEN]
-        all_words = text.split()
+        if (tags, words) not in ancestors or hide is not None:
+            above = [*(f"in:{t}" for t in set(tags) - {"html", "body"}), *(f"word:{w}" for w in words), *{f"begins:{w[:BEGINNING]}" for w in words}, f"path:{'>'.join(tags[-2:])}", f"named:{min(2, len(words))}", f"parent:{own}"]
+            # of a page that is read, blocks of the same ancestors share their numbers
+            ancestors[tags, words] = [hashed(x) for x in above if hide is None or x.startswith("parent:") or hide.random() >= HIDDEN]
         names = [
-            "bias", *above, *around[i], f"parent:{own}", f"size:{min(8, len(text).bit_length())}", f"words:{min(6, len(all_words).bit_length())}", f"linked:{round(linked * 3)}",
+            "bias", f"size:{min(8, len(text).bit_length())}", f"words:{min(6, len(all_words).bit_length())}", f"linked:{round(linked * 3)}",
             *(f"says:{w}" for w in few), *{f"says begins:{w[:BEGINNING]}" for w in few}, *(f"under:{w}" for w in heading), *{f"under begins:{w[:BEGINNING]}" for w in heading},
             f"stops:{min(3, sum(text.count(c) for c in '.!?'))}", f"commas:{min(2, text.count(','))}", f"rights:{'©' in text or 'rights reserved' in text.lower()}",
-            f"ends:{text[-1] in '.!?…'}", f"place:{i * 4 // n}", f"first:{i == 0}", f"last:{i == n - 1}", f"capitals:{sum(w[:1].isupper() for w in all_words) * 3 // len(all_words)}",
+            f"ends:{text[-1] in '.!?…'}", f"place:{i * 4 // n}", f"first:{i == 0}", f"last:{i == n - 1}", f"capitals:{sum(map(str.isupper, [w[0] for w in all_words])) * 3 // len(all_words)}",
         ]
-        out.append([hashed(x) for x in names])
+        out.append([*ancestors[tags, words], *around[i], *map(hashed, names)])
     return out
 
 
@@ -237,7 +249,10 @@ class Field:
         self.emit, self.move, self.start = np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.zeros(2)
 
     def scores(self, features: list[list[int]]) -> np.ndarray:
-        return np.array([self.emit[f].sum(axis=0) for f in features]).reshape(-1, 2)
+        if not features:
+            return np.zeros((0, 2))
+        starts = np.cumsum([0, *map(len, features[:-1])])
+        return np.add.reduceat(self.emit[list(chain.from_iterable(features))], starts, axis=0)
 
     def decode(self, features: list[list[int]]) -> list[int]:
         """The likeliest labels (Viterbi)."""
