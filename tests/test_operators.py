@@ -5,6 +5,7 @@ import json
 import math
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -266,6 +267,64 @@ def test_quantiles_and_running_sums_as_the_whole_sort_has_them(spark):
     assert sorted((r.score, r.n_before, r.n_all) for r in placed) == [(s, sum(n for x, n in rows[:i]), sum(n for _, n in rows)) for i, (s, _) in enumerate(rows)]
 
 
+def test_logistic_weights_as_a_closed_loop_finds_them(spark):
+    """The fitted pipeline's weights against Newton steps on the same penalised, balanced likelihood."""
+    r = np.random.default_rng(11)
+    names = ml.FEATURES[:3]
+    x = r.normal(size=(400, 3)) * [1, 5, 0.2] + [0, 3, 1]
+    y = (r.random(400) < 1 / (1 + np.exp(-(x @ [1.2, -0.3, 2.0] - 1)))).astype(int)
+    df = spark.createDataFrame([(f"c{i}", int(y[i]), *map(float, x[i]), "train") for i in range(400)], f"claim_id string, denial_flag int, {', '.join(f'{c} double' for c in names)}, part string")
+    model = ml.pipeline("logistic", names).fit(ml.weighted(df))
+    weights, means, base = ml.linear_weights(model, names)
+    z = np.column_stack([np.ones(400), (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)])
+    w = np.where(y == 1, 400 / (2 * y.sum()), 400 / (2 * (400 - y.sum())))
+    beta, ridge = np.zeros(4), 1e-4 * w.sum() * np.diag([0, 1, 1, 1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ beta))
+        beta -= np.linalg.solve((z.T * (w * p * (1 - p))) @ z + ridge, z.T @ (w * (p - y)) + ridge @ beta)
+    want = beta[1:] / x.std(axis=0, ddof=1)
+    assert np.allclose([weights[c] for c in names], want, rtol=1e-3) and abs(base - beta[0]) < 1e-3
+    assert np.allclose([means[c] for c in names], x.mean(axis=0))
+
+
+class Visible(HTMLParser):
+    """Visible text as html_to_text() has it, by a parser instead of patterns."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.parts = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "noscript", "svg")
+        if tag in BLOCKS:
+            self.parts.append("\n")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "noscript", "svg") and self.hidden > 0
+        if tag in BLOCKS:
+            self.parts.append("\n")
+
+    def handle_data(self, data):
+        if not self.hidden:
+            self.parts.append(data)
+
+    def text(self):
+        t = re.sub(r"[ \t\r\xa0]+", " ", "".join(self.parts))
+        return re.sub(r"\n{3,}", "\n\n", re.sub(r" ?\n ?", "\n", t)).strip()
+
+
+BLOCKS = "p div br li ul ol h1 h2 h3 h4 h5 h6 tr table section article header footer nav".split()
+
+
+def test_pages_as_text_as_a_parser_reads_them(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet").select("page_id", "html", html_to_text(F.col("html")).alias("text")).collect()
+    for r in pages:
+        parser = Visible()
+        parser.feed(r.html)
+        parser.close()
+        assert r.text == parser.text()
+
+
 def test_values_close_together_and_bursts_are_dealt_evenly(spark):
     """A million different values within a hundredth of one another, and events of one fingerprint in a burst: no slot has a twentieth of them."""
     close = spark.range(1_000_000).select((F.lit(100.0) + F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0).alias("v")).distinct()
