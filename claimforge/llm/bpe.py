@@ -32,6 +32,7 @@ class Bpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.tokens = ranks, {r: b for b, r in ranks.items()}
         self.names = {r: str(r) for r in self.tokens}
+        self.longest = max(map(len, ranks))
         self.cut = regex.compile(pattern).findall
         self.trie = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for b in ranks:
@@ -92,7 +93,7 @@ class Bpe:
             if size:
                 out.append(token)
                 at += size
-                size = self.trie.longest_prefix(text[at : at + 256]) if at < len(data) else 0
+                size = self.trie.longest_prefix(text[at : at + self.longest]) if at < len(data) else 0
             else:
                 dead.add(at)
                 if not out:

@@ -27,6 +27,14 @@ def test_bpe_is_the_librarys(text):
     assert ids == LIBRARY.encode_ordinary(text) and coder.decode(ids) == text.encode()
 
 
+def test_tokens_of_any_length_are_found():
+    """A vocabulary with a token of 512 bytes, which may stand anywhere in a text."""
+    ranks = {bytes([b]): b for b in range(256)} | {b"a" * 2**k: 255 + k for k in range(1, 10)}
+    coder, library = bpe.Bpe(ranks, r".+"), tiktoken.Encoding("long", pat_str=r".+", mergeable_ranks=ranks, special_tokens={})
+    for text in ("a" * 700, "b" + "a" * 700, "ab" * 3 + "a" * 1537 + "c" + "a" * 511):
+        assert coder.encode(text) == library.encode_ordinary(text)
+
+
 @settings(max_examples=200, deadline=None)
 @given(TEXT, st.integers(1, 40))
 def test_counts_are_the_librarys_at_any_chunk(text, chunk):
