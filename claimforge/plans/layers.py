@@ -25,8 +25,8 @@ def io3(t: Claims) -> DataFrame:
 
 @query(
     "io3_contract",
-    """select claim_id, patient_id, billed_amount, coalesce(denial_flag, 0)::tinyint as denial_flag, diagnosis_code_missing, procedure_code from (
- select claim_id, patient_id, billed_amount::double as billed_amount, case when row_number() over (order by claim_id) > 0 and claim_id like '1%' then null else denial_flag end as denial_flag, diagnosis_code_missing, procedure_code from claims)""",
+    """select claim_id, patient_id, billed_amount::double as billed_amount, (case when claim_id like '1%' then 0 else coalesce(denial_flag, 0) end)::tinyint as denial_flag, diagnosis_code_missing, procedure_code
+ from claims""",
 )
 def io3_contract(t: Claims) -> DataFrame:
     """Claims with wrong types and nulls where none may be, written under their contract by procedure in order of id; a version before and one that fails
