@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from claimforge.fixtures import Claims
 from claimforge.functions.ranks import between_cuts, cuts_of, quantiles, running, score_slot
 from claimforge.functions.text import clip, ellipsis, html_to_text, references_decoded, tag_list, title
-from claimforge.operators import analytics, events, gold, intake, ml, profile, quality, reasons, remediation, retrieval, silver
+from claimforge.operators import analytics, events, gold, intake, ml, profile, quality, reasons, remediation, retrieval, silver, terms
 from claimforge.plans import claims as claims_plans
 from claimforge.plans import registry
 from claimforge.sources import io
@@ -207,7 +207,7 @@ def test_explanations_have_every_contracted_column(spark):
 def best_chunks(asked, chunks, k=3):
     """The match rule in plain Python: sublinear tf-idf over words and pairs, a boost for each shared tag, a floor, the top k."""
     def counted(text):
-        words = [w for w in re.findall(r"\b\w\w+\b", text.lower(), re.A) if w not in retrieval.STOP_WORDS]
+        words = [w for w in re.findall(r"\b\w\w+\b", text.lower()) if w not in terms.english_stop_words()]
         return Counter(words + [" ".join(p) for p in zip(words, words[1:])])
 
     frequencies = {c.chunk_id: counted(c.chunk_text) for c in chunks}
