@@ -6,15 +6,17 @@ each place in it, the last token of the encoding up to there with the tokens fro
 transitions are built when first needed and then kept. A character that no token of more characters holds, and a word
 mark after something else, put the machine into a state that doesn't depend on the past.
 
-Texts are cut into chunks. A chunk gives a map from entry state to (exit state, tokens): what stands before its first restart (the
-head) is run from the entry state, what follows doesn't depend on it. So a map is three values, (head, tail, tokens), where the tail is
-what stands after the last restart and leads from the start state to the exit state. The composition of two maps has the same form,
-and it is associative: a prefix scan over (text, chunk) composes runs of chunks first, each in a task, and then the runs' maps.
-A text of one chunk is its own map; the chunks of longer texts are rows of the job, so that a very long one is spread over many tasks.
+Texts are cut into chunks. A chunk's state map leads from entry states to (exit state, tokens). Its entry states are those that the
+characters before it leave open: one if the machine restarts among them, else the states that runs from each of the last
+CONTEXT_CHARS places end in, mostly few, as runs meet soon. Maps compose associatively: a parallel prefix scan composes runs of chunks
+first, each in a task, and then the runs' maps. No text travels with a map. Where the true entry state isn't among those of a map, it
+is asked for, and that chunk is run again from it, until no text is open. A text of one chunk is counted by itself; the
+chunks of longer ones are rows of the job, so that a very long one is spread over many tasks, with or without spaces.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from functools import cache
 
@@ -24,12 +26,14 @@ import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MEMO_ENTRIES, keyed, n_partitions, prepare, read
+from .common import MEMO_ENTRIES, discarded, keyed, n_partitions, prepare, read, written
 
 TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
 #: Characters of a chunk, and chunks of a run.
 CHUNK_CHARS, RUN = 1 << 15, 64
+#: Characters before a chunk that its entry states are sought in.
+CONTEXT_CHARS = 128
 MARK = "▁"
 #: The state before anything has been read, or after something that no token spans.
 START = 0
@@ -108,6 +112,38 @@ class Transducer:
             total += gained
         return state, total
 
+    def runs(self, entries: set[int], text: str) -> dict[int, tuple[int, int]]:
+        """run() from each of these states, side by side: runs that meet in a state go on as one."""
+        live = {e: (0, [(e, 0)]) for e in entries}
+        at = 0
+        while len(live) > 1 and at < len(text):
+            met: dict[int, tuple[int, list[tuple[int, int]]]] = {}
+            for state, (total, held) in live.items():
+                new, gained = self.steps.get((state, text[at])) or self.step(state, text[at])
+                total += gained
+                if new in met:
+                    met[new][1].extend((e, total + less - met[new][0]) for e, less in held)
+                else:
+                    met[new] = (total, held)
+            live, at = met, at + 1
+        if len(live) == 1:
+            [(state, (total, held))] = live.items()
+            state, gained = self.run(state, text[at:])
+            live = {state: (total + gained, held)}
+        return {e: (state, total + less) for state, (total, held) in live.items() for e, less in held}
+
+    def spelt(self, state: int) -> str:
+        """A state in a form that other tasks read."""
+        return json.dumps(self.states[state])
+
+    def read(self, spelt: str) -> int:
+        suffix, places = json.loads(spelt)
+        state = (suffix, tuple(p and tuple(p) for p in places))
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+        return self.number[state]
+
     def bound(self) -> None:
         """Between texts: forget what has been compiled once there is too much of it."""
         if len(self.words) > MEMO_ENTRIES:
@@ -133,113 +169,168 @@ def transducer(path: str) -> Transducer:
 _WORD = re.compile(f"{MARK}+[^{MARK}\n]*\n*|[^{MARK}\n]+\n*|\n+")
 
 
-#: What a chunk does: (head, tail, tokens of what follows the head); tail is None where there is no restart.
-StateMap = tuple[str, str | None, int]
-NOTHING: StateMap = ("", None, 0)
+#: Entry state -> (exit state, tokens), states as spelt; the entry None stands for all: the machine restarts at the cut.
+StateMap = dict[str | None, tuple[str, int]]
 
 
-def state_map(machine: Transducer, chunk: str) -> StateMap:
-    """The map of a marked chunk."""
-    words = _WORD.findall(chunk)
-    if len(words) == 1:
-        return words[0], None, 0
-    return words[0], words[-1], sum(machine.word(w)[1] for w in words[1:])
+def marked(text: str) -> str:
+    """The text as the model reads it."""
+    return MARK + text.replace(" ", MARK) if text else ""
 
 
-def after(machine: Transducer, first: StateMap, second: StateMap) -> StateMap:
-    """The composition of two state maps, itself a state map."""
-    if first[1] is None:
-        return first[0] + second[0], second[1], second[2]
-    state, _ = machine.word(first[1])
-    gained = machine.run(state, second[0])[1]
-    return first[0], first[1] + second[0] if second[1] is None else second[1], first[2] + gained + second[2]
+def cut(text: str, chunk_chars: int, context: int) -> list[tuple[str, str]]:
+    """(characters before it, chunk) of a text as the model reads it."""
+    return [(text[max(0, i - context) : i], text[i : i + chunk_chars]) for i in range(0, len(text), chunk_chars)]
 
 
-def total(machine: Transducer, whole: StateMap) -> int:
-    """Tokens of a whole text: its map at the start state."""
-    return machine.run(START, whole[0])[1] + whole[2]
+def entry_states(machine: Transducer, before: str) -> set[int]:
+    """States that the machine may be in after these characters, whatever stood before them (nearly always: see missing links)."""
+    words = _WORD.findall(before)
+    if len(words) > 1:
+        return {machine.word(words[-1])[0]}
+    return {machine.run(START, before[i:])[0] for i in range(len(before))} or {START}
 
 
-def marked_chunks(text: str, chunk_chars: int = CHUNK_CHARS) -> list[str]:
-    """The text as the model reads it, cut."""
-    marked = MARK + text.replace(" ", MARK) if text else ""
-    return [marked[i : i + chunk_chars] for i in range(0, len(marked), chunk_chars)]
+def state_map(machine: Transducer, before: str, chunk: str, entries: set[int] | None = None) -> StateMap:
+    """The map of a chunk from what its context leaves open, or from these entry states."""
+    words = _WORD.findall(chunk)
+    restart = len(_WORD.findall(before[-1:] + chunk[:1])) == 2
+    known = {START} if restart else entry_states(machine, before) if entries is None else entries
+    out = machine.runs(known, words[0])
+    if len(words) > 1:
+        last, rest = machine.word(words[-1])[0], sum(machine.word(w)[1] for w in words[1:])
+        out = {e: (last, n + rest) for e, (_, n) in out.items()}
+    return {None if restart else machine.spelt(e): (machine.spelt(x), n) for e, (x, n) in out.items()}
+
+
+def after(first: StateMap, second: StateMap) -> tuple[StateMap, set[str]]:
+    """The composition of two state maps, itself a state map, and the entry states that the second one lacks."""
+    whole, missing = {}, set()
+    for entry, (state, n) in first.items():
+        to = second.get(state) or second.get(None)
+        if to:
+            whole[entry] = (to[0], n + to[1])
+        else:
+            missing.add(state)
+    return whole, missing
 
 
-def count(machine: Transducer, text: str, chunk_chars: int = CHUNK_CHARS) -> int:
-    """Tokens of a whole text."""
+def count(machine: Transducer, text: str) -> int:
+    """Tokens of a whole text in one go."""
     machine.bound()
-    whole = NOTHING
-    for chunk in marked_chunks(text, chunk_chars):
-        whole = after(machine, whole, state_map(machine, chunk))
-    return total(machine, whole)
+    return sum(machine.word(w)[1] for w in _WORD.findall(marked(text)))
 
 
-MAP = "digest string, run long, at long, head string, tail string, tokens long"
-MAP_COLUMNS = ("digest", "run", "at", "head", "tail", "tokens")
+#: A row is an entry of the map of a chunk (at) or of a run of chunks; without an exit it is a missing link: chunk `at` lacks the entry.
+MAP = "digest string, run long, at long, entry string, exit string, tokens long"
+MAP_COLUMNS = ("digest", "run", "at", "entry", "exit", "tokens")
 
 
-def as_batch(rows: list[tuple], totals: bool = False) -> pa.RecordBatch:
-    """Rows of maps, or of (digest, n_tokens), as Arrow."""
-    names = ("digest", "n_tokens") if totals else MAP_COLUMNS
-    types = (pa.string(), pa.int64()) if totals else (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(names))
+def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows of maps as Arrow."""
+    types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    columns = zip(*rows, strict=True) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=list(MAP_COLUMNS))
 
 
-def composed(maps: DataFrame, path: str, whole_texts: bool) -> DataFrame:
-    """One map for each (digest, run), of its maps in order of `at`; maps that stand twice (of repeated texts) count once.
-    With whole_texts the (digest, n_tokens) that the maps come to."""
-    n = n_partitions(maps.sparkSession)
+def composed(maps: DataFrame, part: str) -> DataFrame:
+    """One map for all chunks of a run (part `at`), or for all runs of a text (part `run`), composed in order of the part, with
+    the links that are missing. Entries that stand twice (of repeated texts) count once."""
+    key_columns, chunks_a_part = (("digest", "run"), 1) if part == "at" else (("digest",), RUN)
 
     def fold(batches):
-        machine = transducer(path)
-        key, last, whole = None, None, NOTHING
+        key, place, whole, piece, rows = None, None, None, {}, []
+
+        def closed():
+            """What has been composed, with the piece that ends here."""
+            if whole is None:
+                return piece
+            out, missing = after(whole, piece)
+            rows.extend((key[0], key[1] if part == "at" else place, place * chunks_a_part, e, None, None) for e in sorted(missing))
+            return out
 
         def result():
-            return (key[0], total(machine, whole)) if whole_texts else (key[0], 0, key[1], *whole)
+            rows.extend((key[0], key[1] if part == "at" else 0, 0, e, x, n) for e, (x, n) in closed().items())
 
         for batch in batches:
-            rows = []
-            for digest, run, at, *one in zip(*(batch.column(c).to_pylist() for c in MAP_COLUMNS), strict=True):
-                if (digest, run) != key:
+            for row in zip(*(batch.column(c).to_pylist() for c in MAP_COLUMNS), strict=True):
+                of = dict(zip(MAP_COLUMNS, row, strict=True))
+                now = tuple(of[c] for c in key_columns)
+                if now != key:
                     if key:
-                        rows.append(result())
-                    machine.bound()
-                    key, last, whole = (digest, run), None, NOTHING
-                if at != last:
-                    last, whole = at, after(machine, whole, tuple(one))
-            yield as_batch(rows, whole_texts)
+                        result()
+                    key, place, whole, piece = now, of[part], None, {}
+                elif of[part] != place:
+                    whole, place, piece = closed(), of[part], {}
+                if of["exit"] is None:
+                    rows.append(row)
+                else:
+                    piece[of["entry"]] = (of["exit"], of["tokens"])
+            yield as_batch(rows)
+            rows.clear()
         if key:
-            yield as_batch([result()], whole_texts)
+            result()
+            yield as_batch(rows)
 
-    dealt = maps.repartition(n, "digest", "run").sortWithinPartitions("digest", "run", "at")
-    return dealt.mapInArrow(fold, "digest string, n_tokens long" if whole_texts else MAP)
+    dealt = maps.repartition(n_partitions(maps.sparkSession), *key_columns).sortWithinPartitions(*key_columns, part)
+    return dealt.mapInArrow(fold, MAP)
 
 
-def long_counts(texts: DataFrame, path: str) -> DataFrame:
-    """(digest, n_tokens) of (digest, text): chunks as rows."""
-    n = n_partitions(texts.sparkSession)
+def chunked(texts: DataFrame, context: int) -> DataFrame:
+    """(digest, at, before, chunk) of (digest, text)."""
 
-    def cut(batches):
+    def run(batches):
         for batch in batches:
             for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                chunks = marked_chunks(text)
+                chunks = cut(marked(text), CHUNK_CHARS, context)
                 for i in range(0, len(chunks), RUN):
-                    some = chunks[i : i + RUN]
-                    yield pa.RecordBatch.from_arrays([pa.array([digest] * len(some)), pa.array(range(i, i + len(some)), pa.int64()), pa.array(some)], names=["digest", "at", "chunk"])
+                    before, chunk = zip(*chunks[i : i + RUN], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([digest] * len(chunk)), pa.array(range(i, i + len(chunk)), pa.int64()), pa.array(before), pa.array(chunk)], names=["digest", "at", "before", "chunk"])
 
-    def to_maps(batches):
+    return texts.mapInArrow(run, "digest string, at long, before string, chunk string").repartition(n_partitions(texts.sparkSession), "digest", "at")
+
+
+def chunk_maps(chunks: DataFrame, path: str) -> DataFrame:
+    """The maps of chunks; from the states in the column `entries`, if there is one."""
+
+    def run(batches):
         machine = transducer(path)
         for batch in batches:
             machine.bound()
-            yield as_batch([(d, at // RUN, at, *state_map(machine, c)) for d, at, c in zip(*(batch.column(x).to_pylist() for x in ("digest", "at", "chunk")), strict=True)])
+            columns = [batch.column(c).to_pylist() for c in ("digest", "at", "before", "chunk")]
+            entries = batch.column("entries").to_pylist() if "entries" in batch.schema.names else [None] * batch.num_rows
+            rows = []
+            for d, at, before, chunk, wanted in zip(*columns, entries, strict=True):
+                one = state_map(machine, before, chunk, wanted and {machine.read(e) for e in wanted})
+                rows += [(d, at // RUN, at, e, x, n) for e, (x, n) in one.items()]
+            yield as_batch(rows)
+
+    return chunks.mapInArrow(run, MAP)
 
-    chunks = texts.mapInArrow(cut, "digest string, at long, chunk string").repartition(n, "digest", "at")
-    return composed(composed(chunks.mapInArrow(to_maps, MAP), path, False), path, True)
 
+def long_counts(texts: DataFrame, path: str, context: int = CONTEXT_CHARS) -> DataFrame:
+    """(digest, n_tokens) of (digest, text): chunks as rows.
 
-def counts(docs: DataFrame, limit: int = TOKEN_LIMIT, tokenizer: str | None = None) -> DataFrame:
+    Maps, and totals with the links that are missing, are written; a missing link names a chunk and a state, from which that chunk is
+    run as well. Each round closes at least the first open link of each text, so it ends; runs mostly meet within the context,
+    and then there is one round.
+    """
+    maps = written(chunk_maps(chunked(texts, context), path), "maps")
+    while True:
+        found = written(composed(composed(maps, "at"), "run"), "totals")
+        totals = found.where("exit is not null")
+        asked = found.where("exit is null").join(totals.select("digest").hint("merge"), "digest", "left_anti")
+        if asked.isEmpty():
+            discarded(maps)
+            return totals.select("digest", F.col("tokens").alias("n_tokens"))
+        asked = asked.groupBy("digest", "at").agg(F.collect_set("entry").alias("entries"))
+        again = chunked(texts.join(asked.select("digest").distinct().hint("merge"), "digest", "left_semi").dropDuplicates(["digest"]), context)
+        more = written(maps.unionAll(chunk_maps(again.join(asked.hint("merge"), ["digest", "at"]), path)), "maps")
+        discarded(maps, found)
+        maps = more
+
+
+def counts(docs: DataFrame, limit: int = TOKEN_LIMIT, tokenizer: str | None = None, context: int = CONTEXT_CHARS) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, a row for each row of documents.
 
     Null and empty texts have no bytes and no tokens; repeated rows are each counted; a null doc_id stays null; an empty
@@ -259,7 +350,7 @@ def counts(docs: DataFrame, limit: int = TOKEN_LIMIT, tokenizer: str | None = No
     is_long = F.length("text") >= CHUNK_CHARS
     short = texts.where(~is_long).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     rows = texts.where(is_long).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-    long = rows.select("doc_id", "n_bytes", "digest").join(long_counts(rows.select("digest", "text"), path).hint("merge"), "digest").select("doc_id", "n_bytes", "n_tokens")
+    long = rows.select("doc_id", "n_bytes", "digest").join(long_counts(rows.select("digest", "text"), path, context).hint("merge"), "digest").select("doc_id", "n_bytes", "n_tokens")
     return short.unionAll(long).withColumn("over_limit", F.col("n_tokens") > limit)
 
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 import sentencepiece
 import tiktoken
 from hypothesis import given, settings
@@ -36,31 +37,68 @@ def test_tokens_of_any_length_are_found():
 
 
 @settings(max_examples=200, deadline=None)
-@given(TEXT, st.integers(1, 40))
-def test_counts_are_the_librarys_at_any_chunk(text, chunk):
-    assert token_count.count(token_count.transducer(P.path(token_count.TOKENIZER)), text, chunk) == len(PIECES.encode(text))
-
-
-@settings(max_examples=100, deadline=None)
-@given(TEXT, st.lists(st.integers(1, 30), min_size=2, max_size=8), st.randoms())
-def test_maps_compose_in_any_order(text, sizes, r):
-    machine, maps, marked = token_count.transducer(P.path(token_count.TOKENIZER)), [], token_count.MARK + text.replace(" ", token_count.MARK)
-    while marked:
-        n = sizes[len(maps) % len(sizes)]
-        maps.append(token_count.state_map(machine, marked[:n]))
-        marked = marked[n:]
-    while len(maps) > 1:
-        i = r.randrange(len(maps) - 1)
-        maps[i : i + 2] = [token_count.after(machine, *maps[i : i + 2])]
-    assert not text or token_count.total(machine, maps[0]) == len(PIECES.encode(text))
-
-
-def test_very_long_texts_are_spread_over_tasks(spark, prose):
-    texts = {1: prose(1, 400_000), 2: "x" * 100_000 + " " * 70_000 + "y", 3: "z" * (token_count.CHUNK_CHARS - 1), 4: "z " * token_count.CHUNK_CHARS, None: prose(2, 20_000)}
+@given(TEXT)
+def test_counts_are_the_librarys(text):
+    assert token_count.count(token_count.transducer(P.path(token_count.TOKENIZER)), text) == len(PIECES.encode(text))
+
+
+#: Besides the usual texts, some that hardly have a restart.
+SPACELESS = st.text(alphabet=st.sampled_from("aaabexyz \n"), max_size=120) | st.text(alphabet=st.sampled_from("ae"), max_size=120) | st.integers(0, 150).map(lambda n: " " * n)
+
+
+@settings(max_examples=200, deadline=None)
+@given(TEXT | SPACELESS, st.integers(1, 40), st.integers(1, 60), st.randoms())
+def test_maps_compose_in_any_order(text, size, context, r):
+    """From the entry states that contexts leave open, and from those that were missing, whatever the order of composition."""
+    machine = token_count.transducer(P.path(token_count.TOKENIZER))
+    chunks = token_count.cut(token_count.marked(text), size, context)
+    first = [token_count.state_map(machine, *c) for c in chunks]
+    if text:
+        for _ in range(len(chunks) + 1):
+            state, n, at = machine.spelt(token_count.START), 0, 0
+            for at, one in enumerate(first):
+                if not (to := one.get(state) or one.get(None)):
+                    break
+                state, n = to[0], n + to[1]
+            else:
+                break
+            first[at] |= token_count.state_map(machine, *chunks[at], {machine.read(state)})
+        assert n == len(PIECES.encode(text))
+        maps = list(first)
+        while len(maps) > 1:
+            i = r.randrange(len(maps) - 1)
+            maps[i : i + 2] = [token_count.after(*maps[i : i + 2])[0]]
+        whole = maps[0]
+        assert (whole.get(machine.spelt(token_count.START)) or whole[None])[1] == n
+
+
+def long_texts(prose):
+    chars = "".join(chr(0x4E00 + (i * i * 7 + i // 3) % 3000) for i in range(5 * token_count.CHUNK_CHARS))
+    return {1: prose(1, 400_000), 2: "x" * 100_000 + " " * 70_000 + "y", 3: "z" * (token_count.CHUNK_CHARS - 1), 4: "z " * token_count.CHUNK_CHARS, 7: chars, 8: prose(3, 90_000).replace(" ", ""), None: prose(2, 20_000)}
+
+
+@pytest.mark.parametrize("context", [token_count.CONTEXT_CHARS, 2])
+def test_very_long_texts_are_spread_over_tasks(spark, prose, context):
+    """With and without spaces; with a context too short to find entry states in, the missing ones are asked for."""
+    texts = long_texts(prose)
     rows = [*texts.items(), (1, texts[1]), (5, texts[2]), (6, "short")]
     df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
-    got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in token_count.counts(df).collect())
-    assert got == sorted((i or -1, len(t), len(PIECES.encode(t))) for i, t in rows)
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_tokens) for r in token_count.counts(df, context=context).collect())
+    assert got == sorted((i or -1, len(t.encode()), len(PIECES.encode(t))) for i, t in rows)
+
+
+def test_chunks_without_a_restart_leave_few_states_open(prose):
+    """Characters without spaces: a handful of entry states a chunk, the true one among them; no text in a map."""
+    machine = token_count.transducer(P.path(token_count.TOKENIZER))
+    for key in (7, 8):
+        text = long_texts(prose)[key]
+        maps = [token_count.state_map(machine, *c) for c in token_count.cut(token_count.marked(text), 1000, token_count.CONTEXT_CHARS)]
+        assert max(map(len, maps)) <= 16
+        whole = maps[0]
+        for one in maps[1:]:
+            whole, missing = token_count.after(whole, one)
+            assert not missing
+        assert sum(n for _, n in whole.values()) == len(PIECES.encode(text))
 
 
 def test_bpe_query_over_odd_rows(odd, odd_rows, empty):
