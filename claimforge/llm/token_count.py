@@ -54,19 +54,38 @@ class Transducer:
             raise ValueError("a token of this model holds a line end, or a word mark after something else")
         self.usable = {p for p in self.rank if self.merged(p) == [p]}
         self.apart: dict[tuple[str, str], bool] = {}
+        #: Of a suffix: in which of its places a token may still start.
+        self.alive: dict[str, list[bool]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Only the start state is known; steps[state] holds its transitions, words the tokens of words from the start state."""
         self.states: list[tuple] = [("", ((None, 0),))]
         self.number: dict[tuple, int] = {self.states[0]: START}
-        self.steps: dict[tuple[int, str], tuple[int, int]] = {}
-        self.words: dict[str, tuple[int, int]] = {}
+        self.steps: list[dict[str, tuple[int, int]]] = [{}]
+        self.compiled = 0
+        self.words = Words(self)
+
+    def state(self, state: tuple) -> int:
+        """The number of a state, a new one if it is new."""
+        if state not in self.number:
+            self.number[state] = len(self.states)
+            self.states.append(state)
+            self.steps.append({})
+        return self.number[state]
 
     def merged(self, text: str) -> list[str]:
         """The definition: merge the adjacent pair of best rank, leftmost first."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min((self.rank.get(a + b, float("inf")), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if best[0] == float("inf"):
-                break
-            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+        rank, never, parts = self.rank.get, float("inf"), list(text)
+        ranks = [rank(a + b, never) for a, b in zip(parts, parts[1:], strict=False)]
+        while ranks and (best := min(ranks)) < never:
+            i = ranks.index(best)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank(parts[i - 1] + parts[i], never)
+            if i < len(ranks):
+                ranks[i] = rank(parts[i] + parts[i + 1], never)
         return parts
 
     def stay_apart(self, a: str, b: str) -> bool:
@@ -96,19 +115,19 @@ class Transducer:
                 kept = kept[1:]
             grown = [*(p and (p[0], p[1] + gained) for p in places), (token, 0)][-len(kept) - 1 :]
             # a place where no token can start any more doesn't matter
-            new = (kept, tuple(p if not kept[i:] or kept[i:] in self.starts else None for i, p in enumerate(grown)))
-            if new not in self.number:
-                self.number[new] = len(self.states)
-                self.states.append(new)
-            out = (self.number[new], gained)
-        self.steps[state, char] = out
+            if kept not in self.alive:
+                self.alive[kept] = [not kept[i:] or kept[i:] in self.starts for i in range(len(kept) + 1)]
+            new = (kept, tuple([p if yes else None for p, yes in zip(grown, self.alive[kept], strict=True)]))
+            out = (self.state(new), gained)
+        self.steps[state][char] = out
+        self.compiled += 1
         return out
 
     def run(self, state: int, text: str) -> tuple[int, int]:
         """Exit state and tokens gained over a text."""
         steps, total = self.steps, 0
         for char in text:
-            state, gained = steps.get((state, char)) or self.step(state, char)
+            state, gained = steps[state].get(char) or self.step(state, char)
             total += gained
         return state, total
 
@@ -119,7 +138,7 @@ class Transducer:
         while len(live) > 1 and at < len(text):
             met: dict[int, tuple[int, list[tuple[int, int]]]] = {}
             for state, (total, held) in live.items():
-                new, gained = self.steps.get((state, text[at])) or self.step(state, text[at])
+                new, gained = self.steps[state].get(text[at]) or self.step(state, text[at])
                 total += gained
                 if new in met:
                     met[new][1].extend((e, total + less - met[new][0]) for e, less in held)
@@ -138,25 +157,24 @@ class Transducer:
 
     def read(self, spelt: str) -> int:
         suffix, places = json.loads(spelt)
-        state = (suffix, tuple(p and tuple(p) for p in places))
-        if state not in self.number:
-            self.number[state] = len(self.states)
-            self.states.append(state)
-        return self.number[state]
+        return self.state((suffix, tuple(p and tuple(p) for p in places)))
 
     def bound(self) -> None:
         """Between texts: forget what has been compiled once there is too much of it."""
         if len(self.words) > MEMO_ENTRIES:
             self.words.clear()
-        if len(self.steps) > 3 * MEMO_ENTRIES // 2:
-            self.states, self.steps, self.number = self.states[:1], {}, {self.states[0]: START}
-            self.words.clear()
+        if self.compiled > 3 * MEMO_ENTRIES // 2:
+            self.forget()
+
+
+class Words(dict):
+    """Tokens of a word from the start state, counted when first asked for."""
+
+    def __init__(self, machine: Transducer):
+        self.machine = machine
 
-    def word(self, word: str) -> tuple[int, int]:
-        """As run() from the start state, remembered."""
-        out = self.words.get(word)
-        if out is None:
-            out = self.words[word] = self.run(START, word)
+    def __missing__(self, word: str) -> int:
+        out = self[word] = self.machine.run(START, word)[1]
         return out
 
 
@@ -187,7 +205,7 @@ def entry_states(machine: Transducer, before: str) -> set[int]:
     """States that the machine may be in after these characters, whatever stood before them (nearly always: see missing links)."""
     words = _WORD.findall(before)
     if len(words) > 1:
-        return {machine.word(words[-1])[0]}
+        return {machine.run(START, words[-1])[0]}
     return {machine.run(START, before[i:])[0] for i in range(len(before))} or {START}
 
 
@@ -198,7 +216,7 @@ def state_map(machine: Transducer, before: str, chunk: str, entries: set[int] |
     known = {START} if restart else entry_states(machine, before) if entries is None else entries
     out = machine.runs(known, words[0])
     if len(words) > 1:
-        last, rest = machine.word(words[-1])[0], sum(machine.word(w)[1] for w in words[1:])
+        last, rest = machine.run(START, words[-1])[0], sum(map(machine.words.__getitem__, words[1:]))
         out = {e: (last, n + rest) for e, (_, n) in out.items()}
     return {None if restart else machine.spelt(e): (machine.spelt(x), n) for e, (x, n) in out.items()}
 
@@ -218,7 +236,7 @@ def after(first: StateMap, second: StateMap) -> tuple[StateMap, set[str]]:
 def count(machine: Transducer, text: str) -> int:
     """Tokens of a whole text in one go."""
     machine.bound()
-    return sum(machine.word(w)[1] for w in _WORD.findall(marked(text)))
+    return sum(map(machine.words.__getitem__, _WORD.findall(marked(text))))
 
 
 #: A row is an entry of the map of a chunk (at) or of a run of chunks; without an exit it is a missing link: chunk `at` lacks the entry.
