@@ -56,15 +56,15 @@ class Transducer:
         self.apart: dict[tuple[str, str], bool] = {}
         #: Of a suffix: in which of its places a token may still start.
         self.alive: dict[str, list[bool]] = {}
+        self.words = Words(self)
         self.forget()
 
     def forget(self) -> None:
-        """Only the start state is known; steps[state] holds its transitions, words the tokens of words from the start state."""
+        """Only the start state is known; steps[state] holds a state's transitions."""
         self.states: list[tuple] = [("", ((None, 0),))]
         self.number: dict[tuple, int] = {self.states[0]: START}
         self.steps: list[dict[str, tuple[int, int]]] = [{}]
         self.compiled = 0
-        self.words = Words(self)
 
     def state(self, state: tuple) -> int:
         """The number of a state, a new one if it is new."""
@@ -161,22 +161,26 @@ class Transducer:
 
     def bound(self) -> None:
         """Between texts: forget what has been compiled once there is too much of it."""
-        if len(self.words) > MEMO_ENTRIES:
-            self.words.clear()
+        self.words.bound()
         if self.compiled > 3 * MEMO_ENTRIES // 2:
             self.forget()
 
 
 class Words(dict):
-    """Tokens of a word from the start state, counted when first asked for."""
+    """Tokens of a word from the start state, counted when first asked for. Two generations: words asked for since the last change stay."""
 
     def __init__(self, machine: Transducer):
-        self.machine = machine
+        self.machine, self.older = machine, {}
 
     def __missing__(self, word: str) -> int:
-        out = self[word] = self.machine.run(START, word)[1]
+        out = self[word] = self.older.get(word) or self.machine.run(START, word)[1]
         return out
 
+    def bound(self) -> None:
+        if len(self) > MEMO_ENTRIES:
+            self.older = dict(self)
+            self.clear()
+
 
 @cache
 def transducer(path: str) -> Transducer:
