@@ -220,6 +220,49 @@ def test_recall_where_earlier_documents_hold_edited_or_partial_copies(spark, pro
     assert not set(found) & set(range(25))
 
 
+def brute_repeats(rows, n=50):
+    """(doc_id, place) of every run of n words that an earlier document, or an earlier place of the same one, holds."""
+    seen, repeated = {}, set()
+    for i, t in sorted(rows):
+        words = words_of(t)
+        for at in range(len(words) - n + 1):
+            if seen.setdefault(tuple(words[at : at + n]), (i, at)) != (i, at):
+                repeated.add((i, at))
+    return repeated
+
+
+def test_repeated_passages_as_brute_force(spark, prose):
+    """Copies, passages of 50 words and more in several documents, twice in one, nested and with edits, short lines in many: every
+    repeated run of 50 words is in reported passages, and every reported passage is as alike as stated, by sets of whole shingles.
+
+    A passage ends where it ends in the holder that it was held against; another holder may share a chance word more at an end. So up
+    to three words of a run may be missing.
+    """
+    r = random.Random(17)
+    passages = [prose(70_000 + k, r.choice([50, 51, 55, 70, 120])) for k in range(8)]
+    line, rows = prose(71_000, 15), []
+    for i in range(60):
+        parts = [prose(72_000 + i, r.randint(10, 80))]
+        for _ in range(r.randint(0, 2)):
+            some = r.choice(passages)
+            parts += [edited(some, r, edits=1) if r.random() < 0.2 else some, prose(73_000 + 100 * i + len(parts), r.randint(5, 60))]
+        if r.random() < 0.4:
+            parts += [line, prose(74_000 + i, 30)]
+        rows.append((i, "  ".join(parts)))
+    rows += [(60 + k, rows[3 * k][1]) for k in range(5)] + [(70, f"{passages[0]} {prose(75_000, 20)} {passages[0]}"), (71, prose(75_001, 49)), (72, "")]
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    texts, reported = {i: words_of(t) for i, t in rows}, set()
+    for p in found:
+        ours, theirs = texts[p.doc_id][p.first_word : p.end_word], texts[p.source_doc_id][p.source_first_word : p.source_end_word]
+        a, b = ({tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (ours, theirs))
+        assert (p.source_doc_id, p.source_first_word) < (p.doc_id, p.first_word) and len(ours) >= 50
+        assert len(a & b) / len(a | b) >= 0.8 and abs(len(a & b) / len(a | b) - p.similarity) < 1e-9
+        reported |= {(p.doc_id, w) for w in range(p.first_word, p.end_word)}
+    repeated = brute_repeats(rows)
+    missing = [len({(i, w) for w in range(at, at + 50)} - reported) for i, at in repeated]
+    assert len(repeated) > 500 and max(missing) <= 3 and sum(map(bool, missing)) <= 0.02 * len(missing)
+
+
 def test_each_text_of_an_id_loses_its_own_repeats_only(spark, prose):
     passage, other = prose(41, 80), prose(42, 150)
     rows = [(1, f"{prose(43, 60)} {passage}"), (2, f"{prose(44, 60)} {passage} {prose(45, 60)}"), (2, other), (3, None), (3, f"{passage} {prose(46, 60)}"), (3, f"{passage} {prose(46, 60)}")]
