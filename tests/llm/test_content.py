@@ -7,6 +7,7 @@ import math
 import random
 import re
 import string
+import zlib
 
 import numpy as np
 import pytest
@@ -285,3 +286,87 @@ def test_search_at_the_ends_of_the_number_range_and_with_repeated_ids(spark):
     got = [[(r.query_id, r.vec_id, round(r.score, 12)) for r in sorted(vector_search.nearest(df.repartition(m), lambda i: i % 50 == 0).collect(), key=lambda r: r["rank"])] for m in (1, 3)]
     half = round(0.5**0.5, 12)
     assert got[0] == got[1] == [(0, 2, 1.0), (0, 1, half), (0, 5, half), (0, 3, 0.0)]
+
+
+def brute_toxicity(docs, toxic):
+    """{doc_id: score} by the definitions in plain Python: counts by loops, all segments by their definition, the chance law's root
+    and the logistic map by other ways than the operator's."""
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in docs}
+    counts = {}
+    for i, text in docs.items():
+        if 1 <= fold[i] <= 3:
+            for f in {f for w in re.findall(r"\w+", text.lower()) for f in (w, *(w[:n] + "-" for n in (5, 7) if n < len(w)))}:
+                counts.setdefault(f, [0, 0])[1 - toxic[i]] += 1
+    a, b = (sum(c[k] for c in counts.values()) for k in (0, 1))
+
+    def telling(t, c):
+        odds = math.log((t + 0.5) / (a - t + 0.5)) - math.log((c + 0.5) / (b - c + 0.5))
+        return abs(odds) > 1.5 * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+
+    kept = {f: c for f, c in counts.items() if telling(*c)}
+    kept[""] = [a - sum(c[0] for c in kept.values()), b - sum(c[1] for c in kept.values())]
+    smooth = {f: [x + 0.5 + 100 * sum(c) / (a + b) for x in c] for f, c in kept.items()}
+    sums = [sum(c[k] for c in smooth.values()) for k in (0, 1)]
+    scores = {}
+    for f, (t, c) in smooth.items():
+        odds = math.log(t / (sums[0] - t)) - math.log(c / (sums[1] - c))
+        scores[f] = math.copysign(max(0.0, abs(odds) - 2.5 * math.sqrt(1 / t + 1 / c)), odds)
+    del scores[""]
+
+    def sequence(text):
+        return [max((scores.get(f, 0.0) for f in (w, *(w[:n] + "-" for n in (5, 7) if n < len(w)))), key=abs) - 0.05 for w in re.findall(r"\w+", text.lower())]
+
+    def segments(xs):
+        """The best segment, then those of what stands left and right of it."""
+        best, place = 0.0, None
+        for i in range(len(xs)):
+            total = 0.0
+            for j in range(i, len(xs)):
+                total += xs[j]
+                if total > best + 1e-12:
+                    best, place = total, (i, j + 1)
+        return [] if place is None else [*segments(xs[: place[0]]), best, *segments(xs[place[1] :])]
+
+    clean = [sequence(docs[i]) for i in docs if 1 <= fold[i] <= 3 and not toxic[i]]
+    law = [round(s, 2) for xs in clean for s in xs] + [max([0.5, *scores.values()])]
+    low, high = 1e-9, 50.0
+    for _ in range(80):
+        rate = (low + high) / 2
+        low, high = (rate, high) if sum(math.exp(min(700, rate * s)) for s in law) < len(law) else (low, rate)
+    rate = max(rate, 1e-2)
+    size = 1 / (sum(max(1, len(xs)) * math.exp(-rate * max([0.0, *segments(xs)])) for xs in clean) / len(clean))
+
+    def evidence(text):
+        xs = sequence(text)
+        nats = [max(0.0, -math.log(max(1e-300, size * max(1, len(xs)) * math.exp(-rate * s)))) for s in segments(xs)]
+        strong = [n for n in nats if n > -math.log(0.05)]
+        return [1.0, min(20.0, max(nats, default=0.0)), min(50.0, sum(strong)) ** 0.5, float(bool(strong))]
+
+    rows = [(evidence(docs[i]), toxic[i]) for i in docs if fold[i] == 4]
+    w = np.zeros(4)
+    x, y = np.array([r[0] for r in rows]), np.array([float(r[1]) for r in rows])
+    for _ in range(200_000):  # plain descent
+        step = x.T @ (1 / (1 + np.exp(-x @ w)) - y) + 0.1 * w
+        w -= step / (0.1 + 0.25 * (x**2).sum())
+        if np.abs(step).max() < 1e-9:
+            break
+    return {i: 1 / (1 + math.exp(-float(np.array(evidence(t)) @ w))) for i, t in docs.items()}
+
+
+def test_toxicity_scores_as_brute_force(spark, prose):
+    """Every document's score is that of the definitions, written again in plain Python."""
+    r = random.Random(3)
+    bad, docs, toxic = [f"grob{k}heit" for k in range(12)], {}, {}
+    for i in range(240):
+        words = prose(80_000 + i, r.randint(20, 60)).split()
+        toxic[i] = int(i % 6 == 0)
+        for _ in range(r.randint(4, 10) if toxic[i] else r.random() < 0.1):
+            words.insert(r.randint(0, len(words)), r.choice(bad))
+        docs[i] = " ".join(words)
+    docs[239], toxic[239] = "", 0
+    table = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    got = {row.doc_id: row.score for row in toxicity.scored(table, toxicity.learn(table, labels)).collect()}
+    want = brute_toxicity(docs, toxic)
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-4
+    assert max(want.values()) > 0.5 > min(want.values())
