@@ -1,11 +1,17 @@
 """Terms, the block index and the blocked matrix search against brute force."""
 
+import os
+import pathlib
 import random
 import re
+import subprocess
+import sys
+import zipfile
 from collections import Counter
 from math import log, sqrt
 
 import numpy as np
+import pyspark
 from pyspark.sql import functions as F
 
 from claimforge.operators import dense, retrieval, terms
@@ -104,3 +110,14 @@ def test_blanks_of_unicode_part_words(spark):
     section = spark.createDataFrame([("d", "one two three\x1cfour\x85five\n six\tseven")], "document_id string, text string")
     assert retrieval.windows(section, 3, 1).orderBy("window_index").select("chunk_text").collect()[0][0] == "one two three"
     assert retrieval.windows(section, 100, 1).first().chunk_text.split(" ") == "one two three four five six seven".split()
+
+
+def test_queries_are_named_where_neither_a_session_nor_sparks_jars_are_at_hand(tmp_path):
+    """The registry loads with pyspark read from a zip file, as under spark-submit, before there is a session."""
+    home = pathlib.Path(pyspark.__file__).parent
+    with zipfile.ZipFile(tmp_path / "pyspark.zip", "w") as z:
+        for f in home.rglob("*.py"):
+            z.write(f, f"pyspark/{f.relative_to(home)}")
+    code = "import pyspark, __spark_entry__ as e; assert '.zip' in pyspark.__file__; print(len(e.queries()) > 50 and len(e.oracle_sql()) > 50)"
+    env = os.environ | {"PYTHONPATH": f"{tmp_path / 'pyspark.zip'}:{pathlib.Path(__file__).resolve().parents[1]}"}
+    assert subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=120).stdout.strip() == "True"
