@@ -116,7 +116,7 @@ def test_queries_are_named_where_neither_a_session_nor_sparks_jars_are_at_hand(t
     """The registry loads with pyspark read from a zip file, as under spark-submit, before there is a session."""
     home = pathlib.Path(pyspark.__file__).parent
     with zipfile.ZipFile(tmp_path / "pyspark.zip", "w") as z:
-        for f in home.rglob("*.py"):
+        for f in [*home.rglob("*.py"), *home.rglob("error-conditions.json")]:
             z.write(f, f"pyspark/{f.relative_to(home)}")
     code = "import pyspark, __spark_entry__ as e; assert '.zip' in pyspark.__file__; print(len(e.queries()) > 50 and len(e.oracle_sql()) > 50)"
     env = os.environ | {"PYTHONPATH": f"{tmp_path / 'pyspark.zip'}:{pathlib.Path(__file__).resolve().parents[1]}"}
