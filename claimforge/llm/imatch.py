@@ -37,6 +37,8 @@ TERM = re.compile(r"\w+")
 FIRST = -(2**63)
 
 U64 = np.uint64
+SUBSETS = U64(1) << np.arange(len(RATES) * PER_RATE, dtype=U64)[:, None]
+NO_TERMS = "." * (DIGITS * len(SUBSETS))
 
 
 def terms(text: str) -> set[str]:
@@ -48,22 +50,32 @@ def term_hashes(found) -> np.ndarray:
 
 
 def memberships(hashes: np.ndarray) -> np.ndarray:
-    """(terms, subsets): which randomised subsets each term is in; depends on the term alone."""
-    subset = np.arange(len(RATES) * PER_RATE, dtype=U64)
-    draw = mix(hashes[:, None] ^ mix(subset + U64(0x51ED27))[None, :])
-    return (draw >> U64(11)).astype(np.float64) * 2.0**-53 < np.repeat(RATES, PER_RATE)[None, :]
-
-
-def fingerprint(text: str, lexicon: np.ndarray) -> str:
-    """DIGITS hex digits for each subset, dots for a subset without terms; a text without lexicon terms uses all it has."""
-    h = np.sort(term_hashes(terms(text)))
+    """Which randomised subsets each term is in, a bit for each subset; depends on the term alone."""
+    out = np.zeros(len(hashes), U64)
+    for i, rate in enumerate(r for r in RATES for _ in range(PER_RATE)):
+        draw = mix(hashes ^ mix(np.array([i], U64) + U64(0x51ED27)))
+        # a draw's upper 53 bits as a fraction lie below the rate, a power of two
+        out |= (draw < U64(int(rate * 2**64))).astype(U64) << U64(i)
+    return out
+
+
+def fingerprint(h: np.ndarray, lexicon: np.ndarray, inside: np.ndarray) -> str:
+    """From sorted hashes of a text's terms and the lexicon with its memberships: DIGITS hex digits for each subset, dots for a subset
+    without terms; a text without lexicon terms uses all it has."""
+    bits = None
     if len(lexicon) and len(h):
-        known = h[lexicon[np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)] == h]
-        h = known if len(known) else h
+        at = np.minimum(np.searchsorted(lexicon, h), len(lexicon) - 1)
+        known = lexicon[at] == h
+        if known.any():
+            h, bits = h[known], inside[at[known]]
     if not len(h):
-        return "." * (DIGITS * len(RATES) * PER_RATE)
-    inside = memberships(h)
-    return "".join(f"{xxhash.xxh3_64_intdigest(h[m].tobytes()) & (16**DIGITS - 1):0{DIGITS}x}" if m.any() else "." * DIGITS for m in inside.T)
+        return NO_TERMS
+    if bits is None:
+        bits = memberships(h)
+    subset, term = np.nonzero((bits[None, :] & SUBSETS) != 0)
+    chosen = h[term].tobytes()
+    ends = (np.cumsum(np.bincount(subset, minlength=len(SUBSETS))) * 8).tolist()
+    return "".join([xxhash.xxh3_64_hexdigest(chosen[a:b])[-DIGITS:] if a < b else "." * DIGITS for a, b in zip([0, *ends], ends)])
 
 
 def likeness(a: str, b: str) -> float:
@@ -147,7 +159,8 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataF
     rows; a single row is its own next. Other columns are not read.
     """
     prepare(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon(docs, band))
+    known = lexicon(docs, band)
+    shared = docs.sparkSession.sparkContext.broadcast((known, memberships(known)))
 
     def rows(batches):
         held = None
@@ -156,12 +169,12 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = IDF_BAND) -> DataF
             out = []
             for bucket, copy, doc, packed in zip(*(batch.column(c).to_pylist() for c in ("bucket", "copy", "doc_id", "packed")), strict=True):
                 text = grow.decompress(packed).decode()
-                mark = fingerprint(text, shared.value)
+                mark = fingerprint(np.sort(term_hashes(terms(text))), *shared.value)
                 if held and held[0] == bucket:
                     _, was, own, own_mark = held
                     third = len(own) // 3
                     edited = own[: len(own) - third] + text[:third]
-                    edited_mark = fingerprint(edited, shared.value)
+                    edited_mark = fingerprint(np.sort(term_hashes(terms(edited))), *shared.value)
                     out.append((was, len(own), hashlib.sha256(edited.encode()).hexdigest(), own_mark, edited_mark, likeness(own_mark, edited_mark), likeness(own_mark, mark)))
                 held = None if copy else (bucket, doc, text, mark)
             types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

@@ -329,3 +329,11 @@ def test_fingerprints_as_brute_force(spark, prose):
     got = [tuple(r) for r in imatch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
     by_id = lambda r: (r[0] is None, r[0] or 0)
     assert sorted(got, key=by_id) == sorted(want, key=by_id)
+
+
+def test_memberships_are_the_draws_below_each_rate_and_shared_by_all_texts():
+    h = np.random.default_rng(8).integers(0, 2**64, 5000, dtype=np.uint64)
+    bits = imatch.memberships(h)
+    for i, rate in enumerate(r for r in imatch.RATES for _ in range(imatch.PER_RATE)):
+        draws = imatch.mix(h ^ imatch.mix(np.array([i], np.uint64) + np.uint64(0x51ED27)))
+        assert ((bits >> np.uint64(i) & np.uint64(1)).astype(bool) == ((draws >> np.uint64(11)).astype(float) / 2**53 < rate)).all()
