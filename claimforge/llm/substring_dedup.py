@@ -102,10 +102,8 @@ def around(h: np.ndarray, centres: np.ndarray, begins: np.ndarray, ends: np.ndar
 
 
 def windows_of(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, ...]:
-    """(text number, key, left, centre, right, around) of all functions' compact windows of each text.
-
-    Of a row of windows with one key whose centres lie closer than a passage, as in a stretch that repeats a few words, the first and
-    the last are kept: the first one's window holds the stretch, and a passage that begins within it holds the last centre.
+    """(text number, key, left, centre, right, around) of all functions' compact windows of each text. None is left out, in a
+    stretch that repeats a few words neither: every run of `width` shingles lies in one window of each function, that of its least value.
     """
     shingles, bounds = batch_shingles(texts, SHINGLE_WORDS)
     out = []
@@ -114,13 +112,8 @@ def windows_of(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, ...]:
         lo, c, hi = compact_windows(h, bounds, width)
         of = np.searchsorted(bounds, c, "right") - 1
         key = mix(h[c] ^ U64(f << 60))
-        order = np.lexsort((c, key, of))
-        k, p, o = key[order], c[order], of[order]
-        again = np.r_[False, (k[1:] == k[:-1]) & (o[1:] == o[:-1]) & (p[1:] - p[:-1] < width)] if len(k) else np.empty(0, bool)
-        order = order[~(again & np.r_[again[1:], False])]
-        o, c = of[order], c[order]
-        begin, end = bounds[o], bounds[o + 1]
-        out.append((o, key[order], lo[order] - begin, c - begin, hi[order] - begin, around(shingles, c, begin, end)))
+        begin, end = bounds[of], bounds[of + 1]
+        out.append((of, key, lo - begin, c - begin, hi - begin, around(shingles, c, begin, end)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 

@@ -337,3 +337,21 @@ def test_memberships_are_the_draws_below_each_rate_and_shared_by_all_texts():
     for i, rate in enumerate(r for r in imatch.RATES for _ in range(imatch.PER_RATE)):
         draws = imatch.mix(h ^ imatch.mix(np.array([i], np.uint64) + np.uint64(0x51ED27)))
         assert ((bits >> np.uint64(i) & np.uint64(1)).astype(bool) == ((draws >> np.uint64(11)).astype(float) / 2**53 < rate)).all()
+
+
+def test_windows_hold_every_run_in_repeating_stretches_too(spark, prose):
+    """Every run of 46 shingles lies in exactly one window of each function; a stretch of one word is a repeat of itself but for its start,
+    and a passage from the middle of a stretch with one line again and again is found."""
+    line, fill = prose(81, 12), [prose(82 + i, 9) for i in range(40)]
+    stretch = " ".join(f"{line} {f}" for f in fill)
+    texts = ["same same " * 300, f"{prose(130, 30)} {stretch} {prose(131, 30)}"]
+    of, key, lo, c, hi, _ = substring_dedup.windows_of(texts)
+    for i, t in enumerate(texts):
+        here = of == i
+        runs = Counter(s for a, m, b in zip(lo[here], c[here], hi[here]) for s in range(max(a, m - 45), min(m, b - 45) + 1))
+        assert runs == {s: substring_dedup.FUNCTIONS for s in range(len(t.split()) - 49)}
+    rows = [(1, texts[0]), (2, texts[1])] + [(10 + i, f"{prose(140 + i, 30)} {' '.join(stretch.split()[i * 21 + 200 : i * 21 + 260])} {prose(180 + i, 30)}") for i in range(12)]
+    covered = {}
+    for p in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        covered.setdefault(p.doc_id, set()).update(range(p.first_word, p.end_word))
+    assert len(covered[1]) >= 590 and all(len(covered.get(10 + i, set()) & set(range(30, 90))) >= 57 for i in range(12))
