@@ -4,9 +4,15 @@ A text's shingle hashes, hashed anew by each of a few functions, give a Cartesia
 is at least as wide as the shortest passage sought is a compact window (left, centre, right): every passage in it that
 holds the centre has the centre's value as its min-hash. Passages of two texts that are alike share such values under most
 functions, so equal values are candidates. All windows of the corpus are put in order of (value, document, place); each is held
-against the first of its value and the two before it, never against all. Windows carry a few bits of the shingles around
-their centres: those of an exact repeat agree on at least four of eight, which is enough for a candidate; others become one where
+against the first of its value and the two before it. Windows carry a few bits of the shingles around
+their centres: those of an exact repeat agree on four in a row of eight at least, which is enough for a candidate; others become one where
 windows of two functions overlap (the interval join). Candidates are verified on the shingles of both texts.
+
+Values with three holders and more (crowded ones) have all their windows joined besides, by equality, so that no group of holders is paired out:
+- windows that agree on four places in a row around the centre, with the first that does, for each such four;
+- for windows of one function: each of their runs of the shortest passage's length, by the hash of the whole run, with the first that holds it; runs
+  with four places in a row that no other window of the value shares are left out, as they can't be repeats. Such a run lies in just one window of a function, and in a like window
+  wherever else it stands; so every exact repeat is found.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batch_shingles, dealt_copies, discarded, keyed, mix, n_partitions, passes, prepare, read, released, shingles_of, written
@@ -30,6 +36,10 @@ FUNCTIONS, AGREE = 4, 2
 #: on one side of its centre at least, wherever that lies.
 AROUND = np.array([-20, -15, -10, -5, 5, 10, 15, 20])
 AROUND_AGREE = 4
+#: Holders of a value from which on it is crowded: a window may have earlier ones then that it isn't held against in order.
+CROWDED = 3
+#: What a row of matched() is.
+CANDIDATE, EDGE, IN_CROWD = 0, 1, 2
 #: Members of a group that one copy of a pivot's text serves, at least.
 PIVOT_SHARE = 256
 #: Window rows per Arrow batch: they are short.
@@ -101,17 +111,39 @@ def around(h: np.ndarray, centres: np.ndarray, begins: np.ndarray, ends: np.ndar
     return np.where(inside, h[np.clip(at, 0, max(0, len(h) - 1))] >> U64(24), own).astype(np.uint8).reshape(-1, 8).view(np.int64)[:, 0]
 
 
+def runs_of(shingles: np.ndarray) -> np.ndarray:
+    """A hash of each run of WIDTH shingles, from hashes of runs of twice the length before."""
+    h, span = shingles, 1
+    while 2 * span <= WIDTH:
+        h = mix(h[: max(0, len(h) - span)] * U64(0x9E3779B97F4A7C15) + h[span:])
+        span *= 2
+    return mix(h[: max(0, len(h) - (WIDTH - span))] * U64(0x9E3779B97F4A7C15) + h[WIDTH - span :])
+
+
 def windows_of(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, ...]:
-    """(text number, key, left, centre, right, around) of all functions' compact windows of each text. None is left out, in a
-    stretch that repeats a few words neither: every run of `width` shingles lies in one window of each function, that of its least value.
+    """(text number, key, left, centre, right, around) of all functions' compact windows of each text.
+
+    Every run of `width` shingles lies in one window of each function, that of its least value. A stretch that repeats a few words exactly has
+    a window for each turn; from its third turn on a window is left out if all its runs are those of the window before, shifted: the
+    first two hold every run's text, and the second one's window reaches to the end of the stretch.
     """
     shingles, bounds = batch_shingles(texts, SHINGLE_WORDS)
-    out = []
+    runs, out = runs_of(shingles), []
     for f in range(FUNCTIONS):
         h = mix(shingles * U64(0x9E3779B97F4A7C15) + U64(f + 1))
         lo, c, hi = compact_windows(h, bounds, width)
         of = np.searchsorted(bounds, c, "right") - 1
-        key = mix(h[c] ^ U64(f << 60))
+        key = mix(h[c] ^ U64(f << 60)) & ~U64(FUNCTIONS - 1) | U64(f)  # the function stands in the lowest bits
+        order = np.lexsort((c, key, of))
+        k, p, o = key[order], c[order], of[order]
+        close = np.flatnonzero((k[1:] == k[:-1]) & (o[1:] == o[:-1]) & (p[1:] - p[:-1] < width)) + 1
+        shift, opens = p[close] - p[close - 1], np.maximum(lo[order[close]], p[close] - width + 1)
+        ends = np.minimum(p[close], hi[order[close]] - width + 1)
+        at = np.minimum(opens[:, None] + np.arange(width), ends[:, None])
+        turn = np.zeros(len(c), bool)
+        turn[close] = (opens - shift >= bounds[o[close]]) & (runs[at] == runs[np.maximum(at - shift[:, None], 0)]).all(axis=1)
+        order = order[~(turn & np.r_[False, turn[:-1]])] if len(close) else order
+        of, key, lo, c, hi = of[order], key[order], lo[order], c[order], hi[order]
         begin, end = bounds[of], bounds[of + 1]
         out.append((of, key, lo - begin, c - begin, hi - begin, around(shingles, c, begin, end)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -138,31 +170,31 @@ SEED = "lo int, centre int, hi int, pcentre int, strong boolean"
 
 
 def matched(windows: DataFrame, edges: bool) -> DataFrame:
-    """Candidates (doc_id, tie, lo, centre, hi, around, pivot, ptie, pcentre, strong, key, edge) from windows in order.
+    """Candidates (doc_id, tie, lo, centre, hi, around, pivot, ptie, pcentre, strong, key, kind) from windows in order.
 
     Each window's first choice is the first of its key, then the one before it, then the one before that. If the shingles around
-    the centres agree with a choice, that is its one (strong) candidate; else the first two are weak candidates. With `edges`, the first and last
-    window of each task come back too (edge, no pivot): keys may go on in the next task.
+    the centres agree with a choice, that is its one (strong) candidate; else the first two are weak candidates. With `edges` there are rows
+    without pivot too: the first and last window of each task (EDGE), as keys may go on in the next task, and all windows of crowded keys
+    (IN_CROWD); those of a task's first and last key count as crowded.
     """
     columns = ["key", "doc_id", "tie", "centre", "lo", "hi", "around"]
-    out_columns = ["doc_id", "tie", "lo", "centre", "hi", "around", "pivot", "ptie", "pcentre", "strong", "key", "edge"]
+    out_columns = ["doc_id", "tie", "lo", "centre", "hi", "around", "pivot", "ptie", "pcentre", "strong", "key", "kind"]
 
-    def out_batch(w, at, pivot, strong, edge=False):
-        of = None if edge else pivot
+    def out_batch(w, at, of, strong, kind=CANDIDATE):
         one = lambda c, t, i: pa.nulls(len(at), t) if i is None else pa.array(w[c][i], t)
         own = [one(c, t, at) for c, t in (("doc_id", pa.int64()), ("tie", pa.int32()), ("lo", pa.int32()), ("centre", pa.int32()), ("hi", pa.int32()), ("around", pa.int64()))]
         theirs = [one(c, t, of) for c, t in (("doc_id", pa.int64()), ("tie", pa.int32()), ("centre", pa.int32()))]
-        return pa.RecordBatch.from_arrays([*own, *theirs, pa.array(np.broadcast_to(strong, len(at)), pa.bool_()), one("key", pa.int64(), at), pa.array(np.full(len(at), edge), pa.bool_())], names=out_columns)
+        return pa.RecordBatch.from_arrays([*own, *theirs, pa.array(np.broadcast_to(strong, len(at)), pa.bool_()), one("key", pa.int64(), at), pa.array(np.full(len(at), kind), pa.int32())], names=out_columns)
 
     def run(batches):
-        held, seen = None, False
+        held, first_key, told = None, None, False
         for batch in batches:
             if not batch.num_rows:
                 continue
             w = {c: batch.column(c).to_numpy() for c in columns}
-            if edges and not seen:
-                yield out_batch(w, np.array([0]), None, False, True)
-                seen = True
+            if edges and first_key is None:
+                yield out_batch(w, np.array([0]), None, False, EDGE)
+                first_key = w["key"][0]
             known = 0
             if held is not None:
                 known = len(held["key"])
@@ -181,15 +213,78 @@ def matched(windows: DataFrame, edges: bool) -> DataFrame:
             strong = np.any(agree, axis=0)
             best = np.select(agree, choices, default=0)
             yield out_batch(w, at[strong], best[strong], True)
+            # the second turn of a repeating stretch stands for those after it: held against the first one, whatever else it is like
+            own = agree[1] & (w["doc_id"][at] == w["doc_id"][choices[1]]) & (w["tie"][at] == w["tie"][choices[1]]) & (best < at - 1)
+            yield out_batch(w, at[own], choices[1][own], True)
             for c, unlike in ((choices[0], choices[0] < at), (choices[1], (choices[1] < at) & (choices[1] > choices[0]))):
                 weak = ~strong & unlike
                 yield out_batch(w, at[weak], c[weak], False)
+            if edges:
+                # held windows have been told if their key was crowded by then; of one that isn't crowded all are held
+                sizes = np.diff(np.r_[np.flatnonzero(new), n])
+                crowd = (np.repeat(sizes, sizes) >= CROWDED) | (w["key"] == first_key)
+                if known:
+                    before = w["key"] == w["key"][0]
+                    crowd = np.where(before, (crowd | told) & ((np.arange(n) >= known) | (not told)), crowd)
+                    told = told and bool(before[-1])
+                told = told or bool(crowd[-1])
+                yield out_batch(w, np.flatnonzero(crowd), None, False, IN_CROWD)
             keep = np.unique([first[-1], max(n - 2, first[-1]), n - 1])
             held = {c: v[keep] for c, v in w.items()}
         if edges and held is not None:
-            yield out_batch(held, np.array([len(held["key"]) - 1]), None, False, True)
+            yield out_batch(held, np.array([len(held["key"]) - 1]), None, False, EDGE)
+            if not told:
+                yield out_batch(held, np.arange(len(held["key"])), None, False, IN_CROWD)
+
+    return windows.mapInArrow(run, "doc_id long, tie int, lo int, centre int, hi int, around long, pivot long, ptie int, pcentre int, strong boolean, key long, kind int")
+
+
+def with_first(rows: DataFrame, by: list[str], place: str) -> DataFrame:
+    """Rows whose key (columns `by`) others have too, with the first (doc_id, tie, place) of that key as `holder`. One sort; a large
+    key's rows stream past, spilled to disk where they don't fit."""
+    own = F.struct("doc_id", "tie", F.col(place).alias("at"))
+    over = Window.partitionBy(*by).orderBy("doc_id", "tie", place)
+    return rows.withColumn("holder", F.first(own).over(over)).withColumn("more", F.lead(F.lit(True)).over(over)).where(F.col("more") | (F.col("holder") != own)).drop("more")
+
+
+def fours(crowd: DataFrame) -> DataFrame:
+    """Windows in crowds by each four places in a row around their centres, with the first window of the key that agrees on them."""
+    some = [F.struct(F.lit(k).alias("four"), F.shiftrightunsigned("around", 8 * k).bitwiseAND(0xFFFFFFFF).alias("part")) for k in range(len(AROUND) - AROUND_AGREE + 1)]
+    rows = crowd.select("key", "doc_id", "tie", "lo", "centre", "hi", F.explode(F.array(*some)).alias("s")).select("key", "s.four", "s.part", "doc_id", "tie", "lo", "centre", "hi")
+    return with_first(rows, ["key", "four", "part"], "centre")
+
 
-    return windows.mapInArrow(run, "doc_id long, tie int, lo int, centre int, hi int, around long, pivot long, ptie int, pcentre int, strong boolean, key long, edge boolean")
+def run_table(texts: DataFrame, shared: DataFrame) -> DataFrame:
+    """(run, doc_id, tie, at): the runs of WIDTH shingles around the centres of these windows (doc_id, tie, lo, centre, hi, four) of which
+    each four places within are shared with another window; others can't be repeats."""
+    places = shared.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("centre", "lo", "hi", "four")).alias("places"))
+    before, four = np.arange(WIDTH), np.arange(len(AROUND) - AROUND_AGREE + 1)
+    # for each number of shingles that a run holds before the centre: the fours within it, a bit each
+    within = (AROUND[four][None, :] >= -before[:, None]) & (AROUND[four + AROUND_AGREE - 1][None, :] <= WIDTH - 1 - before[:, None])
+    wanted = (within << four).sum(axis=1)
+
+    def run(batches):
+        for batch in batches:
+            docs, ties, places = (batch.column(c) for c in ("doc_id", "tie", "places"))
+            for i, shingles in enumerate(shingles_of(batch.column("text").to_pylist())):
+                h = runs_of(shingles)
+                c, lo, hi, k = np.array([(p["centre"], p["lo"], p["hi"], p["four"]) for p in sorted(places[i].as_py(), key=lambda p: p["centre"])]).T
+                starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+                has = np.bitwise_or.reduceat(1 << k, starts)
+                c, lo, hi = c[starts], lo[starts], hi[starts]
+                at = c[:, None] - before[None, :]
+                at = np.sort(at[(at >= lo[:, None]) & (at <= hi[:, None] - WIDTH + 1) & ((has[:, None] & wanted) == wanted)])
+                rows = [h[at].view(np.int64), np.full(len(at), docs[i].as_py()), np.full(len(at), ties[i].as_py(), np.int32), at.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["run", "doc_id", "tie", "at"])
+
+    return texts.join(places.hint("merge"), ["doc_id", "tie"]).select("doc_id", "tie", "text", "places").mapInArrow(run, "run long, doc_id long, tie int, at int")
+
+
+def repeats(runs: DataFrame) -> DataFrame:
+    """(doc, pivot, seed): stretches of runs that stand at the same distance in their first holder."""
+    later = with_first(runs, ["run"], "at").where(F.struct("doc_id", "tie", "at") != F.col("holder")).select(F.struct("doc_id", "tie").alias("doc"), F.struct("holder.doc_id", "holder.tie").alias("pivot"), "at", (F.col("holder.at") - F.col("at")).alias("off"))
+    ends = later.groupBy("doc", "pivot", "off").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    return ends.select("doc", "pivot", F.struct("lo", F.col("lo").alias("centre"), (F.col("hi") + WIDTH - 1).alias("hi"), (F.col("lo") + F.col("off")).alias("pcentre"), F.lit(True).alias("strong")).alias("seed"))
 
 
 def agreed(seeds: list[tuple[int, int, int, int, bool]], agree: int = AGREE, similar: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
@@ -262,6 +357,11 @@ def verified(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int, int, int
             likeness = both / (len(ours) + len(other) - both)
             if likeness >= similar:
                 out.append((lo + start, lo + end - 1, plo + int(theirs[best]), plo + int(theirs[last]), likeness))
+                continue
+            # the densest stretch may be one that repeats a few of the words: an exact copy counts wherever it stands
+            copies = [p for p in np.flatnonzero(whole[: max(0, len(whole) - len(passage) + 1)] == passage[0]).tolist() if (not itself or plo + p < lo + start) and np.array_equal(whole[p : p + len(passage)], passage)]
+            if copies:
+                out.append((lo + start, lo + end - 1, plo + copies[0], plo + copies[0] + len(passage) - 1, 1.0))
             else:  # several stretches with too much between: each by itself
                 todo += [r for r in runs if start <= r[0] and r[1] <= end and r[1] - r[0] >= width and r != [start, end]]
     return out
@@ -289,13 +389,22 @@ def candidates(texts: DataFrame) -> DataFrame:
     discarded(table)
     released(spark)
     # two rows for each task: where a key goes on from one task to the next
-    edges = found.where("edge").select(*[c.split()[0] for c in WINDOW.split(", ")]).coalesce(1).sortWithinPartitions(*order)
-    both = found.where("not edge").unionAll(matched(edges, False))
+    edges = found.where(F.col("kind") == EDGE).select(*[c.split()[0] for c in WINDOW.split(", ")]).coalesce(1).sortWithinPartitions(*order)
+    both = found.where(F.col("kind") == CANDIDATE).unionAll(matched(edges, False))
     doc, pivot = F.struct("doc_id", "tie").alias("doc"), F.struct(F.col("pivot").alias("doc_id"), F.col("ptie").alias("tie")).alias("pivot")
     seeds = both.select(doc, pivot, F.struct("lo", "centre", "hi", "pcentre", "strong").alias("seed"))
+    alike = written(fours(found.where(F.col("kind") == IN_CROWD)), "fours")
+    released(spark)
+    prepare(spark)
+    copied = written(repeats(run_table(texts, alike.where(F.col("key").bitwiseAND(FUNCTIONS - 1) == 0))), "repeats")
+    released(spark)
+    prepare(spark, WINDOW_ROWS)
+    first = F.struct("holder.doc_id", "holder.tie").alias("pivot")
+    others = alike.where(F.struct("doc_id", "tie", F.col("centre").alias("at")) != F.col("holder")).select(doc, first, F.struct("lo", "centre", "hi", F.col("holder.at").alias("pcentre"), F.lit(True).alias("strong")).alias("seed"))
+    seeds = seeds.unionAll(others).unionAll(copied)
     pairs = written(seeds.groupBy("doc", "pivot").agg(F.collect_set("seed").alias("seeds")).where(F.exists("seeds", lambda s: s["strong"]) | overlapping("seeds")), "seeds")
     prepare(spark)
-    discarded(found)
+    discarded(found, alike, copied)
     return pairs
 
 

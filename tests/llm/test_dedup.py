@@ -340,18 +340,50 @@ def test_memberships_are_the_draws_below_each_rate_and_shared_by_all_texts():
 
 
 def test_windows_hold_every_run_in_repeating_stretches_too(spark, prose):
-    """Every run of 46 shingles lies in exactly one window of each function; a stretch of one word is a repeat of itself but for its start,
+    """The text of every run of 46 shingles lies in a window of each function; a stretch of one word is a repeat of itself but for its start,
     and a passage from the middle of a stretch with one line again and again is found."""
     line, fill = prose(81, 12), [prose(82 + i, 9) for i in range(40)]
     stretch = " ".join(f"{line} {f}" for f in fill)
     texts = ["same same " * 300, f"{prose(130, 30)} {stretch} {prose(131, 30)}"]
     of, key, lo, c, hi, _ = substring_dedup.windows_of(texts)
     for i, t in enumerate(texts):
-        here = of == i
-        runs = Counter(s for a, m, b in zip(lo[here], c[here], hi[here]) for s in range(max(a, m - 45), min(m, b - 45) + 1))
-        assert runs == {s: substring_dedup.FUNCTIONS for s in range(len(t.split()) - 49)}
+        runs = substring_dedup.runs_of(shingle_hashes(words_of(t)))
+        for f in range(substring_dedup.FUNCTIONS):
+            here = (of == i) & (key % substring_dedup.FUNCTIONS == f)
+            held = Counter(s for a, m, b in zip(lo[here], c[here], hi[here]) for s in range(max(a, m - 45), min(m, b - 45) + 1))
+            assert set(held.values()) == {1} and {*runs[[*held]].tolist()} == {*runs.tolist()} and (i == 0 or len(held) == len(runs))
     rows = [(1, texts[0]), (2, texts[1])] + [(10 + i, f"{prose(140 + i, 30)} {' '.join(stretch.split()[i * 21 + 200 : i * 21 + 260])} {prose(180 + i, 30)}") for i in range(12)]
     covered = {}
     for p in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
         covered.setdefault(p.doc_id, set()).update(range(p.first_word, p.end_word))
     assert len(covered[1]) >= 590 and all(len(covered.get(10 + i, set()) & set(range(30, 90))) >= 57 for i in range(12))
+
+
+def test_exact_repeats_behind_many_holders_of_their_halves(spark, prose):
+    """Whole passages stand in one document among twenty that hold one half of it, and again in a last one: all are found, with the whole one as their source."""
+    rows, want, last = [], [], []
+    for k in range(24):
+        words = prose(90_000 + k, 60).split()
+        for i in range(20):
+            rows.append((100 * k + i, f"{prose(91_000 + 100 * k + i, 50)} {' '.join(words[:30] if i % 2 else words[30:])} {prose(94_000 + 100 * k + i, 50)}"))
+        rows[-10] = (rows[-10][0], f"{prose(97_000 + k, 50)} {' '.join(words)} {prose(97_100 + k, 50)}")
+        last.append((10_000 + k, f"{prose(97_200 + k, 50)} {' '.join(words)} {prose(97_300 + k, 50)}"))
+        want.append((10_000 + k, rows[-10][0]))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows + last, "doc_id long, text string")).collect()
+    assert sorted({(p.doc_id, p.source_doc_id) for p in found if p.first_word <= 50 and p.end_word >= 110}) == want
+
+
+def test_hashes_of_runs_tell_runs_apart():
+    r = np.random.default_rng(4)
+    h = imatch.mix(r.integers(0, 2, 4000).astype(np.uint64))
+    h[2000:2100] = h[100:200]
+    runs, width = substring_dedup.runs_of(h), substring_dedup.WIDTH
+    assert len(runs) == len(h) - width + 1 and len({*runs.tolist()}) == len({h[i : i + width].tobytes() for i in range(len(runs))}) < len(runs)
+    assert len(substring_dedup.runs_of(h[: width - 1])) == 0 and len(substring_dedup.runs_of(h[:width])) == 1 and len(substring_dedup.runs_of(h[:3])) == 0
+
+
+def test_an_exact_copy_counts_beside_a_denser_stretch_of_some_of_its_words():
+    h = np.arange(1000, dtype=np.uint64)
+    passage = np.r_[h[:40], np.repeat(h[500], 20)]
+    pivot = np.r_[h[700:710], passage, h[710:720], np.repeat(h[500], 200)]
+    assert substring_dedup.verified(passage, pivot, [(0, 59, 0, len(pivot) - 1)], False) == [(0, 59, 10, 69, 1.0)]
