@@ -7,7 +7,7 @@ import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -76,23 +76,25 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def dealt_copies(pairs: DataFrame, share: int, *carried: str) -> DataFrame:
+def dealt_copies(pairs: DataFrame, share: int, *carried: str, pivots: dict[str, tuple[Callable, str]] | None = None) -> DataFrame:
     """(doc_id, part, roles array<struct<pivot, copy, is_member>>) from (doc_id, pivot) pairs: where a text has to go so that every
     member meets its pivot under one (pivot, copy).
 
     A pivot has a copy for every `share` of its members, or for the square root of their number if that is more, so neither the copies
     nor what meets one of them outgrows a task. Members are counted by (pivot, salt), so no task holds a whole group.
-    Carried columns go into the members' roles (null in the pivots').
+    Carried columns go into the members' roles; in the pivots' they are null, or the least or largest value of a column of the members,
+    as `pivots` says (F.min or F.max, column).
     """
+    reduced = {f"of_pivot_{c}": (f, F.col(of)) for c, (f, of) in (pivots or {}).items()}
     salted = pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("pivot", "salt").agg(F.count("*").alias("n"))
+    counts = salted.groupBy("pivot", "salt").agg(F.count("*").alias("n"), *[f(x).alias(c) for c, (f, x) in reduced.items()])
     copies = F.ceil(F.col("n") / F.greatest(F.lit(share), F.sqrt("n"))).alias("copies")
-    totals = counts.groupBy("pivot").agg(F.sum("n").alias("n")).select("pivot", copies)
-    per_salt = counts.join(totals.hint("merge"), "pivot").select("pivot", "salt", "copies")
+    totals = counts.groupBy("pivot").agg(F.sum("n").alias("n"), *[f(c).alias(c) for c, (f, _) in reduced.items()]).select("pivot", copies, *reduced)
+    per_salt = counts.select("pivot", "salt").join(totals.hint("merge"), "pivot").select("pivot", "salt", "copies")
     of = lambda copy, is_member, extra: F.struct("pivot", copy.alias("copy"), F.lit(is_member).alias("is_member"), *extra).alias("role")
     types = dict(pairs.dtypes)
     member = salted.join(per_salt.hint("merge"), ["pivot", "salt"]).select("doc_id", F.lit(0).cast("long").alias("part"), of(F.pmod(F.xxhash64("doc_id", F.lit(7)), "copies"), True, carried))
-    pivot = totals.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("c")).select(F.col("pivot").alias("doc_id"), F.expr(f"c div {SALTS}").alias("part"), of(F.col("c"), False, [F.lit(None).cast(types[c]).alias(c) for c in carried]))
+    pivot = totals.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("c"), *reduced).select(F.col("pivot").alias("doc_id"), F.expr(f"c div {SALTS}").alias("part"), of(F.col("c"), False, [(F.col(f"of_pivot_{c}") if c in (pivots or {}) else F.lit(None)).cast(types[c]).alias(c) for c in carried]))
     return member.unionAll(pivot).groupBy("doc_id", "part").agg(F.collect_list("role").alias("roles"))
 
 

@@ -22,10 +22,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch_shingles, dealt_copies, discarded, keyed, mix, n_partitions, passes, prepare, read, released, shingles_of, written
+from .common import batch_shingles, dealt_copies, discarded, keyed, mix, n_partitions, passes, prepare, read, released, shingles_of, words_of, written
 
 #: Words of a shingle, and of the shortest passage.
 SHINGLE_WORDS, PASSAGE_WORDS = 5, 50
@@ -38,10 +38,15 @@ AROUND = np.array([-20, -15, -10, -5, 5, 10, 15, 20])
 AROUND_AGREE = 4
 #: Holders of a value from which on it is crowded: a window may have earlier ones then that it isn't held against in order.
 CROWDED = 3
+#: Each run of so many places around a centre (a four), and all of them as bits.
+FOURS = len(AROUND) - AROUND_AGREE + 1
+ALL_FOURS = (1 << FOURS) - 1
 #: What a row of matched() is.
-CANDIDATE, EDGE, IN_CROWD = 0, 1, 2
+CANDIDATE, EDGE, IN_CROWD, SHARED = 0, 1, 2, 3
 #: Members of a group that one copy of a pivot's text serves, at least.
 PIVOT_SHARE = 256
+#: Bytes of packed words in an Arrow batch, about.
+PACKED_BYTES = 1 << 22
 #: Window rows per Arrow batch: they are short.
 WINDOW_ROWS = 16_384
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -134,7 +139,7 @@ def windows_of(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, ...]:
         lo, c, hi = compact_windows(h, bounds, width)
         of = np.searchsorted(bounds, c, "right") - 1
         key = mix(h[c] ^ U64(f << 60)) & ~U64(FUNCTIONS - 1) | U64(f)  # the function stands in the lowest bits
-        order = np.lexsort((c, key, of))
+        order = np.argsort(key, kind="stable")  # of one key, texts and places stay in order
         k, p, o = key[order], c[order], of[order]
         close = np.flatnonzero((k[1:] == k[:-1]) & (o[1:] == o[:-1]) & (p[1:] - p[:-1] < width)) + 1
         shift, opens = p[close] - p[close - 1], np.maximum(lo[order[close]], p[close] - width + 1)
@@ -142,8 +147,10 @@ def windows_of(texts: list[str], width: int = WIDTH) -> tuple[np.ndarray, ...]:
         at = np.minimum(opens[:, None] + np.arange(width), ends[:, None])
         turn = np.zeros(len(c), bool)
         turn[close] = (opens - shift >= bounds[o[close]]) & (runs[at] == runs[np.maximum(at - shift[:, None], 0)]).all(axis=1)
-        order = order[~(turn & np.r_[False, turn[:-1]])] if len(close) else order
-        of, key, lo, c, hi = of[order], key[order], lo[order], c[order], hi[order]
+        if len(close):
+            stays = np.ones(len(c), bool)
+            stays[order[turn & np.r_[False, turn[:-1]]]] = False
+            of, key, lo, c, hi = of[stays], key[stays], lo[stays], c[stays], hi[stays]
         begin, end = bounds[of], bounds[of + 1]
         out.append((of, key, lo - begin, c - begin, hi - begin, around(shingles, c, begin, end)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -166,25 +173,24 @@ def window_table(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, WINDOW)
 
 
-SEED = "lo int, centre int, hi int, pcentre int, strong boolean"
-
-
 def matched(windows: DataFrame, edges: bool) -> DataFrame:
-    """Candidates (doc_id, tie, lo, centre, hi, around, pivot, ptie, pcentre, strong, key, kind) from windows in order.
+    """Candidates (doc_id, tie, lo, centre, hi, around, pivot, ptie, pcentre, strong, key, kind, fours) from windows in order.
 
     Each window's first choice is the first of its key, then the one before it, then the one before that. If the shingles around
     the centres agree with a choice, that is its one (strong) candidate; else the first two are weak candidates. With `edges` there are rows
     without pivot too: the first and last window of each task (EDGE), as keys may go on in the next task, and all windows of crowded keys
-    (IN_CROWD); those of a task's first and last key count as crowded.
+    (IN_CROWD); those of a task's first and last key count as crowded. `fours` has a bit for each four of theirs that agrees with the key's first
+    window, which is their candidate then; a first window has none, but rows of its own with the fours that others of the function 0 agree on (SHARED).
+    A task can't tell which is the first window of the key that it begins with: there all bits are 0.
     """
     columns = ["key", "doc_id", "tie", "centre", "lo", "hi", "around"]
-    out_columns = ["doc_id", "tie", "lo", "centre", "hi", "around", "pivot", "ptie", "pcentre", "strong", "key", "kind"]
+    out_columns = ["doc_id", "tie", "lo", "centre", "hi", "around", "pivot", "ptie", "pcentre", "strong", "key", "kind", "fours"]
 
-    def out_batch(w, at, of, strong, kind=CANDIDATE):
+    def out_batch(w, at, of, strong, kind=CANDIDATE, fours=0):
         one = lambda c, t, i: pa.nulls(len(at), t) if i is None else pa.array(w[c][i], t)
         own = [one(c, t, at) for c, t in (("doc_id", pa.int64()), ("tie", pa.int32()), ("lo", pa.int32()), ("centre", pa.int32()), ("hi", pa.int32()), ("around", pa.int64()))]
         theirs = [one(c, t, of) for c, t in (("doc_id", pa.int64()), ("tie", pa.int32()), ("centre", pa.int32()))]
-        return pa.RecordBatch.from_arrays([*own, *theirs, pa.array(np.broadcast_to(strong, len(at)), pa.bool_()), one("key", pa.int64(), at), pa.array(np.full(len(at), kind), pa.int32())], names=out_columns)
+        return pa.RecordBatch.from_arrays([*own, *theirs, pa.array(np.broadcast_to(strong, len(at)), pa.bool_()), one("key", pa.int64(), at), pa.array(np.full(len(at), kind), pa.int32()), pa.array(np.broadcast_to(fours, len(at)), pa.int32())], names=out_columns)
 
     def run(batches):
         held, first_key, told = None, None, False
@@ -228,7 +234,15 @@ def matched(windows: DataFrame, edges: bool) -> DataFrame:
                     crowd = np.where(before, (crowd | told) & ((np.arange(n) >= known) | (not told)), crowd)
                     told = told and bool(before[-1])
                 told = told or bool(crowd[-1])
-                yield out_batch(w, np.flatnonzero(crowd), None, False, IN_CROWD)
+                crowd = np.flatnonzero(crowd)
+                like = bits[crowd] == bits[first[crowd]]
+                fours = sum(like[:, k : k + AROUND_AGREE].all(axis=1).astype(np.int32) << k for k in range(FOURS))
+                fours = np.where((first[crowd] == crowd) | (w["key"][crowd] == first_key), 0, fours)
+                yield out_batch(w, crowd, None, False, IN_CROWD, fours)
+                shared = np.zeros(n, np.int32)
+                np.bitwise_or.at(shared, first[crowd], fours)
+                firsts = np.flatnonzero((shared != 0) & (w["key"] & (FUNCTIONS - 1) == 0))
+                yield out_batch(w, firsts, None, False, SHARED, shared[firsts])
             keep = np.unique([first[-1], max(n - 2, first[-1]), n - 1])
             held = {c: v[keep] for c, v in w.items()}
         if edges and held is not None:
@@ -236,89 +250,170 @@ def matched(windows: DataFrame, edges: bool) -> DataFrame:
             if not told:
                 yield out_batch(held, np.arange(len(held["key"])), None, False, IN_CROWD)
 
-    return windows.mapInArrow(run, "doc_id long, tie int, lo int, centre int, hi int, around long, pivot long, ptie int, pcentre int, strong boolean, key long, kind int")
+    return windows.mapInArrow(run, "doc_id long, tie int, lo int, centre int, hi int, around long, pivot long, ptie int, pcentre int, strong boolean, key long, kind int, fours int")
+
 
+def with_first(rows: DataFrame, key: str, place: str) -> DataFrame:
+    """Rows whose key others have too, with the first (doc_id, tie, place) of that key as (of_doc, of_tie, of_at). All columns are whole numbers. A large
+    key's sorted rows stream past: only its first row and the one before are held."""
+    order, columns = [key, "doc_id", "tie", place], rows.columns
+    own = ["doc_id", "tie", place]
 
-def with_first(rows: DataFrame, by: list[str], place: str) -> DataFrame:
-    """Rows whose key (columns `by`) others have too, with the first (doc_id, tie, place) of that key as `holder`. One sort; a large
-    key's rows stream past, spilled to disk where they don't fit."""
-    own = F.struct("doc_id", "tie", F.col(place).alias("at"))
-    over = Window.partitionBy(*by).orderBy("doc_id", "tie", place)
-    return rows.withColumn("holder", F.first(own).over(over)).withColumn("more", F.lead(F.lit(True)).over(over)).where(F.col("more") | (F.col("holder") != own)).drop("more")
+    def run(batches):
+        held, of = None, None  # the row before, and the first one of its key
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w = {c: batch.column(c).to_numpy() for c in columns}
+            if held is not None:
+                w = {c: np.r_[held[c], w[c]] for c in columns}
+            n, k = len(w[key]), w[key]
+            new = np.r_[True, k[1:] != k[:-1]]
+            first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            holder = [w[c][first] for c in own]
+            if of is not None:
+                for x, c in zip(holder, own, strict=True):
+                    x[first == 0] = of[c]
+            other = np.any([x != w[c] for x, c in zip(holder, own, strict=True)], axis=0)
+            some = np.flatnonzero(np.r_[~new[1:], False] | other)
+            some = some[some < n - 1]
+            yield pa.RecordBatch.from_arrays([*(pa.array(w[c][some]) for c in columns), *(pa.array(x[some]) for x in holder)], names=[*columns, "of_doc", "of_tie", "of_at"])
+            held, of = {c: w[c][-1:] for c in columns}, {c: x[-1] for x, c in zip(holder, own, strict=True)}
+        if held is not None and any(held[c][0] != of[c] for c in own):
+            yield pa.RecordBatch.from_arrays([*(pa.array(held[c]) for c in columns), *(pa.array([of[c]], pa.from_numpy_dtype(held[c].dtype)) for c in own)], names=[*columns, "of_doc", "of_tie", "of_at"])
+
+    kinds = dict(rows.dtypes)
+    sorted_rows = rows.repartition(n_partitions(rows.sparkSession), key).sortWithinPartitions(*order)
+    return sorted_rows.mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in columns), "of_doc long", "of_tie int", "of_at int"]))
 
 
 def fours(crowd: DataFrame) -> DataFrame:
-    """Windows in crowds by each four places in a row around their centres, with the first window of the key that agrees on them."""
-    some = [F.struct(F.lit(k).alias("four"), F.shiftrightunsigned("around", 8 * k).bitwiseAND(0xFFFFFFFF).alias("part")) for k in range(len(AROUND) - AROUND_AGREE + 1)]
-    rows = crowd.select("key", "doc_id", "tie", "lo", "centre", "hi", F.explode(F.array(*some)).alias("s")).select("key", "s.four", "s.part", "doc_id", "tie", "lo", "centre", "hi")
-    return with_first(rows, ["key", "four", "part"], "centre")
+    """Windows in crowds by each four places in a row around their centres, with the first window of the key that agrees on them: (slot, four,
+    function, doc_id, tie, lo, centre, hi, of_doc, of_tie, of_at). A slot is a hash of key, four and the places' bytes, so that rows are sorted by one number.
+    Fours that agree with the key's first window are left out: that is their candidate already."""
+    some = [F.struct(F.xxhash64("key", F.lit(k), F.shiftrightunsigned("around", 8 * k).bitwiseAND(0xFFFFFFFF)).alias("slot"), F.lit(k).alias("four")) for k in range(FOURS)]
+    function = F.col("key").bitwiseAND(FUNCTIONS - 1).cast("int").alias("function")
+    rows = crowd.where(F.col("fours") != ALL_FOURS).select(function, "doc_id", "tie", "lo", "centre", "hi", "fours", F.explode(F.array(*some)).alias("s"))
+    rows = rows.where("(fours >> s.four) & 1 = 0").select("s.slot", "s.four", "function", "doc_id", "tie", "lo", "centre", "hi")
+    return with_first(rows, "slot", "centre")
 
 
 def run_table(texts: DataFrame, shared: DataFrame) -> DataFrame:
-    """(run, doc_id, tie, at): the runs of WIDTH shingles around the centres of these windows (doc_id, tie, lo, centre, hi, four) of which
-    each four places within are shared with another window; others can't be repeats."""
-    places = shared.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("centre", "lo", "hi", "four")).alias("places"))
-    before, four = np.arange(WIDTH), np.arange(len(AROUND) - AROUND_AGREE + 1)
+    """(run, doc_id, tie, at): the runs of WIDTH shingles around the centres of these windows (doc_id, tie, lo, centre, hi, fours) of which
+    each four within is shared with another window (its bit is in a row's `fours`); others can't be repeats."""
+    places = shared.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("centre", "lo", "hi", "fours")).alias("places"))
+    before, four = np.arange(WIDTH), np.arange(FOURS)
     # for each number of shingles that a run holds before the centre: the fours within it, a bit each
     within = (AROUND[four][None, :] >= -before[:, None]) & (AROUND[four + AROUND_AGREE - 1][None, :] <= WIDTH - 1 - before[:, None])
     wanted = (within << four).sum(axis=1)
 
     def run(batches):
         for batch in batches:
-            docs, ties, places = (batch.column(c) for c in ("doc_id", "tie", "places"))
+            docs, ties = batch.column("doc_id").to_numpy(), batch.column("tie").to_numpy()
+            held, fields = batch.column("places"), [x.to_numpy() for x in batch.column("places").flatten().flatten()]
+            begins = np.r_[0, np.cumsum(held.value_lengths().to_numpy())]
+            rows, n = [], 0
             for i, shingles in enumerate(shingles_of(batch.column("text").to_pylist())):
                 h = runs_of(shingles)
-                c, lo, hi, k = np.array([(p["centre"], p["lo"], p["hi"], p["four"]) for p in sorted(places[i].as_py(), key=lambda p: p["centre"])]).T
+                c, lo, hi, k = (x[begins[i] : begins[i + 1]] for x in fields)
+                order = np.argsort(c, kind="stable")
+                c, lo, hi, k = c[order].astype(np.int64), lo[order], hi[order], k[order].astype(np.int64)
                 starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                has = np.bitwise_or.reduceat(1 << k, starts)
+                has = np.bitwise_or.reduceat(k, starts)
                 c, lo, hi = c[starts], lo[starts], hi[starts]
                 at = c[:, None] - before[None, :]
                 at = np.sort(at[(at >= lo[:, None]) & (at <= hi[:, None] - WIDTH + 1) & ((has[:, None] & wanted) == wanted)])
-                rows = [h[at].view(np.int64), np.full(len(at), docs[i].as_py()), np.full(len(at), ties[i].as_py(), np.int32), at.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=["run", "doc_id", "tie", "at"])
+                rows.append((h[at].view(np.int64), np.full(len(at), docs[i]), np.full(len(at), ties[i]), at.astype(np.int32)))
+                n += len(at)
+                if n >= WINDOW_ROWS or i == len(docs) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows, strict=True)], names=["run", "doc_id", "tie", "at"])
+                    rows, n = [], 0
 
     return texts.join(places.hint("merge"), ["doc_id", "tie"]).select("doc_id", "tie", "text", "places").mapInArrow(run, "run long, doc_id long, tie int, at int")
 
 
 def repeats(runs: DataFrame) -> DataFrame:
-    """(doc, pivot, seed): stretches of runs that stand at the same distance in their first holder."""
-    later = with_first(runs, ["run"], "at").where(F.struct("doc_id", "tie", "at") != F.col("holder")).select(F.struct("doc_id", "tie").alias("doc"), F.struct("holder.doc_id", "holder.tie").alias("pivot"), "at", (F.col("holder.at") - F.col("at")).alias("off"))
-    ends = later.groupBy("doc", "pivot", "off").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
-    return ends.select("doc", "pivot", F.struct("lo", F.col("lo").alias("centre"), (F.col("hi") + WIDTH - 1).alias("hi"), (F.col("lo") + F.col("off")).alias("pcentre"), F.lit(True).alias("strong")).alias("seed"))
+    """Seeds (doc_id, tie, pivot, ptie, lo, centre, hi, pcentre, strong): stretches of runs that stand at the same distance in their first holder."""
+    later = with_first(runs, "run", "at").where("doc_id != of_doc or tie != of_tie or at != of_at")
+    later = later.select("doc_id", "tie", F.col("of_doc").alias("pivot"), F.col("of_tie").alias("ptie"), "at", (F.col("of_at") - F.col("at")).alias("off"))
+    ends = later.groupBy("doc_id", "tie", "pivot", "ptie", "off").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    return ends.select("doc_id", "tie", "pivot", "ptie", "lo", F.col("lo").alias("centre"), (F.col("hi") + WIDTH - 1).alias("hi"), (F.col("lo") + F.col("off")).alias("pcentre"), F.lit(True).alias("strong"))
 
 
-def agreed(seeds: list[tuple[int, int, int, int, bool]], agree: int = AGREE, similar: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
-    """Interval join of matched windows (lo, centre, hi, pivot centre, strong): places (from, to, pivot from, pivot to) where a
-    strong window lies, or enough windows overlap.
+def places_of(pair: np.ndarray, lo: np.ndarray, centre: np.ndarray, hi: np.ndarray, pcentre: np.ndarray, strong: np.ndarray, agree: int = AGREE, similar: float = SIMILARITY, width: int = WIDTH) -> tuple[np.ndarray, ...]:
+    """Interval join of matched windows, those of many pairs at once (`pair` ascends): (pair, from, to, pivot from, pivot to) of each place where
+    a strong window lies, or enough windows overlap, in order; places too short for a passage are left out.
 
-    A sweep over the members' window ends counts the windows open at each place, a strong one as many; a stretch where at least
-    `agree` are open becomes one place. A passage in a window is at most 1 / similar times as long in the pivot and holds its centre
-    there, which bounds the pivot's part.
+    A sweep over the windows' ends counts those open at each place, a strong one as many; a stretch where at least `agree` are open becomes
+    one place. A passage in a window is at most 1 / similar times as long in the pivot and holds its centre there, which bounds the pivot's part.
     """
-    ends = sorted([(s[0], 0, i) for i, s in enumerate(seeds)] + [(s[2] + 1, -1, i) for i, s in enumerate(seeds)])
-    out, open_now, count, since, held = [], set(), 0, None, set()
-    for at, what, i in ends:
-        weight = agree if seeds[i][4] else 1
-        if what == 0:
-            open_now.add(i)
-            count += weight
-        else:
-            open_now.discard(i)
-            count -= weight
-        if count >= agree:
-            if since is None:
-                since, held = at, set(open_now)
-            elif what == 0:
-                held.add(i)
-        elif since is not None:
-            reach = [(seeds[j][3], int((seeds[j][2] - seeds[j][0] + 1) / similar) + 1) for j in held]
-            out.append((since, at - 1, max(0, min(c - n for c, n in reach)), max(c + n for c, n in reach)))
-            since, held = None, set()
-    return out
+    order = np.lexsort((strong, pcentre, hi, centre, lo, pair))
+    rows = [x[order].astype(np.int64) for x in (pair, lo, centre, hi, pcentre, strong)]
+    once = np.r_[True, np.any([x[1:] != x[:-1] for x in rows], axis=0)]
+    pair, lo, centre, hi, pcentre, strong = (x[once] for x in rows)
+    weight = np.where(strong == 1, agree, 1)
+    at, of = np.r_[hi + 1, lo], np.r_[pair, pair]
+    sweep = np.lexsort((np.arange(len(at)) >= len(hi), at, of))  # of one place, windows that end come first
+    on = np.r_[False, np.cumsum(np.r_[-weight, weight][sweep]) >= agree]
+    at, of = at[sweep], of[sweep]
+    starts, ends = np.flatnonzero(on[1:] & ~on[:-1]), np.flatnonzero(~on[1:] & on[:-1])
+    wide = at[ends] - at[starts] >= width
+    since, to, of = at[starts][wide], at[ends][wide] - 1, of[starts][wide]
+    # the windows that overlap a place bound its part of the pivot; places of a pair are disjoint and in order
+    far = int(hi.max(initial=0)) + 2
+    first, last = np.searchsorted(of * far + to, pair * far + lo), np.searchsorted(of * far + since, pair * far + hi, "right")
+    held = np.maximum(last - first, 0)
+    seed = np.repeat(np.arange(len(lo)), held)
+    place = np.arange(len(seed)) - np.repeat(np.cumsum(held) - held, held) + np.repeat(first, held)
+    reach = ((hi - lo + 1) / similar).astype(np.int64) + 1
+    plo, phi = np.full(len(of), np.iinfo(np.int64).max), np.zeros(len(of), np.int64)
+    np.minimum.at(plo, place, (pcentre - reach)[seed])
+    np.maximum.at(phi, place, (pcentre + reach)[seed])
+    return of, since, to, np.maximum(plo, 0), phi
+
+
+PAIR = "doc_id long, tie int, pivot long, ptie int"
+PLACE = "struct<lo: int, hi: int, plo: int, phi: int>"
+
+
+def place_table(seeds: DataFrame) -> DataFrame:
+    """(doc_id, tie, pivot, ptie, places, lo, hi, plo, phi) of each pair with a place, from its seeds: one row each, in order of pairs within
+    partitions. The last four are the bounds of all places. A task holds the seeds of one pair, and a batch."""
+    ids, columns, ends = ["doc_id", "tie", "pivot", "ptie"], ["lo", "centre", "hi", "pcentre", "strong"], ["lo", "hi", "plo", "phi"]
+
+    def out_batch(w):
+        new = np.r_[True, np.any([w[c][1:] != w[c][:-1] for c in ids], axis=0)]
+        of, *found = places_of(np.cumsum(new) - 1, *(w[c] for c in columns))
+        opens = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.empty(0, np.int64)
+        rows = np.flatnonzero(new)[of[opens]]
+        ints = [x.astype(np.int32) for x in found]
+        places = pa.ListArray.from_arrays(pa.array(np.r_[opens, len(of)].astype(np.int32)), pa.StructArray.from_arrays([pa.array(x) for x in ints], names=ends))
+        bounds = [f.reduceat(x, opens) if len(opens) else x for f, x in zip((np.minimum, np.maximum, np.minimum, np.maximum), ints, strict=True)]
+        return pa.RecordBatch.from_arrays([*(pa.array(w[c][rows]) for c in ids), places, *map(pa.array, bounds)], names=[*ids, "places", *ends])
+
+    def run(batches):
+        open_pair: list[dict] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            w = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ids + columns}
+            goes_on = bool(open_pair) and all(open_pair[-1][c][-1] == w[c][0] for c in ids)
+            starts = np.flatnonzero(np.r_[not goes_on, np.any([w[c][1:] != w[c][:-1] for c in ids], axis=0)])
+            if len(starts):
+                whole = [*open_pair, {c: v[: starts[-1]] for c, v in w.items()}]
+                if sum(len(x["lo"]) for x in whole):
+                    yield out_batch({c: np.concatenate([x[c] for x in whole]) for c in w})
+                open_pair, w = [], {c: v[starts[-1] :] for c, v in w.items()}
+            open_pair.append(w)
+        if open_pair:
+            yield out_batch({c: np.concatenate([x[c] for x in open_pair]) for c in open_pair[0]})
+
+    return seeds.select(*ids, *columns).mapInArrow(run, f"{PAIR}, places array<{PLACE}>, lo int, hi int, plo int, phi int")
 
 
-def verified(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int, int, int]], itself: bool, width: int = WIDTH, similar: float = SIMILARITY) -> list[tuple[int, int, int, int, float]]:
-    """(from, to, pivot from, pivot to, similarity), in shingles, of passages of `a` at these places that the pivot `b` has too.
+def verified(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int, int, int]], itself: bool, width: int = WIDTH, similar: float = SIMILARITY, at: int = 0, pivot_at: int = 0) -> list[tuple[int, int, int, int, float]]:
+    """(from, to, pivot from, pivot to, similarity), in shingles, of passages of `a` at these places that the pivot `b` has too. All
+    places are those of whole texts, of which `a` and `b` may be parts that begin at `at` and `pivot_at`.
 
     Shingles of the place that the pivot's place also holds score 1 - similar, others -similar; maximal stretches of no
     negative start or end, at least `width` long, are passages; their Jaccard similarity with what they match is checked.
@@ -326,13 +421,18 @@ def verified(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int, int, int
     """
     out = []
     for lo, hi, plo, phi in places:
-        part, whole = a[lo : hi + 1], b[plo : phi + 1]
+        part, whole = a[lo - at : hi + 1 - at], b[plo - pivot_at : phi + 1 - pivot_at]
+        # small numbers for the hashes, those of both parts: sets of shingles are marks then
+        values, code = np.unique(np.r_[part, whole], return_inverse=True)
+        ours, theirs = code[: len(part)], code[len(part) :]
         if itself:
-            lo_b = np.unique(whole, return_index=True)
-            first = dict(zip(lo_b[0].tolist(), (lo_b[1] + plo).tolist(), strict=True))
-            hit = np.array([first.get(x, 1 << 60) < lo + i for i, x in enumerate(part.tolist())], bool)
+            first = np.full(len(values), 1 << 60)
+            first[theirs[::-1]] = np.arange(len(whole))[::-1] + plo  # the first place is put last
+            hit = first[ours] < np.arange(lo, lo + len(part))
         else:
-            hit = np.isin(part, whole)
+            held = np.zeros(len(values), bool)
+            held[theirs] = True
+            hit = held[ours]
         ends = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8)))
         runs = ends.reshape(-1, 2).tolist()
         merged: list[list[int]] = []
@@ -347,16 +447,18 @@ def verified(a: np.ndarray, b: np.ndarray, places: list[tuple[int, int, int, int
             if end - start < width:
                 continue
             passage = part[start:end]
-            theirs = np.flatnonzero(np.isin(whole, passage))
+            mine, other = np.zeros(len(values), bool), np.zeros(len(values), bool)
+            mine[ours[start:end]] = True
+            at_both = np.flatnonzero(mine[theirs])
             # of the pivot's place: the densest stretch as long as the passage, with room for what was put in
             room = int((end - start) / similar)
-            best = int(np.argmax(np.searchsorted(theirs, theirs + room) - np.arange(len(theirs))))
-            last = int(np.searchsorted(theirs, theirs[best] + room)) - 1
-            ours, other = np.unique(passage), np.unique(whole[theirs[best] : theirs[last] + 1])
-            both = len(np.intersect1d(ours, other, assume_unique=True))
-            likeness = both / (len(ours) + len(other) - both)
+            best = int(np.argmax(np.searchsorted(at_both, at_both + room) - np.arange(len(at_both))))
+            last = int(np.searchsorted(at_both, at_both[best] + room)) - 1
+            other[theirs[at_both[best] : at_both[last] + 1]] = True
+            both = np.count_nonzero(mine & other)
+            likeness = both / (np.count_nonzero(mine) + np.count_nonzero(other) - both)
             if likeness >= similar:
-                out.append((lo + start, lo + end - 1, plo + int(theirs[best]), plo + int(theirs[last]), likeness))
+                out.append((lo + start, lo + end - 1, plo + int(at_both[best]), plo + int(at_both[last]), likeness))
                 continue
             # the densest stretch may be one that repeats a few of the words: an exact copy counts wherever it stands
             copies = [p for p in np.flatnonzero(whole[: max(0, len(whole) - len(passage) + 1)] == passage[0]).tolist() if (not itself or plo + p < lo + start) and np.array_equal(whole[p : p + len(passage)], passage)]
@@ -372,14 +474,8 @@ def tied(docs: DataFrame) -> DataFrame:
     return keyed(docs).where("doc_id is not null").withColumn("tie", F.xxhash64("text").bitwiseAND(0x7FFFFFFF).cast("int"))
 
 
-def overlapping(seeds: str) -> Column:
-    """Whether windows of seeds overlap: sorted by their start, one begins before an earlier one ends."""
-    walked = F.aggregate(F.array_sort(seeds), F.struct(F.lit(-1).alias("end"), F.lit(False).alias("yes")), lambda acc, s: F.struct(F.greatest(acc["end"], s["hi"]).alias("end"), (acc["yes"] | (s["lo"] <= acc["end"])).alias("yes")))
-    return walked["yes"]
-
-
 def candidates(texts: DataFrame) -> DataFrame:
-    """(doc struct, pivot struct, seeds): places of a text that resemble places of a text before it."""
+    """As place_table(): places of a text that resemble places of a text before it."""
     spark = texts.sparkSession
     n = n_partitions(spark)
     table = written(window_table(texts), "windows")
@@ -391,18 +487,20 @@ def candidates(texts: DataFrame) -> DataFrame:
     # two rows for each task: where a key goes on from one task to the next
     edges = found.where(F.col("kind") == EDGE).select(*[c.split()[0] for c in WINDOW.split(", ")]).coalesce(1).sortWithinPartitions(*order)
     both = found.where(F.col("kind") == CANDIDATE).unionAll(matched(edges, False))
-    doc, pivot = F.struct("doc_id", "tie").alias("doc"), F.struct(F.col("pivot").alias("doc_id"), F.col("ptie").alias("tie")).alias("pivot")
-    seeds = both.select(doc, pivot, F.struct("lo", "centre", "hi", "pcentre", "strong").alias("seed"))
+    columns = ["doc_id", "tie", "pivot", "ptie", "lo", "centre", "hi", "pcentre", "strong"]
     alike = written(fours(found.where(F.col("kind") == IN_CROWD)), "fours")
     released(spark)
     prepare(spark)
-    copied = written(repeats(run_table(texts, alike.where(F.col("key").bitwiseAND(FUNCTIONS - 1) == 0))), "repeats")
+    shared = ["doc_id", "tie", "lo", "centre", "hi"]
+    with_others = alike.where("function = 0").select(*shared, F.expr("1 << four").alias("fours"))
+    with_first_one = found.where(F.col("kind").isin(IN_CROWD, SHARED) & (F.col("fours") != 0) & (F.col("key").bitwiseAND(FUNCTIONS - 1) == 0)).select(*shared, "fours")
+    copied = written(repeats(run_table(texts, with_others.unionAll(with_first_one))), "repeats")
     released(spark)
     prepare(spark, WINDOW_ROWS)
-    first = F.struct("holder.doc_id", "holder.tie").alias("pivot")
-    others = alike.where(F.struct("doc_id", "tie", F.col("centre").alias("at")) != F.col("holder")).select(doc, first, F.struct("lo", "centre", "hi", F.col("holder.at").alias("pcentre"), F.lit(True).alias("strong")).alias("seed"))
-    seeds = seeds.unionAll(others).unionAll(copied)
-    pairs = written(seeds.groupBy("doc", "pivot").agg(F.collect_set("seed").alias("seeds")).where(F.exists("seeds", lambda s: s["strong"]) | overlapping("seeds")), "seeds")
+    others = alike.where("doc_id != of_doc or tie != of_tie or centre != of_at")
+    others = others.select("doc_id", "tie", F.col("of_doc").alias("pivot"), F.col("of_tie").alias("ptie"), "lo", "centre", "hi", F.col("of_at").alias("pcentre"), F.lit(True).alias("strong"))
+    seeds = both.select(*columns).unionAll(others).unionAll(copied.select(*columns))
+    pairs = written(place_table(seeds.repartition(n, *columns[:4]).sortWithinPartitions(*columns[:4])), "seeds")
     prepare(spark)
     discarded(found, alike, copied)
     return pairs
@@ -416,23 +514,35 @@ def passages(docs: DataFrame) -> DataFrame:
     texts = tied(docs)
     pairs = candidates(texts)
     released(spark)
-    roles = dealt_copies(pairs.withColumnRenamed("doc", "doc_id"), PIVOT_SHARE, "seeds")
+    of_pivot = F.struct(F.col("pivot").alias("doc_id"), F.col("ptie").alias("tie")).alias("pivot")
+    dealt_pairs = pairs.select(F.struct("doc_id", "tie").alias("doc_id"), of_pivot, "places", "lo", "hi", "plo", "phi")
+    roles = dealt_copies(dealt_pairs, PIVOT_SHARE, "places", "lo", "hi", pivots={"lo": (F.min, "plo"), "hi": (F.max, "phi")})
     roles = roles.select(F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.tie").alias("tie"), "roles")
     id_type = "struct<doc_id: long, tie: int>"
-    role_type = f"array<struct<pivot: {id_type}, copy: long, is_member: boolean, seeds: array<struct<{SEED.replace(' ', ': ').replace(',:', ',')}>>>>"
 
     def squeeze(batches):
+        """A row for each role: of the text only the words that it needs, those of shingles lo to hi."""
         pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
-            packed = pa.array([pack(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tie"), packed, batch.column("roles")], names=["doc_id", "tie", "packed", "roles"])
+            texts, roles = batch.column("text").to_pylist(), batch.column("roles")
+            pivot, copy, is_member, places, los, his = roles.flatten().flatten()
+            n = roles.value_lengths().to_numpy()
+            begins, of, los, his = np.r_[0, np.cumsum(n)], np.repeat(np.arange(len(n)), n), los.to_numpy(), his.to_numpy()
+            packed, begin, held = [], 0, 0
+            for i, text in enumerate(texts):
+                words = words_of(text)
+                packed += [pack(b" ".join(words[a : b + SHINGLE_WORDS])) for a, b in zip(los[begins[i] : begins[i + 1]].tolist(), his[begins[i] : begins[i + 1]].tolist(), strict=True)]
+                held += sum(map(len, packed[begins[i] - begin :]))
+                if held > PACKED_BYTES or i == len(texts) - 1:
+                    some, rows = slice(begin, int(begins[i + 1])), pa.array(of[begin : begins[i + 1]])
+                    cut = [x[some] for x in (pivot, copy, is_member, places)]
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(rows), batch.column("tie").take(rows), pa.array(packed, pa.binary()), *cut, pa.array(los[some])], names=["doc_id", "tie", "packed", "pivot", "copy", "is_member", "places", "at"])
+                    packed, begin, held = [], some.stop, 0
 
     dealt = (
         texts.join(roles.hint("merge"), ["doc_id", "tie"])
         .select("doc_id", "tie", "text", "roles")
-        .mapInArrow(squeeze, f"doc_id long, tie int, packed binary, roles {role_type}")
-        .select("doc_id", "tie", "packed", F.explode("roles").alias("r"))
-        .select("doc_id", "tie", "packed", "r.pivot", "r.copy", "r.is_member", "r.seeds")
+        .mapInArrow(squeeze, f"doc_id long, tie int, packed binary, pivot {id_type}, copy long, is_member boolean, places array<{PLACE}>, at int")
         .repartition(n, "pivot", "copy")
         .sortWithinPartitions("pivot", "copy", "is_member", "doc_id", "tie")
     )
@@ -440,20 +550,19 @@ def passages(docs: DataFrame) -> DataFrame:
 
     def verify(batches):
         grow = zstandard.ZstdDecompressor()
-        held, of, last = np.empty(0, U64), None, None
+        held, held_at, of, last = np.empty(0, U64), 0, None, None
         for batch in batches:
             rows = []
             shingled = shingles_of([grow.decompress(p).decode("utf-8", "surrogatepass") for p in batch.column("packed").to_pylist()])
-            for s, doc, tie, pivot, copy, is_member, seeds in zip(shingled, *(batch.column(c).to_pylist() for c in ("doc_id", "tie", "pivot", "copy", "is_member", "seeds")), strict=True):
+            for s, doc, tie, pivot, copy, is_member, places, at in zip(shingled, *(batch.column(c).to_pylist() for c in ("doc_id", "tie", "pivot", "copy", "is_member", "places", "at")), strict=True):
                 key = (pivot["doc_id"], pivot["tie"], copy)
                 if not is_member:
-                    held, of, last = s, key, None
+                    held, held_at, of, last = s, at, key, None
                     continue
                 if key != of or last == (doc, tie):
                     continue
                 last = (doc, tie)
-                places = agreed([(x["lo"], x["centre"], x["hi"], x["pcentre"], x["strong"]) for x in seeds])
-                found = verified(s, held, places, (doc, tie) == key[:2])
+                found = verified(s, held, [(p["lo"], p["hi"], p["plo"], p["phi"]) for p in places], (doc, tie) == key[:2], at=at, pivot_at=held_at)
                 rows += [(doc, tie, i, j + SHINGLE_WORDS, pivot["doc_id"], p, q + SHINGLE_WORDS, like) for i, j, p, q, like in found]
             types = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names=names)

@@ -387,3 +387,74 @@ def test_an_exact_copy_counts_beside_a_denser_stretch_of_some_of_its_words():
     passage = np.r_[h[:40], np.repeat(h[500], 20)]
     pivot = np.r_[h[700:710], passage, h[710:720], np.repeat(h[500], 200)]
     assert substring_dedup.verified(passage, pivot, [(0, 59, 0, len(pivot) - 1)], False) == [(0, 59, 10, 69, 1.0)]
+
+
+def plain_places(seeds):
+    """Places of one pair's seeds (lo, centre, hi, pivot centre, strong), one window's end after the other."""
+    seeds = sorted(set(seeds))
+    ends = sorted([(s[0], 0, i) for i, s in enumerate(seeds)] + [(s[2] + 1, -1, i) for i, s in enumerate(seeds)])
+    out, count, since = [], 0, None
+    for at, what, i in ends:
+        count += (1 if what == 0 else -1) * (substring_dedup.AGREE if seeds[i][4] else 1)
+        if count >= substring_dedup.AGREE and since is None:
+            since = at
+        elif count < substring_dedup.AGREE and since is not None:
+            reach = [(c, int((hi - lo + 1) / substring_dedup.SIMILARITY) + 1) for lo, _, hi, c, _ in seeds if lo <= at - 1 and hi >= since]
+            if at - since >= substring_dedup.WIDTH:
+                out.append((since, at - 1, max(0, min(c - n for c, n in reach)), max(c + n for c, n in reach)))
+            since = None
+    return out
+
+
+def test_places_of_many_pairs_as_a_plain_sweep_wherever_batches_end(spark):
+    """Windows of 60 pairs, weak and strong, repeated, touching and nested; a pair's windows lie in several Arrow batches of seven rows."""
+    r, rows = random.Random(3), []
+    for pair in range(60):
+        for _ in range(r.choice([1, 2, 5, 30])):
+            lo = r.randrange(400)
+            rows.append((pair // 3, 7, pair % 3, 8, lo, lo + r.randrange(46), lo + 45 + r.choice([0, 1, 10, 100]), r.randrange(500), r.random() < 0.3))
+    rows += r.sample(rows, 50)
+    want = {}
+    for d, _, p, _, *seed in rows:
+        want.setdefault((d, p), []).append(tuple(seed))
+    want = {k: found for k, v in want.items() if (found := plain_places(v))}
+    df = spark.createDataFrame(rows, "doc_id long, tie int, pivot long, ptie int, lo int, centre int, hi int, pcentre int, strong boolean")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = substring_dedup.place_table(df.coalesce(1).sortWithinPartitions("doc_id", "tie", "pivot", "ptie")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == len(want) and {(x.doc_id, x.pivot): [tuple(p) for p in x.places] for x in got} == want
+    for x in got:
+        lo, hi, plo, phi = zip(*x.places, strict=True)
+        assert (x.lo, x.hi, x.plo, x.phi) == (min(lo), max(hi), min(plo), max(phi)) and (x.tie, x.ptie) == (7, 8)
+
+
+def test_first_holders_as_groups_in_memory_wherever_batches_end(spark):
+    r = random.Random(4)
+    rows = [(r.choice([1, 1, 1, r.randrange(60)]), r.randrange(40), r.randrange(2), r.randrange(3)) for _ in range(400)]
+    groups = {}
+    for k, *own in rows:
+        groups.setdefault(k, []).append(tuple(own))
+    want = sorted((k, *own, *min(g)) for k, g in groups.items() if len(g) > 1 for own in g)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = substring_dedup.with_first(spark.createDataFrame(rows, "k long, doc_id long, tie int, at int"), "k", "at").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, got)) == want
+
+
+def test_copies_are_joined_by_their_first_holder_and_move_only_the_words_they_share(spark, prose):
+    """Windows of copies that agree with their value's first one take no part in the join of fours, but those of the task's first value; the last of
+    long texts that share one passage is found by parts of both."""
+    order = ["key", "doc_id", "tie", "centre"]
+    windows = substring_dedup.window_table(substring_dedup.tied(spark.createDataFrame([(i, prose(1, 400)) for i in range(20)], "doc_id long, text string")))
+    found = substring_dedup.matched(windows.coalesce(1).sortWithinPartitions(*order), True)
+    assert windows.count() > 20 * 20 and substring_dedup.fours(found.where(f"kind = {substring_dedup.IN_CROWD}")).count() <= 20 * substring_dedup.FOURS
+    passage = prose(2, 60)
+    rows = [(i, f"{prose(300 + i, 700 + 100 * i)} {passage} {prose(400 + i, 900)}") for i in range(5)] + [(9, f"{prose(500, 300)} {passage} {prose(501, 100)} {passage}")]
+    got = {(p.doc_id, p.source_doc_id, p.first_word, p.end_word, p.source_first_word, p.source_end_word) for p in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(i, 0, 700 + 100 * i, 760 + 100 * i, 700, 760) for i in range(1, 5)} | {(9, 0, 300, 360, 700, 760), (9, 0, 460, 520, 700, 760)} <= got
