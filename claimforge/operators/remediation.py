@@ -31,29 +31,41 @@ def recommendations(checked: DataFrame, scores: DataFrame, reasons: DataFrame, e
     checked: claim_id, blocking_errors, warnings; scores: claim_id, risk_level; reasons: claim_id, reason_rank, reason_code,
     fix_suggestion, reason_text; evidence: claim_id, reason_code, source_name, policy_rank.
     """
-    acts = F.broadcast(catalogs.actions(checked.sparkSession))
+    act = F.create_map(*(x for code, action, why in catalogs.ACTIONS for x in (F.lit(code), F.struct(F.lit(action).alias("action"), F.lit(why).alias("why")))))
     none = F.lit(None).cast("string")
-    open_claims = checked.where(F.size("blocking_errors") == 0).select("claim_id")
-    level = scores.select("claim_id", F.coalesce("risk_level", F.lit("LOW")).alias("risk_level")).join(open_claims, "claim_id", "left_semi")
-    risky = level.where(F.col("risk_level").isin(*RISKY))
-    columns = ("claim_id", "place", "action", "priority", "why", "reason_code", "evidence_source")
+    columns = ("place", "action", "priority", "why", "reason_code", "evidence_source")
 
-    def rows(df: DataFrame, place, action, priority, why, reason_code, source=none) -> DataFrame:
-        return df.select("claim_id", *(c.alias(n) for n, c in zip(columns[1:], (place, action, priority, why, reason_code, source), strict=True)))
+    def row(place, action, priority, why, reason_code, source=none):
+        return F.struct(*(c.alias(n) for n, c in zip(columns, (place, action, priority, why, reason_code, source), strict=True)))
 
-    fix = F.concat(F.lit("Fix required input field before scoring: "), F.coalesce("e.field", F.lit("claim input")), F.lit("."))
-    fixes = rows(checked.select("claim_id", F.posexplode("blocking_errors").alias("i", "e")), F.col("i"), fix, F.lit("HIGH"), F.coalesce("e.message", F.lit(WHY_FIX)), F.col("e.code"))
+    # all that is said of a claim meets in its row, so its actions are found there
     source = evidence.groupBy("claim_id", "reason_code").agg(F.min(F.struct("policy_rank", "source_name"))["source_name"].alias("source"))
-    given = reasons.select("claim_id", "reason_rank", "reason_code", "fix_suggestion", "reason_text").join(risky, "claim_id")
-    given = given.join(acts, F.col("reason_code") == F.col("code"), "left").join(source, ["claim_id", "reason_code"], "left")
-    because = rows(given, 100 + F.col("reason_rank"), F.coalesce("action", "fix_suggestion", F.lit("Review this claim before submission.")), F.col("risk_level"), F.coalesce("why", "reason_text", F.lit(WHY_REASON)), F.col("reason_code"), F.col("source"))
-    warned = checked.select("claim_id", F.posexplode("warnings").alias("i", "e")).join(acts, F.col("e.code") == F.col("code")).join(risky, "claim_id", "left")
-    warned = rows(warned, 200 + F.col("i"), F.col("action"), F.when(F.col("risk_level").isNotNull(), "MEDIUM").otherwise("LOW"), F.col("why"), F.col("e.code"))
-    every = fixes.unionByName(because).unionByName(warned)
+    given = reasons.select("claim_id", "reason_rank", "reason_code", "fix_suggestion", "reason_text").join(source, ["claim_id", "reason_code"], "left")
+    given = given.groupBy("claim_id").agg(F.collect_list(F.struct("reason_rank", "reason_code", "fix_suggestion", "reason_text", "source")).alias("given"))
+    level = scores.select("claim_id", F.coalesce("risk_level", F.lit("LOW")).alias("level"))
+    claims = checked.select("claim_id", "blocking_errors", "warnings").join(level, "claim_id", "left").join(given, "claim_id", "left")
+    claims = claims.withColumn("risk_level", F.when(F.size("blocking_errors") == 0, F.col("level")))
+    risky = F.coalesce(F.col("risk_level").isin(*RISKY), F.lit(False))
+    fix = lambda e: F.concat(F.lit("Fix required input field before scoring: "), F.coalesce(e["field"], F.lit("claim input")), F.lit("."))
+    fixes = F.transform("blocking_errors", lambda e, i: row(i, fix(e), F.lit("HIGH"), F.coalesce(e["message"], F.lit(WHY_FIX)), e["code"]))
+
+    def because(x):
+        known = F.try_element_at(act, x["reason_code"])
+        return row(100 + x["reason_rank"], F.coalesce(known["action"], x["fix_suggestion"], F.lit("Review this claim before submission.")), F.col("risk_level"), F.coalesce(known["why"], x["reason_text"], F.lit(WHY_REASON)), x["reason_code"], x["source"])
+
+    def warned(e, i):
+        known = F.try_element_at(act, e["code"])
+        return F.when(known.isNotNull(), row(200 + i, known["action"], F.when(risky, "MEDIUM").otherwise("LOW"), known["why"], e["code"]))
+
+    empty = F.array().cast("array<struct<place:int,action:string,priority:string,why:string,reason_code:string,evidence_source:string>>")
     low = F.col("risk_level") == "LOW"
-    rest = rows(level.join(every.select("claim_id").distinct(), "claim_id", "left_anti"), F.lit(300), F.when(low, PROCEED).otherwise(ROUTE), F.col("risk_level"), F.when(low, WHY_PROCEED).otherwise(WHY_ROUTE), none)
-    w = Window.partitionBy("claim_id", "action").orderBy("place")
-    return every.unionByName(rest).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    rest = F.when(F.col("risk_level").isNotNull(), F.array(row(F.lit(300), F.when(low, PROCEED).otherwise(ROUTE), F.col("risk_level"), F.when(low, WHY_PROCEED).otherwise(WHY_ROUTE), none)))
+    parts = (fixes, F.when(risky, F.transform("given", because)), F.filter(F.transform("warnings", warned), lambda x: x.isNotNull()), rest)
+    every = claims.select("claim_id", F.explode(F.concat(*(F.coalesce(p, empty) for p in parts))).alias("x")).select("claim_id", "x.*")
+    # the default is for claims without another action, rows of one id being one claim
+    w = Window.partitionBy("claim_id")
+    first = every.withColumns({"_least": F.min("place").over(w), "_n": F.row_number().over(Window.partitionBy("claim_id", "action").orderBy("place"))})
+    return first.where("_n = 1 and (place < 300 or _least = 300)").drop("_n", "_least")
 
 
 def decisions(checked: DataFrame, scores: DataFrame, recs: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -180,9 +181,24 @@ G15 = ["claim_id", "provider_claim_count", "provider_avg_billed", "provider_viol
 query("g15_features", f"select {', '.join(G15)} from features")(lambda t: t.features.select(*G15))
 
 
-def lookups(t: Claims) -> dict[str, DataFrame]:
-    made = G.lookup_tables(t.features, t.providers, t.diagnosis, t.cost)
-    return {name: t.layer(f"lookup_{name}", lambda df=df: df) for name, df in made.items()}
+class Lookups(Mapping):
+    """Tables for scoring by name; each is written as a layer when it is first asked for, so that a query pays for those that it reads."""
+
+    def __init__(self, t: Claims):
+        self.t, self.made = t, G.lookup_tables(t.features, t.providers, t.diagnosis, t.cost)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.t.layer(f"lookup_{name}", lambda: self.made[name])
+
+    def __iter__(self):
+        return iter(self.made)
+
+    def __len__(self) -> int:
+        return len(self.made)
+
+
+def lookups(t: Claims) -> Mapping[str, DataFrame]:
+    return Lookups(t)
 
 
 query("g17_amount_medians", "select procedure_code, round_even(procedure_median, 6) as procedure_median from medians")(lambda t: lookups(t)["amount_medians"])

@@ -394,3 +394,25 @@ def test_claims_that_contradict_themselves_are_errors_and_the_rest_get_the_model
     assert len(apart) == t.claims.count() and sorted(apart)[int(len(apart) * 0.95)] < 0.01, sorted(apart)[:: len(apart) // 20]
     plain = t.claims_raw.limit(5).withColumn("denial_flag", F.lit(1))
     assert intake.contradictions(plain).where("contradiction is not null").count() == 0
+
+
+def test_only_the_lookups_that_a_query_reads_are_written(spark, small, tmp_path):
+    from claimforge import fixtures
+    from claimforge.plans import decisions
+
+    (tmp_path / "data").symlink_to(small)
+    decisions.checked(fixtures.Claims(spark, str(tmp_path / "data")))
+    written = {layer for _, folder, layer in fixtures._written if folder == str(tmp_path / "data")}
+    assert {x for x in written if x.startswith("lookup_")} == {"lookup_provider_history", "lookup_diagnosis", "lookup_procedure_cost"}
+
+
+def test_recommendations_find_a_claims_actions_in_one_row(spark):
+    checked = spark.createDataFrame([("a", [], [("CLAIM_WARN_AMOUNT_MISSING",)]), ("b", [("x", None, "E")], []), ("c", [], []), ("c", [], []), ("d", [], [])], "claim_id string, blocking_errors array<struct<message:string,field:string,code:string>>, warnings array<struct<code:string>>")
+    scores = spark.createDataFrame([("a", "HIGH"), ("b", "HIGH"), ("c", None), ("e", "HIGH")], "claim_id string, risk_level string")
+    given = spark.createDataFrame([("a", 1, "MISSING_DIAGNOSIS", None, None), ("a", 2, "OWN", None, "text"), ("a", 3, "MISSING_DIAGNOSIS", None, None), ("b", 1, "OWN", "f", "t"), ("e", 1, "OWN", "f", "t")], "claim_id string, reason_rank int, reason_code string, fix_suggestion string, reason_text string")
+    evidence = spark.createDataFrame([("a", "OWN", "late", 2), ("a", "OWN", "first", 1), ("z", "OWN", "other", 1)], "claim_id string, reason_code string, source_name string, policy_rank int")
+    recs = remediation.recommendations(checked, scores, given, evidence)
+    rows = [(r.claim_id, r.place, r.priority, r.reason_code, r.evidence_source) for r in recs.orderBy("claim_id", "place").collect()]
+    assert rows == [("a", 101, "HIGH", "MISSING_DIAGNOSIS", None), ("a", 102, "HIGH", "OWN", "first"), ("a", 200, "MEDIUM", "CLAIM_WARN_AMOUNT_MISSING", None), ("b", 0, "HIGH", "E", None), ("c", 300, "LOW", None, None)]
+    plan = recs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 3 and "Union" not in plan
