@@ -80,7 +80,11 @@ def quantiles(df: DataFrame, value: Column, keys: tuple[str, ...] = (), **shares
     rows = df.select(*keys, v.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("n"))
+    return quantiles_of_counts(rows.groupBy(*keys, "v").agg(F.count("*").alias("n")), keys, **shares)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: tuple[str, ...] = (), **shares: float) -> DataFrame:
+    """quantiles() of the doubles v that counts has n times each: one row for each (keys, v), none of them null or NaN. It is read more than once."""
     at = lambda p: F.lit(float(p)) * (F.col("n_all") - 1)
     ends = [f(at(p)).cast("long") for p in shares.values() for f in (F.floor, F.ceil)]
     covers = F.lit(False)

@@ -94,7 +94,8 @@ def explanations(reasons: DataFrame, scores: DataFrame, bands: tuple[float, floa
     """The long table: one row a claim and reason, with texts, fixes and policy queries from the catalog, the bands and model that the scores came
     from, and when it was made. policy_tags is a JSON list, feature_value text."""
     catalog = catalogs.reasons(reasons.sparkSession).drop("source_features", "critical", "ordinal")
-    out = reasons.join(F.broadcast(catalog), "reason_code").join(scores.select("claim_id", "risk_score", "risk_level", "predicted_denial"), "claim_id")
+    # texts come last: what meets by claim are codes
+    out = reasons.join(scores.select("claim_id", "risk_score", "risk_level", "predicted_denial"), "claim_id").join(F.broadcast(catalog), "reason_code")
     return out.select(
         "claim_id",
         "risk_score",

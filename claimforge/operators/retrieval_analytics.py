@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ranks import quantiles
+from ..functions.ranks import quantiles_of_counts
 from .projection import projected
 
 KEYS = ("claim_id", "reason_code", "policy_chunk_id", "source_name", "section_title")
@@ -17,8 +17,8 @@ def first_by(df: DataFrame, keys, *order) -> DataFrame:
 
 
 def dedupe(matches: DataFrame) -> DataFrame:
-    """One row a key, the best score; a null score counts as -1."""
-    return first_by(matches, KEYS, F.desc(F.coalesce("similarity_score", F.lit(-1.0))))
+    """One row a key, the best score; a null score counts as -1. A claim's rows travel together: what they share is packed."""
+    return first_by(matches.repartition("claim_id"), KEYS, F.desc(F.coalesce("similarity_score", F.lit(-1.0))))
 
 
 def source_utilisation(chunks: DataFrame, matches: DataFrame) -> DataFrame:
@@ -66,11 +66,14 @@ def strength(explanations: DataFrame, matches: DataFrame) -> DataFrame:
     return e.join(best, ["claim_id", "reason_code"]).select("claim_id", "reason_code", F.abs("shap_value").alias("model_strength"), "best_similarity")
 
 
-def similarity_quartiles(matches: DataFrame, top: int = 12) -> DataFrame:
-    """Quartiles of similarity of the most frequent reasons."""
-    m = dedupe(matches)
-    often = m.groupBy("reason_code").count().orderBy(F.desc("count"), "reason_code").limit(top).select("reason_code")
-    p = quantiles(m.join(often, "reason_code", "left_semi"), F.col("similarity_score"), ("reason_code",), q1=0.25, median=0.5, q3=0.75)
+def similarity_quartiles(matches: DataFrame, top: int = 12, write=lambda df, name: df) -> DataFrame:
+    """Quartiles of similarity of the most frequent reasons. The count of each reason's scores, which is read more than once, goes through
+    write(frame, name), which may put it into a table and return that."""
+    m = dedupe(matches.select(*KEYS, "similarity_score"))
+    counted = write(m.groupBy("reason_code", F.col("similarity_score").cast("double").alias("v")).agg(F.count("*").alias("n")), "similarities")
+    often = counted.groupBy("reason_code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "reason_code").limit(top).select("reason_code")
+    known = counted.where(F.col("reason_code").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
+    p = quantiles_of_counts(known.join(often, "reason_code", "left_semi"), ("reason_code",), q1=0.25, median=0.5, q3=0.75)
     return p.select("reason_code", *(F.round(c, 4).alias(c) for c in ("q1", "median", "q3")))
 
 

@@ -272,7 +272,7 @@ def matches(t: Claims) -> DataFrame:
 
 def _matches(t: Claims) -> DataFrame:
     hits = R.rerank(tagged(t), "query_id", "vec_id")
-    e = long(t).select("claim_id", "reason_code").withColumn("query_id", ((F.length("claim_id") * 7 + F.length("reason_code")) % 26 * 50).cast("long"))
+    e = picked(t).select("claim_id", "reason_code").withColumn("query_id", ((F.length("claim_id") * 7 + F.length("reason_code")) % 26 * 50).cast("long"))
     return e.join(hits, "query_id").select("claim_id", "reason_code", F.col("vec_id").alias("policy_chunk_id"), F.concat(F.lit("source"), (F.col("vec_id") % 7).cast("string")).alias("source_name"), F.when(F.col("vec_id") % 2 == 0, F.concat(F.lit("s"), (F.col("vec_id") % 4).cast("string"))).alias("section_title"), "similarity_score", "policy_rank")
 
 
@@ -301,7 +301,7 @@ query("v5_top_chunks", _m("select policy_chunk_id, retrieval_count, avg_similari
 query("v7_strength", _m("select claim_id, reason_code, abs(contribution) as model_strength, best_similarity from p join (select claim_id, reason_code, max(similarity_score) as best_similarity from m group by all) using (claim_id, reason_code)"))(lambda t: V.strength(long(t), matches(t)))
 query("r15_report", _m(f"""select 'documents' as metric, count(*) as value from documents union all select 'chunks', count(*) from ({CHUNKS}) union all select 'match_rows', count(*) from m
  union all select 'unmatched_reasons', count(*) from p where not exists (select 1 from m where m.claim_id = p.claim_id and m.reason_code = p.reason_code)"""))(lambda t: R.match_report(policy_docs(t), corpus(t), long(t), matches(t)))
-query("v8_similarity_quartiles", _m("select reason_code, round(quantile_cont(similarity_score, 0.25), 4) as q1, round(quantile_cont(similarity_score, 0.5), 4) as median, round(quantile_cont(similarity_score, 0.75), 4) as q3 from m where reason_code in (select reason_code from m group by 1 order by count(*) desc, 1 limit 12) group by 1"))(lambda t: V.similarity_quartiles(matches(t)))
+query("v8_similarity_quartiles", _m("select reason_code, round(quantile_cont(similarity_score, 0.25), 4) as q1, round(quantile_cont(similarity_score, 0.5), 4) as median, round(quantile_cont(similarity_score, 0.75), 4) as q3 from m where reason_code in (select reason_code from m group by 1 order by count(*) desc, 1 limit 12) group by 1"))(lambda t: V.similarity_quartiles(matches(t), write=lambda df, name: t.layer(f"policy_{name}", lambda: df)))
 query("v8_similarity_histogram", _m("select least(29, greatest(0, cast(floor(round(similarity_score * 30, 6)) as int))) as bin, count(*) as n from m group by 1"))(lambda t: V.similarity_histogram(matches(t)))
 query("v9_kpis", _m("select (select count(*) from embeddings) as chunks, (select count(distinct vec_id % 9) from embeddings) as sources, (select count(*) from m) as matches, (select count(distinct reason_code) from p) as reason_types, (select count(distinct claim_id) from p) as claims_explained"))(lambda t: V.kpis(chunk_rows(t), matches(t), long(t)))
 query("v10_unused_sources", _m(f"select source_name, mean_utilization from ({UTILISATION}), (select round(avg(utilization_rate), 4) as mean_utilization from ({UTILISATION})) where retrieval_count = 0"))(lambda t: V.unused_sources(chunk_rows(t), matches(t)))

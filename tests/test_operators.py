@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from claimforge.fixtures import Claims
 from claimforge.functions.ranks import between_cuts, cuts_of, quantiles, running, score_slot
 from claimforge.functions.text import clip, ellipsis, html_to_text, references_decoded, tag_list, title
-from claimforge.operators import analytics, events, gold, intake, ml, profile, quality, reasons, remediation, retrieval, silver, terms
+from claimforge.operators import analytics, events, gold, intake, ml, profile, quality, reasons, remediation, retrieval, retrieval_analytics, silver, terms
 from claimforge.plans import claims as claims_plans
 from claimforge.plans import registry
 from claimforge.sources import io
@@ -416,3 +416,28 @@ def test_recommendations_find_a_claims_actions_in_one_row(spark):
     assert rows == [("a", 101, "HIGH", "MISSING_DIAGNOSIS", None), ("a", 102, "HIGH", "OWN", "first"), ("a", 200, "MEDIUM", "CLAIM_WARN_AMOUNT_MISSING", None), ("b", 0, "HIGH", "E", None), ("c", 300, "LOW", None, None)]
     plan = recs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") <= 3 and "Union" not in plan
+
+
+def test_layers_leave_no_shuffles_and_quartiles_need_no_texts(spark, small, tmp_path):
+    from glob import glob
+
+    from claimforge import fixtures
+
+    shuffled = lambda: {f for f in glob(f"{spark.conf.get('spark.local.dir')}/**/shuffle_*.data", recursive=True)}
+    t, before = fixtures.Claims(spark, str(tmp_path)), shuffled()
+    made = t.layer("counts", lambda: spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).count().repartition(3))
+    assert not shuffled() - before and made.count() == 1000 and spark.conf.get(fixtures.CLEANUP, None) is None
+    (tmp_path / "data").symlink_to(small)
+    assert registry.QUERIES["v8_similarity_quartiles"](spark, str(tmp_path / "data")).count() > 0
+    written = {layer for _, folder, layer in fixtures._written if folder == str(tmp_path / "data")}
+    assert "explanations" not in written and "policy_similarities" in written
+
+
+def test_quartiles_read_their_matches_once(spark):
+    rows = [("a", "R", i % 7, "s", None, None if i == 3 else i / 10) for i in range(10)] + [("b", "S", 1, "s", "t", 0.5)]
+    df = spark.createDataFrame(rows, "claim_id string, reason_code string, policy_chunk_id long, source_name string, section_title string, similarity_score double")
+    kept = {}
+    found = retrieval_analytics.similarity_quartiles(df, 1, lambda frame, name: kept.setdefault(name, spark.createDataFrame(frame.collect(), frame.schema)))
+    # of the rows of a key the best score counts, and a null one where there is no other
+    assert {(r.reason_code, r.v, r.n) for r in kept["similarities"].collect()} == {("R", v, 1) for v in (None, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)} | {("S", 0.5, 1)}
+    assert [r.reason_code for r in found.collect()] == ["R"] and np.allclose(found.drop("reason_code").first(), np.quantile([0.4, 0.5, 0.6, 0.7, 0.8, 0.9], (0.25, 0.5, 0.75)))
