@@ -441,3 +441,12 @@ def test_quartiles_read_their_matches_once(spark):
     # of the rows of a key the best score counts, and a null one where there is no other
     assert {(r.reason_code, r.v, r.n) for r in kept["similarities"].collect()} == {("R", v, 1) for v in (None, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)} | {("S", 0.5, 1)}
     assert [r.reason_code for r in found.collect()] == ["R"] and np.allclose(found.drop("reason_code").first(), np.quantile([0.4, 0.5, 0.6, 0.7, 0.8, 0.9], (0.25, 0.5, 0.75)))
+
+
+def test_final_explanations_write_no_match_table(spark, small, tmp_path):
+    from claimforge import fixtures
+
+    (tmp_path / "data").symlink_to(small)
+    registry.QUERIES["r14_final"](spark, str(tmp_path / "data"))
+    written = {layer for _, folder, layer in fixtures._written if folder == str(tmp_path / "data")}
+    assert "policy_index" in written and "policy_match_table" not in written
